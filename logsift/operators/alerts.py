@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import DEFAULT
+from ..session import ship_package
 from ..functions.lines import ts_lit
 from ..functions.scores import alert_level, fmt3
 
@@ -82,6 +83,7 @@ def generate_alerts(scores: DataFrame, throttle: int = DEFAULT.throttle_seconds,
         pdf["decision"] = run_machine(pdf["_t"].to_numpy(), pdf["_key"].to_numpy(), thr, sup)
         return pdf[[f.name for f in out_schema.fields]]
 
+    ship_package(df.sparkSession)
     decided = df.drop("_new").groupBy("server_id", "_episode").applyInPandas(machine, out_schema)
     if not keep_dropped:
         decided = decided.filter(F.col("decision") != DROPPED)

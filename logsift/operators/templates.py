@@ -7,7 +7,8 @@
 2. ``mine_templates``: shapes of one bucket (token count, first token) are merged greedily
    in a fixed order (support desc, signature asc): a shape joins the most similar
    template when the share of equal positions is at least ``similarity``, and unequal
-   positions become ``<*>``. One ``applyInPandas`` group per bucket, over distinct shapes only.
+   positions become ``<*>``. Shapes are hash-partitioned by bucket and sorted, and one
+   ``mapInPandas`` pass merges each bucket (distinct shapes only, never lines).
 3. ``assign_templates``: lines join the (signature → template) table on the signature.
 """
 
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import DEFAULT
+from ..session import ship_package
 
 PARAM = "<*>"
 # A leading time (any supported form, optional fraction and zone) followed by blanks.
@@ -91,22 +93,57 @@ TEMPLATE_SCHEMA = T.StructType([
 ])
 
 
-def mine_templates(sigs: DataFrame, similarity: float = DEFAULT.similarity) -> DataFrame:
-    """O-T2: (signature → event_template, event_id) for every distinct shape.
+def _mine_sorted(batches, similarity: float):
+    """Mine a partition whose rows are sorted by (bucket, support desc, signature).
 
-    ``event_id`` is a stable hash of the template text (first 16 hex digits of its MD5), so
-    ids do not depend on arrival order or on which run mined them.
+    Buckets may span Arrow batches: the rows of the last, possibly unfinished bucket are
+    carried into the next batch. Single-shape buckets (most of them) are their own
+    template and are handled without a Python loop.
     """
+    cols = [f.name for f in TEMPLATE_SCHEMA.fields]
+    pending = None
+    for pdf in batches:
+        if pending is not None and len(pending):
+            pdf = pd.concat([pending, pdf], ignore_index=True)
+        if not len(pdf):
+            continue
+        key = pdf["n_tokens"].astype(str) + "\x00" + pdf["first_token"].fillna("")
+        last = key.iloc[-1]
+        done = (key != last).to_numpy()
+        pending = pdf[~done]
+        yield _mine_rows(pdf[done].reset_index(drop=True), key[done].reset_index(drop=True), similarity)[cols]
+    if pending is not None and len(pending):
+        key = pending["n_tokens"].astype(str) + "\x00" + pending["first_token"].fillna("")
+        yield _mine_rows(pending.reset_index(drop=True), key.reset_index(drop=True), similarity)[cols]
+
+
+def _mine_rows(pdf: pd.DataFrame, key: pd.Series, similarity: float) -> pd.DataFrame:
+    out = pdf["signature"].to_numpy(dtype=object).copy()
+    if len(pdf):
+        starts = np.flatnonzero(np.r_[True, key.to_numpy()[1:] != key.to_numpy()[:-1]])
+        ends = np.r_[starts[1:], len(pdf)]
+        sigs = pdf["signature"].tolist()
+        for a, b in zip(starts.tolist(), ends.tolist()):
+            if b - a > 1:
+                out[a:b] = _merge_bucket(sigs[a:b], similarity)
+    pdf = pdf.copy()
+    pdf["event_template"] = out
+    return pdf
+
 
-    def per_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["support", "signature"], ascending=[False, True], kind="stable")
-        pdf = pdf.reset_index(drop=True)
-        pdf["event_template"] = _merge_bucket(pdf["signature"].tolist(), similarity)
-        return pdf[[f.name for f in TEMPLATE_SCHEMA.fields]]
+def mine_templates(sigs: DataFrame, similarity: float = DEFAULT.similarity) -> DataFrame:
+    """O-T2: (signature → event_template, event_id) for every distinct shape.
 
-    mined = (sigs.select(F.col("n_tokens").cast("int"), "first_token", "signature",
-                         F.col("support").cast("long"))
-                 .groupBy("n_tokens", "first_token").applyInPandas(per_bucket, TEMPLATE_SCHEMA))
+    Shapes are hash-partitioned by bucket and sorted inside each partition, so every
+    bucket is whole in one task and the merge runs over contiguous rows. ``event_id`` is
+    a stable hash of the template text (first 16 hex digits of its MD5), so ids do not
+    depend on arrival order or on which run mined them.
+    """
+    x = (sigs.select(F.col("n_tokens").cast("int"), "first_token", "signature", F.col("support").cast("long"))
+             .repartition("n_tokens", "first_token")
+             .sortWithinPartitions("n_tokens", "first_token", F.col("support").desc(), "signature"))
+    ship_package(x.sparkSession)
+    mined = x.mapInPandas(lambda it: _mine_sorted(it, similarity), TEMPLATE_SCHEMA)
     return mined.withColumn("event_id", event_id_of("event_template"))
 
 

@@ -1,0 +1,155 @@
+"""End-to-end jobs: ingest (E1), train (O-M9), score (E4), model persistence (O-S9).
+
+Each step is a DataFrame → DataFrame operator; this module only wires them together.
+"""
+
+from __future__ import annotations
+
+import json
+import os
+from dataclasses import dataclass, field
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..config import DEFAULT, Params
+from ..functions import lines as L
+from ..functions.scores import ensemble_score, prediction
+from ..operators import autoencoder as AE
+from ..operators import features as FE
+from ..operators import forest as FO
+from ..operators import sanitize as D
+from ..operators import templates as TM
+from ..operators import windows as W
+from ..operators.scaler import fit_scaler, scale_vectors
+
+KEYS = ["server_id", "window_id"]
+
+
+def structure_lines(lines: DataFrame, ingest_ts, params: Params = DEFAULT, dedupe: bool = True,
+                    templates: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """E1 as one job graph: strip → ensure time → mask → drop noise → mine/assign templates →
+    event time → sanitise → keep first of (raw_log, event_id).
+
+    ``lines`` has ``raw_log`` and ``line_no`` (and usually ``server_id``). Returns the
+    structured rows and the templates table (mined here unless ``templates`` is given).
+    """
+    x = lines.withColumn("raw_log", L.strip_ws("raw_log")).filter(F.length("raw_log") > 0)
+    x = x.withColumn("raw_log", L.mask_sensitive(L.ensure_timestamp("raw_log", ingest_ts)))
+    x = x.filter(~L.is_noise("raw_log"))
+    if "server_id" not in x.columns:
+        x = x.withColumn("server_id", F.lit("local"))
+    if templates is None:
+        templates = TM.mine_templates(TM.signatures(x), params.similarity)
+    a = TM.assign_templates(x, templates)
+    a = a.withColumn("ts", L.event_time("raw_log", ingest_ts)).drop("signature")
+    s = D.sanitize(a, ingest_ts)
+    if dedupe:
+        s = D.dedupe_first(s, keys=("raw_log", "event_id"), order=("line_no",))
+    return s, templates
+
+
+def window_counts(structured: DataFrame, params: Params = DEFAULT, seconds: int | None = None,
+                  origin=None) -> DataFrame:
+    """60 s windows from the data's minimum (O-W1) and counts per (server, window, event) (O-F1)."""
+    w = W.time_windows(structured, seconds or params.window_seconds, origin=origin)
+    return FE.feature_counts(w)
+
+
+@dataclass
+class Model:
+    vocab: list
+    scaler: list                     # (mean, scale) per vocab entry
+    forest_nodes: pd.DataFrame
+    psi: int
+    offset: float
+    ae: dict | None = None           # dims, weights, threshold
+    w_if: float = DEFAULT.weight_forest
+    w_ae: float = DEFAULT.weight_ae
+    info: dict = field(default_factory=dict)
+
+
+def model_vectors(counts: DataFrame, model: Model) -> DataFrame:
+    """O-F3 + O-M1: per window the scaled vector ``x`` in the model's column order."""
+    dv = FE.dense_vectors(counts, model.vocab, KEYS)
+    return scale_vectors(dv, model.scaler, "features", "x").drop("features")
+
+
+def train_models(counts: DataFrame, params: Params = DEFAULT, with_ae: bool = True) -> Model:
+    """O-M9: vocabulary, scaler, forest (+ offset) and autoencoder (+ threshold)."""
+    vocab = FE.vocabulary(counts)
+    if not vocab:
+        raise ValueError("no features to train on")
+    sc = fit_scaler(counts).toPandas().set_index("event_id").loc[vocab]
+    model = Model(vocab=vocab, scaler=list(zip(sc["mean"].tolist(), sc["scale"].tolist())),
+                  forest_nodes=pd.DataFrame(), psi=0, offset=0.0)
+    vec = model_vectors(counts, model).persist()
+    n = vec.count()
+    nodes, meta = FO.fit_forest(vec, KEYS, params.n_trees, params.max_samples, params.seed, n=n)
+    model.forest_nodes, model.psi = nodes, meta["psi"]
+    raw = FO.score_forest(vec, nodes, model.psi)
+    model.offset = FO.forest_offset(raw, params.contamination)
+    if with_ae:
+        ae = AE.fit_autoencoder(vec, KEYS, params.epochs, params.batch_size, params.learning_rate,
+                                params.validation_split, params.seed)
+        mse = AE.mse_table(vec, ae)
+        from ..operators.ensemble import ae_threshold
+        thr = ae_threshold(mse.select("mse"), params.ae_percentile)
+        model.ae = {"dims": ae["dims"], "weights": ae["weights"], "threshold": thr}
+        model.info.update(train_loss=ae["train_loss"], val_loss=ae["val_loss"])
+    else:
+        model.w_ae = 0.0
+    model.info.update(n_windows=n, n_features=len(vocab))
+    vec.unpersist()
+    return model
+
+
+def score_windows(counts: DataFrame, model: Model) -> DataFrame:
+    """Forest, autoencoder and ensemble scores for every window of ``counts`` (E4)."""
+    vec = model_vectors(counts, model)
+    x = FO.score_forest(vec, model.forest_nodes, model.psi, model.offset)
+    if model.ae is not None:
+        x = AE.mse_table(x, model.ae)
+        thr = F.lit(float(model.ae["threshold"]))
+        x = (x.withColumn("ae_score", F.when(thr > 0, F.lit(0.0) - F.col("mse") / thr).otherwise(F.lit(0.0) - F.col("mse")))
+              .withColumn("ae_prediction", F.when(F.col("mse") > thr, -1).otherwise(1)))
+        s = ensemble_score("if_score", "ae_score", model.w_if, model.w_ae)
+    else:
+        x = x.withColumn("ae_score", F.lit(0.0)).withColumn("ae_prediction", F.lit(1))
+        s = ensemble_score("if_score", None, model.w_if, 0.0)
+    return x.drop("x").withColumn("score", s).withColumn("prediction", prediction("score"))
+
+
+# ------------------------------------------------------------------ persistence (O-S9)
+
+def save_model(spark: SparkSession, model: Model, path: str) -> None:
+    """Parquet tables: forest nodes, AE weights (optional) and a one-row metadata table."""
+    spark.createDataFrame(model.forest_nodes, FO.NODE_SCHEMA).write.mode("overwrite").parquet(
+        os.path.join(path, "forest_nodes"))
+    meta = {"vocab": model.vocab, "scaler": model.scaler, "psi": model.psi, "offset": model.offset,
+            "w_if": model.w_if, "w_ae": model.w_ae, "info": model.info,
+            "ae_dims": model.ae["dims"] if model.ae else None,
+            "ae_threshold": model.ae["threshold"] if model.ae else None}
+    spark.createDataFrame([(json.dumps(meta),)], "meta string").write.mode("overwrite").parquet(
+        os.path.join(path, "model_meta"))
+    if model.ae is not None:
+        w = [float(v) for v in np.asarray(model.ae["weights"])]
+        spark.createDataFrame([(w,)], "w array<double>").write.mode("overwrite").parquet(
+            os.path.join(path, "ae_weights"))
+
+
+def load_model(spark: SparkSession, path: str) -> Model:
+    """Reads a saved model; a missing autoencoder table means weight 0 for it (O-M6)."""
+    meta = json.loads(spark.read.parquet(os.path.join(path, "model_meta")).first()["meta"])
+    nodes = spark.read.parquet(os.path.join(path, "forest_nodes")).toPandas()
+    model = Model(vocab=meta["vocab"], scaler=[tuple(s) for s in meta["scaler"]], forest_nodes=nodes,
+                  psi=meta["psi"], offset=meta["offset"], w_if=meta["w_if"], w_ae=meta["w_ae"],
+                  info=meta.get("info", {}))
+    try:
+        w = spark.read.parquet(os.path.join(path, "ae_weights")).first()["w"]
+        model.ae = {"dims": meta["ae_dims"], "weights": np.asarray(w), "threshold": meta["ae_threshold"]}
+    except Exception:  # no autoencoder saved: it keeps weight 0
+        model.ae, model.w_ae = None, 0.0
+    return model

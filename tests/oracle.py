@@ -101,7 +101,7 @@ if __name__ == "__main__":
             else:
                 n, problems = fn(spark, sf).count(), []
         except Exception as e:  # noqa: BLE001
-            n, problems = -1, [f"error: {type(e).__name__}: {str(e)[:1500]}"]
+            n, problems = -1, [f"error: {type(e).__name__}: {str(e)[:600]}"]
         status = "OK " if not problems else "BAD"
         bad += bool(problems)
         print(f"{status} {name:24s} rows={n:7d} {'E' if sql else 'R'} {time.time() - t:6.2f}s", flush=True)
