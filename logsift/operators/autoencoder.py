@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import DEFAULT
-from ..session import cut_lineage, ship_package
+from ..session import cut_lineage, ship_package, spread
 
 
 def layer_dims(d: int, hidden=DEFAULT.hidden_layers, code: int = DEFAULT.encoding_dim) -> list[int]:
@@ -62,38 +62,56 @@ def reconstruction_error(params: list[np.ndarray], x: np.ndarray) -> np.ndarray:
     return np.mean((forward(params, x)[-1] - x) ** 2, axis=1)
 
 
-def gradients(params: list[np.ndarray], x: np.ndarray) -> tuple[float, list[np.ndarray]]:
+def gradients(params: list[np.ndarray], x: np.ndarray, grads: list[np.ndarray] | None = None):
+    """Mean squared error of ``x`` and its gradient for every parameter.
+
+    With ``grads`` (arrays of the parameters' shapes, e.g. views into one flat buffer) the
+    gradients are written in place.
+    """
     acts = forward(params, x)
     n, d = x.shape
-    loss = float(np.mean((acts[-1] - x) ** 2))
-    delta = 2.0 * (acts[-1] - x) / (n * d)
-    grads = [None] * len(params)
+    diff = acts[-1] - x
+    loss = float(np.mean(diff * diff))
+    delta = diff * (2.0 / (n * d))
+    if grads is None:
+        grads = [np.empty_like(p) for p in params]
     for j in range(len(params) // 2 - 1, -1, -1):
-        grads[2 * j] = acts[j].T @ delta
-        grads[2 * j + 1] = delta.sum(axis=0)
+        np.matmul(acts[j].T, delta, out=grads[2 * j])
+        np.sum(delta, axis=0, out=grads[2 * j + 1])
         if j:
             delta = (delta @ params[2 * j].T) * (acts[j] > 0)
     return loss, grads
 
 
-def local_adam(params, x, batch_size, lr, rng, beta1=0.9, beta2=0.999, eps=1e-7):
-    """One pass of mini-batch Adam over ``x`` (shuffled); returns params and summed loss."""
-    m = [np.zeros_like(p) for p in params]
-    v = [np.zeros_like(p) for p in params]
-    order = rng.permutation(len(x))
-    total, step = 0.0, 0
-    for s in range(0, len(x), batch_size):
-        xb = x[order[s:s + batch_size]]
-        loss, g = gradients(params, xb)
-        total += loss * len(xb)
-        step += 1
-        for i in range(len(params)):
-            m[i] = beta1 * m[i] + (1 - beta1) * g[i]
-            v[i] = beta2 * v[i] + (1 - beta2) * g[i] ** 2
-            mh = m[i] / (1 - beta1 ** step)
-            vh = v[i] / (1 - beta2 ** step)
-            params[i] = params[i] - lr * mh / (np.sqrt(vh) + eps)
-    return params, total
+def local_adam(flat: np.ndarray, dims: list[int], x: np.ndarray, batch_size: int, lr: float, epochs: int,
+               rngs, beta1=0.9, beta2=0.999, eps=1e-7) -> tuple[np.ndarray, float]:
+    """``epochs`` passes of mini-batch Adam over ``x`` starting from ``flat``.
+
+    Parameters, gradients and both moments are single flat vectors (the per-layer arrays
+    are views into them), so one Adam step is a handful of vector operations.
+    Returns the new flat parameters and the summed loss of the last pass.
+    """
+    flat = flat.copy()
+    params = unflatten(flat, dims)
+    g_flat = np.zeros_like(flat)
+    grads = unflatten(g_flat, dims)
+    m = np.zeros_like(flat)
+    v = np.zeros_like(flat)
+    step, total = 0, 0.0
+    for e in range(epochs):
+        order = rngs[e].permutation(len(x))
+        total = 0.0
+        for s in range(0, len(x), batch_size):
+            xb = x[order[s:s + batch_size]]
+            loss, _ = gradients(params, xb, grads)
+            total += loss * len(xb)
+            step += 1
+            m *= beta1
+            m += (1 - beta1) * g_flat
+            v *= beta2
+            v += (1 - beta2) * (g_flat * g_flat)
+            flat -= (lr / (1 - beta1 ** step)) * m / (np.sqrt(v / (1 - beta2 ** step)) + eps)
+    return flat, total
 
 
 def _stack(col: pd.Series) -> np.ndarray:
@@ -102,9 +120,15 @@ def _stack(col: pd.Series) -> np.ndarray:
 
 def fit_autoencoder(vectors: DataFrame, keys: list[str], epochs: int = DEFAULT.epochs,
                     batch_size: int = DEFAULT.batch_size, lr: float = DEFAULT.learning_rate,
-                    validation_split: float = DEFAULT.validation_split, seed: int = DEFAULT.seed) -> dict:
+                    validation_split: float = DEFAULT.validation_split, seed: int = DEFAULT.seed,
+                    local_epochs: int = DEFAULT.local_epochs) -> dict:
     """Train on ``vectors`` (keys…, x array<double>); returns the model dict
-    (dims, flat weights, per-epoch train loss, validation loss)."""
+    (dims, flat weights, train loss per averaging round, validation loss).
+
+    ``epochs`` passes over the data in rounds of ``local_epochs``: every round is one Spark
+    job in which each partition runs that many epochs of mini-batch Adam from the current
+    weights, followed by the row-weighted average (periodic model averaging).
+    """
     spark = vectors.sparkSession
     ship_package(spark)
     first = vectors.select("x").first()
@@ -112,25 +136,28 @@ def fit_autoencoder(vectors: DataFrame, keys: list[str], epochs: int = DEFAULT.e
         raise ValueError("cannot train an autoencoder on no rows")
     dims = layer_dims(len(first["x"]))
     u = F.pmod(F.xxhash64(*[F.col(c) for c in keys], F.lit(seed)), F.lit(1 << 31)) / F.lit(float(1 << 31))
-    tagged = cut_lineage(vectors.select("x", (u < validation_split).alias("_val")))
+    # every partition trains a local model: at least one partition per core
+    tagged = cut_lineage(spread(vectors.select("x", (u < validation_split).alias("_val"))))
     train = tagged.filter(~F.col("_val")).select("x")
     val = tagged.filter(F.col("_val")).select("x")
     flat = flatten(init_params(dims, seed))
     out_schema = "n long, loss double, w array<double>"
     history = []
-    for epoch in range(epochs):
+    local_epochs = max(1, int(local_epochs))
+    for start in range(0, epochs, local_epochs):
         bw = spark.sparkContext.broadcast(flat)
+        k = min(local_epochs, epochs - start)
 
-        def run(batches, _bw=bw, _epoch=epoch):
+        def run(batches, _bw=bw, _round=start, _k=k):
             from pyspark import TaskContext
             pid = TaskContext.get().partitionId()
             rows = [_stack(p["x"]) for p in batches if len(p)]
             if not rows:
                 return
             x = np.concatenate(rows)
-            rng = np.random.default_rng([seed, _epoch, pid])
-            params, loss = local_adam(unflatten(_bw.value.copy(), dims), x, batch_size, lr, rng)
-            yield pd.DataFrame({"n": [len(x)], "loss": [loss], "w": [flatten(params)]})
+            rngs = [np.random.default_rng([seed, _round + e, pid]) for e in range(_k)]
+            new, loss = local_adam(_bw.value, dims, x, batch_size, lr, _k, rngs)
+            yield pd.DataFrame({"n": [len(x)], "loss": [loss], "w": [new]})
 
         parts = train.mapInPandas(run, out_schema)
         summed = (parts.select("n", "loss", F.posexplode("w").alias("pos", "v"))

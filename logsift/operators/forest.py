@@ -178,9 +178,13 @@ def score_forest(vectors: DataFrame, nodes: pd.DataFrame, psi: int, offset: floa
 
 
 def forest_offset(scored: DataFrame, contamination: float = DEFAULT.contamination,
-                  exact_limit: int = 5_000_000) -> float:
-    """Offset = percentile (linear) of the training ``score_samples`` at ``contamination``."""
-    n = scored.count()
+                  exact_limit: int = 5_000_000, n: int | None = None) -> float:
+    """Offset = percentile (linear) of the training ``score_samples`` at ``contamination``.
+
+    Exact ``percentile`` keeps every value in one aggregation buffer, so above
+    ``exact_limit`` rows ``percentile_approx`` (fine accuracy) is used instead.
+    """
+    n = scored.count() if n is None else n
     if n <= exact_limit:
         return float(scored.agg(F.percentile("if_raw", contamination)).first()[0])
     return float(scored.agg(F.percentile_approx("if_raw", contamination, 100_000)).first()[0])

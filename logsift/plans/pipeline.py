@@ -42,7 +42,8 @@ def structure_lines(lines: DataFrame, ingest_ts, params: Params = DEFAULT, dedup
     if "server_id" not in x.columns:
         x = x.withColumn("server_id", F.lit("local"))
     if templates is None:
-        templates = TM.mine_templates(TM.signatures(x), params.similarity)
+        # the mined table is small (one row per distinct shape) and is read by every later step
+        templates = TM.mine_templates(TM.signatures(x), params.similarity).persist()
     a = TM.assign_templates(x, templates)
     a = a.withColumn("ts", L.event_time("raw_log", ingest_ts)).drop("signature")
     s = D.sanitize(a, ingest_ts)
@@ -90,13 +91,13 @@ def train_models(counts: DataFrame, params: Params = DEFAULT, with_ae: bool = Tr
     nodes, meta = FO.fit_forest(vec, KEYS, params.n_trees, params.max_samples, params.seed, n=n)
     model.forest_nodes, model.psi = nodes, meta["psi"]
     raw = FO.score_forest(vec, nodes, model.psi)
-    model.offset = FO.forest_offset(raw, params.contamination)
+    model.offset = FO.forest_offset(raw, params.contamination, n=n)
     if with_ae:
         ae = AE.fit_autoencoder(vec, KEYS, params.epochs, params.batch_size, params.learning_rate,
-                                params.validation_split, params.seed)
+                                params.validation_split, params.seed, params.local_epochs)
         mse = AE.mse_table(vec, ae)
         from ..operators.ensemble import ae_threshold
-        thr = ae_threshold(mse.select("mse"), params.ae_percentile)
+        thr = ae_threshold(mse.select("mse"), params.ae_percentile, n=n)
         model.ae = {"dims": ae["dims"], "weights": ae["weights"], "threshold": thr}
         model.info.update(train_loss=ae["train_loss"], val_loss=ae["val_loss"])
     else:

@@ -567,7 +567,7 @@ select server_id, window_id, round(error_rate, 6) as error_rate, log_volume, hea
 def _template_counts(spark, sf, seconds=None):
     """(server_id, window_id, event_id, cnt) of mined templates, plus the templates table."""
     c = clean_lines(spark, sf)
-    t = TM.mine_templates(TM.signatures(c))
+    t = TM.mine_templates(TM.signatures(c)).persist()  # small (distinct shapes), read twice
     a = TM.assign_templates(c, t)
     w = W.epoch_windows(a, 21600) if seconds is None else W.time_windows(a, seconds)
     return FE.feature_counts(w), t

@@ -66,8 +66,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition only when a scan is under-partitioned.
+
+    A table stored as one row group is read by one task, and every per-row expression
+    after it (regexes over whole texts) would run on one core. When the scan already has at
+    least ``min_partitions`` splits (the default parallelism; always the case for large
+    tables) nothing changes and no shuffle is added. The check is planning only.
+    """
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spread(spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")))
 
 
 _SHIPPED: set = set()
