@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from ..config import MASK_RULES, NOISE_PATTERNS
 
 # White space as Python's str.strip() sees it (ASCII controls, NEL and Unicode separators).
-WHITESPACE = r"[\t\n\x0B\f\r\x1C-\x1F\x{85}\p{Z}]"
+_WS = r"\t\n\x0B\f\r\x1C-\x1F\x{85}\p{Z}"
+WHITESPACE = f"[{_WS}]"
+NON_WHITESPACE = f"[^{_WS}]"
 
 # Time forms recognised in a line (fixed values).
 T_FORM = r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}"
@@ -42,14 +44,34 @@ def ts_lit(value) -> Column:
     return F.lit(str(value)).cast("timestamp_ntz")
 
 
+def clean_line(c, ingest_ts) -> Column:
+    """Strip, prefix a time when missing, mask: the processed form of a raw line."""
+    return mask_sensitive(ensure_timestamp(strip_ws(c), ingest_ts))
+
+
 def strip_ws(c) -> Column:
     """O-P1: strip Unicode white space at both ends."""
     return F.regexp_replace(_c(c), f"^{WHITESPACE}+|{WHITESPACE}+$", "")
 
 
 def is_nonblank(c) -> Column:
-    """O-P1 filter: not null and not empty after stripping."""
-    return _c(c).isNotNull() & (F.length(strip_ws(c)) > 0)
+    """O-P1 filter: not null and not empty after stripping (= holds a non-white-space char)."""
+    return _c(c).rlike(NON_WHITESPACE)
+
+
+def evaluate_once(df, **cols: Column):
+    """Add or replace columns whose (expensive) expressions are filtered on later.
+
+    Catalyst pushes a filter below a projection by substituting the column's expression,
+    so a filter on a regex chain would evaluate the chain again in the filter. A one-row
+    generator is a boundary for that rewrite: each expression runs once per row and later
+    filters read its value. Everything stays in the JVM.
+    """
+    keep = [c for c in df.columns if c not in cols]
+    packed = F.array(F.struct(*[e.alias(n) for n, e in cols.items()]))
+    out = df.select(*keep, F.inline(packed))
+    order = [c for c in df.columns] + [n for n in cols if n not in df.columns]
+    return out.select(*order)
 
 
 def mask_sensitive(c) -> Column:

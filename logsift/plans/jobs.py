@@ -19,7 +19,7 @@ from ..operators import monitoring as M
 from ..operators.ensemble import ae_threshold
 from ..operators.scaler import fit_scaler, scale_vectors
 from ..operators import features as FE
-from ..session import scratch_path, table
+from ..session import materialize, scratch_path, table
 from ..sources import text as TX
 from ..sources import views as V
 from ..streaming import logs as ST
@@ -75,7 +75,9 @@ def q_ae_scores(spark, sf):
 
 
 def _structured(spark, sf, params: Params = DEFAULT):
-    return P.structure_lines(lines(spark, sf), INGEST, params)
+    """Structured rows written once as a table (read for the time origin, then for counts)."""
+    s, templates = P.structure_lines(lines(spark, sf), INGEST, params)
+    return materialize(s, "structured"), templates
 
 
 def q_train_job(spark, sf):

@@ -36,9 +36,8 @@ def structure_lines(lines: DataFrame, ingest_ts, params: Params = DEFAULT, dedup
     ``lines`` has ``raw_log`` and ``line_no`` (and usually ``server_id``). Returns the
     structured rows and the templates table (mined here unless ``templates`` is given).
     """
-    x = lines.withColumn("raw_log", L.strip_ws("raw_log")).filter(F.length("raw_log") > 0)
-    x = x.withColumn("raw_log", L.mask_sensitive(L.ensure_timestamp("raw_log", ingest_ts)))
-    x = x.filter(~L.is_noise("raw_log"))
+    x = lines.filter(L.is_nonblank("raw_log"))
+    x = L.evaluate_once(x, raw_log=L.clean_line("raw_log", ingest_ts)).filter(~L.is_noise("raw_log"))
     if "server_id" not in x.columns:
         x = x.withColumn("server_id", F.lit("local"))
     if templates is None:

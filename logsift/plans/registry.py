@@ -60,7 +60,7 @@ def scores(spark, sf):
 
 def clean_lines(spark, sf):
     """Masked log lines without noise: the input of template mining."""
-    x = lines(spark, sf).withColumn("raw_log", L.mask_sensitive("raw_log"))
+    x = L.evaluate_once(lines(spark, sf), raw_log=L.mask_sensitive("raw_log"))
     return x.filter(~L.is_noise("raw_log"))
 
 
@@ -74,7 +74,7 @@ def minute_counts(spark, sf, seconds=60):
 # ------------------------------------------------------------------ §2.2 row transforms
 
 def q_mask_lines(spark, sf):
-    x = doc_lines(spark, sf).withColumn("line", L.strip_ws("line")).filter(F.length("line") > 0)
+    x = doc_lines(spark, sf).filter(L.is_nonblank("line")).withColumn("line", L.strip_ws("line"))
     return x.select("doc_id", "line_idx", "line", L.mask_sensitive("line").alias("masked"))
 
 

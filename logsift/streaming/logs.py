@@ -115,9 +115,8 @@ def score_stream(lines: DataFrame, model, templates: DataFrame, out_path: str, c
     from ..operators import templates as TM
     from ..plans.pipeline import score_windows
 
-    x = lines.withColumn("raw_log", L.strip_ws("raw_log")).filter(F.length("raw_log") > 0)
-    x = x.withColumn("raw_log", L.mask_sensitive(L.ensure_timestamp("raw_log", ingest_ts)))
-    x = x.filter(~L.is_noise("raw_log"))
+    x = lines.filter(L.is_nonblank("raw_log"))
+    x = L.evaluate_once(x, raw_log=L.clean_line("raw_log", ingest_ts)).filter(~L.is_noise("raw_log"))
     if "server_id" not in x.columns:
         x = x.withColumn("server_id", F.regexp_extract("file", r"([^/]+?)(\.[^./]*)?$", 1))
     x = TM.assign_templates(x, templates).withColumn("ts", L.event_time("raw_log", ingest_ts))
