@@ -62,7 +62,8 @@ def drift(df: DataFrame, window: int = DEFAULT.drift_window, threshold: float =
     else:
         b = baseline.select(SERVER, F.col("p_normal").alias("base_normal"),
                             F.col("p_anomaly").alias("base_anomaly"))
-        x = x.join(F.broadcast(b), SERVER).withColumn("_is_base", F.lit(False))
+        # one row per server: AQE broadcasts it at run time when it is small
+        x = x.join(b, SERVER).withColumn("_is_base", F.lit(False))
     d = (F.abs(F.col("p_normal") - F.col("base_normal")) + F.abs(F.col("p_anomaly") - F.col("base_anomaly"))) / 2
     x = x.withColumn("drift", F.when(F.col("_is_base"), F.lit(0.0)).otherwise(d))
     x = x.withColumn("drift_detected", ~F.col("_is_base") & (F.col("drift") > threshold))
