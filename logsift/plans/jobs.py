@@ -24,6 +24,7 @@ from ..sources import text as TX
 from ..sources import views as V
 from ..streaming import logs as ST
 from . import pipeline as P
+from . import sql as Q
 from .registry import AS_OF, INGEST, lines, minute_counts, r6, scores, ts_text
 
 KEYS = ["server_id", "window_id"]
@@ -220,7 +221,65 @@ def q_alerts_with_causes(spark, sf):
     return a.select("server_id", "window_id", "level", "decision", "message")
 
 
+def _write_log_files(spark, sf) -> str:
+    """Rendered log lines written as rolled text files, one folder per server and day."""
+    src = _scratch(spark, "logfiles")
+    (lines(spark, sf).select("server_id", F.to_date("ts").alias("day"), "line_no", "raw_log")
+        .repartition("server_id", "day").sortWithinPartitions("server_id", "day", "line_no")
+        .select("server_id", "day", "raw_log")
+        .write.partitionBy("server_id", "day").text(src))
+    return src
+
+
+def q_read_logs(spark, sf):
+    """O-S1 + O-W2: text files read back with exact per-file line numbers, line windows of
+    100 per file, and template-free counts per window (lines, error lines)."""
+    from ..functions.lines import is_error_line
+    src = _write_log_files(spark, sf)
+    x = TX.read_logs(spark, src)
+    x = (x.withColumn("server_id", F.regexp_extract("file", r"server_id=([^/]+)", 1))
+          .withColumn("day", F.regexp_extract("file", r"day=([^/]+)", 1)))
+    from ..operators.windows import line_windows
+    w = line_windows(x, 100)
+    return w.groupBy("server_id", "day", "window_id").agg(
+        F.count(F.lit(1)).alias("lines"), F.count_if(is_error_line("raw_log")).alias("error_lines"),
+        F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"))
+
+
+SQL_READ_LOGS = """with """ + Q.LOG_LINES + """,
+n as (select server_id, cast(cast(ts as date) as varchar) as day, raw_log,
+        row_number() over (partition by server_id, cast(ts as date) order by line_no) - 1 as ln from log_lines)
+select server_id, day, ln // 100 as window_id, count(*) as lines,
+  count(*) filter (where contains(raw_log, 'ERROR') or contains(raw_log, 'FATAL')) as error_lines,
+  min(ln) as first_line, max(ln) as last_line
+from n group by all"""
+
+
+def q_structured_csv(spark, sf):
+    """O-S3: structured rows written as a quoted CSV with header and read back typed."""
+    s, _ = _structured(spark, sf)
+    path = _scratch(spark, "structured-csv")
+    (s.select("raw_log", "event_id", "event_template", ts_text("ts").alias("ts"))
+      .write.option("header", True).option("escape", '"').csv(path))
+    back = TX.read_structured_csv(spark, path)
+    return back.select("raw_log", "event_id", "event_template", "ts")
+
+
+def q_lenient_files(spark, sf):
+    """O-S4 on files: comma-joined structured rows (commas inside the text) with a header,
+    parsed by splitting from the right."""
+    from .registry import _csv_text
+    path = _scratch(spark, "lenient")
+    body = _csv_text(spark, sf).select("value")
+    header = spark.createDataFrame([(TX.HEADER,)], "value string")
+    header.unionByName(body).write.text(path)
+    return TX.read_structured_lenient(spark, path)
+
+
 JOBS = {
+    "read_logs": (q_read_logs, SQL_READ_LOGS),
+    "structured_csv": (q_structured_csv, None),
+    "lenient_files": (q_lenient_files, None),
     "forest_scores": (q_forest_scores, None),
     "forest_scores_embeddings": (q_forest_scores_embeddings, None),
     "ae_scores": (q_ae_scores, None),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,23 +23,30 @@ STRUCTURED_SCHEMA = T.StructType([
 
 
 def read_logs(spark: SparkSession, paths, source: str | None = None) -> DataFrame:
-    """O-S1: raw lines of one or more text files → (source, file, line_no, raw_log).
-
-    Blank lines are dropped (after Unicode strip) and the text is stripped. Undecodable
-    bytes arrive as U+FFFD and are removed (the reading side ignores them). ``line_no``
-    is a per-file position: each file is read whole into one split (``wholetext`` is not
-    used; a per-file ``monotonically_increasing_id`` keeps input order within the split),
-    and the value is only used to order and to cut line windows.
+    """O-S1: lines of one or more text files → (source, file, file_mtime, line_no, raw_log).
+
+    ``line_no`` is the exact 0-based line number inside its file (blank lines count), so
+    line windows (O-W2) are reproducible. Text is only ordered inside a file split, so
+    rows are numbered within each (file, split) and every split is offset by the line
+    count of the splits before it (``_metadata.file_block_start`` order): a small
+    per-split table, no sort or window over whole files. Blank lines are then dropped,
+    the text stripped, and undecodable bytes (U+FFFD) removed.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    df = (spark.read.option("lineSep", "\n").text(paths)
-               .select(F.col("value"), F.col("_metadata.file_path").alias("file"),
-                       F.col("_metadata.file_modification_time").alias("file_mtime")))
-    df = df.withColumn("_pos", F.monotonically_increasing_id())
-    df = df.withColumn("raw_log", strip_ws(F.regexp_replace("value", "�", "")))
-    df = df.filter(F.length("raw_log") > 0)
+    df = (spark.read.text(paths)
+               .select("value", F.col("_metadata.file_path").alias("file"),
+                       F.col("_metadata.file_block_start").alias("_block"),
+                       F.col("_metadata.file_modification_time").alias("file_mtime"))
+               .withColumn("_pos", F.monotonically_increasing_id()))
+    splits = df.groupBy("file", "_block").agg(F.min("_pos").alias("_p0"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    x = df.join(splits, ["file", "_block"])
+    x = x.withColumn("line_no", F.col("_off") + F.col("_pos") - F.col("_p0"))
+    x = x.withColumn("raw_log", strip_ws(F.regexp_replace("value", "\ufffd", "")))
+    x = x.filter(F.length("raw_log") > 0)
     src = F.lit(source) if source else F.col("file")
-    return df.select(src.alias("source"), "file", "file_mtime", F.col("_pos").alias("line_no"), "raw_log")
+    return x.select(src.alias("source"), "file", "file_mtime", "line_no", "raw_log")
 
 
 def read_structured_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -80,3 +80,20 @@ def test_lenient_csv(spark):
     df = one_col(spark, ["a,b,3,T,ts", "a,3,T", "a"], "value")
     rows = parse_lenient(df).select("raw_log", "event_id", "event_template", "ts_text").collect()
     assert [tuple(r) for r in rows] == [("a,b", "3", "T", "ts"), ("a", "3", "T", ""), ("a", "", "", "")]
+
+
+def test_read_logs_exact_line_numbers(spark, tmp_path):
+    from logsift.sources.text import read_logs
+    lines_a = [f"2024-01-01T00:00:{i % 60:02d} line {i}" if i % 7 else "   " for i in range(5000)]
+    (tmp_path / "a.log").write_text("\n".join(lines_a) + "\n")
+    (tmp_path / "b.log").write_text("x\n\ny\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")  # several splits per file
+    try:
+        df = read_logs(spark, [str(tmp_path / "a.log"), str(tmp_path / "b.log")], source="test")
+        got = {(r["file"].rsplit("/", 1)[-1], r["line_no"]): r["raw_log"] for r in df.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    want = {("a.log", i): t for i, t in enumerate(lines_a) if t.strip()}
+    want.update({("b.log", 0): "x", ("b.log", 2): "y"})
+    assert got == want
