@@ -71,13 +71,14 @@ def gradients(params: list[np.ndarray], x: np.ndarray, grads: list[np.ndarray] |
     acts = forward(params, x)
     n, d = x.shape
     diff = acts[-1] - x
-    loss = float(np.mean(diff * diff))
+    flat_diff = diff.ravel()
+    loss = float(flat_diff @ flat_diff) / (n * d)
     delta = diff * (2.0 / (n * d))
     if grads is None:
         grads = [np.empty_like(p) for p in params]
     for j in range(len(params) // 2 - 1, -1, -1):
         np.matmul(acts[j].T, delta, out=grads[2 * j])
-        np.sum(delta, axis=0, out=grads[2 * j + 1])
+        np.add.reduce(delta, axis=0, out=grads[2 * j + 1])
         if j:
             delta = (delta @ params[2 * j].T) * (acts[j] > 0)
     return loss, grads

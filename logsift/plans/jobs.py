@@ -200,9 +200,8 @@ def q_score_stream(spark, sf):
     # sentinel file far in the future closes every real window
     spark.createDataFrame([("server-sentinel", "2100-01-01T00:00:00 sentinel line")], "server_id string, raw_log string") \
         .select("raw_log").write.text(f"{src}/server_id=server-sentinel/day=2100-01-01")
-    stream = (spark.readStream.format("text").option("recursiveFileLookup", "true").load(src)
-                   .select(F.regexp_extract(F.col("_metadata.file_path"), r"server_id=([^/]+)", 1).alias("server_id"),
-                           F.col("value").alias("raw_log")))
+    stream = ST.stream_logs(spark, src, recursive=True).select(
+        F.regexp_extract("file", r"server_id=([^/]+)", 1).alias("server_id"), "raw_log")
     out, ck = _scratch(spark, "m10"), _scratch(spark, "m10-ckpt")
     ST.score_stream(stream, model, templates, out, ck, INGEST)
     res = spark.read.parquet(out)

@@ -501,6 +501,41 @@ select server_id, window_id, round(p_normal, 6) as p_normal, round(p_anomaly, 6)
 from f"""
 
 
+def q_drift_baseline(spark, sf):
+    d = M.prediction_distribution(scores(spark, sf))
+    return d.select("server_id", r6("p_normal").alias("p_normal"), r6("p_anomaly").alias("p_anomaly"))
+
+
+SQL_DRIFT_BASELINE = Q.with_(Q.SCORES) + """
+select server_id, round(coalesce(avg(case when prediction = 1 then 1.0 else 0.0 end), 0), 6) as p_normal,
+  round(coalesce(avg(case when prediction = -1 then 1.0 else 0.0 end), 0), 6) as p_anomaly
+from scores group by 1"""
+
+
+def q_drift_vs_baseline(spark, sf):
+    """Drift of the last 40 predictions against a baseline table taken from each server's
+    first 60 windows (a retrain / reset sets a new baseline table)."""
+    from pyspark.sql import Window
+    s = scores(spark, sf)
+    first = s.withColumn("_r", F.row_number().over(Window.partitionBy("server_id").orderBy("ts", "window_id")))
+    base = M.prediction_distribution(first.filter(F.col("_r") <= 60))
+    d = M.drift(s, window=40, baseline=base)
+    return d.select("server_id", "window_id", r6("drift").alias("drift"), "drift_detected")
+
+
+SQL_DRIFT_VS_BASELINE = Q.with_(Q.SCORES, """b as (select server_id,
+    avg(case when prediction = 1 then 1.0 else 0.0 end) as bn, avg(case when prediction = -1 then 1.0 else 0.0 end) as ba
+  from (select *, row_number() over (partition by server_id order by ts, window_id) as r from scores) where r <= 60
+  group by 1),
+d as (select server_id, window_id, count(*) over w as n,
+    avg(case when prediction = 1 then 1.0 else 0.0 end) over w as pn,
+    avg(case when prediction = -1 then 1.0 else 0.0 end) over w as pa
+  from scores window w as (partition by server_id order by ts, window_id rows between 39 preceding and current row))""") + """
+select server_id, window_id, round((abs(pn - bn) + abs(pa - ba)) / 2, 6) as drift,
+  (abs(pn - bn) + abs(pa - ba)) / 2 > 0.15 as drift_detected
+from d join b using (server_id) where n = 40"""
+
+
 def _activity(spark, sf):
     x = W.epoch_windows(lines(spark, sf), 21600)
     return M.window_activity(x)
@@ -726,6 +761,8 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "recent_alerts": (q_recent_alerts, SQL_RECENT_ALERTS),
     "alert_stats": (q_alert_stats, SQL_ALERT_STATS),
     "drift": (q_drift, SQL_DRIFT),
+    "drift_baseline": (q_drift_baseline, SQL_DRIFT_BASELINE),
+    "drift_vs_baseline": (q_drift_vs_baseline, SQL_DRIFT_VS_BASELINE),
     "risk_scores": (q_risk_scores, SQL_RISK_SCORES),
     "health": (q_health, SQL_HEALTH),
     "root_cause": (q_root_cause, SQL_ROOT_CAUSE),

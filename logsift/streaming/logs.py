@@ -19,11 +19,14 @@ from ..operators.alerts import DROPPED, SUPPRESSED, with_message
 from ..session import ship_package
 
 
-def stream_logs(spark: SparkSession, directory: str, max_files_per_trigger: int | None = None) -> DataFrame:
+def stream_logs(spark: SparkSession, directory: str, max_files_per_trigger: int | None = None,
+                recursive: bool = False) -> DataFrame:
     """O-S2: new lines of new files in ``directory`` → (file, raw_log)."""
     r = spark.readStream.format("text")
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    if recursive:
+        r = r.option("recursiveFileLookup", "true")
     return r.load(directory).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("raw_log"))
 
 
@@ -123,6 +126,7 @@ def score_stream(lines: DataFrame, model, templates: DataFrame, out_path: str, c
     counts = stream_window_counts(x, seconds, watermark)
 
     def per_batch(batch: DataFrame, batch_id: int):
+        batch = batch.persist()  # read twice below (scores and window starts)
         c = batch.withColumn("window_id", F.floor(
             F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("window_start"))
             / seconds).cast("bigint"))
@@ -131,6 +135,7 @@ def score_stream(lines: DataFrame, model, templates: DataFrame, out_path: str, c
         # one folder per micro-batch, overwritten on a retry: exactly-once output
         scored.join(starts, ["server_id", "window_id"]).write.mode("overwrite").parquet(
             f"{out_path}/batch_id={batch_id}")
+        batch.unpersist()
 
     q = (counts.writeStream.outputMode("append").foreachBatch(per_batch)
                .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
