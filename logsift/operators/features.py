@@ -19,9 +19,19 @@ def feature_counts(df: DataFrame, keys=KEYS, event: str = "event_id") -> DataFra
         F.count(F.lit(1)).alias("cnt"))
 
 
-def vocabulary(counts: DataFrame) -> list[str]:
-    """Sorted distinct event ids (the model's feature columns; bounded by the template count)."""
-    return sorted(r[0] for r in counts.select("event_id").distinct().collect())
+MAX_FEATURES = 10_000
+
+
+def vocabulary(counts: DataFrame, max_features: int = MAX_FEATURES) -> list[str]:
+    """Sorted distinct event ids: the model's feature columns (one per template).
+
+    At most ``max_features + 1`` ids ever reach the driver; more is an error, since dense
+    per-window vectors (and a wide matrix) of that width are not what these models take.
+    """
+    ids = [r[0] for r in counts.select("event_id").distinct().limit(max_features + 1).collect()]
+    if len(ids) > max_features:
+        raise ValueError(f"more than {max_features} distinct events: use the long feature table")
+    return sorted(ids)
 
 
 def feature_matrix(counts: DataFrame, vocab: list[str] | None = None, keys=KEYS) -> DataFrame:
