@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Params
@@ -21,11 +20,10 @@ from ..operators.scaler import fit_scaler, scale_vectors
 from ..operators import features as FE
 from ..session import materialize, scratch_path, table
 from ..sources import text as TX
-from ..sources import views as V
 from ..streaming import logs as ST
 from . import pipeline as P
 from . import sql as Q
-from .registry import AS_OF, INGEST, lines, minute_counts, r6, scores, ts_text
+from .registry import INGEST, lines, minute_counts, r6, scores, ts_text
 
 KEYS = ["server_id", "window_id"]
 
@@ -293,4 +291,3 @@ JOBS = {
     "alerts_with_causes": (q_alerts_with_causes, None),
 }
 
-__all__ = ["JOBS", "AS_OF", "V"]

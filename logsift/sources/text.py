@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.lines import is_nonblank, strip_ws, ts_lit
+from ..functions.lines import is_nonblank, strip_ws
 
 STRUCTURED_COLUMNS = ("raw_log", "event_id", "event_template", "ts")
 HEADER = "Raw_Log,Event_ID,Event_Template,Timestamp"
@@ -160,6 +160,3 @@ def preview(spark: SparkSession, root: str, ingest_id: str, n: int = 50, order:
     return x.orderBy(order).limit(n) if order in x.columns else x.limit(n)
 
 
-__all__ = ["read_logs", "read_structured_csv", "parse_lenient", "read_structured_lenient", "conform",
-           "union_dedup", "new_rows", "append_structured", "write_provenance", "list_provenance",
-           "preview", "ts_lit"]

@@ -3,7 +3,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from logsift.functions import lines as L
 from logsift.sources.text import parse_lenient
