@@ -65,7 +65,7 @@ def aligned_long(counts: DataFrame, vocab: list[str], keys=KEYS) -> DataFrame:
     dv = dense_vectors(counts, vocab, keys)
     vocab_arr = F.array(*[F.lit(v) for v in vocab])
     return dv.select(*keys, F.posexplode("features").alias("idx", "cnt")).select(
-        *keys, "idx", F.element_at(vocab_arr, F.col("idx") + 1).alias("event_id"),
+        *keys, F.col("idx").cast("bigint").alias("idx"), F.element_at(vocab_arr, F.col("idx") + 1).alias("event_id"),
         F.col("cnt").cast("bigint").alias("cnt"))
 
 

@@ -130,7 +130,7 @@ def root_cause(counts: DataFrame, templates: DataFrame | None = None, top_n: int
     else:
         c = c.withColumn("_name", F.lit(None).cast("string"))
     w = Window.partitionBy(*keys).orderBy(F.col("cnt").desc(), F.col("event_id"))
-    return (c.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_n)
+    return (c.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= top_n)
              .select(*keys, "rank", "event_id",
                      F.coalesce(F.col("_name"), F.concat(F.lit("Event_"), F.col("event_id"))).alias("cause"),
                      "cnt"))
@@ -211,7 +211,7 @@ def score_histogram(df: DataFrame, bins: int = 10) -> DataFrame:
     grid = rng.select(SERVER, "lo_", "hi_", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
     step = (F.col("hi_") - F.col("lo_")) / bins
     return (grid.join(counts, [SERVER, "bin"], "left")
-                .select(SERVER, "bin",
+                .select(SERVER, F.col("bin").cast("bigint").alias("bin"),
                         (F.col("lo_") + (F.col("bin") - 1) * step).alias("lo"),
                         (F.col("lo_") + F.col("bin") * step).alias("hi"),
                         F.coalesce(F.col("cnt"), F.lit(0)).alias("cnt")))

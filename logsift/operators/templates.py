@@ -41,7 +41,7 @@ def with_signature(lines: DataFrame, raw: str = "raw_log") -> DataFrame:
     toks = signature_tokens(raw)
     return (lines.withColumn("_tok", toks)
                  .withColumn("signature", F.array_join("_tok", " "))
-                 .withColumn("n_tokens", F.size("_tok"))
+                 .withColumn("n_tokens", F.size("_tok").cast("bigint"))
                  .withColumn("first_token", F.get("_tok", 0))
                  .drop("_tok"))
 
@@ -85,7 +85,7 @@ def _merge_bucket(sigs: list[str], similarity: float) -> list[str]:
 
 
 TEMPLATE_SCHEMA = T.StructType([
-    T.StructField("n_tokens", T.IntegerType()),
+    T.StructField("n_tokens", T.LongType()),
     T.StructField("first_token", T.StringType()),
     T.StructField("signature", T.StringType()),
     T.StructField("support", T.LongType()),
@@ -139,7 +139,7 @@ def mine_templates(sigs: DataFrame, similarity: float = DEFAULT.similarity) -> D
     a stable hash of the template text (first 16 hex digits of its MD5), so ids do not
     depend on arrival order or on which run mined them.
     """
-    x = (sigs.select(F.col("n_tokens").cast("int"), "first_token", "signature", F.col("support").cast("long"))
+    x = (sigs.select(F.col("n_tokens").cast("long"), "first_token", "signature", F.col("support").cast("long"))
              .repartition("n_tokens", "first_token")
              .sortWithinPartitions("n_tokens", "first_token", F.col("support").desc(), "signature"))
     ship_package(x.sparkSession)

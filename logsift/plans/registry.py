@@ -110,7 +110,7 @@ def _variants_spark(raw, ts):
 def q_event_times(spark, sf):
     x = lines(spark, sf)
     v = x.select("line_no", F.posexplode(_variants_spark("raw_log", "ts")).alias("variant", "text"))
-    return v.select("line_no", "variant", "text", ts_text(L.event_time("text", INGEST)).alias("event_ts"))
+    return v.select("line_no", F.col("variant").cast("bigint").alias("variant"), "text", ts_text(L.event_time("text", INGEST)).alias("event_ts"))
 
 
 SQL_EVENT_TIMES = Q.with_(Q.LOG_LINES, """v as (
@@ -302,11 +302,11 @@ def q_feature_matrix(spark, sf):
 
 SQL_FEATURE_MATRIX = Q.with_(Q.MINUTE_COUNTS) + """
 select server_id, window_id,
-  sum(case when event_id = 'click' then cnt else 0 end) as click,
-  sum(case when event_id = 'error' then cnt else 0 end) as error,
-  sum(case when event_id = 'purchase' then cnt else 0 end) as purchase,
-  sum(case when event_id = 'signup' then cnt else 0 end) as signup,
-  sum(case when event_id = 'view' then cnt else 0 end) as view
+  cast(sum(case when event_id = 'click' then cnt else 0 end) as bigint) as click,
+  cast(sum(case when event_id = 'error' then cnt else 0 end) as bigint) as error,
+  cast(sum(case when event_id = 'purchase' then cnt else 0 end) as bigint) as purchase,
+  cast(sum(case when event_id = 'signup' then cnt else 0 end) as bigint) as signup,
+  cast(sum(case when event_id = 'view' then cnt else 0 end) as bigint) as view
 from counts group by 1, 2"""
 
 
@@ -637,7 +637,7 @@ def q_history_tail(spark, sf):
 
 
 SQL_HISTORY_TAIL = Q.with_(Q.SCORES) + """
-select server_id, cast(count(*) over (partition by server_id) - r as int) as idx, window_id, score from (
+select server_id, cast(count(*) over (partition by server_id) - r as bigint) as idx, window_id, score from (
   select *, row_number() over (partition by server_id order by ts desc, window_id desc) as r from scores) where r <= 50"""
 
 
@@ -702,7 +702,7 @@ def q_top_events(spark, sf):
 SQL_TOP_EVENTS = Q.with_(Q.DOC_LINES, f"""clean as (select {Q.mask('line')} as raw_log from doc_lines
   where length({Q.strip('line')}) > 0)""", Q.SIGNED, """c as (select substr(md5(signature), 1, 16) as event_id, count(*) as cnt
   from signed group by 1)""") + """
-select event_id, cnt, sum(cnt) over () as total_rows from c order by cnt desc, event_id limit 10"""
+select event_id, cnt, cast(sum(cnt) over () as bigint) as total_rows from c order by cnt desc, event_id limit 10"""
 
 
 def q_score_report(spark, sf):

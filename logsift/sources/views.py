@@ -52,7 +52,7 @@ def document_lines(documents: DataFrame) -> DataFrame:
     return documents.select(
         "doc_id", "source",
         F.posexplode(F.split(F.col("text"), "\n")).alias("line_idx", "line"),
-    ).select("doc_id", "line_idx", "source", "line")
+    ).select("doc_id", F.col("line_idx").cast("bigint").alias("line_idx"), "source", "line")
 
 
 def score_series(events: DataFrame, bucket: str = "6 hours") -> DataFrame:

@@ -58,15 +58,20 @@ def rows_of(cols, rows):
 
 def compare(spark, name, fn, sql, sf_dir, con=None, show=5):
     df = fn(spark, sf_dir)
-    s_cols = df.columns
-    s_rows = [tuple(r) for r in df.collect()]
+    spdf = df.toPandas()
+    s_cols = list(spdf.columns)
+    s_rows = list(spdf.itertuples(index=False, name=None))
     con = con or duck(sf_dir)
-    res = con.execute(sql)
-    d_cols = [d[0] for d in res.description]
-    d_rows = res.fetchall()
+    dpdf = con.execute(sql).df()
+    d_cols = list(dpdf.columns)
+    d_rows = list(dpdf.itertuples(index=False, name=None))
     sc, sr = rows_of(s_cols, s_rows)
     dc, dr = rows_of(d_cols, d_rows)
     problems = []
+    s_types = {c: str(t) for c, t in spdf.dtypes.items()}
+    d_types = {c: str(t) for c, t in dpdf.dtypes.items()}
+    if sc == dc and s_types != d_types:
+        problems.append(f"dtypes differ: {[(c, s_types[c], d_types[c]) for c in sc if s_types[c] != d_types[c]]}")
     if sc != dc:
         problems.append(f"columns differ: spark={sc} duck={dc}")
     if len(sr) != len(dr):
