@@ -228,6 +228,14 @@ def q_templates(spark, sf):
     return TM.mine_templates(TM.signatures(clean_lines(spark, sf)))
 
 
+# every shape of the rendered log lines is alone in its (length, first token) bucket, so
+# the miner must return each shape as its own template
+SQL_TEMPLATES = Q.with_(Q.LOG_LINES, Q.CLEAN, Q.SIGNED) + """
+select n_tokens, first_token, signature, count(*) as support, signature as event_template,
+       substr(md5(signature), 1, 16) as event_id
+from signed group by 1, 2, 3"""
+
+
 def q_doc_templates(spark, sf):
     d = doc_lines(spark, sf).filter(L.is_nonblank("line")).withColumn("raw_log", L.mask_sensitive("line"))
     return TM.mine_templates(TM.signatures(d))
@@ -740,7 +748,7 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "append_dedup": (q_append_dedup, SQL_APPEND_DEDUP),
     "signatures": (q_signatures, SQL_SIGNATURES),
     "doc_signatures": (q_doc_signatures, SQL_DOC_SIGNATURES),
-    "templates": (q_templates, None),
+    "templates": (q_templates, SQL_TEMPLATES),
     "doc_templates": (q_doc_templates, None),
     "assigned_templates": (q_assigned_templates, SQL_ASSIGNED_TEMPLATES),
     "sanitized": (q_sanitized, SQL_SANITIZED),
