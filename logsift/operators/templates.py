@@ -93,34 +93,52 @@ TEMPLATE_SCHEMA = T.StructType([
 ])
 
 
+def _bucket_keys(pdf: pd.DataFrame) -> np.ndarray:
+    return (pdf["n_tokens"].astype(str) + "\x00" + pdf["first_token"].fillna("")).to_numpy()
+
+
 def _mine_sorted(batches, similarity: float):
     """Mine a partition whose rows are sorted by (bucket, support desc, signature).
 
-    Buckets may span Arrow batches: the rows of the last, possibly unfinished bucket are
-    carried into the next batch. Single-shape buckets (most of them) are their own
-    template and are handled without a Python loop.
+    A bucket may span Arrow batches: its pieces are kept in a list and joined once when
+    the bucket ends (no re-copying per batch). Finished buckets of a batch are emitted
+    together; single-shape buckets (most of them) are their own template without a loop.
     """
     cols = [f.name for f in TEMPLATE_SCHEMA.fields]
-    pending = None
+    parts, pkey = [], None
     for pdf in batches:
-        if pending is not None and len(pending):
-            pdf = pd.concat([pending, pdf], ignore_index=True)
         if not len(pdf):
             continue
-        key = pdf["n_tokens"].astype(str) + "\x00" + pdf["first_token"].fillna("")
-        last = key.iloc[-1]
-        done = (key != last).to_numpy()
-        pending = pdf[~done]
-        yield _mine_rows(pdf[done].reset_index(drop=True), key[done].reset_index(drop=True), similarity)[cols]
-    if pending is not None and len(pending):
-        key = pending["n_tokens"].astype(str) + "\x00" + pending["first_token"].fillna("")
-        yield _mine_rows(pending.reset_index(drop=True), key.reset_index(drop=True), similarity)[cols]
-
-
-def _mine_rows(pdf: pd.DataFrame, key: pd.Series, similarity: float) -> pd.DataFrame:
+        pdf = pdf.reset_index(drop=True)
+        key = _bucket_keys(pdf)
+        head = 0
+        if pkey is not None:
+            differs = key != pkey
+            head = int(np.argmax(differs)) if differs.any() else len(pdf)
+        if head:
+            parts.append(pdf.iloc[:head])
+        if head == len(pdf):
+            continue  # the whole batch continues the open bucket
+        out = []
+        if parts:
+            whole = pd.concat(parts, ignore_index=True)
+            out.append(_mine_rows(whole, _bucket_keys(whole), similarity))
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        last = int(starts[-1])
+        if last > head:
+            out.append(_mine_rows(pdf.iloc[head:last].reset_index(drop=True), key[head:last], similarity))
+        parts, pkey = [pdf.iloc[last:]], key[-1]
+        yield pd.concat(out, ignore_index=True)[cols]
+    if parts:
+        whole = pd.concat(parts, ignore_index=True)
+        yield _mine_rows(whole, _bucket_keys(whole), similarity)[cols]
+
+
+def _mine_rows(pdf: pd.DataFrame, key: np.ndarray, similarity: float) -> pd.DataFrame:
+    """Template of every row of one or more complete, contiguous buckets."""
     out = pdf["signature"].to_numpy(dtype=object).copy()
     if len(pdf):
-        starts = np.flatnonzero(np.r_[True, key.to_numpy()[1:] != key.to_numpy()[:-1]])
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         ends = np.r_[starts[1:], len(pdf)]
         sigs = pdf["signature"].tolist()
         for a, b in zip(starts.tolist(), ends.tolist()):

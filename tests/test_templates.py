@@ -54,3 +54,24 @@ def test_sanitize_and_dedupe(spark):
                    (4, "7", "unknown", ingest)]
     first = D.dedupe_first(s).orderBy("line_no").collect()
     assert [r["line_no"] for r in first] == [1, 4]
+
+
+def test_mining_independent_of_batch_size(spark):
+    d = doc_lines(spark, SF_SMALL).filter(L.is_nonblank("line")).withColumn("raw_log", L.mask_sensitive("line"))
+    sig = TM.signatures(d).persist()
+    a = {(r["signature"], r["event_template"]) for r in TM.mine_templates(sig).collect()}
+    # small Arrow batches: buckets span many batches
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        b = {(r["signature"], r["event_template"]) for r in TM.mine_templates(sig).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert a == b and len(a) == sig.count()
+    # the same merge done per bucket by plain Python
+    pdf = sig.toPandas().sort_values(["n_tokens", "first_token", "support", "signature"],
+                                     ascending=[True, True, False, True])
+    want = set()
+    for _, g in pdf.groupby(["n_tokens", "first_token"], sort=False):
+        want.update(zip(g["signature"], _merge_bucket(g["signature"].tolist(), 0.4)))
+    assert a == want
