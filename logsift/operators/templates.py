@@ -128,7 +128,8 @@ def _mine_sorted(batches, similarity: float):
         if last > head:
             out.append(_mine_rows(pdf.iloc[head:last].reset_index(drop=True), key[head:last], similarity))
         parts, pkey = [pdf.iloc[last:]], key[-1]
-        yield pd.concat(out, ignore_index=True)[cols]
+        if out:  # a batch holding only the still-open bucket emits nothing yet
+            yield pd.concat(out, ignore_index=True)[cols]
     if parts:
         whole = pd.concat(parts, ignore_index=True)
         yield _mine_rows(whole, _bucket_keys(whole), similarity)[cols]

@@ -74,8 +74,12 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     least ``min_partitions`` splits (the default parallelism; always the case for large
     tables) nothing changes and no shuffle is added. The check is planning only.
     """
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+    try:
+        want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view of this plan (e.g. a remote session): leave it as is
+        return df
+    return df.repartition(want) if have < want else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -56,6 +56,14 @@ def test_sanitize_and_dedupe(spark):
     assert [r["line_no"] for r in first] == [1, 4]
 
 
+def test_mining_single_bucket_partitions(spark):
+    # one shape per partition: every batch holds only an open bucket
+    sig = spark.createDataFrame([(2, "a", "a x", 3), (2, "b", "b y", 1), (3, "a", "a b c", 1)],
+                                "n_tokens long, first_token string, signature string, support long")
+    got = {r["signature"]: r["event_template"] for r in TM.mine_templates(sig.repartition(3)).collect()}
+    assert got == {"a x": "a x", "b y": "b y", "a b c": "a b c"}
+
+
 def test_mining_independent_of_batch_size(spark):
     d = doc_lines(spark, SF_SMALL).filter(L.is_nonblank("line")).withColumn("raw_log", L.mask_sensitive("line"))
     sig = TM.signatures(d).persist()
