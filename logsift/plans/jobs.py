@@ -126,6 +126,17 @@ def q_provenance_preview(spark, sf):
     return TX.preview(spark, root, meta["ingest_id"], 50).select("line_no", "raw_log", "event_id")
 
 
+def q_provenance(spark, sf):
+    """O-S6/S7: two ingests of the log lines (by server half) and the provenance listing."""
+    root = _scratch(spark, "ingest")
+    s, _ = _structured(spark, sf)
+    import datetime as _dt
+    for i, part in enumerate(("[0-3]", "[4-7]")):
+        sub = s.filter(F.col("server_id").rlike(f"server-{part}$"))
+        TX.write_provenance(sub, root, f"half{i}", "driver", INGEST + _dt.timedelta(hours=i))
+    return TX.list_provenance(spark, root, 20).select("ingest_id", "source", "uploader", "rows")
+
+
 def q_live_snapshot(spark, sf):
     """O-A25: latest score, diagnosis, last 20 lines and indexed history per server."""
     snap = M.live_snapshot(scores(spark, sf), lines(spark, sf), 20, 1000)
@@ -283,6 +294,7 @@ JOBS = {
     "train_job": (q_train_job, None),
     "model_roundtrip": (q_model_roundtrip, None),
     "ingest_job": (q_ingest_job, None),
+    "provenance": (q_provenance, None),
     "provenance_preview": (q_provenance_preview, None),
     "live_snapshot": (q_live_snapshot, None),
     "stream_window_counts": (q_stream_window_counts, SQL_STREAM_WINDOW_COUNTS),

@@ -401,6 +401,14 @@ select server_id, window_id, round(if_score, 6) as if_score, round(ae_score, 6)
        round(score, 6) as score, case when score < 0 then -1 else 1 end as prediction from en"""
 
 
+def q_ae_threshold(spark, sf):
+    """O-M5 arithmetic: 95th percentile threshold of the errors, score and prediction."""
+    from ..operators.ensemble import ae_scores_from_mse
+    x = ae_scores_from_mse(_model_inputs(spark, sf))
+    return x.select("server_id", "window_id", r6("mse").alias("mse"), r6("ae_threshold").alias("threshold"),
+                    r6("ae_score").alias("ae_score"), "ae_prediction")
+
+
 def q_ensemble_without_ae(spark, sf):
     from ..operators.ensemble import ensemble
     x = _model_inputs(spark, sf)
@@ -409,6 +417,10 @@ def q_ensemble_without_ae(spark, sf):
                     "ae_prediction", r6("ae_score").alias("ae_score"))
 
 
+SQL_AE_THRESHOLD = "with " + SQL_MODEL_INPUTS + """
+select server_id, window_id, round(mse, 6) as mse, round(thr, 6) as threshold, round(ae_score, 6) as ae_score,
+       ae_prediction from ae, th"""
+
 SQL_ENSEMBLE_WITHOUT_AE = "with " + SQL_MODEL_INPUTS + """
 select server_id, window_id, round(0.6 * tanh(if_score), 6) as score,
        case when 0.6 * tanh(if_score) < 0 then -1 else 1 end as prediction, 1 as ae_prediction, cast(0.0 as double) as ae_score from mi"""
@@ -446,6 +458,16 @@ select server_id, window_id, {Q.ts_text('ts')} as ts, score, {Q.level('score')}
        {Q.level('score', 'LOW')} as risk_level from scores"""
 
 
+def q_risk_levels(spark, sf):
+    """O-A2: risk level per score (thresholds as for alerts, LOW when none applies)."""
+    s = scores(spark, sf)
+    return s.select("server_id", "window_id", "score", S.risk_level("score").alias("risk_level"))
+
+
+SQL_RISK_LEVELS = Q.with_(Q.SCORES) + f"""
+select server_id, window_id, score, {Q.level('score', 'LOW')} as risk_level from scores"""
+
+
 def _alerts(spark, sf, throttle=300, suppress=3600):
     return A.generate_alerts(scores(spark, sf), throttle, suppress)
 
@@ -580,6 +602,12 @@ select server_id, window_id, risk_score, round(trend, 6) as trend,
   case when risk_score < 30 then 'good' when risk_score < 60 then 'warning' else 'critical' end as risk_class from rk"""
 
 
+def q_trend(spark, sf):
+    """O-A12: mean of the last 5 scores minus the mean of the 5 before (0 before 10 rows)."""
+    r = M.risk_columns(scores(spark, sf))
+    return r.select("server_id", "window_id", r6("trend").alias("trend"))
+
+
 def q_health(spark, sf):
     x = scores(spark, sf).join(_activity(spark, sf), ["server_id", "window_id"], "left")
     h = M.with_health(M.risk_columns(x))
@@ -588,6 +616,8 @@ def q_health(spark, sf):
                     S.diagnosis("prediction").alias("diagnosis"))
 
 
+SQL_TREND = Q.with_(Q.SCORES, SQL_RISK) + "select server_id, window_id, round(trend, 6) as trend from rk"
+
 SQL_ACTIVITY = Q.LOG_LINES + """,
 act as (select server_id, cast(epoch_us(ts) // 21600000000 as bigint) as window_id,
   avg(case when contains(raw_log, 'ERROR') or contains(raw_log, 'FATAL') then 1.0 else 0.0 end) as error_rate,
@@ -760,10 +790,12 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "latest_window": (q_latest_window, SQL_LATEST_WINDOW),
     "scaler_fit": (q_scaler_fit, SQL_SCALER_FIT),
     "scaled_features": (q_scaled_features, SQL_SCALED_FEATURES),
+    "ae_threshold": (q_ae_threshold, SQL_AE_THRESHOLD),
     "ensemble_scores": (q_ensemble_scores, SQL_ENSEMBLE_SCORES),
     "ensemble_without_ae": (q_ensemble_without_ae, SQL_ENSEMBLE_WITHOUT_AE),
     "model_breakdown": (q_model_breakdown, SQL_MODEL_BREAKDOWN),
     "alert_levels": (q_alert_levels, SQL_ALERT_LEVELS),
+    "risk_levels": (q_risk_levels, SQL_RISK_LEVELS),
     "alerts": (q_alerts, SQL_ALERTS),
     "alerts_long_suppress": (q_alerts_long_suppress, SQL_ALERTS_LONG),
     "recent_alerts": (q_recent_alerts, SQL_RECENT_ALERTS),
@@ -772,6 +804,7 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "drift_baseline": (q_drift_baseline, SQL_DRIFT_BASELINE),
     "drift_vs_baseline": (q_drift_vs_baseline, SQL_DRIFT_VS_BASELINE),
     "risk_scores": (q_risk_scores, SQL_RISK_SCORES),
+    "trend": (q_trend, SQL_TREND),
     "health": (q_health, SQL_HEALTH),
     "root_cause": (q_root_cause, SQL_ROOT_CAUSE),
     "server_state": (q_server_state, SQL_SERVER_STATE),
