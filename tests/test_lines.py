@@ -96,3 +96,16 @@ def test_read_logs_exact_line_numbers(spark, tmp_path):
     want = {("a.log", i): t for i, t in enumerate(lines_a) if t.strip()}
     want.update({("b.log", 0): "x", ("b.log", 2): "y"})
     assert got == want
+
+
+def test_evaluate_once_equals_with_column(spark):
+    df = one_col(spark, ["user: bob heartbeat", "  x 10.0.0.1 ", "", "[a]", "login: amy"])
+    a = df.filter(L.is_nonblank("v")).withColumn("v", L.clean_line("v", INGEST)).filter(~L.is_noise("v"))
+    b = L.evaluate_once(df.filter(L.is_nonblank("v")), v=L.clean_line("v", INGEST)).filter(~L.is_noise("v"))
+    assert a.columns == b.columns and sorted(a.collect()) == sorted(b.collect())
+    # the noise filter reads the computed column; the regex chain is not copied into it
+    plan = b._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    filters = [ln for ln in plan if ln.lstrip(" :+-").startswith("Filter")]
+    assert filters and not any("regexp_replace" in ln for ln in filters)
+    plan_a = a._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert any("regexp_replace" in ln for ln in plan_a if ln.lstrip(" :+-").startswith("Filter"))
