@@ -287,12 +287,6 @@ SQL_TIME_WINDOW_COUNTS = Q.with_(Q.MINUTE_COUNTS) + "select * from counts"
 
 
 def q_line_window_counts(spark, sf):
-    x = lines(spark, sf).join(events(spark, sf).select(F.col("event_id").alias("line_no"), "event_type"), "line_no")
-    w = W.line_windows(x, 100)
-    return FE.feature_counts(w, event="event_type")
-
-
-def q_line_window_counts_direct(spark, sf):
     ev = events(spark, sf).select(
         F.concat(F.lit("server-"), (F.col("user_id") % 8).cast("string")).alias("server_id"),
         F.col("event_id").alias("line_no"), F.col("event_type").alias("event_id"))
@@ -784,7 +778,7 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "sanitized": (q_sanitized, SQL_SANITIZED),
     "distinct_lines": (q_distinct_lines, SQL_DISTINCT_LINES),
     "time_window_counts": (q_time_window_counts, SQL_TIME_WINDOW_COUNTS),
-    "line_window_counts": (q_line_window_counts_direct, SQL_LINE_WINDOW_COUNTS),
+    "line_window_counts": (q_line_window_counts, SQL_LINE_WINDOW_COUNTS),
     "feature_matrix": (q_feature_matrix, SQL_FEATURE_MATRIX),
     "aligned_features": (q_aligned_features, SQL_ALIGNED_FEATURES),
     "latest_window": (q_latest_window, SQL_LATEST_WINDOW),
