@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import DEFAULT
-from ..session import cut_lineage, ship_package, spread
+from ..session import cut_lineage, ship_package
 
 
 def layer_dims(d: int, hidden=DEFAULT.hidden_layers, code: int = DEFAULT.encoding_dim) -> list[int]:
@@ -122,7 +122,8 @@ def _stack(col: pd.Series) -> np.ndarray:
 def fit_autoencoder(vectors: DataFrame, keys: list[str], epochs: int = DEFAULT.epochs,
                     batch_size: int = DEFAULT.batch_size, lr: float = DEFAULT.learning_rate,
                     validation_split: float = DEFAULT.validation_split, seed: int = DEFAULT.seed,
-                    local_epochs: int = DEFAULT.local_epochs) -> dict:
+                    local_epochs: int = DEFAULT.local_epochs, n_rows: int | None = None,
+                    rows_per_partition: int = 50_000) -> dict:
     """Train on ``vectors`` (keys…, x array<double>); returns the model dict
     (dims, flat weights, train loss per averaging round, validation loss).
 
@@ -137,8 +138,11 @@ def fit_autoencoder(vectors: DataFrame, keys: list[str], epochs: int = DEFAULT.e
         raise ValueError("cannot train an autoencoder on no rows")
     dims = layer_dims(len(first["x"]))
     u = F.pmod(F.xxhash64(*[F.col(c) for c in keys], F.lit(seed)), F.lit(1 << 31)) / F.lit(float(1 << 31))
-    # every partition trains a local model: at least one partition per core
-    tagged = cut_lineage(spread(vectors.select("x", (u < validation_split).alias("_val"))))
+    # every partition trains a local model: at least one per core, and about
+    # ``rows_per_partition`` rows each; an explicit count is not coalesced by AQE
+    n_rows = vectors.count() if n_rows is None else n_rows
+    parts = max(spark.sparkContext.defaultParallelism, -(-n_rows // rows_per_partition))
+    tagged = cut_lineage(vectors.select("x", (u < validation_split).alias("_val")).repartition(parts))
     train = tagged.filter(~F.col("_val")).select("x")
     val = tagged.filter(F.col("_val")).select("x")
     flat = flatten(init_params(dims, seed))

@@ -93,7 +93,7 @@ def train_models(counts: DataFrame, params: Params = DEFAULT, with_ae: bool = Tr
     model.offset = FO.forest_offset(raw, params.contamination, n=n)
     if with_ae:
         ae = AE.fit_autoencoder(vec, KEYS, params.epochs, params.batch_size, params.learning_rate,
-                                params.validation_split, params.seed, params.local_epochs)
+                                params.validation_split, params.seed, params.local_epochs, n_rows=n)
         mse = AE.mse_table(vec, ae)
         from ..operators.ensemble import ae_threshold
         thr = ae_threshold(mse.select("mse"), params.ae_percentile, n=n)
