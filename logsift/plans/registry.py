@@ -346,7 +346,7 @@ SQL_SCALER = """s as (
   group by c.event_id, n.n),
 sc as (select event_id, mean, case when sqrt(var) = 0 then 1.0 else sqrt(var) end as scale from s)"""
 
-SQL_SCALER_FIT = Q.with_(Q.MINUTE_COUNTS, SQL_SCALER) + "select event_id, round(mean, 6) as mean, round(scale, 6) as scale from sc"
+SQL_SCALER_FIT = Q.with_(Q.MINUTE_COUNTS, SQL_SCALER) + "select event_id, 0.0 + round(mean, 6) as mean, 0.0 + round(scale, 6) as scale from sc"
 
 
 def q_scaled_features(spark, sf):
@@ -357,7 +357,7 @@ def q_scaled_features(spark, sf):
 
 
 SQL_SCALED_FEATURES = Q.with_(Q.MINUTE_COUNTS, SQL_SCALER) + """
-select w.server_id, w.window_id, sc.event_id, round((coalesce(c.cnt, 0) - sc.mean) / sc.scale, 6) as value
+select w.server_id, w.window_id, sc.event_id, 0.0 + round((coalesce(c.cnt, 0) - sc.mean) / sc.scale, 6) as value
 from (select distinct server_id, window_id from counts) w cross join sc
 left join counts c on c.server_id = w.server_id and c.window_id = w.window_id and c.event_id = sc.event_id"""
 
@@ -391,8 +391,8 @@ ae as (select mi.*, case when thr > 0 then 0.0 - mse / thr else 0.0 - mse end as
 en as (select *, 0.6 * tanh(if_score) + 0.4 * tanh(ae_score) as score from ae)"""
 
 SQL_ENSEMBLE_SCORES = "with " + SQL_MODEL_INPUTS + """
-select server_id, window_id, round(if_score, 6) as if_score, round(ae_score, 6) as ae_score, ae_prediction,
-       round(score, 6) as score, case when score < 0 then -1 else 1 end as prediction from en"""
+select server_id, window_id, 0.0 + round(if_score, 6) as if_score, 0.0 + round(ae_score, 6) as ae_score, ae_prediction,
+       0.0 + round(score, 6) as score, case when score < 0 then -1 else 1 end as prediction from en"""
 
 
 def q_ae_threshold(spark, sf):
@@ -412,11 +412,11 @@ def q_ensemble_without_ae(spark, sf):
 
 
 SQL_AE_THRESHOLD = "with " + SQL_MODEL_INPUTS + """
-select server_id, window_id, round(mse, 6) as mse, round(thr, 6) as threshold, round(ae_score, 6) as ae_score,
+select server_id, window_id, 0.0 + round(mse, 6) as mse, 0.0 + round(thr, 6) as threshold, 0.0 + round(ae_score, 6) as ae_score,
        ae_prediction from ae, th"""
 
 SQL_ENSEMBLE_WITHOUT_AE = "with " + SQL_MODEL_INPUTS + """
-select server_id, window_id, round(0.6 * tanh(if_score), 6) as score,
+select server_id, window_id, 0.0 + round(0.6 * tanh(if_score), 6) as score,
        case when 0.6 * tanh(if_score) < 0 then -1 else 1 end as prediction, 1 as ae_prediction, cast(0.0 as double) as ae_score from mi"""
 
 
@@ -429,13 +429,13 @@ def q_model_breakdown(spark, sf):
 
 SQL_MODEL_BREAKDOWN = "with " + SQL_MODEL_INPUTS + """
 select server_id, window_id, 'isolation_forest' as model, case when if_score < 0 then -1 else 1 end as model_prediction,
-       round(if_score, 6) as model_score, cast(0.6 as double) as weight,
+       0.0 + round(if_score, 6) as model_score, cast(0.6 as double) as weight,
        case when if_score < 0 then 'Anomaly' else 'Normal' end as label from en
 union all
-select server_id, window_id, 'autoencoder', ae_prediction, round(ae_score, 6), cast(0.4 as double),
+select server_id, window_id, 'autoencoder', ae_prediction, 0.0 + round(ae_score, 6), cast(0.4 as double),
        case when ae_prediction = -1 then 'Anomaly' else 'Normal' end from en
 union all
-select server_id, window_id, 'ensemble', case when score < 0 then -1 else 1 end, round(score, 6), cast(1.0 as double),
+select server_id, window_id, 'ensemble', case when score < 0 then -1 else 1 end, 0.0 + round(score, 6), cast(1.0 as double),
        case when score < 0 then 'Anomaly' else 'Normal' end from en"""
 
 
@@ -518,8 +518,8 @@ f as (select *, row_number() over (partition by server_id order by ts, window_id
     first_value(p_normal) over (partition by server_id order by ts, window_id) as bn,
     first_value(p_anomaly) over (partition by server_id order by ts, window_id) as ba
   from d where n = 40)""") + """
-select server_id, window_id, round(p_normal, 6) as p_normal, round(p_anomaly, 6) as p_anomaly,
-  round(case when rn = 1 then 0.0 else (abs(p_normal - bn) + abs(p_anomaly - ba)) / 2 end, 6) as drift,
+select server_id, window_id, 0.0 + round(p_normal, 6) as p_normal, 0.0 + round(p_anomaly, 6) as p_anomaly,
+  0.0 + round(case when rn = 1 then 0.0 else (abs(p_normal - bn) + abs(p_anomaly - ba)) / 2 end, 6) as drift,
   rn > 1 and (abs(p_normal - bn) + abs(p_anomaly - ba)) / 2 > 0.15 as drift_detected,
   rn > 1 and (abs(p_normal - bn) + abs(p_anomaly - ba)) / 2 > 0.15 as should_retrain
 from f"""
@@ -531,8 +531,8 @@ def q_drift_baseline(spark, sf):
 
 
 SQL_DRIFT_BASELINE = Q.with_(Q.SCORES) + """
-select server_id, round(coalesce(avg(case when prediction = 1 then 1.0 else 0.0 end), 0), 6) as p_normal,
-  round(coalesce(avg(case when prediction = -1 then 1.0 else 0.0 end), 0), 6) as p_anomaly
+select server_id, 0.0 + round(coalesce(avg(case when prediction = 1 then 1.0 else 0.0 end), 0), 6) as p_normal,
+  0.0 + round(coalesce(avg(case when prediction = -1 then 1.0 else 0.0 end), 0), 6) as p_anomaly
 from scores group by 1"""
 
 
@@ -555,7 +555,7 @@ d as (select server_id, window_id, count(*) over w as n,
     avg(case when prediction = 1 then 1.0 else 0.0 end) over w as pn,
     avg(case when prediction = -1 then 1.0 else 0.0 end) over w as pa
   from scores window w as (partition by server_id order by ts, window_id rows between 39 preceding and current row))""") + """
-select server_id, window_id, round((abs(pn - bn) + abs(pa - ba)) / 2, 6) as drift,
+select server_id, window_id, 0.0 + round((abs(pn - bn) + abs(pa - ba)) / 2, 6) as drift,
   (abs(pn - bn) + abs(pa - ba)) / 2 > 0.15 as drift_detected
 from d join b using (server_id) where n = 40"""
 
@@ -584,7 +584,7 @@ SQL_RISK = """r as (
   window o as (partition by server_id order by ts, window_id),
          w10 as (partition by server_id order by ts, window_id rows between 9 preceding and current row)),
 rk as (select *,
-    case when k < 3 then 0.0 else round(least(100.0,
+    case when k < 3 then 0.0 else 0.0 + round(least(100.0,
       (case when score < 0 then -score * 50 else 0 end)
       + (case when slope < 0 then -slope * 30 else 0 end)
       + least(30.0, vol * 20) + freq * 20), 1) end as risk_score,
@@ -592,7 +592,7 @@ rk as (select *,
   from r)"""
 
 SQL_RISK_SCORES = Q.with_(Q.SCORES, SQL_RISK) + """
-select server_id, window_id, risk_score, round(trend, 6) as trend,
+select server_id, window_id, risk_score, 0.0 + round(trend, 6) as trend,
   case when risk_score < 30 then 'good' when risk_score < 60 then 'warning' else 'critical' end as risk_class from rk"""
 
 
@@ -610,7 +610,7 @@ def q_health(spark, sf):
                     S.diagnosis("prediction").alias("diagnosis"))
 
 
-SQL_TREND = Q.with_(Q.SCORES, SQL_RISK) + "select server_id, window_id, round(trend, 6) as trend from rk"
+SQL_TREND = Q.with_(Q.SCORES, SQL_RISK) + "select server_id, window_id, 0.0 + round(trend, 6) as trend from rk"
 
 SQL_ACTIVITY = Q.LOG_LINES + """,
 act as (select server_id, cast(epoch_us(ts) // 21600000000 as bigint) as window_id,
@@ -618,7 +618,7 @@ act as (select server_id, cast(epoch_us(ts) // 21600000000 as bigint) as window_
   count(*) as log_volume from log_lines group by 1, 2)"""
 
 SQL_HEALTH_CORE = """hs as (select rk.*, act.error_rate, act.log_volume,
-  round(greatest(0, least(100,
+  0.0 + round(greatest(0, least(100,
     0.4 * greatest(0, least(100, (score + 1) * 50))
     + 0.3 * greatest(0, least(100, (1 - coalesce(act.error_rate, 0)) * 100))
     + 0.2 * greatest(0, least(100, 100 - coalesce(act.log_volume, 0) / 10))
@@ -626,7 +626,7 @@ SQL_HEALTH_CORE = """hs as (select rk.*, act.error_rate, act.log_volume,
   from rk left join act using (server_id, window_id))"""
 
 SQL_HEALTH = Q.with_(Q.SCORES, SQL_RISK, SQL_ACTIVITY, SQL_HEALTH_CORE) + """
-select server_id, window_id, round(error_rate, 6) as error_rate, log_volume, health_score,
+select server_id, window_id, 0.0 + round(error_rate, 6) as error_rate, log_volume, health_score,
   case when health_score >= 70 then 'good' when health_score >= 50 then 'warning' else 'critical' end as health_class,
   case when prediction = -1 then 'CRITICAL' else 'Healthy' end as diagnosis from hs"""
 
@@ -680,8 +680,8 @@ def q_kpis(spark, sf):
 
 
 SQL_KPIS = Q.with_(Q.SCORES) + """
-select server_id, arg_max(score, ts) as latest_score, round(avg(score), 6) as avg_score,
-  count(*) filter (where score < 0) as anomaly_count, round(count(*) filter (where score < 0) / count(*), 6) as anomaly_rate,
+select server_id, arg_max(score, ts) as latest_score, 0.0 + round(avg(score), 6) as avg_score,
+  count(*) filter (where score < 0) as anomaly_count, 0.0 + round(count(*) filter (where score < 0) / count(*), 6) as anomaly_rate,
   max(score) as peak_score, count(*) as samples from scores group by 1"""
 
 
@@ -695,7 +695,7 @@ SQL_FORECAST = Q.with_(Q.SCORES, """x as (select server_id, score,
 fit as (select server_id, regr_slope(score, x) as slope, regr_intercept(score, x) as icp, count(*) as k,
   arg_max(score, x) as last from x group by 1)""") + """
 select server_id, cast(k + i as bigint) as step,
-  round(case when k < 3 then last else icp + slope * (k + i) end, 6) as forecast
+  0.0 + round(case when k < 3 then last else icp + slope * (k + i) end, 6) as forecast
 from fit, (select unnest(range(10)) as i)"""
 
 
@@ -709,8 +709,8 @@ b as (select s.server_id, case when hi_ - lo_ = 0 then 1
         else greatest(1, cast(ceil((score - lo_) / (hi_ - lo_) * 10) as int)) end as bin
       from scores s join rg using (server_id)),
 bc as (select server_id, bin, count(*) as cnt from b group by 1, 2)""") + """
-select g.server_id, g.bin, round(lo_ + (g.bin - 1) * ((hi_ - lo_) / 10), 6) as lo,
-  round(lo_ + g.bin * ((hi_ - lo_) / 10), 6) as hi, coalesce(bc.cnt, 0) as cnt
+select g.server_id, g.bin, 0.0 + round(lo_ + (g.bin - 1) * ((hi_ - lo_) / 10), 6) as lo,
+  0.0 + round(lo_ + g.bin * ((hi_ - lo_) / 10), 6) as hi, coalesce(bc.cnt, 0) as cnt
 from (select server_id, lo_, hi_, unnest(range(1, 11)) as bin from rg) g
 left join bc on bc.server_id = g.server_id and bc.bin = g.bin"""
 
@@ -721,7 +721,7 @@ def q_rolling_rate(spark, sf):
 
 
 SQL_ROLLING_RATE = Q.with_(Q.SCORES) + """
-select server_id, window_id, round(avg(case when score < 0 then 1.0 else 0.0 end) over
+select server_id, window_id, 0.0 + round(avg(case when score < 0 then 1.0 else 0.0 end) over
   (partition by server_id order by ts, window_id rows between 19 preceding and current row), 6) as anomaly_rate from scores"""
 
 
@@ -753,7 +753,7 @@ rc as (select server_id, window_id, string_agg(cause, ' | ' order by rank) as ro
   select *, row_number() over (partition by server_id, window_id order by cnt desc, event_id) as rank from cc)
   where rank <= 3 group by 1, 2)""") + f"""
 select hs.server_id, hs.window_id, {Q.ts_text('ts')} as ts, score, prediction, {Q.level('score')} as level,
-  risk_score, round(trend, 6) as trend, health_score,
+  risk_score, 0.0 + round(trend, 6) as trend, health_score,
   case when health_score >= 70 then 'good' when health_score >= 50 then 'warning' else 'critical' end as health_class,
   case when risk_score < 30 then 'good' when risk_score < 60 then 'warning' else 'critical' end as risk_class,
   case when prediction = -1 then 'CRITICAL' else 'Healthy' end as diagnosis, rc.root_cause

@@ -45,7 +45,7 @@ def level(c: str, fallback: str = "NORMAL") -> str:
 
 
 def fmt3(c: str) -> str:
-    return f"printf('%.3f', round({c} * 1000) / 1000)"
+    return f"printf('%.3f', 0.0 + round({c} * 1000) / 1000)"
 
 
 LEADING_TIME = (r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:?\d{2})?"
@@ -94,7 +94,7 @@ SCORES = """w6 as (
          avg(cast(case when event_type = 'error' then 1 else 0 end as double)) as e
   from events group by 1, 2),
 st6 as (select server, avg(e) as mu, stddev_pop(e) as sd from w6 group by 1),
-score_series as (select server, ts, n, e, round(tanh((mu - e) / sd), 6) as score from w6 join st6 using (server)),
+score_series as (select server, ts, n, e, 0.0 + round(tanh((mu - e) / sd), 6) as score from w6 join st6 using (server)),
 scores as (
   select 'server-' || cast(server as varchar) as server_id, cast(epoch_us(ts) // 21600000000 as bigint) as window_id,
          ts, score, case when score < 0 then -1 else 1 end as prediction, n as n_events, e as error_share

@@ -32,6 +32,8 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return None
+        if v == 0.0 and math.copysign(1.0, v) < 0:
+            return "-0.0"  # a value hash tells the zeros apart, so do we
         return float(v)
     if isinstance(v, (dt.datetime, dt.date)):
         return v.isoformat(sep=" ")
