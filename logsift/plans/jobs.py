@@ -1,4 +1,7 @@
-"""Registered queries for models, sinks and streams (rows-only checks, plus one E stream).
+"""Registered queries for models, file sources, sinks and streams.
+
+Most are checked rows-only plus invariants in ``tests/``; the streamed window counts and the
+line windows of files read back with ``read_logs`` also have DuckDB twins.
 
 Intermediate tables (written text logs, score tables, stream sinks and checkpoints) go
 to a fresh folder under the session's ``spark.checkpoint.dir`` for every call.
