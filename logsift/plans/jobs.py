@@ -24,7 +24,7 @@ from ..operators import features as FE
 from ..session import materialize, scratch_path, table
 from ..sources import text as TX
 from ..streaming import logs as ST
-from . import pipeline as P
+from . import stages as P
 from . import sql as Q
 from .registry import INGEST, lines, minute_counts, r6, scores, ts_text
 

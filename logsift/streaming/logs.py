@@ -116,7 +116,7 @@ def score_stream(lines: DataFrame, model, templates: DataFrame, out_path: str, c
     """
     from ..functions import lines as L
     from ..operators import templates as TM
-    from ..plans.pipeline import score_windows
+    from ..plans.stages import score_windows
 
     x = lines.filter(L.is_nonblank("raw_log"))
     x = L.evaluate_once(x, raw_log=L.clean_line("raw_log", ingest_ts)).filter(~L.is_noise("raw_log"))

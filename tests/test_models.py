@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from logsift.operators import autoencoder as AE
 from logsift.operators import forest as FO
 from logsift.config import Params
-from logsift.plans import pipeline as P
+from logsift.plans import stages as P
 from logsift.plans.registry import INGEST, lines
 
 from conftest import SF_SMALL
