@@ -109,3 +109,10 @@ def test_evaluate_once_equals_with_column(spark):
     assert filters and not any("regexp_replace" in ln for ln in filters)
     plan_a = a._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert any("regexp_replace" in ln for ln in plan_a if ln.lstrip(" :+-").startswith("Filter"))
+
+
+def test_read_logs_drops_undecodable_bytes(spark, tmp_path):
+    from logsift.sources.text import read_logs
+    (tmp_path / "c.log").write_bytes(b"ok\xff line\n\xfe\n  tail  \n")
+    rows = read_logs(spark, str(tmp_path / "c.log")).orderBy("line_no").collect()
+    assert [(r["line_no"], r["raw_log"]) for r in rows] == [(0, "ok line"), (2, "tail")]
