@@ -21,7 +21,7 @@ from ..operators import monitoring as M
 from ..operators.ensemble import ae_threshold
 from ..operators.scaler import fit_scaler, scale_vectors
 from ..operators import features as FE
-from ..session import materialize, scratch_path, table
+from ..session import balanced, materialize, scratch_path, table
 from ..sources import text as TX
 from ..streaming import logs as ST
 from . import stages as P
@@ -40,7 +40,7 @@ def _event_vectors(spark, sf):
     vocab = FE.vocabulary(c)
     sc = fit_scaler(c).toPandas().set_index("event_id").loc[vocab]
     dv = FE.dense_vectors(c, vocab, KEYS)
-    return scale_vectors(dv, list(zip(sc["mean"], sc["scale"])), "features", "x").drop("features")
+    return balanced(scale_vectors(dv, list(zip(sc["mean"], sc["scale"])), "features", "x").drop("features"))
 
 
 def q_forest_scores(spark, sf):

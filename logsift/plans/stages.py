@@ -24,6 +24,7 @@ from ..operators import sanitize as D
 from ..operators import templates as TM
 from ..operators import windows as W
 from ..operators.scaler import fit_scaler, scale_vectors
+from ..session import balanced
 
 KEYS = ["server_id", "window_id"]
 
@@ -85,7 +86,7 @@ def train_models(counts: DataFrame, params: Params = DEFAULT, with_ae: bool = Tr
     sc = fit_scaler(counts).toPandas().set_index("event_id").loc[vocab]
     model = Model(vocab=vocab, scaler=list(zip(sc["mean"].tolist(), sc["scale"].tolist())),
                   forest_nodes=pd.DataFrame(), psi=0, offset=0.0)
-    vec = model_vectors(counts, model).persist()
+    vec = balanced(model_vectors(counts, model)).persist()
     n = vec.count()
     nodes, meta = FO.fit_forest(vec, KEYS, params.n_trees, params.max_samples, params.seed, n=n)
     model.forest_nodes, model.psi = nodes, meta["psi"]
@@ -108,7 +109,7 @@ def train_models(counts: DataFrame, params: Params = DEFAULT, with_ae: bool = Tr
 
 def score_windows(counts: DataFrame, model: Model) -> DataFrame:
     """Forest, autoencoder and ensemble scores for every window of ``counts`` (E4)."""
-    vec = model_vectors(counts, model)
+    vec = balanced(model_vectors(counts, model))
     x = FO.score_forest(vec, model.forest_nodes, model.psi, model.offset)
     if model.ae is not None:
         x = AE.mse_table(x, model.ae)

@@ -82,6 +82,18 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     return df.repartition(want) if have < want else df
 
 
+def balanced(df: DataFrame) -> DataFrame:
+    """Round-robin into an explicit number of partitions (at least one per core, and the
+    session's shuffle partitions) for Python-heavy per-row work such as model scoring.
+
+    AQE keeps an explicit partition count, whereas it would coalesce a small shuffle output
+    into a few tasks and leave the other cores idle.
+    """
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")))
 
