@@ -4,14 +4,9 @@ from __future__ import annotations
 
 
 def _entries() -> dict:
+    from .jobs import JOBS
     from .registry import REGISTRY
-    out = dict(REGISTRY)
-    try:
-        from .jobs import JOBS
-        out.update(JOBS)
-    except ImportError:
-        pass
-    return out
+    return {**REGISTRY, **JOBS}
 
 
 def all_queries() -> dict:
