@@ -3,16 +3,50 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import shardtree
+from . import linededup, shardtree, simhash
 from .common import read
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates of all documents: 3-word shingles, links at 2 or fewer differing bits."""
+    dup = simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=3, max_bits=2)
+    return dup.select(F.col("id").alias("doc_id"), simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that at least 10 documents have."""
+    kept = linededup.dedup_lines(read(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
+    return kept.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op9_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 23 by the hierarchical weighted hash tree (law ``key``)."""
     return shardtree.shard_documents(read(spark, sf_dir, "documents"), 24)
 
 
+#: The SQL of op8: DuckDB's trim and translate with the same ASCII sets.
+SQL_OP8 = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+  FROM documents),
+keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM lines),
+common AS (
+  SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+flagged AS (
+  SELECT k.*, c.key IS NOT NULL AS gone FROM keyed k LEFT JOIN common c USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM flagged GROUP BY doc_id
+"""
+
 ENTRIES = {
+    "op3_simhash": (op3_simhash, None),
+    "op8_line_dedup": (op8_line_dedup, SQL_OP8),
     "op9_shard_tree": (op9_shard_tree, None),
 }
