@@ -5,8 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, shardtree, simhash
-from .common import read
+from . import linededup, pieces, quality, shardtree, simhash, tiling
+from .common import held_out, read
+
+
+def piece_model() -> str:
+    """The model file of the tokenizer package (the operators take any path)."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learnt from the labels that are not held out."""
+    scored = quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return scored.select(F.col("id").alias("doc_id"), held_out("id", 4, 2).alias("held_out"), "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
+
+
+def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SentencePiece ids of all documents and what they decode to, as digests."""
+    return pieces.round_trip(read(spark, sf_dir, "documents"), piece_model()).withColumnRenamed("id", "doc_id")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +44,19 @@ def op9_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shardtree.shard_documents(read(spark, sf_dir, "documents"), 24)
 
 
+def op10_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the benchmark items that they cover to 80 % at least, by tiles of five words or more."""
+    hit = tiling.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return hit.select(F.col("id").alias("doc_id"), "item_id", "n_tiles", "covered_words", "item_words", "coverage")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of corpus_pipeline.py, one after another."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 #: The SQL of op8: DuckDB's trim and translate with the same ASCII sets.
 SQL_OP8 = r"""
 WITH lines AS (
@@ -46,7 +77,11 @@ FROM flagged GROUP BY doc_id
 """
 
 ENTRIES = {
+    "op1_quality": (op1_quality, None),
+    "op2_pieces": (op2_pieces, None),
     "op3_simhash": (op3_simhash, None),
     "op8_line_dedup": (op8_line_dedup, SQL_OP8),
     "op9_shard_tree": (op9_shard_tree, None),
+    "op10_tiling": (op10_tiling, None),
+    "pipeline": (pipeline, None),
 }
