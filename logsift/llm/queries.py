@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, pieces, quality, shardtree, simhash, tiling
+from . import bloomlm, linededup, pieces, quality, shardtree, simhash, tiling
 from .common import held_out, read
 
 
@@ -33,6 +33,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dup.select(F.col("id").alias("doc_id"), simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op7_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probabilities of all documents under a model of those that are not held out."""
+    scored = bloomlm.score_held_out(read(spark, sf_dir, "documents"), 7, 2)
+    return scored.select(F.col("id").alias("doc_id"), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the lines that at least 10 documents have."""
     kept = linededup.dedup_lines(read(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
@@ -80,6 +86,7 @@ ENTRIES = {
     "op1_quality": (op1_quality, None),
     "op2_pieces": (op2_pieces, None),
     "op3_simhash": (op3_simhash, None),
+    "op7_bloom_lm": (op7_bloom_lm, None),
     "op8_line_dedup": (op8_line_dedup, SQL_OP8),
     "op9_shard_tree": (op9_shard_tree, None),
     "op10_tiling": (op10_tiling, None),
