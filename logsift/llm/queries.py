@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloomlm, linededup, pieces, quality, shardtree, simhash, tiling
+from . import bloomlm, kdtree, linededup, pieces, quality, shardtree, simhash, tiling
 from .common import held_out, read
 
 
@@ -33,6 +33,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dup.select(F.col("id").alias("doc_id"), simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op4_kd_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors, by integer inner product, of every vector whose id is divisible by 50."""
+    vectors = kdtree.quantise(read(spark, sf_dir, "embeddings"))
+    return kdtree.top_k(vectors, vectors.filter(F.col("id") % 50 == 0), k=5)
+
+
 def op7_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log10 probabilities of all documents under a model of those that are not held out."""
     scored = bloomlm.score_held_out(read(spark, sf_dir, "documents"), 7, 2)
@@ -82,10 +88,26 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM flagged GROUP BY doc_id
 """
 
+SQL_OP4 = """
+WITH flat AS (
+  SELECT vec_id, generate_subscripts(embedding, 1) AS i, floor(256 * CAST(unnest(embedding) AS DOUBLE)) AS x FROM embeddings),
+v AS (
+  SELECT vec_id, list(CAST(x AS BIGINT) ORDER BY i) AS v FROM flat GROUP BY vec_id
+  HAVING count(*) = count(x) AND bool_and(isfinite(x))),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM pairs)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 5
+"""
+
 ENTRIES = {
     "op1_quality": (op1_quality, None),
     "op2_pieces": (op2_pieces, None),
     "op3_simhash": (op3_simhash, None),
+    "op4_kd_tree": (op4_kd_tree, SQL_OP4),
     "op7_bloom_lm": (op7_bloom_lm, None),
     "op8_line_dedup": (op8_line_dedup, SQL_OP8),
     "op9_shard_tree": (op9_shard_tree, None),
