@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloomlm, kdtree, linededup, pieces, quality, shardtree, simhash, tiling
+from . import attribution, bloomlm, kdtree, linededup, pieces, quality, shardtree, simhash, tiling
 from .common import held_out, read
 
 
@@ -39,6 +39,15 @@ def op4_kd_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdtree.top_k(vectors, vectors.filter(F.col("id") % 50 == 0), k=5)
 
 
+def op6_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of all documents, which are encoded as a whole; a token across lines goes to the line with
+    most of its characters."""
+    import public_tokenizers
+
+    counts = attribution.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, "largest")
+    return counts.withColumnRenamed("id", "doc_id")
+
+
 def op7_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log10 probabilities of all documents under a model of those that are not held out."""
     scored = bloomlm.score_held_out(read(spark, sf_dir, "documents"), 7, 2)
@@ -108,6 +117,7 @@ ENTRIES = {
     "op2_pieces": (op2_pieces, None),
     "op3_simhash": (op3_simhash, None),
     "op4_kd_tree": (op4_kd_tree, SQL_OP4),
+    "op6_attribution": (op6_attribution, None),
     "op7_bloom_lm": (op7_bloom_lm, None),
     "op8_line_dedup": (op8_line_dedup, SQL_OP8),
     "op9_shard_tree": (op9_shard_tree, None),
