@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attribution, bloomlm, kdtree, linededup, pieces, quality, shardtree, simhash, tiling
+from . import attribution, blocks, bloomlm, kdtree, linededup, pieces, quality, shardtree, simhash, tiling
 from .common import held_out, read
 
 
@@ -39,6 +39,12 @@ def op4_kd_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdtree.top_k(vectors, vectors.filter(F.col("id") % 50 == 0), k=5)
 
 
+def op5_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    text = blocks.extract(read(spark, sf_dir, "pages"))
+    return text.select("row.page_id", "row.url", F.col("main_text").alias("text"), "n_chars")
+
+
 def op6_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every line of all documents, which are encoded as a whole; a token across lines goes to the line with
     most of its characters."""
@@ -117,6 +123,7 @@ ENTRIES = {
     "op2_pieces": (op2_pieces, None),
     "op3_simhash": (op3_simhash, None),
     "op4_kd_tree": (op4_kd_tree, SQL_OP4),
+    "op5_blocks": (op5_blocks, None),
     "op6_attribution": (op6_attribution, None),
     "op7_bloom_lm": (op7_bloom_lm, None),
     "op8_line_dedup": (op8_line_dedup, SQL_OP8),
