@@ -105,6 +105,7 @@ def replicas(points: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 def _forest(fp: np.ndarray, starts: np.ndarray, ends: np.ndarray, homes: np.ndarray, max_bits: int) -> np.ndarray:
     """For each row the first row of its linked set inside its anchor. Rows of an anchor are contiguous, the ``homes`` that
     live there first; each home in turn is compared with all rows after it, in all anchors at once."""
+    bits = fp.view(np.uint64)  # bitwise_count takes the absolute value of signed numbers
     root = np.arange(len(fp))
     up = np.arange(len(fp))
     live = np.flatnonzero((homes > 0) & (ends - starts > 1))
@@ -113,7 +114,7 @@ def _forest(fp: np.ndarray, starts: np.ndarray, ends: np.ndarray, homes: np.ndar
         size = ends[live] - starts[live]
         centre = np.repeat(starts[live] + j, size)
         rows = np.arange(size.sum()) - np.repeat(np.r_[0, np.cumsum(size)[:-1]], size) + np.repeat(starts[live], size)
-        linked = np.bitwise_count(fp[rows] ^ fp[centre]) <= max_bits
+        linked = np.bitwise_count(bits[rows] ^ bits[centre]) <= max_bits
         linked &= rows >= centre
         r = root[rows]
         lowest = np.full(len(live), len(fp))
