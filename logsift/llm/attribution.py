@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import utf8_bodies
+from .common import arrow, utf8_bodies
 
 #: To whom a token across a boundary goes: the section with its first character, with its last one, or with most of its
 #: characters (the first of several).
@@ -160,7 +160,7 @@ def token_counts(docs: DataFrame, path: str, pattern: str, rule: str = "largest"
     kind = docs.schema[id_col].dataType.simpleString()
     sections = [F.col(sections_col).cast("array<struct<start:bigint,end:bigint>>").alias("sections")] if sections_col else []
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *sections)
-    return rows.mapInArrow(_counts(load_ranks(docs.sparkSession, path), pattern, rule, bool(sections_col)), f"id {kind}, {_OUT}")
+    return arrow(rows, _counts(load_ranks(docs.sparkSession, path), pattern, rule, bool(sections_col)), f"id {kind}, {_OUT}")
 
 
 def joined_fields(rows: DataFrame, fields: list[str], separator: str = "\n", text: str = "text", sections: str = "sections") -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8_bodies
+from .common import arrow, utf8_bodies
 
 #: Pages learnt from at most (those with the smallest hashes), their bytes at most, pages laid out from each, passes over
 #: them, and the blocks labelled at a time.
@@ -420,4 +420,4 @@ def extract(pages: DataFrame, html_col: str = "html", model: Labeller | None = N
     rest = [F.col(f"`{c}`") for c in pages.columns if c != html_col]
     row = F.struct(*rest) if rest else F.struct(F.lit(1).alias("none"))
     rows = pages.select(row.alias("row"), F.col(html_col).alias("html"))
-    return rows.mapInArrow(_extractor(share), f"row {rows.schema['row'].dataType.simpleString()}, main_text string, n_chars long")
+    return arrow(rows, _extractor(share), f"row {rows.schema['row'].dataType.simpleString()}, main_text string, n_chars long")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import held_out, utf8_bodies, words
+from .common import arrow, held_out, utf8_bodies, words
 
 #: Text bytes behind one segment, bytes broadcast at a time, entries that a task gathers before it passes them on, and tokens
 #: scored at a time.
@@ -241,9 +241,9 @@ def train(docs: DataFrame, text_col: str = "text", segment_bytes: int = SEGMENT_
     def word_segment(k: np.ndarray) -> np.ndarray:
         return (mix(k) % np.uint64(segments)).astype(np.int64)
 
-    chunks = rows.mapInArrow(_gather(tokens, word_segment), _CHUNKS).repartition("segment").sortWithinPartitions("segment")
+    chunks = arrow(rows, _gather(tokens, word_segment), _CHUNKS).repartition("segment").sortWithinPartitions("segment")
     table = lambda k, c: (k.tobytes(), _varied(c), len(k), int(c.sum()))
-    table = materialize(chunks.mapInArrow(_reduced(table, ["words", "counts", "n_words", "n_tokens"]), "segment long, words binary, counts binary, n_words long, n_tokens long"), "lm-words")
+    table = materialize(arrow(chunks, _reduced(table, ["words", "counts", "n_words", "n_tokens"]), "segment long, words binary, counts binary, n_words long, n_tokens long"), "lm-words")
     vocabulary, n = (x or 0 for x in table.agg(F.sum("n_words"), F.sum("n_tokens")).first())
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +253,7 @@ def train(docs: DataFrame, text_col: str = "text", segment_bytes: int = SEGMENT_
                 yield pa.RecordBatch.from_arrays([pa.array(many.view(np.int64))], names=["word"])
 
     # at most 2 * segments words are that frequent; the start is a history of every text
-    often = [r.word for r in table.select("words", "counts").mapInArrow(frequent, "word long").collect()]
+    often = [r.word for r in arrow(table.select("words", "counts"), frequent, "word long").collect()]
     hot = np.unique(history(np.r_[np.array(often, np.int64).view(np.uint64), START])) if segments > 1 else none
 
     def pairs(body: bytes) -> np.ndarray:
@@ -266,8 +266,8 @@ def train(docs: DataFrame, text_col: str = "text", segment_bytes: int = SEGMENT_
         bits = build_filter(np.r_[k, _type_key(v[own])], np.r_[level(c), level(types[own])])
         return bits.tobytes(), v[~own].tobytes(), types[~own].astype("<i8").tobytes()
 
-    chunks = rows.mapInArrow(_gather(pairs, lambda k: segment_of(k, hot, segments)), _CHUNKS).repartition("segment").sortWithinPartitions("segment")
-    filters = materialize(chunks.mapInArrow(_reduced(filtered, ["bits", "hot", "hot_types"]), "segment long, bits binary, hot binary, hot_types binary"), "lm-filters")
+    chunks = arrow(rows, _gather(pairs, lambda k: segment_of(k, hot, segments)), _CHUNKS).repartition("segment").sortWithinPartitions("segment")
+    filters = materialize(arrow(chunks, _reduced(filtered, ["bits", "hot", "hot_types"]), "segment long, bits binary, hot binary, hot_types binary"), "lm-filters")
     totals = Totals(segments, n, vocabulary, texts, hot, np.zeros(len(hot), np.int64))
     for r in filters.select("hot", "hot_types").toLocalIterator():
         np.add.at(totals.hot_types, np.searchsorted(hot, np.frombuffer(r.hot, "<u8")), np.frombuffer(r.hot_types, "<i8"))
@@ -433,10 +433,10 @@ def score(docs: DataFrame, model: Model, most_bytes: int = BROADCAST_BYTES, id_c
     group = next(todo)
     while (after := next(todo, None)) is not None:
         shared = share(group)
-        rows = materialize(rows.mapInArrow(_pass(shared, False), f"id {kind}, text string, state binary"), "lm-pass")
+        rows = materialize(arrow(rows, _pass(shared, False), f"id {kind}, text string, state binary"), "lm-pass")
         shared.destroy()
         group = after
-    return rows.mapInArrow(_pass(share(group), True), f"id {kind}, n_tokens long, n_known long, base_score double, score double")
+    return arrow(rows, _pass(share(group), True), f"id {kind}, n_tokens long, n_known long, base_score double, score double")
 
 
 def score_held_out(docs: DataFrame, modulus: int = 7, remainder: int = 2, most_bytes: int = BROADCAST_BYTES) -> DataFrame:

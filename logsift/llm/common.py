@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,21 +10,16 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 
-#: ASCII white space of the contracts: [\x20\x09-\x0D].
-ASCII_SPACE = " \t\n\x0b\x0c\r"
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table, as Spark's own splits deliver it. Ships the package to the workers, as
-    nearly every operator here runs Arrow functions defined in it."""
-    ship_package(spark)
+    """A driver table, as Spark's own splits deliver it."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def lower_ascii(c: Column) -> Column:
-    """Lower-case A-Z only (``lower`` would change other alphabets too)."""
-    return F.translate(c, _UPPER, _UPPER.lower())
+def arrow(df: DataFrame, fn: Callable, schema) -> DataFrame:
+    """``df.mapInArrow`` with this package shipped to the workers, as the functions here refer to it."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(fn, schema)
 
 
 def held_out(doc_id: str | Column, modulus: int, remainder: int) -> Column:
@@ -44,8 +38,3 @@ def words(body: bytes) -> list[bytes]:
     """Words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased. ``bytes.lower`` and ``bytes.split`` know ASCII only,
     which is exactly the rule."""
     return body.lower().split()
-
-
-def fill_schema(ddl: str) -> list[str]:
-    """Column names of a DDL schema string."""
-    return [re.split(r"[ :]", p.strip())[0] for p in ddl.split(",")]

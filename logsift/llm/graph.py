@@ -31,7 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
     round at most; rounds grow with the logarithm of a component's size. Only a count and a checksum reach the driver.
     Self-loops and repeated edges are harmless; an empty table gives an empty result."""
     state = None
-    edges = edges.select("a", "b").filter("a != b").distinct()
+    edges = materialize(edges.select("a", "b").filter("a != b").distinct(), "edges")
     while True:
         edges = materialize(_star(_star(edges, True), False), "stars")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

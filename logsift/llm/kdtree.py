@@ -19,6 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .common import arrow
 
 #: Vectors in a shard and queries in a block on average, points in a leaf.
 SHARD_ROWS, BLOCK_ROWS, LEAF = 8_192, 256, 256
@@ -151,7 +152,7 @@ def _grouped(rows: DataFrame, size: int) -> DataFrame:
     """Rows (id, v, dim) in parts of about ``size`` rows by the hash of their ids, dimension by dimension."""
     parts = rows.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).alias("parts"))
     dealt = rows.join(parts, "dim").withColumn("part", F.pmod(F.xxhash64("id"), "parts"))
-    return dealt.select("dim", "part", "id", "v").repartition("dim", "part").sortWithinPartitions("dim", "part", "id").mapInArrow(_pack, _PACKED_DDL)
+    return arrow(dealt.select("dim", "part", "id", "v").repartition("dim", "part").sortWithinPartitions("dim", "part", "id"), _pack, _PACKED_DDL)
 
 
 def _search(k: int):
@@ -211,12 +212,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
     def searched(b: DataFrame) -> DataFrame:
         rows = b.select("dim", "shard", "block", "ids", "points", "least")
         trees = shards.select("dim", "shard", F.lit(-1).cast("long").alias("block"), "ids", "points", F.lit(None).cast("binary").alias("least"))
-        return trees.unionByName(rows).repartition("dim", "shard").sortWithinPartitions("dim", "shard", "block").mapInArrow(_search(k), _FOUND)
+        return arrow(trees.unionByName(rows).repartition("dim", "shard").sortWithinPartitions("dim", "shard", "block"), _search(k), _FOUND)
 
     first = materialize(searched(todo.withColumn("shard", own).withColumn("least", F.lit(None).cast("binary"))), "kd-first")
     have = first.groupBy("dim", "block").agg(F.collect_list(F.struct("query_id", "score")).alias("found"))  # k for each query of a block
     known = todo.join(have, ["dim", "block"], "left").select("dim", "block", "shards", "ids", "points", "found")
-    known = known.mapInArrow(_propagate(k), "dim int, block long, shards long, ids binary, points binary, least binary")
+    known = arrow(known, _propagate(k), "dim int, block long, shards long, ids binary, points binary, least binary")
     rest = known.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1))).filter(F.col("shard") != own)
     found = first.unionByName(searched(rest))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

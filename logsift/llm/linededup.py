@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
-from .common import utf8_bodies
+from .common import arrow, utf8_bodies
 
 #: A line found in this many documents goes, and only keys of this many code points count.
 MIN_DOCS, MIN_CHARS = 10, 1
@@ -126,16 +126,16 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN
     Rows that repeat an id count as one document, rows without an id too; a null text is one empty line; empty keys
     never count; an empty table gives an empty result."""
     kind = docs.schema[id_col].dataType.simpleString()
-    lines = _identity(docs, id_col, text_col).mapInArrow(_line_hashes(min_chars), f"h1 long, h2 long, id {kind}, text_key long, n_lines int, places binary")
+    lines = arrow(_identity(docs, id_col, text_col), _line_hashes(min_chars), f"h1 long, h2 long, id {kind}, text_key long, n_lines int, places binary")
     ordered = lines.repartitionByRange("h1", "h2", "id").sortWithinPartitions("h1", "h2", "id", "text_key")
-    found = materialize(ordered.mapInArrow(_stream_common(min_docs), lines.schema.add("sure", T.BooleanType())), "line-dedup")
+    found = materialize(arrow(ordered, _stream_common(min_docs), lines.schema.add("sure", T.BooleanType())), "line-dedup")
     # keys that a partition's edge cuts: at most two a partition, counted over all their parts
     unsure = found.filter(~F.col("sure"))
     cut = found.join(unsure.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").groupBy("h1", "h2", "id").agg(F.lit(1).alias("one"))
     common = cut.groupBy("h1", "h2").agg(F.count("one").alias("n")).filter(F.col("n") >= min_docs)
     gone = found.filter("sure").unionByName(unsure.join(common, ["h1", "h2"], "left_semi"))
     per_doc = gone.groupBy("id", "text_key").agg(F.max("n_lines").alias("n_lines"), F.collect_list("places").alias("places"))
-    return per_doc.mapInArrow(_pack, f"id {kind}, text_key long, n_lines int, n_dropped int, keep binary")
+    return arrow(per_doc, _pack, f"id {kind}, text_key long, n_lines int, n_dropped int, keep binary")
 
 
 def _applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,4 +165,4 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
     own = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"), row.alias("row"))
     b = bitmaps.select(F.col("id").alias("_id"), F.col("text_key").alias("_key"), "keep")
     joined = own.join(b, own["id"].eqNullSafe(b["_id"]) & (own["text_key"] == b["_key"]), "left").select("id", "row", "text", "keep")
-    return joined.mapInArrow(_applied, T.StructType([joined.schema["id"], joined.schema["row"], T.StructField("kept_text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]))
+    return arrow(joined, _applied, T.StructType([joined.schema["id"], joined.schema["row"], T.StructField("kept_text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]))

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import arrow
+
 MARK = "▁"
 _NONE = np.iinfo(np.int32).max
 #: Runs remembered per worker process, the longest of them in characters, and the characters of text encoded at a time.
@@ -327,7 +329,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """(id, ids) of every row. Null and empty texts have no ids; each row stands for itself, repeated ones too; extra columns
     are ignored."""
     rows, kind = _rows(docs, id_col, text_col)
-    return rows.mapInArrow(_encoder(load_model(docs.sparkSession, path)), f"id {kind}, ids array<int>")
+    return arrow(rows, _encoder(load_model(docs.sparkSession, path)), f"id {kind}, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -339,7 +341,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([v.decode(x or []) for x in b.column("ids").to_pylist()], pa.string())], names=["id", "text"])
 
-    return encoded.select("id", "ids").mapInArrow(run, f"id {encoded.schema['id'].dataType.simpleString()}, text string")
+    return arrow(encoded.select("id", "ids"), run, f"id {encoded.schema['id'].dataType.simpleString()}, text string")
 
 
 def _sha(text: str) -> str:
@@ -382,4 +384,4 @@ def round_trip(docs: DataFrame, path: str, check_every: int = 16, with_ids: bool
                 out.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), flat))
             yield pa.RecordBatch.from_arrays(out, names=names + ["ids"] * with_ids)
 
-    return rows.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, library_agrees boolean" + ", ids array<int>" * with_ids)
+    return arrow(rows, run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, library_agrees boolean" + ", ids array<int>" * with_ids)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, utf8_bodies
+from .common import arrow, held_out, utf8_bodies
 
 #: Labelled rows that are learnt from at most (those with the smallest hashes of their ids), pairs in each step, steps,
 #: and the weight decay. All documents are scored, whatever the bound.
@@ -112,7 +112,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str =
     marks = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id"), 4, 2))
     few = marks.distinct().orderBy(F.xxhash64("id"), "id", "label").limit(sample)
     rows = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(few), "id").select("id", "label", "text")  # sample bounds few
-    got = rows.mapInArrow(_featurise, f"id {docs.schema['doc_id'].dataType.simpleString()}, label int, x array<float>").limit(2 * sample).toArrow()
+    got = arrow(rows, _featurise, f"id {docs.schema['doc_id'].dataType.simpleString()}, label int, x array<float>").limit(2 * sample).toArrow()
     x = np.array(got.column("x").to_pylist(), np.float32).reshape(-1, N_FEATURES)
     y = np.array(got.column("label").to_pylist(), np.int64)
     order = np.lexsort((*x.T[:4], y, np.array([hash(i) for i in got.column("id").to_pylist()], np.int64)))
@@ -139,7 +139,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep: bool =
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if keep else F.lit(None).cast("boolean")
     rows = docs.select(F.col("doc_id").alias("id"), row.alias("row"), F.col("text").alias("text"))
     schema = f"id {rows.schema['id'].dataType.simpleString()}, row {rows.schema['row'].dataType.simpleString()}, score double"
-    return rows.mapInArrow(_scorer(model), schema)
+    return arrow(rows, _scorer(model), schema)
 
 
 def good_only(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import utf8_bodies, words
+from .common import arrow, utf8_bodies, words
 from .graph import components
 
 #: The Golay code's length, covering radius and generator x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -63,7 +63,7 @@ def _fingerprints(shingle: int) -> Callable:
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text_key, fp) of every row; null and empty texts have fingerprint 0."""
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_fingerprints(shingle), f"id {docs.schema[id_col].dataType.simpleString()}, text_key long, fp long")
+    return arrow(rows, _fingerprints(shingle), f"id {docs.schema[id_col].dataType.simpleString()}, text_key long, fp long")
 
 
 def _remainder(x: int) -> int:
@@ -164,7 +164,7 @@ def links(points: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(a, b): a spanning set of the links between different fingerprints (column ``fp``, each once) that differ in at most
     ``max_bits`` bits. Every link is a path in it."""
     dealt = replicas(points, max_bits).repartition("anchor").sortWithinPartitions("anchor", "away", "fp")
-    return dealt.mapInArrow(_links(max_bits), "a long, b long").distinct()
+    return arrow(dealt, _links(max_bits), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

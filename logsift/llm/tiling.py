@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8_bodies
+from .common import arrow, utf8_bodies
 
 #: Shortest match in words, share of an item's words that its tiles must cover, and the bytes of benchmark text that
 #: go to the workers at a time (a larger benchmark is taken in slices of that size, one pass each).
@@ -171,7 +171,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MAT
     for k in range(slices):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k).orderBy("item_id", "text").collect()
         index = spark.sparkContext.broadcast(build_index([tuple(r) for r in part], min_match))
-        found.append(rows.mapInArrow(_matcher(index, min_coverage), schema))
+        found.append(arrow(rows, _matcher(index, min_coverage), schema))
     return reduce(DataFrame.unionByName, found)
 
 
