@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import arrow, utf8_bodies
 
@@ -420,4 +421,4 @@ def extract(pages: DataFrame, html_col: str = "html", model: Labeller | None = N
     rest = [F.col(f"`{c}`") for c in pages.columns if c != html_col]
     row = F.struct(*rest) if rest else F.struct(F.lit(1).alias("none"))
     rows = pages.select(row.alias("row"), F.col(html_col).alias("html"))
-    return arrow(rows, _extractor(share), f"row {rows.schema['row'].dataType.simpleString()}, main_text string, n_chars long")
+    return arrow(rows, _extractor(share), T.StructType([rows.schema["row"], T.StructField("main_text", T.StringType()), T.StructField("n_chars", T.LongType())]))

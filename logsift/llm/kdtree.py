@@ -97,7 +97,7 @@ class Tree:
             floor = max(least, best[0][0]) if len(best) == k else least
             able = np.flatnonzero((score >= floor) & (ids != query_id))
             if len(able) > k:  # of one leaf only its own best k can count
-                able = able[np.lexsort((ids[able], -score[able]))[:k]]
+                able = able[np.lexsort((ids[able], ~score[able]))[:k]]
             for i in able:
                 item = (int(score[i]), -int(ids[i]))
                 if len(best) < k:

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import arrow, held_out, utf8_bodies
 
@@ -138,8 +139,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep: bool =
     model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, sample))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if keep else F.lit(None).cast("boolean")
     rows = docs.select(F.col("doc_id").alias("id"), row.alias("row"), F.col("text").alias("text"))
-    schema = f"id {rows.schema['id'].dataType.simpleString()}, row {rows.schema['row'].dataType.simpleString()}, score double"
-    return arrow(rows, _scorer(model), schema)
+    return arrow(rows, _scorer(model), T.StructType([rows.schema["id"], rows.schema["row"], T.StructField("score", T.DoubleType())]))
 
 
 def good_only(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
