@@ -91,6 +91,8 @@ def seeds(index: Index, body: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def maximal_matches(i: np.ndarray, j: np.ndarray, min_match: int) -> list[tuple[int, int, int]]:
     """(place in the document, place in the item, words) of the longest runs of seeds along a diagonal."""
+    if not len(i):
+        return []
     order = np.lexsort((i, i - j))
     i, j = i[order], j[order]
     breaks = np.flatnonzero(np.r_[True, (np.diff(i) != 1) | (np.diff(j) != 1)])
