@@ -39,6 +39,26 @@ def fmt3(x) -> Column:
     return F.format_string("%.3f", F.round(_c(x) * 1000) / 1000)
 
 
+def mean6(x) -> Column:
+    """Mean of scores of 6 places, rounded half away from zero to 6 places.
+
+    The sum is one of whole millionths, so neither it nor a tie depends on the order of addition.
+    """
+    total = F.sum(F.round(_c(x) * 1_000_000).cast("bigint"))
+    n = F.count(_c(x))
+    half = F.abs(total) * 2 + n
+    return F.signum(total.cast("double")) * (half - half % (n * 2)) / (n * 2) / F.lit(1_000_000.0) + F.lit(0.0)
+
+
+def level_bound(score, levels=LEVELS) -> Column:
+    """O-A2: the upper bound of the level that a score falls in (null when none applies)."""
+    s = _c(score)
+    out = None
+    for _, bound in levels:
+        out = F.when(s <= bound, F.lit(bound)) if out is None else out.when(s <= bound, F.lit(bound))
+    return out
+
+
 def clamp(x, lo=0.0, hi=100.0) -> Column:
     return F.greatest(F.lit(lo), F.least(F.lit(hi), x))
 

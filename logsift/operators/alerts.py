@@ -107,6 +107,12 @@ def recent_alerts(alerts: DataFrame, limit: int = 50, level: str | None = None)
     return last.filter(F.col("level") == level) if level else last
 
 
+def threshold_table(spark, levels=DEFAULT.levels):
+    """O-A2: the alert thresholds, most severe first: (rank, level, upper_bound)."""
+    return spark.createDataFrame([(i, n, float(b)) for i, (n, b) in enumerate(sorted(levels, key=lambda x: x[1]))],
+                                 "rank int, level string, upper_bound double")
+
+
 def alert_stats(alerts: DataFrame, as_of) -> DataFrame:
     """O-A7: count per level and in total (level null), and how many are younger than
     24 h at ``as_of``; suppressed alerts are included."""

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions.lines import is_error_line
-from ..functions.scores import health_score, prediction
+from ..functions.scores import health_score, mean6, prediction
 
 SERVER = "server_id"
 ORDER = ("ts", "window_id")
@@ -125,7 +125,8 @@ def root_cause(counts: DataFrame, templates: DataFrame | None = None, top_n: int
     """
     c = counts.filter(F.col("cnt") > 0)
     if templates is not None:
-        names = templates.select("event_id", F.col("event_template").alias("_name"))
+        # the mined table has a row per shape: an event of several shapes is named once
+        names = templates.select("event_id", F.col("event_template").alias("_name")).distinct()
         c = c.join(names, "event_id", "left")
     else:
         c = c.withColumn("_name", F.lit(None).cast("string"))
@@ -165,13 +166,13 @@ def history_tail(df: DataFrame, n: int = DEFAULT.history_points) -> DataFrame:
 
 
 def kpis(df: DataFrame) -> DataFrame:
-    """O-A20: latest, mean, anomaly count/rate, peak and sample count per server."""
+    """O-A20: latest, mean (to 6 places), anomaly count/rate, peak and sample count per server."""
     s = F.col("score")
     n = F.count(F.lit(1))
     anomalies = F.count_if(s < 0)
     return df.groupBy(SERVER).agg(
         F.max_by(s, F.struct(*[F.col(c) for c in ORDER])).alias("latest_score"),
-        F.avg(s).alias("avg_score"),
+        mean6(s).alias("avg_score"),
         anomalies.alias("anomaly_count"),
         (anomalies / n).alias("anomaly_rate"),
         F.max(s).alias("peak_score"),
@@ -199,6 +200,14 @@ def forecast(df: DataFrame, n: int = 10) -> DataFrame:
     return steps.select(SERVER, xs.cast("bigint").alias("step"), val.alias("forecast"))
 
 
+def score_timeline(df: DataFrame, n: int = 10) -> DataFrame:
+    """O-A21: the history of each server and its forecast as one tagged series.
+
+    Output (server_id, step, kind, score): kind ``history`` for steps 0 … length - 1, then ``forecast``."""
+    past = df.select(SERVER, (F.row_number().over(_ordered()) - 1).cast("bigint").alias("step"), F.lit("history").alias("kind"), "score")
+    return past.unionByName(forecast(df, n).select(SERVER, "step", F.lit("forecast").alias("kind"), F.col("forecast").alias("score")))
+
+
 def score_histogram(df: DataFrame, bins: int = 10) -> DataFrame:
     """O-A22: equal-width bins between a server's min and max, right-closed, the minimum in
     bin 1; empty bins are listed with 0. Output (server_id, bin, lo, hi, cnt)."""
@@ -228,14 +237,13 @@ def rolling_anomaly_rate(df: DataFrame, window: int = 20) -> DataFrame:
 def top_events(structured: DataFrame, n: int = 10, event: str = "event_id") -> DataFrame:
     """O-A24: the ``n`` most frequent events (ties by id) and the total row count.
 
-    Counting is a partial aggregate; the top-n is a take-ordered over the (vocabulary-sized)
-    counts, and the total is a sum over those same counts.
+    Counting is a partial aggregate and the top-n a take-ordered over the counts; the total is
+    a scalar of its own, so no task ever holds all distinct events.
     """
+    total = structured.count()
     counts = structured.groupBy(F.col(event).cast("string").alias("event_id")).agg(
         F.count(F.lit(1)).alias("cnt"))
-    # one row per distinct event: a single-partition window over it stays small
-    with_total = counts.withColumn("total_rows", F.sum("cnt").over(Window.partitionBy()))
-    return with_total.orderBy(F.col("cnt").desc(), F.col("event_id")).limit(n)
+    return counts.withColumn("total_rows", F.lit(total).cast("bigint")).orderBy(F.col("cnt").desc(), F.col("event_id")).limit(n)
 
 
 # ---------------------------------------------------------------- combined report (A25, A26)

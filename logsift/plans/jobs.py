@@ -21,12 +21,12 @@ from ..operators import monitoring as M
 from ..operators.ensemble import ae_threshold
 from ..operators.scaler import fit_scaler, scale_vectors
 from ..operators import features as FE
-from ..session import balanced, materialize, scratch_path, table
+from ..session import balanced, materialize, path_kind, scratch_path, table
 from ..sources import text as TX
 from ..streaming import logs as ST
 from . import stages as P
 from . import sql as Q
-from .registry import INGEST, lines, minute_counts, r6, scores, ts_text
+from .registry import INGEST, SQL_ALERTS_LONG, SQL_LENIENT_CSV, lines, minute_counts, r6, scores, ts_text
 
 KEYS = ["server_id", "window_id"]
 
@@ -94,9 +94,9 @@ def q_train_job(spark, sf):
 
 def q_model_roundtrip(spark, sf):
     """O-S9: save the trained model, load it back and score again (forest only and full)."""
-    s, _ = _structured(spark, sf, Params(epochs=5))
+    s, _ = _structured(spark, sf)
     counts = P.window_counts(s).persist()
-    model = P.train_models(counts, Params(epochs=5))
+    model = P.train_models(counts)
     path = _scratch(spark, "model")
     P.save_model(spark, model, path)
     back = P.load_model(spark, path)
@@ -121,6 +121,12 @@ def q_ingest_job(spark, sf):
                           F.lit(first).alias("appended_first"), F.lit(again).alias("appended_again"))
 
 
+SQL_INGEST_JOB = Q.with_(Q.LOG_LINES, Q.PROCESSED, Q.SIGNED, Q.MINED, Q.STRUCTURED) + """
+select 'external_structured_20240201T000000Z' as ingest_id, 'external' as source, 'driver' as uploader, count(*) as "rows",
+  cast(count(distinct (raw_log, event_id, event_template, ets)) as integer) as appended_first, cast(0 as integer) as appended_again
+from structured"""
+
+
 def q_provenance_preview(spark, sf):
     """O-S8: the first 50 structured rows of an ingest (partition-pruned read)."""
     root = _scratch(spark, "ingest")
@@ -129,6 +135,10 @@ def q_provenance_preview(spark, sf):
     return TX.preview(spark, root, meta["ingest_id"], 50).select("line_no", "raw_log", "event_id")
 
 
+SQL_PROVENANCE_PREVIEW = Q.with_(Q.LOG_LINES, Q.PROCESSED, Q.SIGNED, Q.MINED, Q.STRUCTURED) + """
+select line_no, raw_log, event_id from structured order by line_no limit 50"""
+
+
 def q_provenance(spark, sf):
     """O-S6/S7: two ingests of the log lines (by server half) and the provenance listing."""
     root = _scratch(spark, "ingest")
@@ -140,22 +150,45 @@ def q_provenance(spark, sf):
     return TX.list_provenance(spark, root, 20).select("ingest_id", "source", "uploader", "rows")
 
 
+SQL_PROVENANCE = Q.with_(Q.LOG_LINES, Q.PROCESSED, Q.SIGNED, Q.MINED, Q.STRUCTURED) + """
+select 'half' || half || '_structured_20240201T0' || half || '0000Z' as ingest_id, 'half' || half as source, 'driver' as uploader,
+  count(*) as "rows" from (select *, case when server_id <= 'server-3' then '0' else '1' end as half from structured) group by half"""
+
+
 def q_live_snapshot(spark, sf):
-    """O-A25: latest score, diagnosis, last 20 lines and indexed history per server."""
+    """O-A25: latest score, diagnosis, last 20 lines (newest first) and indexed history per server, lists as text."""
     snap = M.live_snapshot(scores(spark, sf), lines(spark, sf), 20, 1000)
-    return snap.select("server_id", "score", "diagnosis", F.size("recent_logs").alias("n_logs"),
-                       F.get("recent_logs", 0).alias("newest_log"), F.size("history").alias("n_history"))
+    history = F.transform("history", lambda h: F.concat_ws(":", h["idx"].cast("string"), F.format_string("%.6f", h["score"])))
+    return snap.select("server_id", "score", "diagnosis", F.array_join("recent_logs", "\n").alias("recent_logs"),
+                       F.array_join(history, " ").alias("history"))
+
+
+SQL_LIVE_SNAPSHOT = Q.with_(Q.SCORES, Q.LOG_LINES, """recent as (
+  select server_id, string_agg(raw_log, chr(10) order by r) as recent_logs from (
+    select *, row_number() over (partition by server_id order by ts desc, line_no desc) as r from log_lines) where r <= 20 group by 1),
+hist as (
+  select server_id, string_agg(cast(idx as varchar) || ':' || printf('%.6f', score), ' ' order by idx) as history from (
+    select *, row_number() over (partition by server_id order by ts, window_id) - 1 as idx,
+      row_number() over (partition by server_id order by ts desc, window_id desc) as r from scores) where r <= 1000 group by 1)""") + """
+select server_id, arg_max(score, ts) as score,
+  case when arg_max(prediction, ts) = -1 then 'CRITICAL' else 'Healthy' end as diagnosis,
+  any_value(recent_logs) as recent_logs, any_value(history) as history
+from scores left join recent using (server_id) left join hist using (server_id) group by 1"""
 
 
 def _events_stream(spark, sf):
     ev = table(spark, sf, "events")
-    src = spark.readStream.schema(ev.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    path = f"{sf}/events.parquet"
+    stream = spark.readStream.schema(ev.schema)
+    if path_kind(spark, path) == "dir":  # a table of part files
+        src = stream.parquet(path)
+    else:  # one file: a file source reads its folder
+        src = stream.option("pathGlobFilter", "events.parquet").parquet(sf)
     # a far-future row moves the watermark past every real window so all of them close
-    sentinel_dir = _scratch(spark, "sentinel")
+    closing = _scratch(spark, "closing")
     spark.sql("select -1L as event_id, timestamp_ntz'2100-01-01 00:00:00' as ts, -1L as user_id, "
-              "'sentinel' as event_type, 0.0D as value, '' as props").write.parquet(sentinel_dir)
-    sent = spark.readStream.schema(ev.schema).parquet(sentinel_dir)
-    return src.unionByName(sent)
+              "'closing' as event_type, 0.0D as value, '' as props").write.parquet(closing)
+    return src.unionByName(spark.readStream.schema(ev.schema).parquet(closing))
 
 
 def q_stream_window_counts(spark, sf):
@@ -166,7 +199,7 @@ def q_stream_window_counts(spark, sf):
     counts = ST.stream_window_counts(ev, 60, "10 minutes")
     out, ck = _scratch(spark, "w3"), _scratch(spark, "w3-ckpt")
     ST.run_to_table(counts, out, ck)
-    res = spark.read.parquet(out).filter(F.col("event_id") != "sentinel")
+    res = spark.read.parquet(out).filter(F.col("event_id") != "closing")
     return res.select("server_id", ts_text("window_start").alias("window_start"), "event_id", "cnt")
 
 
@@ -202,16 +235,16 @@ def q_alerts_stream(spark, sf, throttle=43200, suppress=172800):
 def q_score_stream(spark, sf):
     """O-M10: log lines written as rolled text files per server and day, streamed, windowed
     and scored with a model trained in batch on the same lines."""
-    s, templates = _structured(spark, sf, Params(epochs=5))
+    s, templates = _structured(spark, sf)
     templates = templates.persist()
     counts = P.window_counts(s)
-    model = P.train_models(counts, Params(epochs=5))
+    model = P.train_models(counts)
     src = _scratch(spark, "logs")
     lines(spark, sf).select("server_id", F.to_date("ts").alias("day"), "raw_log") \
-        .repartition("server_id", "day").write.partitionBy("server_id", "day").text(src)
-    # sentinel file far in the future closes every real window
-    spark.createDataFrame([("server-sentinel", "2100-01-01T00:00:00 sentinel line")], "server_id string, raw_log string") \
-        .select("raw_log").write.text(f"{src}/server_id=server-sentinel/day=2100-01-01")
+        .write.partitionBy("server_id", "day").text(src)
+    # a line far in the future closes every real window
+    spark.createDataFrame([("2100-01-01T00:00:00 closing line",)], "raw_log string") \
+        .write.text(f"{src}/server_id=server-closing/day=2100-01-01")
     stream = ST.stream_logs(spark, src, recursive=True).select(
         F.regexp_extract("file", r"server_id=([^/]+)", 1).alias("server_id"), "raw_log")
     out, ck = _scratch(spark, "m10"), _scratch(spark, "m10-ckpt")
@@ -276,6 +309,10 @@ def q_structured_csv(spark, sf):
     return back.select("raw_log", "event_id", "event_template", "ts")
 
 
+SQL_STRUCTURED_CSV = Q.with_(Q.LOG_LINES, Q.PROCESSED, Q.SIGNED, Q.MINED, Q.STRUCTURED) + f"""
+select raw_log, event_id, event_template, {Q.ts_text('ets')} as ts from structured"""
+
+
 def q_lenient_files(spark, sf):
     """O-S4 on files: comma-joined structured rows (commas inside the text) with a header,
     parsed by splitting from the right."""
@@ -284,24 +321,29 @@ def q_lenient_files(spark, sf):
     body = _csv_text(spark, sf).select("value")
     header = spark.createDataFrame([(TX.HEADER,)], "value string")
     header.unionByName(body).write.text(path)
-    return TX.read_structured_lenient(spark, path)
+    back = TX.read_structured_lenient(spark, path)
+    return back.select("raw_log", "event_id", "event_template", ts_text("ts").alias("ts"))
+
+
+SQL_LENIENT_FILES = f"""
+select raw_log, event_id, event_template, {Q.ts_text("try_strptime(ts_text, '%Y-%m-%dT%H:%M:%S')")} as ts from ({SQL_LENIENT_CSV})"""
 
 
 JOBS = {
     "read_logs": (q_read_logs, SQL_READ_LOGS),
-    "structured_csv": (q_structured_csv, None),
-    "lenient_files": (q_lenient_files, None),
+    "structured_csv": (q_structured_csv, SQL_STRUCTURED_CSV),
+    "lenient_files": (q_lenient_files, SQL_LENIENT_FILES),
     "forest_scores": (q_forest_scores, None),
     "forest_scores_embeddings": (q_forest_scores_embeddings, None),
     "ae_scores": (q_ae_scores, None),
     "train_job": (q_train_job, None),
     "model_roundtrip": (q_model_roundtrip, None),
-    "ingest_job": (q_ingest_job, None),
-    "provenance": (q_provenance, None),
-    "provenance_preview": (q_provenance_preview, None),
-    "live_snapshot": (q_live_snapshot, None),
+    "ingest_job": (q_ingest_job, SQL_INGEST_JOB),
+    "provenance": (q_provenance, SQL_PROVENANCE),
+    "provenance_preview": (q_provenance_preview, SQL_PROVENANCE_PREVIEW),
+    "live_snapshot": (q_live_snapshot, SQL_LIVE_SNAPSHOT),
     "stream_window_counts": (q_stream_window_counts, SQL_STREAM_WINDOW_COUNTS),
-    "alerts_stream": (q_alerts_stream, None),
+    "alerts_stream": (q_alerts_stream, SQL_ALERTS_LONG),
     "score_stream": (q_score_stream, None),
     "alerts_with_causes": (q_alerts_with_causes, None),
 }

@@ -90,7 +90,7 @@ def q_mask_log_lines(spark, sf):
 
 
 SQL_MASK_LOG_LINES = Q.with_(Q.LOG_LINES) + f"""
-select line_no, server_id, {Q.mask('raw_log')} as masked from log_lines"""
+select line_no, server_id, {Q.mask(Q.ensure_timestamp('raw_log'))} as masked from log_lines"""
 
 
 def _variants_spark(raw, ts):
@@ -228,12 +228,9 @@ def q_templates(spark, sf):
     return TM.mine_templates(TM.signatures(clean_lines(spark, sf)))
 
 
-# every shape of the rendered log lines is alone in its (length, first token) bucket, so
-# the miner must return each shape as its own template
-SQL_TEMPLATES = Q.with_(Q.LOG_LINES, Q.CLEAN, Q.SIGNED) + """
-select n_tokens, first_token, signature, count(*) as support, signature as event_template,
-       substr(md5(signature), 1, 16) as event_id
-from signed group by 1, 2, 3"""
+SQL_TEMPLATES = Q.with_(Q.LOG_LINES, Q.CLEAN, Q.SIGNED, Q.MINED) + """
+select n_tokens, first_token, signature, count(*) as support, event_template, event_id
+from assigned group by n_tokens, first_token, signature, event_template, event_id"""
 
 
 def q_doc_templates(spark, sf):
@@ -247,9 +244,8 @@ def q_assigned_templates(spark, sf):
     return TM.assign_templates(c, t).select("line_no", "server_id", "raw_log", "event_id", "event_template")
 
 
-# on these lines every shape is its own template, so the oracle names events by shape
-SQL_ASSIGNED_TEMPLATES = Q.with_(Q.LOG_LINES, Q.CLEAN, Q.SIGNED) + """
-select line_no, server_id, raw_log, substr(md5(signature), 1, 16) as event_id, signature as event_template from signed"""
+SQL_ASSIGNED_TEMPLATES = Q.with_(Q.LOG_LINES, Q.CLEAN, Q.SIGNED, Q.MINED) + """
+select line_no, server_id, raw_log, event_id, event_template from assigned"""
 
 
 # ------------------------------------------------------------------ §2.4 sanitise
@@ -455,11 +451,17 @@ select server_id, window_id, {Q.ts_text('ts')} as ts, score, {Q.level('score')}
 def q_risk_levels(spark, sf):
     """O-A2: risk level per score (thresholds as for alerts, LOW when none applies)."""
     s = scores(spark, sf)
-    return s.select("server_id", "window_id", "score", S.risk_level("score").alias("risk_level"))
+    bounds = A.threshold_table(spark).select(F.col("level").alias("risk_level"), F.col("rank").cast("bigint").alias("severity"),
+                                             F.col("upper_bound").alias("bound"))  # four rows
+    x = s.select("server_id", "window_id", "score", S.risk_level("score").alias("risk_level"))
+    return x.join(F.broadcast(bounds), "risk_level")
 
 
 SQL_RISK_LEVELS = Q.with_(Q.SCORES) + f"""
-select server_id, window_id, score, {Q.level('score', 'LOW')} as risk_level from scores"""
+select server_id, window_id, score, risk_level, severity, bound
+from (select server_id, window_id, score, {Q.level('score', 'LOW')} as risk_level from scores) join
+  (select unnest(['CRITICAL', 'HIGH', 'MEDIUM', 'LOW']) as risk_level, unnest([0, 1, 2, 3])::bigint as severity,
+          unnest([-0.9, -0.7, -0.5, -0.3])::double as bound) using (risk_level)"""
 
 
 def _alerts(spark, sf, throttle=300, suppress=3600):
@@ -645,9 +647,9 @@ def q_root_cause(spark, sf):
     return M.root_cause(counts, t, top_n=5)
 
 
-SQL_ROOT_CAUSE = Q.with_(Q.LOG_LINES, Q.CLEAN, Q.SIGNED, """t0 as (select min(ts) as t0 from signed),
+SQL_ROOT_CAUSE = Q.with_(Q.LOG_LINES, Q.CLEAN, Q.SIGNED, Q.MINED, """t0 as (select min(ts) as t0 from signed),
 cc as (select server_id, cast((epoch_us(ts) - epoch_us(t0)) // 3600000000 as bigint) as window_id,
-  substr(md5(signature), 1, 16) as event_id, signature as cause, count(*) as cnt from signed, t0 group by all)""") + """
+  event_id, event_template as cause, count(*) as cnt from assigned, t0 group by all)""") + """
 select * from (select server_id, window_id,
   row_number() over (partition by server_id, window_id order by cnt desc, event_id) as rank, event_id, cause, cnt from cc)
 where rank <= 5"""
@@ -675,28 +677,33 @@ select server_id, cast(count(*) over (partition by server_id) - r as bigint) as
 
 def q_kpis(spark, sf):
     k = M.kpis(scores(spark, sf))
-    return k.select("server_id", "latest_score", r6("avg_score").alias("avg_score"), "anomaly_count",
+    return k.select("server_id", "latest_score", "avg_score", "anomaly_count",
                     r6("anomaly_rate").alias("anomaly_rate"), "peak_score", "samples")
 
 
 SQL_KPIS = Q.with_(Q.SCORES) + """
-select server_id, arg_max(score, ts) as latest_score, 0.0 + round(avg(score), 6) as avg_score,
+select server_id, arg_max(score, ts) as latest_score,
+  sign(sum(micro)) * ((2 * abs(sum(micro)) + count(*)) // (2 * count(*))) / 1000000.0::double + 0.0 as avg_score,
   count(*) filter (where score < 0) as anomaly_count, 0.0 + round(count(*) filter (where score < 0) / count(*), 6) as anomaly_rate,
-  max(score) as peak_score, count(*) as samples from scores group by 1"""
+  max(score) as peak_score, count(*) as samples
+from (select *, cast(round(score * 1000000) as bigint) as micro from scores) group by 1"""
 
 
 def q_forecast(spark, sf):
-    f = M.forecast(scores(spark, sf), 10)
-    return f.select("server_id", "step", r6("forecast").alias("forecast"))
+    """O-A21: history and forecast of every server in one tagged series."""
+    f = M.score_timeline(scores(spark, sf), 10)
+    return f.select("server_id", "step", "kind", r6("score").alias("score"))
 
 
 SQL_FORECAST = Q.with_(Q.SCORES, """x as (select server_id, score,
   cast(row_number() over (partition by server_id order by ts, window_id) - 1 as double) as x from scores),
 fit as (select server_id, regr_slope(score, x) as slope, regr_intercept(score, x) as icp, count(*) as k,
   arg_max(score, x) as last from x group by 1)""") + """
-select server_id, cast(k + i as bigint) as step,
-  0.0 + round(case when k < 3 then last else icp + slope * (k + i) end, 6) as forecast
-from fit, (select unnest(range(10)) as i)"""
+select server_id, cast(k + i as bigint) as step, 'forecast' as kind,
+  0.0 + round(case when k < 3 then last else icp + slope * (k + i) end, 6) as score
+from fit, (select unnest(range(10)) as i)
+union all
+select server_id, cast(x as bigint), 'history', 0.0 + round(score, 6) from x"""
 
 
 def q_score_histogram(spark, sf):
@@ -746,9 +753,9 @@ def q_score_report(spark, sf):
                     "diagnosis", F.array_join("root_cause", " | ").alias("root_cause"))
 
 
-SQL_SCORE_REPORT = Q.with_(Q.SCORES, SQL_RISK, SQL_ACTIVITY, SQL_HEALTH_CORE, Q.CLEAN, Q.SIGNED, """cc as (
-  select server_id, cast(epoch_us(ts) // 21600000000 as bigint) as window_id, substr(md5(signature), 1, 16) as event_id,
-         signature as cause, count(*) as cnt from signed group by all),
+SQL_SCORE_REPORT = Q.with_(Q.SCORES, SQL_RISK, SQL_ACTIVITY, SQL_HEALTH_CORE, Q.CLEAN, Q.SIGNED, Q.MINED, """cc as (
+  select server_id, cast(epoch_us(ts) // 21600000000 as bigint) as window_id, event_id,
+         event_template as cause, count(*) as cnt from assigned group by all),
 rc as (select server_id, window_id, string_agg(cause, ' | ' order by rank) as root_cause from (
   select *, row_number() over (partition by server_id, window_id order by cnt desc, event_id) as rank from cc)
   where rank <= 3 group by 1, 2)""") + f"""

@@ -35,6 +35,15 @@ def mask(c: str) -> str:
 NOISE = "(?i)" + "|".join(NOISE_PATTERNS)
 
 
+def has_timestamp(c: str) -> str:
+    forms = (r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}", r"\d{2}/\d{2}/\d{4} \d{2}:\d{2}:\d{2}", r"\d{13}", r"\d{10}")
+    return "regexp_matches(" + c + ", '" + "|".join(forms) + "')"
+
+
+def ensure_timestamp(c: str, ingest: str = INGEST) -> str:
+    return f"case when {has_timestamp(c)} then {c} else '{ingest.replace(' ', 'T')} ' || {c} end"
+
+
 def is_noise(c: str) -> str:
     return f"regexp_matches({c}, '{NOISE}')"
 
@@ -69,20 +78,30 @@ def event_time(c: str, ingest: str | None = INGEST) -> str:
     return "coalesce(" + ", ".join(parts) + ")"
 
 
-LOG_LINES = """log_lines as (
+LOG_LINES = """rendered as (
+  select event_id, ts, user_id, event_type,
+    (['amber', 'birch', 'cedar', 'delta', 'ember', 'flint', 'grove'])[event_id % 7 + 1] as word,
+    (['north', 'south', 'east', 'west', 'core'])[user_id % 5 + 1] as zone,
+    case event_type when 'signup' then 'signup' when 'click' then 'click' when 'purchase' then 'purchase'
+      when 'view' then 'view' || cast(event_id % 3 as varchar) else 'other' || cast(event_id % 4 as varchar) end as kind
+  from events),
+log_lines as (
   select event_id as line_no, ts, 'server-' || cast(user_id % 8 as varchar) as server_id,
-    strftime(ts, '%Y-%m-%dT%H:%M:%S') || ' ' || case event_type
-     when 'signup' then 'INFO: User login successful from IP 192.168.1.' || cast(event_id % 255 + 1 as varchar) || ' login:  u' || cast(user_id as varchar)
-     when 'click' then 'INFO: Data packet sent to block_id_' || cast(event_id % 255 + 1 as varchar) || ' size 500'
-     when 'purchase' then 'WARN: Connection delay detected at node_' || cast(event_id % 255 + 1 as varchar) || ' notify ops' || cast(user_id as varchar) || '@example.com'
-     when 'view' then 'INFO: Health check passed for service_' || cast(event_id % 255 + 1 as varchar)
-     else case event_id % 4
-       when 0 then 'ERROR: Buffer Overflow exception in memory block ' || cast(100 + event_id % 900 as varchar)
-       when 1 then 'FATAL: Database connection refused from IP 0.0.0.0'
-       when 2 then 'CRITICAL: Unidentified protocol packet received'
-       else 'SECURITY: Multiple failed login attempts (Brute Force)' end end as raw_log,
-    event_type
-  from events)"""
+    case when kind = 'view2' or event_id % 9 = 0 then '' else strftime(ts, '%Y-%m-%dT%H:%M:%S') || ' ' end || case kind
+      when 'signup' then 'INFO account opened for tenant ' || word || ' in zone ' || zone || ' by login: u' || cast(user_id as varchar)
+      when 'click' then 'INFO request served by worker ' || word || ' from 10.1.2.' || cast(event_id % 250 + 1 as varchar)
+        || ' after ' || cast(event_id % 90 as varchar) || ' ms total'
+      when 'purchase' then 'WARN slow payment at gateway ' || zone || ' contact ops' || cast(user_id as varchar) || '@example.com'
+      when 'view2' then '[page view traced by ' || word || ']'
+      when 'view1' then 'DEBUG cron says that a scheduled scan of ' || zone || ' ended'
+      when 'view0' then 'DEBUG health of service ' || word || ' on check ' || cast(event_id % 100 as varchar)
+      when 'other0' then 'ERROR buffer of node ' || word || ' lost ' || cast(100 + event_id % 900 as varchar) || ' frames'
+      when 'other1' then 'FATAL store ' || zone || ' refused a link from 172.16.0.' || cast(user_id % 200 + 1 as varchar)
+      when 'other2' then 'CRITICAL unknown frame kind ' || word || ' seen at port ' || cast(event_id % 64 as varchar)
+      else 'SECURITY wrong key ' || repeat('k', 32) || cast(event_id % 10 as varchar) || ' sent for user: u' || cast(user_id as varchar)
+      end as raw_log,
+    event_type, kind
+  from rendered)"""
 
 DOC_LINES = """doc_lines as (
   select doc_id, source, unnest(range(len(string_split(text, chr(10))))) as line_idx,
@@ -102,13 +121,34 @@ scores as (
 
 # processed lines: masked, noise removed (the input of mining)
 CLEAN = """clean as (
-  select line_no, ts, server_id, """ + mask("raw_log") + """ as raw_log from log_lines
+  select line_no, ts, server_id, kind, """ + mask("raw_log") + """ as raw_log from log_lines
   where not """ + is_noise(mask("raw_log")) + """)"""
 
 SIGNED = """signed as (
   select *, array_to_string(tok, ' ') as signature, len(tok) as n_tokens, tok[1] as first_token
   from (select *, """ + sig_tokens("raw_log") + """ as tok from clean))"""
 
+# The shapes of one kind of line share all but their varying words and merge into one template;
+# kinds are unlike each other and do not. So a template has '<*>' wherever its kind's shapes differ.
+MINED = """parts as (
+  select distinct kind, pos, token from (
+    select kind, generate_subscripts(tok, 1) as pos, unnest(tok) as token from signed)),
+mined as (
+  select kind, string_agg(token, ' ' order by pos) as event_template from (
+    select kind, pos, case when count(*) = 1 then min(token) else '<*>' end as token from parts group by 1, 2) group by 1),
+assigned as (
+  select signed.*, event_template, substr(md5(event_template), 1, 16) as event_id from signed join mined using (kind))"""
+
+# Lines as ingested: time ensured, masked, noise dropped, first of each (line, event) kept.
+PROCESSED = """clean as (
+  select line_no, ts, server_id, kind, n as raw_log from (
+    select *, """ + mask(ensure_timestamp("raw_log")) + """ as n from log_lines)
+  where not """ + is_noise("n") + """)"""
+
+STRUCTURED = """structured as (
+  select line_no, server_id, raw_log, event_id, event_template, """ + event_time("raw_log") + """ as ets from (
+    select *, row_number() over (partition by raw_log, event_id order by line_no) as rn from assigned) where rn = 1)"""
+
 MINUTE_COUNTS = """ev as (select 'server-' || cast(user_id % 8 as varchar) as server_id, ts, event_type as event_id from events),
 t0 as (select min(ts) as t0 from ev),
 win as (select ev.*, cast((epoch_us(ts) - epoch_us(t0)) // 60000000 as bigint) as window_id from ev, t0),

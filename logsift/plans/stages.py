@@ -24,7 +24,7 @@ from ..operators import sanitize as D
 from ..operators import templates as TM
 from ..operators import windows as W
 from ..operators.scaler import fit_scaler, scale_vectors
-from ..session import balanced
+from ..session import balanced, path_kind
 
 KEYS = ["server_id", "window_id"]
 
@@ -148,9 +148,10 @@ def load_model(spark: SparkSession, path: str) -> Model:
     model = Model(vocab=meta["vocab"], scaler=[tuple(s) for s in meta["scaler"]], forest_nodes=nodes,
                   psi=meta["psi"], offset=meta["offset"], w_if=meta["w_if"], w_ae=meta["w_ae"],
                   info=meta.get("info", {}))
-    try:
-        w = spark.read.parquet(os.path.join(path, "ae_weights")).first()["w"]
-        model.ae = {"dims": meta["ae_dims"], "weights": np.asarray(w), "threshold": meta["ae_threshold"]}
-    except Exception:  # no autoencoder saved: it keeps weight 0
+    weights = os.path.join(path, "ae_weights")
+    if path_kind(spark, weights) is None:  # no autoencoder saved: it keeps weight 0
         model.ae, model.w_ae = None, 0.0
+    else:
+        w = spark.read.parquet(weights).first()["w"]
+        model.ae = {"dims": meta["ae_dims"], "weights": np.asarray(w), "threshold": meta["ae_threshold"]}
     return model

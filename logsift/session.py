@@ -42,11 +42,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts.
 
     On a cluster ``spark.checkpoint.dir`` names a shared, durable folder and is used
-    as is. Only when it is unset (local runs, tests) a scratch folder is made.
+    as is; without it there is no folder that every executor sees, and this raises. Only with a
+    local master (tests) a scratch folder is made.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="logsift-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -54,6 +57,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def path_kind(spark: SparkSession, path: str) -> str | None:
+    """``dir``, ``file`` or None where nothing is there; any other failure is raised."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return None
+    return "dir" if fs.getFileStatus(p).isDirectory() else "file"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.lines import is_nonblank, strip_ws
+from ..session import path_kind
 
 STRUCTURED_COLUMNS = ("raw_log", "event_id", "event_template", "ts")
 HEADER = "Raw_Log,Event_ID,Event_Template,Timestamp"
@@ -110,11 +111,10 @@ def append_structured(df: DataFrame, table_path: str, ingest_date: str | None =
     """
     spark = df.sparkSession
     date = ingest_date or dt.date.today().isoformat()
-    try:
-        existing = spark.read.parquet(table_path)
-        rows = new_rows(existing, df)
-    except Exception:  # first write: no table yet
+    if path_kind(spark, table_path) is None:  # first write
         rows = conform(df).dropDuplicates()
+    else:
+        rows = new_rows(spark.read.parquet(table_path), df)
     from pyspark.sql import Observation
     obs = Observation("append")
     rows = rows.withColumn("ingest_date", F.lit(date)).observe(obs, F.count(F.lit(1)).alias("rows"))

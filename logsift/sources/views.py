@@ -17,33 +17,42 @@ def _s(c):
     return c.cast("string")
 
 
+WORDS = ("amber", "birch", "cedar", "delta", "ember", "flint", "grove")
+ZONES = ("north", "south", "east", "west", "core")
+
+
+def _word(words, i):
+    return F.element_at(F.array(*[F.lit(w) for w in words]), (i % len(words) + 1).cast("int"))
+
+
 def log_lines(events: DataFrame) -> DataFrame:
-    """(line_no, ts, server_id, raw_log) rendered from ``events`` (one line per event)."""
+    """(line_no, ts, server_id, raw_log) rendered from ``events`` (one line per event).
+
+    What the operators need is in them: alphabetic words that vary (templates must merge),
+    kinds of one length and first word that must not, things to mask, noise of three forms,
+    lines without any time (every ninth, and those in brackets) and, among them, repeats.
+    """
     eid, uid = F.col("event_id"), F.col("user_id")
-    k = _s(eid % 255 + 1)
-    # fixed message texts per event type
-    msg = (F.when(F.col("event_type") == "signup",
-                  F.concat(F.lit("INFO: User login successful from IP 192.168.1."), k,
-                           F.lit(" login:  u"), _s(uid)))
-            .when(F.col("event_type") == "click",
-                  F.concat(F.lit("INFO: Data packet sent to block_id_"), k, F.lit(" size 500")))
-            .when(F.col("event_type") == "purchase",
-                  F.concat(F.lit("WARN: Connection delay detected at node_"), k,
-                           F.lit(" notify ops"), _s(uid), F.lit("@example.com")))
-            .when(F.col("event_type") == "view",
-                  F.concat(F.lit("INFO: Health check passed for service_"), k))
-            .otherwise(
-                F.when(eid % 4 == 0,
-                       F.concat(F.lit("ERROR: Buffer Overflow exception in memory block "),
-                                _s(100 + eid % 900)))
-                 .when(eid % 4 == 1, F.lit("FATAL: Database connection refused from IP 0.0.0.0"))
-                 .when(eid % 4 == 2, F.lit("CRITICAL: Unidentified protocol packet received"))
-                 .otherwise(F.lit("SECURITY: Multiple failed login attempts (Brute Force)"))))
+    word, zone = _word(WORDS, eid), _word(ZONES, uid)
+    join = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    kind = F.col("event_type")
+    bracket = (kind == "view") & (eid % 3 == 2)
+    msg = (F.when(kind == "signup", join("INFO account opened for tenant ", word, " in zone ", zone, " by login: u", _s(uid)))
+            .when(kind == "click", join("INFO request served by worker ", word, " from 10.1.2.", _s(eid % 250 + 1), " after ", _s(eid % 90), " ms total"))
+            .when(kind == "purchase", join("WARN slow payment at gateway ", zone, " contact ops", _s(uid), "@example.com"))
+            .when(bracket, join("[page view traced by ", word, "]"))
+            .when((kind == "view") & (eid % 3 == 1), join("DEBUG cron says that a scheduled scan of ", zone, " ended"))
+            .when(kind == "view", join("DEBUG health of service ", word, " on check ", _s(eid % 100)))
+            .when(eid % 4 == 0, join("ERROR buffer of node ", word, " lost ", _s(100 + eid % 900), " frames"))
+            .when(eid % 4 == 1, join("FATAL store ", zone, " refused a link from 172.16.0.", _s(uid % 200 + 1)))
+            .when(eid % 4 == 2, join("CRITICAL unknown frame kind ", word, " seen at port ", _s(eid % 64)))
+            .otherwise(join("SECURITY wrong key ", F.lit("k" * 32), _s(eid % 10), " sent for user: u", _s(uid))))
+    timed = ~bracket & (eid % 9 != 0)
     return events.select(
         eid.alias("line_no"),
         F.col("ts"),
         F.concat(F.lit("server-"), _s(uid % 8)).alias("server_id"),
-        F.concat(iso_text("ts"), F.lit(" "), msg).alias("raw_log"),
+        F.when(timed, F.concat(iso_text("ts"), F.lit(" "), msg)).otherwise(msg).alias("raw_log"),
     )
 
 
