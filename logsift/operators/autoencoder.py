@@ -1,10 +1,11 @@
 """Dense autoencoder trained as Spark jobs (O-M4, O-M5).
 
 Architecture in → 64 → 32 → 32 (code) → 32 → 64 → in, ReLU inside, linear output, MSE
-loss, Adam. Training is data parallel by parameter averaging: each epoch broadcasts the
-weights, every partition runs mini-batch Adam over its rows (NumPy, ``mapInPandas``) and
-returns its weights; the new weights are the row-weighted average, summed per parameter
-position by a Spark aggregate. Only weights cross the driver, never rows. This is not
+loss, Adam. Training is data parallel by model averaging over a fixed number of shards: a
+row's shard and its place there are hashes of its keys, so neither partitions nor cores nor
+the size of the table change what is trained. An epoch is one Spark job: every shard streams its
+rows in order through mini-batch Adam, starting from the common weights and moments, and
+the results, weighted by rows, are averaged into one model-sized row. This is not
 bit-equal to single-process batch-32 Adam; it converges to the same kind of model.
 """
 
@@ -18,6 +19,7 @@ from pyspark.sql import types as T
 
 from ..config import DEFAULT
 from ..session import cut_lineage, ship_package
+from .features import dense
 
 
 def layer_dims(d: int, hidden=DEFAULT.hidden_layers, code: int = DEFAULT.encoding_dim) -> list[int]:
@@ -84,117 +86,134 @@ def gradients(params: list[np.ndarray], x: np.ndarray, grads: list[np.ndarray] |
     return loss, grads
 
 
-def local_adam(flat: np.ndarray, dims: list[int], x: np.ndarray, batch_size: int, lr: float, epochs: int,
-               rngs, beta1=0.9, beta2=0.999, eps=1e-7) -> tuple[np.ndarray, float]:
-    """``epochs`` passes of mini-batch Adam over ``x`` starting from ``flat``.
+class Adam:
+    """Mini-batch Adam on one flat vector; goes on from given weights, moments and number of steps."""
 
-    Parameters, gradients and both moments are single flat vectors (the per-layer arrays
-    are views into them), so one Adam step is a handful of vector operations.
-    Returns the new flat parameters and the summed loss of the last pass.
-    """
-    flat = flat.copy()
-    params = unflatten(flat, dims)
-    g_flat = np.zeros_like(flat)
-    grads = unflatten(g_flat, dims)
-    m = np.zeros_like(flat)
-    v = np.zeros_like(flat)
-    step, total = 0, 0.0
-    for e in range(epochs):
-        order = rngs[e].permutation(len(x))
-        total = 0.0
-        for s in range(0, len(x), batch_size):
-            xb = x[order[s:s + batch_size]]
-            loss, _ = gradients(params, xb, grads)
-            total += loss * len(xb)
-            step += 1
-            m *= beta1
-            m += (1 - beta1) * g_flat
-            v *= beta2
-            v += (1 - beta2) * (g_flat * g_flat)
-            flat -= (lr / (1 - beta1 ** step)) * m / (np.sqrt(v / (1 - beta2 ** step)) + eps)
-    return flat, total
-
-
-def _stack(col: pd.Series) -> np.ndarray:
-    return np.stack(col.to_numpy()).astype(np.float64)
+    def __init__(self, state: tuple, dims: list[int], lr: float, beta1=0.9, beta2=0.999, eps=1e-7):
+        self.flat, self.m, self.v, self.t = state[0].copy(), state[1].copy(), state[2].copy(), state[3]
+        self.lr, self.beta1, self.beta2, self.eps = lr, beta1, beta2, eps
+        self.params = unflatten(self.flat, dims)  # views into the flat vector
+        self.g_flat = np.zeros_like(self.flat)
+        self.grads = unflatten(self.g_flat, dims)
+
+    def step(self, x: np.ndarray) -> float:
+        loss, _ = gradients(self.params, x, self.grads)
+        self.t += 1
+        self.m *= self.beta1
+        self.m += (1 - self.beta1) * self.g_flat
+        self.v *= self.beta2
+        self.v += (1 - self.beta2) * (self.g_flat * self.g_flat)
+        self.flat -= (self.lr / (1 - self.beta1 ** self.t)) * self.m / (np.sqrt(self.v / (1 - self.beta2 ** self.t)) + self.eps)
+        return loss * len(x)
+
+
+#: Numbers of a dense batch that are held at a time.
+DENSE_CELLS = 1 << 22
+
+
+def _chunks(pdf: pd.DataFrame, base: np.ndarray | None, width: int):
+    """Dense matrices of a batch, few rows at a time where they are wide."""
+    rows = max(1, DENSE_CELLS // max(1, width))
+    for k in range(0, len(pdf), rows):
+        yield dense(pdf.iloc[k:k + rows], base)
+
+
+def _epoch(shared, dims: list[int], lr: float, batch_size: int):
+    """Rows sorted by (shard, place): one row of results per shard."""
+
+    def run(batches):
+        state, base = shared.value
+        shard, adam, rest, n, loss = None, None, None, 0, 0.0
+
+        def done():
+            nonlocal loss
+            if len(rest):
+                loss += adam.step(rest)
+            return pd.DataFrame({"shard": [shard], "n": [n], "loss": [loss], "t": [adam.t], "state": [np.concatenate([adam.flat, adam.m, adam.v]).tobytes()]})
+
+        for pdf in batches:
+            for s, part in pdf.groupby("shard", sort=True):
+                if s != shard:
+                    if shard is not None:
+                        yield done()
+                    shard, adam, rest, n, loss = int(s), Adam(state, dims, lr), np.zeros((0, dims[0])), 0, 0.0
+                n += len(part)
+                for x in _chunks(part, base, dims[0]):
+                    rest = np.concatenate([rest, x])
+                    whole = len(rest) - len(rest) % batch_size
+                    for k in range(0, whole, batch_size):
+                        loss += adam.step(rest[k:k + batch_size])
+                    rest = rest[whole:]
+        if shard is not None:
+            yield done()
+
+    return run
+
+
+_RESULT = "shard int, n long, loss double, t double, state binary"
+
+
+def _average(batches):
+    """The mean of all shards' results, weighted by rows; holds two of them at a time."""
+    total, n, loss, t = None, 0, 0.0, 0.0
+    for pdf in batches:
+        for r in pdf.itertuples(index=False):
+            w = np.frombuffer(r.state) * r.n
+            total = w if total is None else total + w
+            n, loss, t = n + r.n, loss + r.loss, t + r.t * r.n
+    if total is not None:
+        yield pd.DataFrame({"shard": [0], "n": [n], "loss": [loss], "t": [t / n], "state": [(total / n).tobytes()]})
 
 
 def fit_autoencoder(vectors: DataFrame, keys: list[str], epochs: int = DEFAULT.epochs,
                     batch_size: int = DEFAULT.batch_size, lr: float = DEFAULT.learning_rate,
                     validation_split: float = DEFAULT.validation_split, seed: int = DEFAULT.seed,
-                    local_epochs: int = DEFAULT.local_epochs, n_rows: int | None = None,
-                    rows_per_partition: int = 50_000) -> dict:
-    """Train on ``vectors`` (keys…, x array<double>); returns the model dict
-    (dims, flat weights, train loss per averaging round, validation loss).
-
-    ``epochs`` passes over the data in rounds of ``local_epochs``: every round is one Spark
-    job in which each partition runs that many epochs of mini-batch Adam from the current
-    weights, followed by the row-weighted average (periodic model averaging).
-    """
+                    shards: int = DEFAULT.local_models, base: np.ndarray | None = None) -> dict:
+    """Train on ``vectors`` (keys…, x array<double>, or pairs over ``base``); returns the model dict (dims, flat
+    weights, training loss of each epoch, validation loss)."""
     spark = vectors.sparkSession
     ship_package(spark)
-    first = vectors.select("x").first()
+    col = "x" if base is None else "pairs"
+    first = vectors.select(col).first()
     if first is None:
         raise ValueError("cannot train an autoencoder on no rows")
-    dims = layer_dims(len(first["x"]))
-    u = F.pmod(F.xxhash64(*[F.col(c) for c in keys], F.lit(seed)), F.lit(1 << 31)) / F.lit(float(1 << 31))
-    # every partition trains a local model: at least one per core, and about
-    # ``rows_per_partition`` rows each; an explicit count is not coalesced by AQE
-    n_rows = vectors.count() if n_rows is None else n_rows
-    parts = max(spark.sparkContext.defaultParallelism, -(-n_rows // rows_per_partition))
-    tagged = cut_lineage(vectors.select("x", (u < validation_split).alias("_val")).repartition(parts))
-    train = tagged.filter(~F.col("_val")).select("x")
-    val = tagged.filter(F.col("_val")).select("x")
+    dims = layer_dims(len(first["x"]) if base is None else len(base))
+    h = lambda k: F.xxhash64(*[F.col(c) for c in keys], F.lit(seed + k))
+    u = F.pmod(h(0), F.lit(1 << 31)) / F.lit(float(1 << 31))
+    tagged = vectors.select(col, (u < validation_split).alias("_val"), F.pmod(h(1), F.lit(shards)).cast("int").alias("shard"), h(2).alias("_place"), *keys)
+    train = cut_lineage(tagged.filter(~F.col("_val")).repartition(shards, "shard").sortWithinPartitions("shard", "_place", *keys).select("shard", col))
     flat = flatten(init_params(dims, seed))
-    out_schema = "n long, loss double, w array<double>"
+    state = (flat, np.zeros_like(flat), np.zeros_like(flat), 0.0)
     history = []
-    local_epochs = max(1, int(local_epochs))
-    for start in range(0, epochs, local_epochs):
-        bw = spark.sparkContext.broadcast(flat)
-        k = min(local_epochs, epochs - start)
-
-        def run(batches, _bw=bw, _round=start, _k=k):
-            from pyspark import TaskContext
-            pid = TaskContext.get().partitionId()
-            rows = [_stack(p["x"]) for p in batches if len(p)]
-            if not rows:
-                return
-            x = np.concatenate(rows)
-            rngs = [np.random.default_rng([seed, _round + e, pid]) for e in range(_k)]
-            new, loss = local_adam(_bw.value, dims, x, batch_size, lr, _k, rngs)
-            yield pd.DataFrame({"n": [len(x)], "loss": [loss], "w": [new]})
-
-        parts = train.mapInPandas(run, out_schema)
-        summed = (parts.select("n", "loss", F.posexplode("w").alias("pos", "v"))
-                       .groupBy("pos")
-                       .agg(F.sum(F.col("v") * F.col("n")).alias("s"), F.sum("n").alias("n"),
-                            F.sum(F.when(F.col("pos") == 0, F.col("loss"))).alias("loss"))
-                       .orderBy("pos").toPandas())
-        if not len(summed):
+    for _ in range(epochs):
+        shared = spark.sparkContext.broadcast((state, base))
+        parts = train.mapInPandas(_epoch(shared, dims, lr, batch_size), _RESULT)
+        got = parts.repartition(1).sortWithinPartitions("shard").mapInPandas(_average, _RESULT).collect()  # one row per shard
+        if not got:
             raise ValueError("no training rows (all rows fell into the validation split)")
-        n = float(summed["n"].iloc[0])
-        flat = summed["s"].to_numpy() / n
-        history.append(float(summed["loss"].iloc[0]) / n)
-        bw.unpersist()
-    params = unflatten(flat, dims)
-    val_loss = mse_table(val, {"dims": dims, "weights": flat}).agg(F.avg("mse")).first()[0]
-    tagged.unpersist()
-    return {"dims": dims, "weights": flat, "train_loss": history,
-            "val_loss": None if val_loss is None else float(val_loss), "params": params}
-
-
-def mse_table(vectors: DataFrame, model: dict) -> DataFrame:
+        all_ = np.frombuffer(got[0].state)
+        state = (*(all_[i * len(flat):(i + 1) * len(flat)] for i in range(3)), got[0].t)
+        history.append(float(got[0].loss) / got[0].n)
+        shared.unpersist()
+    model = {"dims": dims, "weights": state[0]}
+    val_loss = mse_table(tagged.filter("_val").select(col), model, base).agg(F.avg("mse")).first()[0]
+    return {**model, "train_loss": history, "val_loss": None if val_loss is None else float(val_loss),
+            "params": unflatten(state[0], dims)}
+
+
+def mse_table(vectors: DataFrame, model: dict, base: np.ndarray | None = None) -> DataFrame:
     """Adds ``mse`` (reconstruction error per row) with a broadcast forward pass."""
     spark = vectors.sparkSession
     ship_package(spark)
     dims = model["dims"]
-    bw = spark.sparkContext.broadcast(np.asarray(model["weights"], dtype=np.float64))
+    shared = spark.sparkContext.broadcast((np.asarray(model["weights"], dtype=np.float64), base))
     schema = T.StructType(vectors.schema.fields + [T.StructField("mse", T.DoubleType())])
 
     def run(batches):
-        params = unflatten(bw.value, dims)
+        weights, zero = shared.value
+        params = unflatten(weights, dims)
         for pdf in batches:
-            pdf["mse"] = reconstruction_error(params, _stack(pdf["x"])) if len(pdf) else pd.Series(dtype="float64")
+            pdf["mse"] = np.concatenate([np.zeros(0), *(reconstruction_error(params, x) for x in _chunks(pdf, zero, dims[0]))])
             yield pdf
 
     return vectors.mapInPandas(run, schema)

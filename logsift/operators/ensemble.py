@@ -7,19 +7,12 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions.scores import ensemble_score, prediction
+from .quantile import exact_percentile
 
 
-def ae_threshold(train_mse: DataFrame, q: float = DEFAULT.ae_percentile, exact_limit: int = 5_000_000,
-                 n: int | None = None) -> float:
-    """Percentile (linear) of the training reconstruction errors.
-
-    Exact ``percentile`` holds all values of the column in one aggregation buffer, so it is
-    used up to ``exact_limit`` rows; above it ``percentile_approx`` with a fine accuracy.
-    """
-    n = train_mse.count() if n is None else n
-    if n <= exact_limit:
-        return float(train_mse.agg(F.percentile("mse", q)).first()[0])
-    return float(train_mse.agg(F.percentile_approx("mse", q, 100_000)).first()[0])
+def ae_threshold(train_mse: DataFrame, q: float = DEFAULT.ae_percentile) -> float:
+    """Percentile (linear) of the training reconstruction errors."""
+    return exact_percentile(train_mse, "mse", q)
 
 
 def ae_scores_from_mse(df: DataFrame, threshold: float | None = None, q: float = DEFAULT.ae_percentile) -> DataFrame:

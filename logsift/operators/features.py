@@ -2,11 +2,15 @@
 
 The canonical form is the long table ``(server_id, window_id, event_id, cnt)``: it is
 sparse, aggregates with a map-side combine, and never needs the vocabulary up front.
-Dense vectors are built per window from a map of its counts, in the model's column order.
+Models take sparse vectors: the columns are a table (event_id, idx, mean, scale) that the
+counts join, a window is its (idx, value) pairs, and what a column is without a count is one
+``base`` array. Rows are made dense per Arrow batch, and only in the columns that are read.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,19 +23,48 @@ def feature_counts(df: DataFrame, keys=KEYS, event: str = "event_id") -> DataFra
         F.count(F.lit(1)).alias("cnt"))
 
 
-MAX_FEATURES = 10_000
-
-
-def vocabulary(counts: DataFrame, max_features: int = MAX_FEATURES) -> list[str]:
-    """Sorted distinct event ids: the model's feature columns (one per template).
-
-    At most ``max_features + 1`` ids ever reach the driver; more is an error, since dense
-    per-window vectors (and a wide matrix) of that width are not what these models take.
-    """
-    ids = [r[0] for r in counts.select("event_id").distinct().limit(max_features + 1).collect()]
-    if len(ids) > max_features:
-        raise ValueError(f"more than {max_features} distinct events: use the long feature table")
-    return sorted(ids)
+def vocabulary(counts: DataFrame) -> list[str]:
+    """Sorted distinct event ids, on the driver: for the wide forms below, whose columns are a
+    caller's choice. Models use ``feature_table``, which stays distributed."""
+    return sorted(r[0] for r in counts.select("event_id").distinct().collect())
+
+
+def feature_table(counts: DataFrame) -> DataFrame:
+    """(event_id, idx): the model's columns, every event in the order of its id."""
+    ids = counts.select("event_id").distinct().orderBy("event_id")
+    spark = counts.sparkSession
+    rows = ids.rdd.zipWithIndex().map(lambda r: (r[0][0], r[1]))
+    return spark.createDataFrame(rows, "event_id string, idx long")
+
+
+PAIRS = "array<struct<idx:int,v:double>>"
+
+
+def sparse_vectors(counts: DataFrame, columns: DataFrame, keys=KEYS, out: str = "pairs") -> DataFrame:
+    """O-F3: per window the (idx, cnt / scale) pairs of its known events; every window of ``counts``
+    is kept, also one whose events are all unknown. ``columns`` has (event_id, idx, scale)."""
+    x = counts.join(columns.select("event_id", "idx", "scale"), "event_id", "left")
+    pair = F.when(F.col("idx").isNotNull(), F.struct(F.col("idx").cast("int").alias("idx"), (F.col("cnt") / F.col("scale")).alias("v")))
+    return x.groupBy(*keys).agg(F.array_sort(F.collect_list(pair)).cast(PAIRS).alias(out))
+
+
+def dense(pdf: pd.DataFrame, base: np.ndarray | None = None, columns: np.ndarray | None = None) -> np.ndarray:
+    """Rows of a batch as a matrix, of all columns or of those named (sorted): from the array column ``x``,
+    or from ``pairs`` on top of ``base``."""
+    if base is None:
+        x = np.stack(pdf["x"].to_numpy()).astype(np.float64)
+        return x if columns is None else x[:, columns]
+    out = np.repeat((base if columns is None else base[columns])[None, :], len(pdf), axis=0)
+    sizes = [len(p) for p in pdf["pairs"]]
+    rows = np.repeat(np.arange(len(pdf)), sizes)
+    idx = np.array([q["idx"] for p in pdf["pairs"] for q in p], np.int64)
+    val = np.array([q["v"] for p in pdf["pairs"] for q in p], np.float64)
+    if columns is not None:
+        at = np.minimum(np.searchsorted(columns, idx), max(0, len(columns) - 1))
+        known = (columns[at] == idx) if len(columns) else np.zeros(len(idx), bool)
+        rows, idx, val = rows[known], at[known], val[known]
+    out[rows, idx] += val
+    return out
 
 
 def feature_matrix(counts: DataFrame, vocab: list[str] | None = None, keys=KEYS) -> DataFrame:

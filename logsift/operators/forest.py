@@ -19,6 +19,8 @@ from pyspark.sql import types as T
 
 from ..config import DEFAULT
 from ..session import ship_package
+from .features import dense
+from .quantile import exact_percentile
 
 NODE_SCHEMA = T.StructType([
     T.StructField("tree_id", T.IntegerType()),
@@ -69,32 +71,31 @@ def _grow(x: np.ndarray, rng: np.random.Generator, max_depth: int, tree_id: int)
     return [tuple(n) for n in nodes]
 
 
+def _vector(df: DataFrame) -> str:
+    return "pairs" if "pairs" in df.columns else "x"
+
+
 def sample_for_trees(vectors: DataFrame, n: int, keys: list[str], n_trees: int, psi: int, seed: int) -> DataFrame:
-    """(tree_id, x) with ``psi`` rows per tree, drawn without replacement by seeded hashes.
+    """(tree_id, x or pairs) with ``psi`` rows per tree, drawn without replacement by seeded hashes.
 
-    Small inputs (n ≤ 2·trees·psi): every row gets one hash per tree and each tree keeps its
-    ``psi`` lowest. Large inputs: one hash keeps about 2·trees·psi candidates, each
-    candidate is dealt to one tree and each tree keeps its ``psi`` lowest, so nothing
-    is multiplied by the tree count. ``row_number() <= psi`` is a window group limit.
+    One rule at every size: a row has a hash in [0, 1) for each tree, goes to the trees where it is
+    below 2·psi / n, and each tree keeps its ``psi`` lowest. So about 2·trees·psi rows leave the
+    scan (all of them where n is below 2·psi). ``row_number() <= psi`` is a window group limit.
     """
-    k = [F.col(c) for c in keys]
-    if n <= 2 * n_trees * psi:
-        x = vectors.select("x", *keys, F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree_id"))
-        x = x.withColumn("_h", F.xxhash64(*k, F.col("tree_id"), F.lit(seed)))
-    else:
-        frac = 2.0 * n_trees * psi / n
-        u = F.pmod(F.xxhash64(*k, F.lit(seed)), F.lit(1 << 31)) / F.lit(float(1 << 31))
-        x = vectors.filter(u < frac).select("x", *keys)
-        x = (x.withColumn("tree_id", F.pmod(F.xxhash64(*k, F.lit(seed + 1)), F.lit(n_trees)).cast("int"))
-              .withColumn("_h", F.xxhash64(*k, F.lit(seed + 2))))
-    w = Window.partitionBy("tree_id").orderBy("_h")
-    return x.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= psi).select("tree_id", "x")
+    share = min(1.0, 2.0 * psi / n)
+    u = lambda t: F.pmod(F.xxhash64(F.col("_key"), t, F.lit(seed)), F.lit(1 << 31)) / F.lit(float(1 << 31))
+    trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: u(t) < share)
+    x = vectors.withColumn("_key", F.xxhash64(*keys)).select(_vector(vectors), "_key", *keys, F.explode(trees).alias("tree_id"))
+    w = Window.partitionBy("tree_id").orderBy(u(F.col("tree_id")), *keys)
+    return x.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= psi).select("tree_id", _vector(vectors))
 
 
 def fit_forest(vectors: DataFrame, keys: list[str], n_trees: int = DEFAULT.n_trees,
                max_samples: int = DEFAULT.max_samples, seed: int = DEFAULT.seed,
-               n: int | None = None) -> tuple[pd.DataFrame, dict]:
-    """Grow the forest on ``vectors`` (keys…, x array<double>). Returns (nodes, meta)."""
+               n: int | None = None, base: np.ndarray | None = None) -> tuple[pd.DataFrame, dict]:
+    """Grow the forest on ``vectors`` (keys…, x array<double>, or pairs over ``base``). Returns (nodes, meta).
+
+    Of sparse rows a tree sees the columns that its sample has a count in; all others are constant there."""
     n = vectors.count() if n is None else n
     if n == 0:
         raise ValueError("cannot train an isolation forest on no rows")
@@ -104,9 +105,13 @@ def fit_forest(vectors: DataFrame, keys: list[str], n_trees: int = DEFAULT.n_tre
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree_id = int(pdf["tree_id"].iloc[0])
-        x = np.stack(pdf["x"].to_numpy()).astype(np.float64)
+        cols = None if base is None else np.unique(np.array([q["idx"] for p in pdf["pairs"] for q in p], np.int64))
         rng = np.random.default_rng([seed, tree_id])
-        return pd.DataFrame(_grow(x, rng, max_depth, tree_id), columns=[f.name for f in NODE_SCHEMA.fields])
+        nodes = pd.DataFrame(_grow(dense(pdf, base, cols), rng, max_depth, tree_id), columns=[f.name for f in NODE_SCHEMA.fields])
+        if cols is not None and len(cols):
+            inner = nodes["feature"] >= 0
+            nodes.loc[inner, "feature"] = cols[nodes.loc[inner, "feature"].to_numpy()]
+        return nodes
 
     ship_package(vectors.sparkSession)
     nodes = sample.groupBy("tree_id").applyInPandas(grow, NODE_SCHEMA).toPandas()  # bounded: trees × 2·psi
@@ -134,9 +139,13 @@ class ForestArrays:
         self.leaf_len[t, i] = nodes["depth"].to_numpy() + avg_path_length(nodes["size"].to_numpy())
         self.c_psi = float(avg_path_length(np.array([psi]))[0])
         self.max_depth = int(nodes["depth"].max())
+        # the columns that the trees read, and each node's place among them
+        self.columns = np.unique(self.feature[self.feature >= 0])
+        inner = self.feature >= 0
+        self.feature[inner] = np.searchsorted(self.columns, self.feature[inner])
 
     def score_samples(self, x: np.ndarray) -> np.ndarray:
-        """-2^(-E[h(x)] / c(psi)) for every row of ``x``."""
+        """-2^(-E[h(x)] / c(psi)) for every row of ``x``, which has the columns ``self.columns``."""
         total = np.zeros(len(x))
         rows = np.arange(len(x))
         for t in range(self.n_trees):
@@ -146,25 +155,25 @@ class ForestArrays:
                 inner = f >= 0
                 if not inner.any():
                     break
-                val = x[rows, np.where(inner, f, 0)]
+                val = x[rows, np.where(inner, f, 0)] if x.shape[1] else np.zeros(len(x))
                 nxt = np.where(val < self.threshold[t, idx], self.left[t, idx], self.right[t, idx])
                 idx = np.where(inner, nxt, idx)
             total += self.leaf_len[t, idx]
         return -np.power(2.0, -(total / self.n_trees) / self.c_psi)
 
 
-def score_forest(vectors: DataFrame, nodes: pd.DataFrame, psi: int, offset: float | None = None) -> DataFrame:
+def score_forest(vectors: DataFrame, nodes: pd.DataFrame, psi: int, offset: float | None = None,
+                 base: np.ndarray | None = None) -> DataFrame:
     """O-M3: adds ``if_raw`` (score_samples) and, with an offset, ``if_score`` and ``if_prediction``."""
     spark = vectors.sparkSession
-    arrays = spark.sparkContext.broadcast(ForestArrays(nodes, psi))
+    arrays = spark.sparkContext.broadcast((ForestArrays(nodes, psi), base))
     schema = T.StructType(vectors.schema.fields + [T.StructField("if_raw", T.DoubleType())])
 
     def run(batches):
-        forest = arrays.value
+        forest, zero = arrays.value
         for pdf in batches:
             if len(pdf):
-                x = np.stack(pdf["x"].to_numpy()).astype(np.float64)
-                pdf["if_raw"] = forest.score_samples(x)
+                pdf["if_raw"] = forest.score_samples(dense(pdf, zero, forest.columns))
             else:
                 pdf["if_raw"] = pd.Series(dtype="float64")
             yield pdf
@@ -177,14 +186,6 @@ def score_forest(vectors: DataFrame, nodes: pd.DataFrame, psi: int, offset: floa
     return out
 
 
-def forest_offset(scored: DataFrame, contamination: float = DEFAULT.contamination,
-                  exact_limit: int = 5_000_000, n: int | None = None) -> float:
-    """Offset = percentile (linear) of the training ``score_samples`` at ``contamination``.
-
-    Exact ``percentile`` keeps every value in one aggregation buffer, so above
-    ``exact_limit`` rows ``percentile_approx`` (fine accuracy) is used instead.
-    """
-    n = scored.count() if n is None else n
-    if n <= exact_limit:
-        return float(scored.agg(F.percentile("if_raw", contamination)).first()[0])
-    return float(scored.agg(F.percentile_approx("if_raw", contamination, 100_000)).first()[0])
+def forest_offset(scored: DataFrame, contamination: float = DEFAULT.contamination) -> float:
+    """Offset = percentile (linear) of the training ``score_samples`` at ``contamination``."""
+    return exact_percentile(scored, "if_raw", contamination)

@@ -19,9 +19,8 @@ from ..operators import autoencoder as AE
 from ..operators import forest as FO
 from ..operators import monitoring as M
 from ..operators.ensemble import ae_threshold
-from ..operators.scaler import fit_scaler, scale_vectors
 from ..operators import features as FE
-from ..session import balanced, materialize, path_kind, scratch_path, table
+from ..session import materialize, path_kind, scratch_path, table
 from ..sources import text as TX
 from ..streaming import logs as ST
 from . import stages as P
@@ -36,20 +35,19 @@ def _scratch(spark, what: str) -> str:
 
 
 def _event_vectors(spark, sf):
-    c = minute_counts(spark, sf)
-    vocab = FE.vocabulary(c)
-    sc = fit_scaler(c).toPandas().set_index("event_id").loc[vocab]
-    dv = FE.dense_vectors(c, vocab, KEYS)
-    return balanced(scale_vectors(dv, list(zip(sc["mean"], sc["scale"])), "features", "x").drop("features"))
+    """Scaled sparse vectors of the per-minute windows, written once, and their base."""
+    c = materialize(minute_counts(spark, sf), "counts")
+    columns, base = P.model_columns(c)
+    return materialize(FE.sparse_vectors(c, columns, KEYS), "vectors"), base
 
 
 def q_forest_scores(spark, sf):
     """O-M2/M3 on the per-minute event windows: trained and scored on all windows."""
-    vec = _event_vectors(spark, sf).persist()
-    nodes, meta = FO.fit_forest(vec, KEYS)
-    raw = FO.score_forest(vec, nodes, meta["psi"])
+    vec, base = _event_vectors(spark, sf)
+    nodes, meta = FO.fit_forest(vec, KEYS, base=base)
+    raw = FO.score_forest(vec, nodes, meta["psi"], base=base)
     off = FO.forest_offset(raw)
-    out = FO.score_forest(vec, nodes, meta["psi"], off)
+    out = FO.score_forest(vec, nodes, meta["psi"], off, base)
     return out.select(*KEYS, r6("if_raw").alias("if_raw"), r6("if_score").alias("if_score"), "if_prediction")
 
 
@@ -65,9 +63,9 @@ def q_forest_scores_embeddings(spark, sf):
 
 def q_ae_scores(spark, sf):
     """O-M4/M5: autoencoder trained on the event windows; error, threshold, score, prediction."""
-    vec = _event_vectors(spark, sf).persist()
-    model = AE.fit_autoencoder(vec, KEYS)
-    mse = AE.mse_table(vec, model)
+    vec, base = _event_vectors(spark, sf)
+    model = AE.fit_autoencoder(vec, KEYS, base=base)
+    mse = AE.mse_table(vec, model, base)
     thr = ae_threshold(mse.select("mse"))
     t = F.lit(float(thr))
     return mse.select(*KEYS, r6("mse").alias("mse"),

@@ -23,8 +23,8 @@ from ..operators import forest as FO
 from ..operators import sanitize as D
 from ..operators import templates as TM
 from ..operators import windows as W
-from ..operators.scaler import fit_scaler, scale_vectors
-from ..session import balanced, path_kind
+from ..operators.scaler import fit_scaler
+from ..session import materialize, path_kind
 
 KEYS = ["server_id", "window_id"]
 
@@ -61,8 +61,8 @@ def window_counts(structured: DataFrame, params: Params = DEFAULT, seconds: int
 
 @dataclass
 class Model:
-    vocab: list
-    scaler: list                     # (mean, scale) per vocab entry
+    columns: DataFrame               # (event_id, idx, mean, scale): a table, one row per feature
+    base: np.ndarray                 # what each column is without a count: -mean / scale
     forest_nodes: pd.DataFrame
     psi: int
     offset: float
@@ -72,47 +72,52 @@ class Model:
     info: dict = field(default_factory=dict)
 
 
+def model_columns(counts: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """O-F2 + O-M1: the table of columns, written once, and the base vector (as wide as the model)."""
+    columns = materialize(FE.feature_table(counts).join(fit_scaler(counts), "event_id"), "columns")
+    base = np.zeros(columns.count())
+    for r in columns.select("idx", "mean", "scale").toLocalIterator():
+        base[r.idx] = -r.mean / r.scale
+    return columns, base
+
+
 def model_vectors(counts: DataFrame, model: Model) -> DataFrame:
-    """O-F3 + O-M1: per window the scaled vector ``x`` in the model's column order."""
-    dv = FE.dense_vectors(counts, model.vocab, KEYS)
-    return scale_vectors(dv, model.scaler, "features", "x").drop("features")
+    """O-F3 + O-M1: per window its scaled (idx, value) pairs over the model's base."""
+    return FE.sparse_vectors(counts, model.columns, KEYS)
 
 
 def train_models(counts: DataFrame, params: Params = DEFAULT, with_ae: bool = True) -> Model:
-    """O-M9: vocabulary, scaler, forest (+ offset) and autoencoder (+ threshold)."""
-    vocab = FE.vocabulary(counts)
-    if not vocab:
+    """O-M9: columns, scaler, forest (+ offset) and autoencoder (+ threshold)."""
+    columns, base = model_columns(counts)
+    if not len(base):
         raise ValueError("no features to train on")
-    sc = fit_scaler(counts).toPandas().set_index("event_id").loc[vocab]
-    model = Model(vocab=vocab, scaler=list(zip(sc["mean"].tolist(), sc["scale"].tolist())),
-                  forest_nodes=pd.DataFrame(), psi=0, offset=0.0)
-    vec = balanced(model_vectors(counts, model)).persist()
+    model = Model(columns=columns, base=base, forest_nodes=pd.DataFrame(), psi=0, offset=0.0)
+    vec = materialize(model_vectors(counts, model), "vectors")
     n = vec.count()
-    nodes, meta = FO.fit_forest(vec, KEYS, params.n_trees, params.max_samples, params.seed, n=n)
+    nodes, meta = FO.fit_forest(vec, KEYS, params.n_trees, params.max_samples, params.seed, n=n, base=base)
     model.forest_nodes, model.psi = nodes, meta["psi"]
-    raw = FO.score_forest(vec, nodes, model.psi)
-    model.offset = FO.forest_offset(raw, params.contamination, n=n)
+    raw = FO.score_forest(vec, nodes, model.psi, base=base)
+    model.offset = FO.forest_offset(raw, params.contamination)
     if with_ae:
         ae = AE.fit_autoencoder(vec, KEYS, params.epochs, params.batch_size, params.learning_rate,
-                                params.validation_split, params.seed, params.local_epochs, n_rows=n)
-        mse = AE.mse_table(vec, ae)
+                                params.validation_split, params.seed, params.local_models, base)
+        mse = AE.mse_table(vec, ae, base)
         from ..operators.ensemble import ae_threshold
-        thr = ae_threshold(mse.select("mse"), params.ae_percentile, n=n)
+        thr = ae_threshold(mse.select("mse"), params.ae_percentile)
         model.ae = {"dims": ae["dims"], "weights": ae["weights"], "threshold": thr}
         model.info.update(train_loss=ae["train_loss"], val_loss=ae["val_loss"])
     else:
         model.w_ae = 0.0
-    model.info.update(n_windows=n, n_features=len(vocab))
-    vec.unpersist()
+    model.info.update(n_windows=n, n_features=len(base))
     return model
 
 
 def score_windows(counts: DataFrame, model: Model) -> DataFrame:
     """Forest, autoencoder and ensemble scores for every window of ``counts`` (E4)."""
-    vec = balanced(model_vectors(counts, model))
-    x = FO.score_forest(vec, model.forest_nodes, model.psi, model.offset)
+    vec = model_vectors(counts, model)
+    x = FO.score_forest(vec, model.forest_nodes, model.psi, model.offset, model.base)
     if model.ae is not None:
-        x = AE.mse_table(x, model.ae)
+        x = AE.mse_table(x, model.ae, model.base)
         thr = F.lit(float(model.ae["threshold"]))
         x = (x.withColumn("ae_score", F.when(thr > 0, F.lit(0.0) - F.col("mse") / thr).otherwise(F.lit(0.0) - F.col("mse")))
               .withColumn("ae_prediction", F.when(F.col("mse") > thr, -1).otherwise(1)))
@@ -120,16 +125,17 @@ def score_windows(counts: DataFrame, model: Model) -> DataFrame:
     else:
         x = x.withColumn("ae_score", F.lit(0.0)).withColumn("ae_prediction", F.lit(1))
         s = ensemble_score("if_score", None, model.w_if, 0.0)
-    return x.drop("x").withColumn("score", s).withColumn("prediction", prediction("score"))
+    return x.drop("pairs").withColumn("score", s).withColumn("prediction", prediction("score"))
 
 
 # ------------------------------------------------------------------ persistence (O-S9)
 
 def save_model(spark: SparkSession, model: Model, path: str) -> None:
-    """Parquet tables: forest nodes, AE weights (optional) and a one-row metadata table."""
+    """Parquet tables: columns, forest nodes, AE weights (optional) and a one-row metadata table."""
+    model.columns.write.mode("overwrite").parquet(os.path.join(path, "columns"))
     spark.createDataFrame(model.forest_nodes, FO.NODE_SCHEMA).write.mode("overwrite").parquet(
         os.path.join(path, "forest_nodes"))
-    meta = {"vocab": model.vocab, "scaler": model.scaler, "psi": model.psi, "offset": model.offset,
+    meta = {"psi": model.psi, "offset": model.offset,
             "w_if": model.w_if, "w_ae": model.w_ae, "info": model.info,
             "ae_dims": model.ae["dims"] if model.ae else None,
             "ae_threshold": model.ae["threshold"] if model.ae else None}
@@ -145,7 +151,11 @@ def load_model(spark: SparkSession, path: str) -> Model:
     """Reads a saved model; a missing autoencoder table means weight 0 for it (O-M6)."""
     meta = json.loads(spark.read.parquet(os.path.join(path, "model_meta")).first()["meta"])
     nodes = spark.read.parquet(os.path.join(path, "forest_nodes")).toPandas()
-    model = Model(vocab=meta["vocab"], scaler=[tuple(s) for s in meta["scaler"]], forest_nodes=nodes,
+    columns = spark.read.parquet(os.path.join(path, "columns"))
+    base = np.zeros(columns.count())
+    for r in columns.select("idx", "mean", "scale").toLocalIterator():
+        base[r.idx] = -r.mean / r.scale
+    model = Model(columns=columns, base=base, forest_nodes=nodes,
                   psi=meta["psi"], offset=meta["offset"], w_if=meta["w_if"], w_ae=meta["w_ae"],
                   info=meta.get("info", {}))
     weights = os.path.join(path, "ae_weights")

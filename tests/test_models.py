@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from logsift.operators import autoencoder as AE
 from logsift.operators import forest as FO
+from logsift.operators.quantile import exact_percentile
 from logsift.config import Params
 from logsift.plans import stages as P
 from logsift.plans.registry import INGEST, lines
@@ -34,11 +35,51 @@ def test_forest_ranks_outlier_lowest(spark):
     assert 0.005 <= share <= 0.02
 
 
-def test_forest_large_input_sampling(spark):
-    v = blob(spark, 3000)
-    s = FO.sample_for_trees(v, 3000, ["k"], n_trees=4, psi=256, seed=42)  # n > 2·trees·psi branch
-    per_tree = {r["tree_id"]: r["count"] for r in s.groupBy("tree_id").count().collect()}
-    assert set(per_tree) == {0, 1, 2, 3} and all(c <= 256 for c in per_tree.values())
+def test_forest_sampling(spark):
+    for n in (100, 256, 600, 3000):  # one rule below and above 2·psi rows
+        s = FO.sample_for_trees(blob(spark, n), n, ["k"], n_trees=4, psi=256, seed=42)
+        per_tree = {r["tree_id"]: r["count"] for r in s.groupBy("tree_id").count().collect()}
+        assert per_tree == {t: min(n, 256) for t in range(4)}
+
+
+def test_sparse_rows_grow_and_score_the_same_forest(spark):
+    v = blob(spark, 500)
+    base = np.array([0.5, -1.0, 0.0, 2.0])
+    pairs = F.transform("x", lambda x, i: F.struct(i.cast("int").alias("idx"), (x - F.element_at(F.array(*map(F.lit, base.tolist())), i + 1)).alias("v")))
+    s = v.select("k", pairs.alias("pairs"))
+    a, meta = FO.fit_forest(v, ["k"], n_trees=10)
+    b, _ = FO.fit_forest(s, ["k"], n_trees=10, base=base)
+    assert (a["feature"] == b["feature"]).all() and np.allclose(a["threshold"], b["threshold"])
+    x = FO.score_forest(v, a, meta["psi"]).toPandas().set_index("k")["if_raw"]
+    y = FO.score_forest(s, b, meta["psi"], base=base).toPandas().set_index("k")["if_raw"]
+    assert np.allclose(x.sort_index(), y.sort_index())
+
+
+def test_exact_percentile(spark):
+    rng = np.random.default_rng(4)
+    for values in (rng.normal(size=3001), np.r_[np.zeros(900), np.ones(100)], rng.integers(0, 5, 1000) * 1.0, np.array([3.0]), np.array([1.0, 2.0])):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double").repartition(5)
+        for q in (0.0, 0.01, 0.5, 0.95, 1.0):
+            want = np.quantile(values, q)
+            assert np.isclose(exact_percentile(df, "v", q), want, rtol=0, atol=1e-12)
+            assert np.isclose(exact_percentile(df, "v", q, bracket=10), want, rtol=0, atol=1e-12)
+    assert np.isnan(exact_percentile(df.limit(0), "v", 0.5))
+
+
+def test_training_does_not_depend_on_partitions(spark):
+    v = blob(spark, 1500)
+    a = AE.fit_autoencoder(v.repartition(4), ["k"], epochs=3)
+    b = AE.fit_autoencoder(v.repartition(64), ["k"], epochs=3)
+    assert np.abs(a["weights"] - b["weights"]).max() < 1e-6 and a["train_loss"] == b["train_loss"]
+
+
+def test_many_features_train(spark):
+    """A vocabulary far wider than any matrix of it: no cap, and rows stay sparse."""
+    n = 12_000
+    counts = spark.range(n).select(F.lit("s").alias("server_id"), (F.col("id") % 300).alias("window_id"), F.concat(F.lit("e"), F.col("id")).alias("event_id"), F.lit(2).cast("long").alias("cnt"))
+    model = P.train_models(counts, Params(epochs=1, n_trees=10))
+    assert model.info["n_features"] == n
+    assert P.score_windows(counts, model).filter("score is not null").count() == 300
 
 
 def test_autoencoder_learns(spark):
