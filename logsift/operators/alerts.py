@@ -1,23 +1,17 @@
 """Alerts: levels, throttling, suppression, messages, listing and stats (O-A1, A3, A5–A7).
 
 The throttle/suppress rule is a state machine (whether a row emits depends on earlier
-decisions), which no window function expresses. Plan:
-
-1. keep the rows whose level is not NORMAL;
-2. cut each server's rows into *episodes* wherever the gap to the previous kept row is
-   greater than max(throttle, suppress): at such a gap every piece of state has expired,
-   so episodes are independent;
-3. run the machine per (server, episode) with ``applyInPandas``.
-
-Step 2 keeps groups small and parallel even for one hot server; a group is a run of
-alerting windows of one server, never raw lines.
+decisions), which no window function expresses. The rows whose level is not NORMAL are
+sorted by (server, time) and streamed through it once per server: what is held is the
+last emitted time and the suppressions that still run, never a server's rows. These are
+alerting windows, whose number depends on the time span and not on the log volume.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,23 +27,41 @@ def _micros(ts):
     return F.timestamp_diff("MICROSECOND", ts_lit("1970-01-01 00:00:00"), F.col(ts).cast("timestamp_ntz"))
 
 
-def run_machine(t_us: np.ndarray, keys: np.ndarray, throttle_us: int, suppress_us: int) -> list[str]:
-    """Decisions for one server's alert rows in time order (pure function, also the test oracle)."""
-    last_emit = None
-    ends: dict = {}
-    out = []
-    for t, k in zip(t_us.tolist(), keys.tolist()):
-        if last_emit is not None and t - last_emit < throttle_us:
-            out.append(DROPPED)
-            continue
-        end = ends.get(k)
+class Machine:
+    """Decisions for one server's alert rows, given in time order; times in microseconds."""
+
+    def __init__(self, throttle_us: int, suppress_us: int, last: int | None = None, ends: dict | None = None):
+        self.throttle, self.suppress, self.last, self.ends = throttle_us, suppress_us, last, dict(ends or {})
+
+    def decide(self, t: int, key: str) -> str:
+        if self.last is not None and t - self.last < self.throttle:
+            return DROPPED
+        end = self.ends.get(key)
         if end is not None and t <= end:
-            out.append(SUPPRESSED)  # recorded, does not move the throttle clock
-            continue
-        out.append(EMITTED)
-        last_emit = t
-        ends[k] = t + suppress_us
-    return out
+            return SUPPRESSED  # recorded, does not move the throttle clock
+        if end is None:  # a new key: forget those that have run out
+            self.ends = {k: e for k, e in self.ends.items() if e >= t}
+        self.last = t
+        self.ends[key] = t + self.suppress
+        return EMITTED
+
+
+def run_machine(t_us: np.ndarray, keys: np.ndarray, throttle_us: int, suppress_us: int) -> list[str]:
+    """Decisions for one server's alert rows in time order."""
+    m = Machine(throttle_us, suppress_us)
+    return [m.decide(t, k) for t, k in zip(t_us.tolist(), keys.tolist())]
+
+
+def alerting(scores: DataFrame) -> DataFrame:
+    """The rows that are not NORMAL with their level, time in microseconds (_t) and suppression key (_key)."""
+    df = scores
+    if "root_cause" not in df.columns:
+        df = df.withColumn("root_cause", F.array().cast("array<string>"))
+    return (df.select("server_id", "window_id", "ts", "score", "root_cause")
+              .withColumn("level", alert_level("score")).filter(F.col("level") != "NORMAL")
+              .withColumn("_t", _micros("ts"))
+              .withColumn("_key", F.concat_ws("|", F.col("server_id"), F.col("level"),
+                                              F.array_join(F.array_sort("root_cause"), ","))))
 
 
 def generate_alerts(scores: DataFrame, throttle: int = DEFAULT.throttle_seconds,
@@ -59,36 +71,27 @@ def generate_alerts(scores: DataFrame, throttle: int = DEFAULT.throttle_seconds,
     Returns the emitted and suppressed alerts (dropped rows only with ``keep_dropped``) with
     level, message, root_cause and the ``suppressed`` flag; event time replaces wall clock.
     """
-    df = scores
-    if "root_cause" not in df.columns:
-        df = df.withColumn("root_cause", F.array().cast("array<string>"))
-    df = (df.select("server_id", "window_id", "ts", "score", "root_cause")
-            .withColumn("level", alert_level("score"))
-            .filter(F.col("level") != "NORMAL")
-            .withColumn("_t", _micros("ts"))
-            .withColumn("_key", F.concat_ws("|", F.col("server_id"), F.col("level"),
-                                            F.array_join(F.array_sort("root_cause"), ","))))
-    horizon = max(throttle, suppress) * 1_000_000
-    w = Window.partitionBy("server_id").orderBy("_t", "window_id")
-    gap = F.col("_t") - F.lag("_t").over(w)
-    df = df.withColumn("_new", F.when(gap.isNull() | (gap > horizon), 1).otherwise(0))
-    df = df.withColumn("_episode", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-
-    out_schema = T.StructType(
-        [f for f in df.schema.fields if f.name != "_new"] + [T.StructField("decision", T.StringType())])
+    df = alerting(scores)
+    out_schema = T.StructType([*df.schema.fields, T.StructField("decision", T.StringType())])
     thr, sup = throttle * 1_000_000, suppress * 1_000_000
 
-    def machine(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_t", "window_id"], kind="stable")
-        pdf["decision"] = run_machine(pdf["_t"].to_numpy(), pdf["_key"].to_numpy(), thr, sup)
-        return pdf[[f.name for f in out_schema.fields]]
+    def machine(batches):
+        server, m = None, None
+        for pdf in batches:
+            decisions = []
+            for s, t, k in zip(pdf["server_id"], pdf["_t"].tolist(), pdf["_key"], strict=True):
+                if m is None or s != server:
+                    server, m = s, Machine(thr, sup)
+                decisions.append(m.decide(t, k))
+            pdf["decision"] = pd.Series(decisions, dtype=object)
+            yield pdf
 
     ship_package(df.sparkSession)
-    decided = df.drop("_new").groupBy("server_id", "_episode").applyInPandas(machine, out_schema)
+    decided = df.repartition("server_id").sortWithinPartitions("server_id", "_t", "window_id").mapInPandas(machine, out_schema)
     if not keep_dropped:
         decided = decided.filter(F.col("decision") != DROPPED)
     return with_message(decided.withColumn("suppressed", F.col("decision") == SUPPRESSED)).drop(
-        "_t", "_key", "_episode")
+        "_t", "_key")
 
 
 def with_message(alerts: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Params
@@ -30,15 +30,19 @@ KEYS = ["server_id", "window_id"]
 
 
 def structure_lines(lines: DataFrame, ingest_ts, params: Params = DEFAULT, dedupe: bool = True,
-                    templates: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+                    templates: DataFrame | None = None, noise: Observation | None = None) -> tuple[DataFrame, DataFrame]:
     """E1 as one job graph: strip → ensure time → mask → drop noise → mine/assign templates →
     event time → sanitise → keep first of (raw_log, event_id).
 
     ``lines`` has ``raw_log`` and ``line_no`` (and usually ``server_id``). Returns the
-    structured rows and the templates table (mined here unless ``templates`` is given).
+    structured rows and the templates table (mined here unless ``templates`` is given). ``noise``
+    observes how many lines there are and how many of them are dropped as noise.
     """
     x = lines.filter(L.is_nonblank("raw_log"))
-    x = L.evaluate_once(x, raw_log=L.clean_line("raw_log", ingest_ts)).filter(~L.is_noise("raw_log"))
+    x = L.evaluate_once(x, raw_log=L.clean_line("raw_log", ingest_ts))
+    if noise is not None:
+        x = x.observe(noise, F.count(F.lit(1)).alias("lines"), F.count_if(L.is_noise("raw_log")).alias("dropped"))
+    x = x.filter(~L.is_noise("raw_log"))
     if "server_id" not in x.columns:
         x = x.withColumn("server_id", F.lit("local"))
     if templates is None:

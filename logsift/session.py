@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     conf = dict(BASE_CONF)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if cores := re.fullmatch(r"local\[(\d+)\]", master or ""):
+        conf[SCAN_PARTITIONS] = cores[1]
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
@@ -79,36 +82,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin repartition only when a scan is under-partitioned.
-
-    A table stored as one row group is read by one task, and every per-row expression
-    after it (regexes over whole texts) would run on one core. When the scan already has at
-    least ``min_partitions`` splits (the default parallelism; always the case for large
-    tables) nothing changes and no shuffle is added. The check is planning only.
-    """
-    try:
-        want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # no RDD view of this plan (e.g. a remote session): leave it as is
-        return df
-    return df.repartition(want) if have < want else df
-
-
-def balanced(df: DataFrame) -> DataFrame:
-    """Round-robin into an explicit number of partitions (at least one per core, and the
-    session's shuffle partitions) for Python-heavy per-row work such as model scoring.
-
-    AQE keeps an explicit partition count, whereas it would coalesce a small shuffle output
-    into a few tasks and leave the other cores idle.
-    """
-    spark = df.sparkSession
-    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(n)
+#: Session setting: partitions that a scan is dealt into before per-row work. ``get_spark`` sets it for
+#: local masters, where a table is one file; unset (on a cluster) scans stay as their splits are.
+SCAN_PARTITIONS = "spark.logsift.scanPartitions"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")))
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    n = spark.conf.get(SCAN_PARTITIONS, None)
+    return df.repartition(int(n)) if n else df
 
 
 _SHIPPED: set = set()

@@ -148,9 +148,16 @@ def write_provenance(df: DataFrame, root: str, source: str, uploader: str | None
 
 
 def list_provenance(spark: SparkSession, root: str, limit: int = 20) -> DataFrame:
-    """O-S7: latest ``limit`` ingests by time (ties by id) with their metadata."""
-    meta = spark.read.parquet(os.path.join(root, "ingests"))
-    return meta.orderBy(F.col("ingest_ts").desc(), F.col("ingest_id")).limit(limit)
+    """O-S7: latest ``limit`` ingests by time (ties by id): every copy with its rows and modification
+    time, and its metadata if there is any (a run that dies before it writes them is listed too)."""
+    data, ingests = os.path.join(root, "data"), os.path.join(root, "ingests")
+    schema = "ingest_id string, source string, uploader string, ingest_ts timestamp_ntz, rows bigint, path string"
+    meta = spark.createDataFrame([], schema) if path_kind(spark, ingests) is None else spark.read.parquet(ingests)
+    copies = (spark.read.parquet(data).groupBy("source", "ingest_id")
+              .agg(F.count(F.lit(1)).alias("_rows"), F.max("_metadata.file_modification_time").alias("mtime")))
+    x = meta.join(copies, ["source", "ingest_id"], "full")
+    x = x.withColumn("rows", F.coalesce("_rows", "rows")).withColumn("has_metadata", F.col("path").isNotNull()).drop("_rows")
+    return x.orderBy(F.coalesce("ingest_ts", F.col("mtime").cast("timestamp_ntz")).desc(), F.col("ingest_id")).limit(limit)
 
 
 def preview(spark: SparkSession, root: str, ingest_id: str, n: int = 50, order: str = "line_no") -> DataFrame:

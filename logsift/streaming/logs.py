@@ -7,6 +7,8 @@ is dropped, and write with append semantics to tables in the shared folder.
 
 from __future__ import annotations
 
+import pickle
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..config import DEFAULT
-from ..functions.scores import alert_level
-from ..operators.alerts import DROPPED, SUPPRESSED, with_message
+from ..operators.alerts import DROPPED, SUPPRESSED, Machine, alerting, with_message
 from ..session import ship_package
 
 
@@ -52,56 +53,43 @@ STATE_SCHEMA = T.StructType([
     T.StructField("last_emit", T.LongType()),
     T.StructField("keys", T.ArrayType(T.StringType())),
     T.StructField("ends", T.ArrayType(T.LongType())),
+    T.StructField("waiting", T.BinaryType()),
 ])
 
 
 def alerts_stream(scores: DataFrame, throttle: int = DEFAULT.throttle_seconds,
-                  suppress: int = DEFAULT.suppress_seconds) -> DataFrame:
+                  suppress: int = DEFAULT.suppress_seconds, watermark: str = "10 minutes") -> DataFrame:
     """O-A4: the alert machine of O-A3 on a stream, state per server.
 
-    State is the last emitted time and the live suppression ends (expired ends are pruned).
-    Rows of one micro-batch are taken in time order; rows arrive in time order across
-    batches for the result to equal the batch operator.
+    Rows may come in any order within the watermark's delay: they wait in the state until the
+    watermark has passed them and are then taken in time order, so the result is that of the batch
+    operator; later ones are dropped by Spark. State is the rows that wait, the last emitted time and
+    the suppressions that still run. Each server's next turn is an event-time timeout at its first
+    waiting row.
     """
     ship_package(scores.sparkSession)
     thr, sup = throttle * 1_000_000, suppress * 1_000_000
-    x = scores
-    if "root_cause" not in x.columns:
-        x = x.withColumn("root_cause", F.array().cast("array<string>"))
-    x = (x.select("server_id", "window_id", "ts", "score", "root_cause")
-          .withColumn("level", alert_level("score")).filter(F.col("level") != "NORMAL")
-          .withColumn("_t", F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
-                                             F.col("ts").cast("timestamp_ntz")))
-          .withColumn("_key", F.concat_ws("|", "server_id", "level", F.array_join(F.array_sort("root_cause"), ","))))
-    out_schema = T.StructType([f for f in x.schema.fields] + [T.StructField("decision", T.StringType())])
+    x = alerting(scores).withColumn("_ets", F.col("ts").cast("timestamp")).withWatermark("_ets", watermark)
+    out_schema = T.StructType([f for f in x.schema.fields if f.name != "_ets"] + [T.StructField("decision", T.StringType())])
+    names = [f.name for f in out_schema.fields]
 
     def step(key, batches, state):
-        if state.exists:
-            last, keys, ends = state.get
-            ends_map = dict(zip(keys or [], ends or []))
-        else:
-            last, ends_map = None, {}
-        pdf = pd.concat(list(batches), ignore_index=True)
-        pdf = pdf.sort_values(["_t", "window_id"], kind="stable")
-        decisions = []
-        for t, k in zip(pdf["_t"].tolist(), pdf["_key"].tolist()):
-            if last is not None and t - last < thr:
-                decisions.append(DROPPED)
-                continue
-            end = ends_map.get(k)
-            if end is not None and t <= end:
-                decisions.append(SUPPRESSED)
-                continue
-            decisions.append("emitted")
-            last = t
-            ends_map[k] = t + sup
-        live = {k: e for k, e in ends_map.items() if last is None or e >= last}
-        state.update((last, list(live.keys()), [int(v) for v in live.values()]))
-        pdf["decision"] = decisions
-        yield pdf[[f.name for f in out_schema.fields]]
+        last, keys, ends, waiting = state.get if state.exists else (None, [], [], None)
+        machine = Machine(thr, sup, last, dict(zip(keys or [], ends or [])))
+        parts = [pickle.loads(waiting)] if waiting else []
+        if not state.hasTimedOut:
+            parts += [p.drop(columns="_ets") for p in batches]
+        rows = pd.concat(parts, ignore_index=True).sort_values(["_t", "window_id"], kind="stable")
+        passed = rows["_t"] <= state.getCurrentWatermarkMs() * 1000
+        ready, rest = rows[passed].copy(), rows[~passed]
+        ready["decision"] = pd.Series([machine.decide(t, k) for t, k in zip(ready["_t"].tolist(), ready["_key"])], index=ready.index, dtype=object)
+        state.update((machine.last, list(machine.ends), [int(e) for e in machine.ends.values()], pickle.dumps(rest) if len(rest) else None))
+        if len(rest):
+            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, int(rest["_t"].iloc[0]) // 1000 + 1))
+        yield ready[names]
 
     decided = x.groupBy("server_id").applyInPandasWithState(
-        step, out_schema, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+        step, out_schema, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
     decided = decided.filter(F.col("decision") != DROPPED)
     return with_message(decided.withColumn("suppressed", F.col("decision") == SUPPRESSED)).drop("_t", "_key")
 

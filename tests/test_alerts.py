@@ -1,4 +1,4 @@
-"""Alert machine: golden rows, episode split equals the unsplit machine, FIXTURES counts."""
+"""Alert machine: golden rows, the sorted pass equals the machine, FIXTURES counts."""
 
 import datetime as dt
 import random
@@ -52,7 +52,7 @@ def test_recent_alerts_limit_before_filter(spark):
     assert A.recent_alerts(alerts, 3, "HIGH").count() == 1
 
 
-def test_episodes_equal_unsplit_machine(spark):
+def test_streamed_rows_equal_the_machine(spark):
     rng = random.Random(7)
     rows, servers = [], ["a", "b", "c"]
     for srv in servers:

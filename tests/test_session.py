@@ -1,8 +1,10 @@
-"""Scratch tables go under the session's spark.checkpoint.dir; scans are spread only when small."""
+"""Scratch tables go under the session's spark.checkpoint.dir; scans are spread by a setting only."""
 
 import os
 
-from logsift.session import ensure_checkpoint_dir, materialize, scratch_path, spread
+from logsift.session import SCAN_PARTITIONS, ensure_checkpoint_dir, materialize, path_kind, scratch_path, table
+
+from conftest import SF_SMALL
 
 
 def test_scratch_under_checkpoint_dir(spark):
@@ -15,8 +17,17 @@ def test_scratch_under_checkpoint_dir(spark):
     assert df.count() == 5 and urlparse(df.inputFiles()[0]).path.startswith(urlparse(base).path)
 
 
-def test_spread_only_under_partitioned(spark):
-    one = spark.range(0, 100, numPartitions=1)
-    assert spread(one, 4).rdd.getNumPartitions() == 4
-    many = spark.range(0, 100, numPartitions=8)
-    assert spread(many, 4) is many
+def test_scans_are_spread_by_the_setting_only(spark):
+    n = spark.conf.get(SCAN_PARTITIONS)
+    assert table(spark, SF_SMALL, "events").rdd.getNumPartitions() == int(n) == 8
+    spark.conf.unset(SCAN_PARTITIONS)
+    try:
+        plan = table(spark, SF_SMALL, "events")._jdf.queryExecution().toString()
+        assert "Repartition" not in plan and "Exchange" not in plan
+    finally:
+        spark.conf.set(SCAN_PARTITIONS, n)
+
+
+def test_path_kind(spark, tmp_path):
+    (tmp_path / "f").write_text("x")
+    assert [path_kind(spark, str(tmp_path / p)) for p in ("", "f", "none")] == ["dir", "file", None]

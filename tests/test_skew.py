@@ -38,7 +38,7 @@ def test_signatures_under_skew(spark):
     assert sum(got.values()) == x.count()
 
 
-def test_alert_episodes_split_hot_server(spark):
+def test_alerts_of_a_hot_server(spark):
     s = scores(spark, SF_MID)
     hot = s.filter(F.col("server_id") == "server-0")
     shifted = [hot.withColumn("ts", F.col("ts") + F.expr(f"INTERVAL {30 * k} DAYS"))
