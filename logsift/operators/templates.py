@@ -7,8 +7,9 @@
 2. ``mine_templates``: shapes of one bucket (token count, first token) are merged greedily
    in a fixed order (support desc, signature asc): a shape joins the most similar
    template when the share of equal positions is at least ``similarity``, and unequal
-   positions become ``<*>``. Shapes are hash-partitioned by bucket and sorted, and one
-   ``mapInPandas`` pass merges each bucket (distinct shapes only, never lines).
+   positions become ``<*>``. It takes two rounds of the same merge: first inside ``SUBS`` hash
+   parts of each bucket, so that a bucket of many shapes is spread over as many tasks, then
+   over the templates that come out, which are few where shapes are alike.
 3. ``assign_templates``: lines join the (signature → template) table on the signature.
 """
 
@@ -21,9 +22,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import DEFAULT
-from ..session import ship_package
+from ..session import materialize, ship_package
 
 PARAM = "<*>"
+#: Hash parts of a bucket in the first round of merging, whatever its size.
+SUBS = 32
 # A leading time (any supported form, optional fraction and zone) followed by blanks.
 LEADING_TIME = (r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:?\d{2})?"
                 r"|\d{2}/\d{2}/\d{4} \d{2}:\d{2}:\d{2}|\d{13}|\d{10})\s+")
@@ -64,29 +67,36 @@ def _merge_bucket(sigs: list[str], similarity: float) -> list[str]:
     n = len(toks[0])
     codes: dict[str, int] = {PARAM: 0}
     mat = np.array([[codes.setdefault(t, len(codes)) for t in row] for row in toks], dtype=np.int64)
-    tmpl = np.empty((0, n), dtype=np.int64)
+    room = np.empty((16, n), dtype=np.int64)  # templates so far, with space for more
+    used = 0
     owner = np.empty(len(sigs), dtype=np.int64)
     for i in range(len(sigs)):
         row = mat[i]
-        if len(tmpl):
+        tmpl = room[:used]
+        if used:
             is_param = tmpl == 0
             sim = ((tmpl == row) & ~is_param).sum(axis=1) / n
             params = is_param.sum(axis=1)
-            best = int(np.lexsort((np.arange(len(tmpl)), -params, -sim))[0])
+            top = np.flatnonzero(sim == sim.max())
+            best = int(top[np.argmax(params[top])])  # the first of those with most wildcards
             if sim[best] >= similarity:
                 tmpl[best] = np.where(tmpl[best] == row, row, 0)
                 owner[i] = best
                 continue
-        tmpl = np.vstack([tmpl, row[None, :]])
-        owner[i] = len(tmpl) - 1
+        if used == len(room):
+            room = np.concatenate([room, np.empty_like(room)])
+        room[used] = row
+        owner[i] = used
+        used += 1
     names = {v: k for k, v in codes.items()}
-    texts = [" ".join(names[int(c)] for c in t) for t in tmpl]
+    texts = [" ".join(names[int(c)] for c in t) for t in room[:used]]
     return [texts[j] for j in owner]
 
 
 TEMPLATE_SCHEMA = T.StructType([
     T.StructField("n_tokens", T.LongType()),
     T.StructField("first_token", T.StringType()),
+    T.StructField("part", T.IntegerType()),
     T.StructField("signature", T.StringType()),
     T.StructField("support", T.LongType()),
     T.StructField("event_template", T.StringType()),
@@ -94,7 +104,7 @@ TEMPLATE_SCHEMA = T.StructType([
 
 
 def _bucket_keys(pdf: pd.DataFrame) -> np.ndarray:
-    return (pdf["n_tokens"].astype(str) + "\x00" + pdf["first_token"].fillna("")).to_numpy()
+    return (pdf["n_tokens"].astype(str) + "\x00" + pdf["part"].astype(str) + "\x00" + pdf["first_token"].fillna("")).to_numpy()
 
 
 def _mine_sorted(batches, similarity: float):
@@ -153,17 +163,29 @@ def _mine_rows(pdf: pd.DataFrame, key: np.ndarray, similarity: float) -> pd.Data
 def mine_templates(sigs: DataFrame, similarity: float = DEFAULT.similarity) -> DataFrame:
     """O-T2: (signature → event_template, event_id) for every distinct shape.
 
-    Shapes are hash-partitioned by bucket and sorted inside each partition, so every
-    bucket is whole in one task and the merge runs over contiguous rows. ``event_id`` is
-    a stable hash of the template text (first 16 hex digits of its MD5), so ids do not
-    depend on arrival order or on which run mined them.
+    Two rounds of the same merge: within hash parts of each bucket, then over the templates
+    of a bucket, whose support is that of their shapes. ``event_id`` is a stable hash of the
+    template text (first 16 hex digits of its MD5), so ids do not depend on arrival
+    order or on which run mined them.
     """
-    x = (sigs.select(F.col("n_tokens").cast("long"), "first_token", "signature", F.col("support").cast("long"))
-             .repartition("n_tokens", "first_token")
-             .sortWithinPartitions("n_tokens", "first_token", F.col("support").desc(), "signature"))
+    shapes = sigs.select(F.col("n_tokens").cast("long").alias("n_tokens"), "first_token", "signature", F.col("support").cast("long").alias("support"))
+    part = F.pmod(F.xxhash64("signature"), F.lit(SUBS)).cast("int")
+    first = materialize(_merged(shapes.withColumn("part", part), similarity), "templates-parts")
+    found = first.groupBy("n_tokens", "first_token", F.col("event_template").alias("signature")).agg(F.sum("support").alias("support"))
+    final = _merged(found.withColumn("part", F.lit(0)), similarity)
+    names = final.select("n_tokens", F.col("first_token").alias("_first"), F.col("signature").alias("_part_template"), F.col("event_template").alias("_template"))
+    x = first.join(names.withColumnRenamed("n_tokens", "_n"), (F.col("n_tokens") == F.col("_n")) & F.col("first_token").eqNullSafe(F.col("_first"))
+                   & (F.col("event_template") == F.col("_part_template")))
+    return x.select("n_tokens", "first_token", "signature", "support", F.col("_template").alias("event_template"), event_id_of("_template").alias("event_id"))
+
+
+def _merged(shapes: DataFrame, similarity: float) -> DataFrame:
+    """One round: every (bucket, part) merged by the task that holds its sorted rows."""
+    x = (shapes.select(*[f.name for f in TEMPLATE_SCHEMA.fields[:-1]])
+               .repartition("n_tokens", "first_token", "part")
+               .sortWithinPartitions("n_tokens", "first_token", "part", F.col("support").desc(), "signature"))
     ship_package(x.sparkSession)
-    mined = x.mapInPandas(lambda it: _mine_sorted(it, similarity), TEMPLATE_SCHEMA)
-    return mined.withColumn("event_id", event_id_of("event_template"))
+    return x.mapInPandas(lambda it: _mine_sorted(it, similarity), TEMPLATE_SCHEMA)
 
 
 def event_id_of(template) -> F.Column:

@@ -31,13 +31,14 @@ def stream_logs(spark: SparkSession, directory: str, max_files_per_trigger: int
     return r.load(directory).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("raw_log"))
 
 
-def stream_window_counts(events: DataFrame, seconds: int = 60, watermark: str = "10 minutes",
+def stream_window_counts(events: DataFrame, seconds: int = 60, watermark: str | None = "10 minutes",
                          key: str = "server_id", event: str = "event_id") -> DataFrame:
     """O-W3: tumbling epoch-aligned windows per (key, event); late rows past the watermark
     are dropped and a window is emitted once the watermark passes its end (append mode)."""
-    x = events.withColumn("_ets", F.col("ts").cast("timestamp"))
-    return (x.withWatermark("_ets", watermark)
-             .groupBy(F.col(key), F.window("_ets", f"{seconds} seconds").alias("w"), F.col(event))
+    x = events
+    if watermark is not None:  # else ``events`` has its watermark on _ets
+        x = events.withColumn("_ets", F.col("ts").cast("timestamp")).withWatermark("_ets", watermark)
+    return (x.groupBy(F.col(key), F.window("_ets", f"{seconds} seconds").alias("w"), F.col(event))
              .agg(F.count(F.lit(1)).alias("cnt"))
              .select(key, F.col("w.start").cast("timestamp_ntz").alias("window_start"), event, "cnt"))
 
@@ -99,7 +100,7 @@ def score_stream(lines: DataFrame, model, templates: DataFrame, out_path: str, c
     """O-M10: score every window of a line stream once it closes; append to ``out_path``.
 
     Lines are structured as in batch (mask, noise, template by stream–static join, event
-    time), counted in epoch-aligned windows with a watermark, and every micro-batch of
+    time, repeats dropped, though only those within the watermark), counted in epoch-aligned windows with a watermark, and every micro-batch of
     closed windows is scored with the batch scorer inside ``foreachBatch``.
     """
     from ..functions import lines as L
@@ -111,7 +112,10 @@ def score_stream(lines: DataFrame, model, templates: DataFrame, out_path: str, c
     if "server_id" not in x.columns:
         x = x.withColumn("server_id", F.regexp_extract("file", r"([^/]+?)(\.[^./]*)?$", 1))
     x = TM.assign_templates(x, templates).withColumn("ts", L.event_time("raw_log", ingest_ts))
-    counts = stream_window_counts(x, seconds, watermark)
+    # the batch path keeps the first of equal (line, event); a stream can only do so within its watermark
+    x = (x.withColumn("_ets", F.col("ts").cast("timestamp")).withWatermark("_ets", watermark)
+          .dropDuplicatesWithinWatermark(["raw_log", "event_id"]))
+    counts = stream_window_counts(x, seconds, None)
 
     def per_batch(batch: DataFrame, batch_id: int):
         batch = batch.persist()  # read twice below (scores and window starts)
