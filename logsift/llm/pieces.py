@@ -28,8 +28,11 @@ from .common import arrow
 
 MARK = "▁"
 _NONE = np.iinfo(np.int32).max
-#: Runs remembered per worker process, the longest of them in characters, and the characters of text encoded at a time.
-MEMORY, REMEMBERED_CHARS, AT_A_TIME = 1 << 19, 32, 1 << 20
+#: Runs remembered during a task, the longest of them in characters, and the characters of text encoded at a time.
+MEMORY, REMEMBERED_CHARS, AT_A_TIME = 1 << 18, 32, 1 << 20
+
+#: Rows whose results are held at a time.
+ROWS = 2048
 
 #: Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -243,6 +246,11 @@ class MergeVocabulary:
         if some:
             yield from self._encode_some(some)
 
+    def forget(self) -> None:
+        """Drops what is remembered: a worker process outlives its task and serves other stages."""
+        self._memory.clear()
+        self._words.clear()
+
     def encode(self, text: str) -> list[int]:
         return next(self.encode_all([text]))
 
@@ -321,6 +329,7 @@ def _encoder(model) -> Callable:
         for b in batches:
             ids = pa.array(v.encode_all(t.as_py() for t in b.column("text")), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column("id"), ids], names=["id", "ids"])
+        v.forget()
 
     return run
 
@@ -365,7 +374,7 @@ def round_trip(docs: DataFrame, path: str, check_every: int = 16, with_ids: bool
             import sentencepiece
 
             library = sentencepiece.SentencePieceProcessor(model_proto=model.value)
-        for b in batches:
+        for b in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             counts, ids_sha, text_sha, same, kept = [], [], [], [], []
             texts = b.column("text")
             for k, ids in enumerate(v.encode_all(t.as_py() for t in texts)):
@@ -383,5 +392,6 @@ def round_trip(docs: DataFrame, path: str, check_every: int = 16, with_ids: bool
                 flat = pa.concat_arrays([*kept, pa.array([], pa.int32())])
                 out.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), flat))
             yield pa.RecordBatch.from_arrays(out, names=names + ["ids"] * with_ids)
+        v.forget()
 
     return arrow(rows, run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, library_agrees boolean" + ", ids array<int>" * with_ids)

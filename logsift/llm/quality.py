@@ -120,26 +120,28 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str =
     return fit(x[order], y[order])
 
 
-def _scorer(model) -> Callable:
+def _scorer(model, keep: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for b in batches:
-            x = np.array([features(t) for t in utf8_bodies(b.column("text"))], np.float32).reshape(-1, N_FEATURES)
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("row"), pa.array(m.score(x))], names=["id", "row", "score"])
+            texts = b.column("row").field(b.column("row").type.get_field_index("text"))
+            x = np.array([features(t) for t in utf8_bodies(texts)], np.float32).reshape(-1, N_FEATURES)
+            kept = [b.column("row")] if keep else []
+            yield pa.RecordBatch.from_arrays([b.column("id"), *kept, pa.array(m.score(x))], names=["id", *["row"] * keep, "score"])
 
     return run
 
 
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep: bool = False) -> DataFrame:
-    """(id, row, score) of every row of ``docs``, learnt from ``labels`` (doc_id, quality); higher scores: label 1 is likelier.
-    ``keep`` puts all columns of ``docs``, whatever their names, into the struct ``row`` (else it is null).
+    """(id, score) of every row of ``docs``, learnt from ``labels`` (doc_id, quality); higher scores: label 1 is likelier.
+    With ``keep`` also the struct ``row`` of all columns of ``docs``, whatever their names.
 
     Only the text counts. Null texts are scored as empty ones, which have all features zero; repeated rows get the
     same score; without labels of both kinds every score is ``CUT``; an empty table gives an empty result."""
     model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, sample))
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if keep else F.lit(None).cast("boolean")
-    rows = docs.select(F.col("doc_id").alias("id"), row.alias("row"), F.col("text").alias("text"))
-    return arrow(rows, _scorer(model), T.StructType([rows.schema["id"], rows.schema["row"], T.StructField("score", T.DoubleType())]))
+    row = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep else ["text"])])
+    rows = docs.select(F.col("doc_id").alias("id"), row.alias("row"))
+    return arrow(rows, _scorer(model, keep), T.StructType([rows.schema["id"], *[rows.schema["row"]] * keep, T.StructField("score", T.DoubleType())]))
 
 
 def good_only(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
