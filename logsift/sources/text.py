@@ -74,11 +74,12 @@ def parse_lenient(text: DataFrame, value: str = "value") -> DataFrame:
 
 
 def read_structured_lenient(spark: SparkSession, path: str) -> DataFrame:
-    """O-S4 on files: header and blank lines dropped, typed time where it parses."""
+    """O-S4 on files: header and blank lines dropped, typed time where it is one (ISO, with T or a space)."""
     t = spark.read.text(path).filter(is_nonblank("value") & (F.col("value") != HEADER))
     p = parse_lenient(t)
     return p.select("raw_log", "event_id", "event_template",
-                    F.try_to_timestamp(F.col("ts_text")).cast("timestamp_ntz").alias("ts"))
+                    F.coalesce(*[F.try_to_timestamp(F.col("ts_text"), F.lit(f)) for f in ("yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss")])
+                    .cast("timestamp_ntz").alias("ts"))
 
 
 def conform(df: DataFrame) -> DataFrame:
