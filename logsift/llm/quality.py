@@ -114,7 +114,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str =
     few = marks.distinct().orderBy(F.xxhash64("id"), "id", "label").limit(sample)
     rows = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(few), "id").select("id", "label", "text")  # sample bounds few
     got = arrow(rows, _featurise, f"id {docs.schema['doc_id'].dataType.simpleString()}, label int, x array<float>").limit(2 * sample).toArrow()
-    x = np.array(got.column("x").to_pylist(), np.float32).reshape(-1, N_FEATURES)
+    x = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in got.column("x").chunks] or [np.zeros(0)]).astype(np.float32).reshape(-1, N_FEATURES)
     y = np.array(got.column("label").to_pylist(), np.int64)
     order = np.lexsort((*x.T[:4], y, np.array([hash(i) for i in got.column("id").to_pylist()], np.int64)))
     return fit(x[order], y[order])
