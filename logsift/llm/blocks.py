@@ -27,9 +27,9 @@ from pyspark.sql import types as T
 
 from .common import arrow, utf8_bodies
 
-#: Pages learnt from at most (those with the smallest hashes), their bytes at most, pages laid out from each, passes over
-#: them, and the blocks labelled at a time.
-SAMPLE, SAMPLE_BYTES, LAID_OUT, EPOCHS, AT_A_TIME = 96, 1 << 15, 5, 8, 1 << 13
+#: Different pages learnt from at most (those with the smallest hashes), their bytes at most all together, pages learnt from
+#: whatever their bytes, pages laid out from each, passes over them, and the blocks labelled at a time.
+SAMPLE, SAMPLE_BYTES, LEAST, LAID_OUT, EPOCHS, AT_A_TIME = 96, 3 << 20, 4, 5, 8, 1 << 13
 
 #: Fixed values of HTML: elements that end a block, have no content, hold no page text, and that a tag of the same kind closes.
 BLOCK = set("address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
@@ -351,7 +351,11 @@ def fit(pages: list[str], laid_out: int = LAID_OUT, epochs: int = EPOCHS) -> Lab
         got, y = lay_out(main[k % len(main)][: int(draw.integers(1, 25))], other or main[0], draw)
         data.append((vectors(got), y))
     data.sort(key=lambda d: len(d[0]))
-    batches = [data[k : k + 24] for k in range(0, len(data), 24)]
+    batches: list[list] = []
+    for d in data:  # a batch is padded to its longest page, the last
+        if not batches or len(batches[-1]) == 24 or (len(batches[-1]) + 1) * len(d[0]) > AT_A_TIME:
+            batches.append([])
+        batches[-1].append(d)
     m, v = ([np.zeros_like(w) for w in model.weights()] for _ in range(2))
     t = 0
     for epoch in range(epochs):
@@ -369,12 +373,26 @@ def fit(pages: list[str], laid_out: int = LAID_OUT, epochs: int = EPOCHS) -> Lab
     return model
 
 
+def sample_of(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> list[str]:
+    """The pages learnt from, in the order of their hashes: of the ``sample`` different pages with the smallest, those that fit
+    one after another into ``sample_bytes``, and the shortest of the others if these are fewer than ``LEAST``. Copies count once."""
+    key = ["hash", "size"]
+    rows = pages.select(F.col(html_col).alias("html")).filter(F.octet_length("html") > 0).select("html", F.xxhash64("html").alias("hash"), F.octet_length("html").alias("size"))
+    rest = [tuple(r) for r in rows.select(*key).distinct().orderBy(*key).limit(sample).collect()]
+    chosen, left = [], sample_bytes
+    for k in rest:
+        if k[1] <= left:
+            chosen.append(k)
+            left -= k[1]
+    chosen += sorted(set(rest) - set(chosen), key=lambda k: (k[1], k[0]))[: max(0, LEAST - len(chosen))]
+    found = rows.filter(F.col("hash").isin([h for h, _ in chosen])).groupBy(*key).agg(F.min("html").alias("html")).collect() if chosen else []
+    texts = {(r.hash, r.size): r.html for r in found}
+    return [texts[k] for k in sorted(chosen)]
+
+
 def learn(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Labeller:
-    """Fits on at most ``sample`` pages of at most ``sample_bytes`` bytes, those with the smallest hashes. Every page is labelled,
-    whatever the bounds."""
-    rows = pages.select(F.col(html_col).alias("html")).filter(F.octet_length("html").between(1, sample_bytes))
-    few = rows.orderBy(F.xxhash64("html"), "html").limit(sample).collect()
-    return fit([r.html for r in few])
+    """Fits on ``sample_of`` the pages. Every page is labelled, whatever the bounds."""
+    return fit(sample_of(pages, html_col, sample, sample_bytes))
 
 
 def main_text(page: list[Block], p: np.ndarray) -> str:

@@ -98,3 +98,32 @@ def test_odd_rows(spark, model):
     assert by[4].main_text.count("\n") == 19_999
     assert by[None].main_text == "Some text of an article here."
     assert H.extract(df.limit(0)).collect() == [] and len(H.extract(df.limit(2)).collect()) == 2
+
+
+def long_page(k):
+    parts = "".join(f"<p>Paragraph {i} of the long article {k}, with words{(i * 7 + k) % 50} that follow others.</p>" for i in range(450))
+    return f'<html><body><nav><ul><li><a href="/">Home {k}</a></li></ul></nav><article><h1>Title {k}</h1>{parts}</article><footer><p>Imprint {k}</p></footer></body></html>'
+
+
+def test_tables_of_long_pages_are_learnt_from(spark, monkeypatch):
+    rows = [(k, long_page(k)) for k in range(12)]
+    assert all(len(h) > 1 << 15 for _, h in rows)
+    df = spark.createDataFrame(rows, "page_id long, html string")
+    seen = []
+    monkeypatch.setattr(H, "fit", lambda pages: seen.append(pages))
+    H.learn(df)
+    assert sorted(seen[0]) == sorted(h for _, h in rows)
+    # the bytes of all pages together are bounded, but some pages are always there
+    assert len(H.sample_of(df, sample_bytes=6 * len(rows[0][1]))) in (5, 6)
+    assert len(H.sample_of(df, sample_bytes=1)) == H.LEAST
+
+
+def test_copies_count_once(spark, monkeypatch):
+    pages = [f"<p>Page {k}.</p>" for k in range(60)]
+    df = spark.createDataFrame([(h,) for h in pages], "html string")
+    first = H.sample_of(df)  # in the order of the hashes
+    copies = spark.createDataFrame([(h,) for h in [*pages, *[first[0]] * 150, *[first[1]] * 120, "", None]], "html string")
+    seen = []
+    monkeypatch.setattr(H, "fit", lambda pages: seen.append(pages))
+    H.learn(copies.repartition(5))
+    assert seen[0] == first and sorted(first) == sorted(pages)
