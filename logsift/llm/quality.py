@@ -3,7 +3,7 @@
 A document's worth is a linear score of features of its text. It is learnt from preference pairs, a document
 labelled 1 being preferred to one labelled 0: the chance that it wins is the logistic function of the
 difference of the two scores, and the weights minimise the logistic loss on feature differences. The threshold
-is a quantile of the learnt scores: that of the share of documents labelled 0.
+is a quantile of the scores of all labelled documents that are not held out: that of the share of them labelled 0.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.quantile import exact_percentile
+from ..session import materialize
 from .common import arrow, held_out, utf8_bodies
 
 #: Labelled rows that are learnt from at most (those with the smallest hashes of their ids), pairs in each step, steps,
@@ -103,21 +105,38 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, steps: int = STEPS, de
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = [features(x) for x in utf8_bodies(b.column("text"))]
-        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), pa.array(rows, pa.list_(pa.float32()))], names=["id", "label", "x"])
+        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), b.column("hash"), pa.array(rows, pa.list_(pa.float32()))], names=["id", "label", "hash", "x"])
+
+
+def _worths(model) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        for b in batches:
+            x = np.array([features(t) for t in utf8_bodies(b.column("text"))], np.float32).reshape(-1, N_FEATURES)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(m.worth(x))], names=["id", "worth"])
+
+    return run
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "quality") -> Model:
-    """Fits on labelled rows that are not held out (crc32 of the id modulo 4 is not 2); at most ``sample`` of them, chosen by
-    the hash of the id. Labels other than 0 and 1 and rows without an id do not count; an id labelled more than
-    once is learnt with each of its labels."""
-    marks = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id"), 4, 2))
-    few = marks.distinct().orderBy(F.xxhash64("id"), "id", "label").limit(sample)
-    rows = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(few), "id").select("id", "label", "text")  # sample bounds few
-    got = arrow(rows, _featurise, f"id {docs.schema['doc_id'].dataType.simpleString()}, label int, x array<float>").limit(2 * sample).toArrow()
+    """Fits on labelled rows that are not held out (crc32 of the id modulo 4 is not 2): the weights on those of at most ``sample``
+    ids and labels, chosen by the hash of the id, and the threshold on all of them. Labels other than 0 and 1 and rows
+    without an id do not count; an id labelled more than once is learnt with each of its labels. Rows of equal id, label and
+    text are learnt from once, and the ``2 * sample`` rows with the smallest hashes where ids repeat; the threshold counts each row."""
+    marks = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id"), 4, 2)).distinct()
+    few = marks.orderBy(F.xxhash64("id"), "id", "label").limit(sample)
+    own = docs.select(F.col("doc_id").alias("id"), "text").filter(F.col("id").isNotNull() & ~held_out(F.col("id"), 4, 2))
+    rows = own.join(F.broadcast(few), "id").select("id", "label", F.xxhash64("id", "text").alias("hash"), "text")  # sample bounds few
+    made = arrow(rows, _featurise, f"id {docs.schema['doc_id'].dataType.simpleString()}, label int, hash long, x array<float>")
+    got = made.dropDuplicates(["id", "label", "hash"]).orderBy("hash", "id", "label").limit(2 * sample).select("label", "x").toArrow()
     x = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in got.column("x").chunks] or [np.zeros(0)]).astype(np.float32).reshape(-1, N_FEATURES)
-    y = np.array(got.column("label").to_pylist(), np.int64)
-    order = np.lexsort((*x.T[:4], y, np.array([hash(i) for i in got.column("id").to_pylist()], np.int64)))
-    return fit(x[order], y[order])
+    model = fit(x, np.array(got.column("label").to_pylist(), np.int64))
+    if model.weights.any():
+        shared = docs.sparkSession.sparkContext.broadcast(model)
+        worths = arrow(own, _worths(shared), T.StructType([own.schema["id"], T.StructField("worth", T.DoubleType())]))
+        all_ = materialize(worths.join(marks, "id").select("label", "worth"), "quality-worths")
+        model.threshold = exact_percentile(all_, "worth", all_.agg(F.avg(1 - F.col("label"))).first()[0])
+    return model
 
 
 def _scorer(model, keep: bool) -> Callable:

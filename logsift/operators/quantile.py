@@ -55,4 +55,4 @@ def exact_percentile(df: DataFrame, col: str, q: float, bracket: int = BRACKET)
         rank += r.n
         if rank > last:
             break
-    return float(found[first] * (last - at) + found[last] * (at - first)) if last > first else float(found[first])
+    return float(found[first] * (last - at) + found[last] * (at - first)) if found[last] > found[first] else float(found[first])

@@ -1,10 +1,12 @@
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from logsift.llm import quality as B
 from logsift.llm import queries as Q
+from logsift.operators.quantile import exact_percentile
 
 from llm_data import SF_MID, SF_SMALL, nothing, odd  # noqa: F401
 
@@ -53,3 +55,34 @@ def test_odd_rows(spark, odd, nothing):
     assert {r.score for r in B.score(odd, one_kind).collect()} == {B.CUT}
     assert B.good_only(odd, labels.limit(0)).count() == odd.count()
     assert B.score(nothing, labels).collect() == []
+
+
+def labelled(spark, at):
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    labels = spark.read.parquet(f"{at}/labels.parquet")
+    own = {r.doc_id: r.quality for r in labels.collect() if r.quality in (0, 1) and zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
+    return docs, labels, own
+
+
+def test_threshold_covers_all_labelled_rows(spark):
+    docs, labels, own = labelled(spark, SF_MID)
+    m = B.learn(docs, labels, sample=40)
+    rows = [(m.worth(B.features((r.text or "").encode())[None])[0], own[r.doc_id]) for r in docs.collect() if r.doc_id in own]
+    assert len(rows) > 4 * 40
+    worth, zero = np.array([w for w, _ in rows]), np.mean([y == 0 for _, y in rows])
+    assert m.threshold == pytest.approx(np.quantile(worth, zero), rel=1e-12)
+    assert abs((worth < m.threshold).mean() - zero) <= 1 / len(rows)
+
+
+def test_repeated_ids_teach_alike_in_any_order(spark):
+    docs, labels, _ = labelled(spark, SF_SMALL)
+    again = docs.crossJoin(spark.range(5)).withColumn("text", F.concat("text", F.repeat(F.lit(" again"), F.col("id").cast("int")))).drop("id")
+    a, b = (B.learn(again.repartition(n), labels, sample=60) for n in (1, 7))
+    assert np.array_equal(a.weights, b.weights) and a.threshold == b.threshold
+    c = B.learn(again.unionByName(again).repartition(5), labels, sample=60)  # copies teach once
+    assert np.array_equal(a.weights, c.weights)
+
+
+def test_equal_scores_stand_at_the_threshold(spark):
+    df = spark.range(20_001).select(F.when(F.col("id") < 10_000, F.col("id") - 30_000).when(F.col("id") > 10_002, F.col("id")).otherwise(0.123456789).alias("v"))
+    assert exact_percentile(df, "v", 10_000.21 / 20_000) == 0.123456789
