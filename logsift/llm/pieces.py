@@ -357,16 +357,7 @@ def _sha(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def round_trip(docs: DataFrame, path: str, check_every: int = 16, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256, library_agrees): digests of each row's ids, decimal and comma-joined, and of
-    what they decode to; ``with_ids`` adds the ids themselves.
-
-    In every Arrow batch one row of ``check_every`` (all with 1, none with 0) is also given to the sentencepiece library:
-    ``library_agrees`` tells whether its ids and its decoded text are the same; it is null for the other rows, which are
-    encoded and decoded like these."""
-    rows, kind = _rows(docs, id_col, text_col)
-    model = load_model(docs.sparkSession, path)
-
+def _round_tripper(model, check_every: int, with_ids: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _vocabulary(model)
         library = None
@@ -379,13 +370,18 @@ def round_trip(docs: DataFrame, path: str, check_every: int = 16, with_ids: bool
             texts = b.column("text")
             for k, ids in enumerate(v.encode_all(t.as_py() for t in texts)):
                 decoded = v.decode(ids)
+                agrees = None
+                if check_every and k % check_every == 0:
+                    right = library.encode(texts[k].as_py())
+                    shown = library.decode(right)
+                    agrees = right == ids and shown == decoded
+                    ids, decoded = right, shown
+                same.append(agrees)
                 counts.append(len(ids))
                 if with_ids:
                     kept.append(pa.array(ids, pa.int32()))
                 ids_sha.append(_sha(v.numbers(ids)))
                 text_sha.append(_sha(decoded))
-                checked = check_every and k % check_every == 0
-                same.append(library.encode(texts[k].as_py()) == ids and library.decode(ids) == decoded if checked else None)
             out = [b.column("id"), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string()), pa.array(same, pa.bool_())]
             names = ["id", "n_tokens", "ids_sha256", "decoded_sha256", "library_agrees"]
             if with_ids:
@@ -394,4 +390,16 @@ def round_trip(docs: DataFrame, path: str, check_every: int = 16, with_ids: bool
             yield pa.RecordBatch.from_arrays(out, names=names + ["ids"] * with_ids)
         v.forget()
 
+    return run
+
+
+def round_trip(docs: DataFrame, path: str, check_every: int = 1, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256, library_agrees): digests of each row's ids, decimal and comma-joined, and of
+    what they decode to; ``with_ids`` adds the ids themselves.
+
+    Every row is also given to the sentencepiece library: ``library_agrees`` tells whether its ids and its decoded text are the
+    same; where they are not, the row has the library's. With another ``check_every`` only one row of so many in an Arrow
+    batch is checked (none with 0); it is null for the other rows, which are encoded and decoded like these."""
+    rows, kind = _rows(docs, id_col, text_col)
+    run = _round_tripper(load_model(docs.sparkSession, path), check_every, with_ids)
     return arrow(rows, run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, library_agrees boolean" + ", ids array<int>" * with_ids)

@@ -1,6 +1,8 @@
 import hashlib
 
+import corpus_pipeline
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -72,3 +74,27 @@ def test_other_models_are_refused():
     for settings_ in (b"\x12\x02\x18\x01", b"\x12\x02\x18\x02", b"\x12\x05\x18\x02\x98\x02\x01"):
         with pytest.raises(ValueError):
             P.MergeVocabulary(piece + settings_)
+
+
+def test_query_checks_every_row(spark):
+    assert {r.library_agrees for r in Q.op2_pieces(spark, SF_SMALL).collect()} == {True}
+
+
+def test_stage_checks_every_row(spark, odd):
+    stage = dict(corpus_pipeline.STAGES)["piece_ids"]
+    assert {r.library_agrees for r in stage(spark, odd, SF_SMALL).collect()} == {True}
+
+
+def test_a_disagreement_gives_the_ids_of_the_library(monkeypatch):
+    class Shared:
+        value = MODEL
+
+    right = P.MergeVocabulary.encode_all
+    monkeypatch.setattr(P.MergeVocabulary, "encode_all", lambda self, texts: ([*ids, 300] if len(ids) > 2 else ids for ids in right(self, texts)))
+    texts = ["the", "the end of the line", "", "another line of words"]
+    batch = pa.RecordBatch.from_pydict({"id": [1, 2, 3, 4], "text": texts})
+    (got,) = P._round_tripper(Shared, 1, True)(iter([batch]))
+    assert got.column("library_agrees").to_pylist() == [True, False, True, False]
+    assert got.column("ids").to_pylist() == [LIBRARY.encode(t) for t in texts]
+    assert got.column("n_tokens").to_pylist() == [len(LIBRARY.encode(t)) for t in texts]
+    assert got.column("decoded_sha256").to_pylist() == [hashlib.sha256(t.encode()).hexdigest() for t in texts]
