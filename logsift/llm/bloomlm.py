@@ -381,7 +381,7 @@ def log_probabilities(totals: Totals, t: np.ndarray, before: np.ndarray, count:
     return np.log10(base), np.log10(smooth)
 
 
-_STATE = np.dtype([("count", "<u4"), ("pair", "u1"), ("types", "u1")])
+_STATE = np.dtype([("count", "<u8"), ("pair", "u1"), ("types", "u1")])
 
 
 def _pass(shared, last: bool) -> Callable:

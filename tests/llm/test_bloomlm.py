@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from logsift.llm import bloomlm as B
@@ -103,3 +104,24 @@ def test_odd_rows(odd, nothing):
     assert B.score_held_out(nothing).collect() == []
     untrained = B.score(odd, B.train(nothing)).collect()
     assert len(untrained) == len(rows) and all(r.n_known == 0 and r.score == r.base_score == 0 for r in untrained)
+
+
+def test_counts_beyond_32_bits():
+    many = (1 << 32) + 5
+    t = B.tokens(b"the")
+    order = np.argsort(t)
+    totals = B.Totals(1, 3 * many, 2, many)
+    bits = np.zeros(8, np.uint8)
+    group = B.Group(totals, np.ones(1, bool), t[order], np.array([many, many + 1])[order], bits, np.zeros(1, np.int64), np.array([64]))
+    none = B.Group(totals, np.zeros(1, bool), t[:0], np.zeros(0, np.int64), bits[:0], np.zeros(1, np.int64), np.zeros(1, np.int64))
+
+    class Shared:
+        def __init__(self, value):
+            self.value = value
+
+    batch = pa.RecordBatch.from_pydict({"id": [1], "text": ["the"]})
+    base = sum(math.log10((c + 1) / (totals.n + totals.vocabulary + 1)) for c in (many, many + 1))
+    first = B._pass(Shared(group), False)(iter([batch]))
+    for rows in (B._pass(Shared(group), True)(iter([batch])), B._pass(Shared(none), True)(first)):
+        (got,) = (r for b in rows for r in b.to_pylist())
+        assert got["n_known"] == 2 and got["base_score"] == pytest.approx(base, rel=1e-12)
