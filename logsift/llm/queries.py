@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attribution, blocks, bloomlm, kdtree, linededup, pieces, quality, shardtree, simhash, tiling
+from . import attribution, blocks, bloomlm, kdtree, linededup, phrases, pieces, quality, shardtree, simhash, tiling
 from .common import held_out, read
 
 
@@ -77,6 +77,11 @@ def op10_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hit.select(F.col("id").alias("doc_id"), "item_id", "n_tiles", "covered_words", "item_words", "coverage")
 
 
+def op13_misra_gries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 collocations of two to five words of each language of all documents."""
+    return phrases.collocations(read(spark, sf_dir, "documents"), min_count=100, max_words=5, top=2000, contained=100)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py, one after another."""
     import corpus_pipeline
@@ -118,6 +123,44 @@ ranked AS (
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 5
 """
 
+#: Phrases by windows over the words of a piece, counted whole; 128-bit integers for the scores.
+SQL_OP13 = r"""
+WITH pieces AS (
+  SELECT row_number() OVER () AS piece, lang, body FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS body
+    FROM documents)),
+words AS (
+  SELECT piece, lang, unnest(w) AS word, generate_subscripts(w, 1) AS pos
+  FROM (SELECT piece, lang, regexp_extract_all(body, '[^\x20\x09]+') AS w FROM pieces)),
+g AS (
+  SELECT lang, word AS p1, p1 || ' ' || lead(word, 1) OVER q AS p2, p2 || ' ' || lead(word, 2) OVER q AS p3,
+         p3 || ' ' || lead(word, 3) OVER q AS p4, p4 || ' ' || lead(word, 4) OVER q AS p5
+  FROM words WINDOW q AS (PARTITION BY piece ORDER BY pos)),
+total AS (SELECT lang, count(*) AS n FROM words GROUP BY lang),
+f AS (
+  SELECT lang, phrase, words, count(*) AS a FROM (
+    SELECT lang, p1 AS phrase, 1 AS words FROM g UNION ALL SELECT lang, p2, 2 FROM g UNION ALL SELECT lang, p3, 3 FROM g
+    UNION ALL SELECT lang, p4, 4 FROM g UNION ALL SELECT lang, p5, 5 FROM g)
+  WHERE phrase IS NOT NULL GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (
+  SELECT lang, phrase, a, string_split(phrase, ' ') AS w, unnest(range(1, words)) AS k FROM f WHERE words > 1),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, x.a AS l, y.a AS r, t.n, c.k,
+         CAST((1000::HUGEINT * c.a * t.n) // (x.a::HUGEINT * y.a) AS BIGINT) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[:c.k], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1:], ' ') JOIN total t ON t.lang = c.lang),
+worst AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+kept AS (
+  SELECT * FROM worst o WHERE NOT EXISTS (
+    SELECT 1 FROM f x WHERE x.lang = o.lang AND x.a >= o.a AND length(x.phrase) > length(o.phrase)
+    AND contains(' ' || x.phrase || ' ', ' ' || o.phrase || ' '))),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
 ENTRIES = {
     "op1_quality": (op1_quality, None),
     "op2_pieces": (op2_pieces, None),
@@ -129,5 +172,6 @@ ENTRIES = {
     "op8_line_dedup": (op8_line_dedup, SQL_OP8),
     "op9_shard_tree": (op9_shard_tree, None),
     "op10_tiling": (op10_tiling, None),
+    "op13_misra_gries": (op13_misra_gries, SQL_OP13),
     "pipeline": (pipeline, None),
 }
