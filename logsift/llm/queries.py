@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attribution, blocks, bloomlm, kdtree, linededup, phrases, pieces, quality, shardtree, simhash, tiling
+from . import attribution, blocks, bloomlm, kdtree, linededup, multiset, phrases, pieces, quality, shardtree, simhash, tiling
 from .common import held_out, read
 
 
@@ -77,6 +77,11 @@ def op10_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hit.select(F.col("id").alias("doc_id"), "item_id", "n_tiles", "covered_words", "item_words", "coverage")
 
 
+def op12_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return multiset.compare_edits(read(spark, sf_dir, "documents"))
+
+
 def op13_misra_gries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 2,000 collocations of two to five words of each language of all documents."""
     return phrases.collocations(read(spark, sf_dir, "documents"), min_count=100, max_words=5, top=2000, contained=100)
@@ -123,6 +128,49 @@ ranked AS (
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 5
 """
 
+#: Fingerprints by unnesting paragraphs, units and bits.
+SQL_OP12 = r"""
+WITH own AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n_chars FROM documents),
+edited AS (
+  SELECT doc_id, n_chars, text, left(text, n_chars - n_chars // 2) || left(coalesce(lead(text) OVER o, first(text) OVER o), n_chars // 2) AS edited,
+         coalesce(lead(doc_id) OVER o, first(doc_id) OVER o) AS next_id
+  FROM own WINDOW o AS (ORDER BY doc_id DESC)),
+texts AS (
+  SELECT doc_id, 0 AS kind, text FROM edited UNION ALL SELECT doc_id, 1, edited FROM edited),
+units AS (
+  SELECT doc_id, kind, md5(unnest(regexp_extract_all(text, '[^ \t\n\x0B\f\r.,;:!?]+(?:[ \t]+[^ \t\n\x0B\f\r.,;:!?]+){0,7}'))) AS d FROM texts),
+unit_words AS (
+  SELECT doc_id, kind, j, CAST(('0x' || substr(d, 1 + 8 * j, 8)) AS BIGINT) AS v FROM units, (SELECT unnest(range(4)) AS j)),
+bits AS (
+  SELECT doc_id, kind, 32 * j + i AS lane, sum((v >> i) & 1) AS c, count(*) AS n
+  FROM unit_words, (SELECT CAST(unnest(range(32)) AS INTEGER) AS i) GROUP BY ALL),
+paragraphs AS (
+  SELECT doc_id, kind, sha256(p) AS d FROM (SELECT doc_id, kind, unnest(string_split(text, chr(10))) AS p FROM texts) WHERE p <> ''),
+sums AS (
+  SELECT doc_id, kind, j, sum(CAST(('0x' || substr(d, 1 + 8 * j, 8)) AS BIGINT)) % 4294967296 AS v
+  FROM paragraphs, (SELECT unnest(range(8)) AS j) GROUP BY ALL),
+lanes AS (
+  SELECT doc_id, kind, list(CAST(c AS BIGINT) ORDER BY lane) AS c, CAST(max(n) AS BIGINT) AS n FROM bits GROUP BY ALL),
+heads AS (
+  SELECT doc_id, kind, list(CAST(v AS BIGINT) ORDER BY j) AS v FROM sums GROUP BY ALL),
+vec AS (
+  SELECT t.doc_id, t.kind, coalesce(l.n, 0) AS n, list_concat([coalesce(l.n, 0)], coalesce(h.v, [0, 0, 0, 0, 0, 0, 0, 0]),
+         coalesce(l.c, list_transform(range(128), lambda x: 0))) AS v
+  FROM texts t LEFT JOIN lanes l USING (doc_id, kind) LEFT JOIN heads h USING (doc_id, kind)),
+signed AS (
+  SELECT doc_id, kind, v, list_transform(v[10:], lambda c: CAST(2 * c - v[1] AS DOUBLE)) AS s,
+         list_aggregate(list_transform(v, lambda x: lpad(lower(to_hex(x)), 8, '0')), 'string_agg', '') AS f
+  FROM vec)
+SELECT e.doc_id, e.n_chars, sha256(e.edited) AS edited_sha256, a.f AS fingerprint, b.f AS edited_fingerprint,
+       CASE WHEN a.v = b.v THEN 1.0::DOUBLE WHEN list_inner_product(a.s, a.s) * list_inner_product(b.s, b.s) = 0 THEN 0.0::DOUBLE
+            ELSE greatest(0.0::DOUBLE, list_inner_product(a.s, b.s)) / sqrt(list_inner_product(a.s, a.s) * list_inner_product(b.s, b.s)) END AS near_edited,
+       CASE WHEN a.v = c.v THEN 1.0::DOUBLE WHEN list_inner_product(a.s, a.s) * list_inner_product(c.s, c.s) = 0 THEN 0.0::DOUBLE
+            ELSE greatest(0.0::DOUBLE, list_inner_product(a.s, c.s)) / sqrt(list_inner_product(a.s, a.s) * list_inner_product(c.s, c.s)) END AS near_next
+FROM edited e JOIN signed a ON a.doc_id = e.doc_id AND a.kind = 0 JOIN signed b ON b.doc_id = e.doc_id AND b.kind = 1
+JOIN signed c ON c.doc_id = e.next_id AND c.kind = 0
+"""
+
 #: Phrases by windows over the words of a piece, counted whole; 128-bit integers for the scores.
 SQL_OP13 = r"""
 WITH pieces AS (
@@ -172,6 +220,7 @@ ENTRIES = {
     "op8_line_dedup": (op8_line_dedup, SQL_OP8),
     "op9_shard_tree": (op9_shard_tree, None),
     "op10_tiling": (op10_tiling, None),
+    "op12_multiset": (op12_multiset, SQL_OP12),
     "op13_misra_gries": (op13_misra_gries, SQL_OP13),
     "pipeline": (pipeline, None),
 }

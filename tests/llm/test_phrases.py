@@ -7,7 +7,7 @@ import pytest
 from logsift.llm import phrases as P
 from logsift.llm import queries as Q
 
-from llm_data import ODD, SF_MID, SF_SMALL, nothing, odd, odd_rows  # noqa: F401
+from llm_data import SF_MID, SF_SMALL, nothing, odd, odd_rows  # noqa: F401
 from oracle import compare
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
