@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attribution, blocks, bloomlm, kdtree, linededup, multiset, phrases, pieces, quality, shardtree, simhash, tiling
+from . import attribution, blocks, bloomlm, kdtree, linededup, multiset, phrases, pieces, quality, ranked, shardtree, simhash, tiling
 from .common import held_out, read
 
 
@@ -77,6 +77,11 @@ def op10_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hit.select(F.col("id").alias("doc_id"), "item_id", "n_tiles", "covered_words", "item_words", "coverage")
 
 
+def op11_range_maximum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest-scoring of all documents for every benchmark item."""
+    return ranked.ranked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=10).withColumnRenamed("id", "doc_id")
+
+
 def op12_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts."""
     return multiset.compare_edits(read(spark, sf_dir, "documents"))
@@ -128,6 +133,26 @@ ranked AS (
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 5
 """
 
+#: Scores of every document that has a term of an item.
+SQL_OP11 = r"""
+WITH lower AS (
+  SELECT 0 AS kind, doc_id AS id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+  UNION ALL SELECT 1, item_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark),
+found AS (
+  SELECT kind, id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM lower WHERE t IS NOT NULL),
+d AS (SELECT id, terms, CAST(len(terms) AS BIGINT) AS n FROM found WHERE kind = 0 AND len(terms) > 0),
+q AS (SELECT DISTINCT id AS item_id, unnest(terms) AS term FROM found WHERE kind = 1),
+tf AS (SELECT id, n, term, count(*) AS tf FROM (SELECT id, n, unnest(terms) AS term FROM d) GROUP BY ALL),
+g AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS words FROM d),
+w AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, g GROUP BY term),
+s AS (
+  SELECT q.item_id, tf.id AS doc_id,
+         CAST(sum(w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 8 * (100 - 90 + (90 * tf.n * g.docs) // g.words)))) AS BIGINT) AS score
+  FROM q JOIN tf USING (term) JOIN w USING (term), g GROUP BY q.item_id, tf.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
 #: Fingerprints by unnesting paragraphs, units and bits.
 SQL_OP12 = r"""
 WITH own AS (
@@ -220,6 +245,7 @@ ENTRIES = {
     "op8_line_dedup": (op8_line_dedup, SQL_OP8),
     "op9_shard_tree": (op9_shard_tree, None),
     "op10_tiling": (op10_tiling, None),
+    "op11_range_maximum": (op11_range_maximum, SQL_OP11),
     "op12_multiset": (op12_multiset, SQL_OP12),
     "op13_misra_gries": (op13_misra_gries, SQL_OP13),
     "pipeline": (pipeline, None),
