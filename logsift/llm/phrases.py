@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -27,8 +28,11 @@ from .common import arrow
 MIN_COUNT, MAX_WORDS, TOP = 100, 5, 2000
 #: Starts of n-grams that a task counts at a time, bytes of a text that are split at a time, and words that it remembers.
 BLOCK, SLICE, REMEMBERED = 1 << 21, 1 << 20, 1 << 20
-#: Counters of a summary are kept near this number by the number of hash partitions; at least so many of them.
-COUNTERS, LEAST_PARTS = 1 << 18, 256
+#: A summary has this many times the counters that its mass needs, so that what it takes off is that part of the threshold and few keys
+#: below it stay; the mass of a hash partition over the threshold is kept near this number by how many there are, at least so many.
+SLACK, COUNTERS, LEAST_PARTS = 16, 1 << 16, 256
+#: Rows of counts that are merged at a time.
+MERGED_ROWS = 1 << 18
 #: Bits of a key, and the largest bitmap of survivors in bits (32 MB); smaller ones have 256 bits for each of them.
 KEY_BITS, BITMAP_BITS = 48, 28
 UNDEFINED = "und"
@@ -222,7 +226,7 @@ def _merge_summaries(min_count: int) -> Callable:
                 if kind == 0:
                     mass += m
                 else:
-                    summary = summary or MisraGries(mass // min_count + 1)
+                    summary = summary or MisraGries(SLACK * mass // min_count + 1)
                     summary.add(np.frombuffer(low, "<u4") | np.frombuffer(high, "<u2").astype(np.uint64) << np.uint64(32), np.frombuffer(counts, "<u4").astype(np.int64))
         if part is not None:
             yield done()
@@ -260,33 +264,76 @@ def _survivors(rows: DataFrame, first: int, last: int, known: list, min_count: i
     return Survivors(bits, table)
 
 
-def _count(upto: int, known) -> Callable:
-    """Second pass: the survivors' own words with their counts, per block; a null phrase counts all words of a language."""
+_FOUND = {"lang": pa.string(), "phrase": pa.string(), "words": pa.int32(), "n": pa.int64()}
+
+
+def _count(upto: int, part_bits: int, known) -> Callable:
+    """Second pass: the survivors' own words with their counts, a row of arrays per block and hash partition; a null phrase
+    counts all words of a language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader()
+        reader, shift = Reader(), np.uint64(KEY_BITS - part_bits)
         for ids, starts in reader.blocks(batches, upto):
             names, langs, total = reader.names, reader.langs, len(reader.names)
-            rank, cols = ids, ([], [], [], [])
-            for n, _, now in alive(grams(ids, np.array(reader.hashes, np.uint64), upto), known.value):
+            numbers, times = np.unique(ids[:starts], return_counts=True)
+            sums: dict[str, int] = {}
+            for i, k in zip(numbers.tolist(), times.tolist(), strict=True):
+                if i:
+                    sums[langs[i]] = sums.get(langs[i], 0) + k
+            rank, parts, cols = ids, [np.zeros(len(sums), np.int64)], (list(sums), [None] * len(sums), [0] * len(sums), list(sums.values()))
+            for n, keys, now in alive(grams(ids, np.array(reader.hashes, np.uint64), upto), known.value):
                 at = np.flatnonzero(now[:starts])
-                if n == 1:
-                    numbers, times = np.unique(ids[:starts], return_counts=True)
-                    sums: dict[str, int] = {}
-                    for i, k in zip(numbers.tolist(), times.tolist(), strict=True):
-                        if i:
-                            sums[langs[i]] = sums.get(langs[i], 0) + k
-                    for col, more in zip(cols, (sums, [None] * len(sums), [0] * len(sums), sums.values()), strict=True):
-                        col.extend(more)
                 # equal n-grams: the same first n - 1 words, by their rank, and the same last one
                 together = rank[at] * total + ids[at + n - 1] if n > 1 else ids[at]
                 _, where, inverse, times = np.unique(together, return_index=True, return_inverse=True, return_counts=True)
                 rank = np.full(len(ids), -1, np.int64)
                 rank[at] = inverse
+                parts.append((keys[at[where]] >> shift).astype(np.int64))
                 place = ids[at[where][:, None] + np.arange(n)].tolist()
                 for col, more in zip(cols, ((langs[p[0]] for p in place), (b" ".join([names[i] for i in p]) for p in place), [n] * len(place), times.tolist()), strict=True):
                     col.extend(more)
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.binary()).cast(pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64())], names=["lang", "phrase", "words", "n"])
+            part = np.concatenate(parts)
+            order = np.argsort(part, kind="stable")
+            part = part[order]
+            edge = np.flatnonzero(np.r_[len(part) > 0, part[1:] != part[:-1]])
+            if len(edge):
+                cut, order = pa.array(np.r_[edge, len(part)].astype(np.int32)), pa.array(order)
+                lists = [pa.ListArray.from_arrays(cut, pa.array(col, pa.binary() if name == "phrase" else kind).cast(kind).take(order)) for (name, kind), col in zip(_FOUND.items(), cols, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(part[edge]), *lists], names=["part", *_FOUND])
+
+    return run
+
+
+def _merge_counts(min_count: int) -> Callable:
+    """The exact counts of each hash partition, which holds a few times its frequent n-grams at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, rows, least = None, [], 0, MERGED_ROWS
+
+        def merge() -> pa.Table:
+            t = pa.concat_tables(held).group_by(["lang", "phrase", "words"]).aggregate([("n", "sum")])
+            return t.rename_columns(["lang", "phrase", "words", "n"]).select(list(_FOUND))
+
+        def done() -> Iterator[pa.RecordBatch]:
+            t = merge()
+            yield from t.filter(pc.or_(pc.equal(t["words"], 0), pc.greater_equal(t["n"], min_count))).combine_chunks().to_batches()
+
+        for b in batches:
+            parts = b.column("part").to_numpy()
+            edge = np.flatnonzero(np.r_[len(parts) > 0, parts[1:] != parts[:-1]])
+            for at, end in zip(edge.tolist(), [*edge[1:].tolist(), len(parts)], strict=True):
+                if parts[at] != part:
+                    if held:
+                        yield from done()
+                    part, held, rows, least = parts[at], [], 0, MERGED_ROWS
+                held.append(pa.table([pc.list_flatten(b.column(c).slice(at, end - at)) for c in _FOUND], names=list(_FOUND)))
+                rows += held[-1].num_rows
+                if rows > least:
+                    held = [merge()]
+                    rows = held[0].num_rows
+                    least = max(MERGED_ROWS, 2 * rows)
+        if held:
+            yield from done()
 
     return run
 
@@ -304,9 +351,9 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int
     known = [_survivors(rows, 1, min(2, max_words), [], min_count, part_bits)] * min(2, max_words)
     if max_words > 2:
         known += [_survivors(rows, 3, max_words, known, min_count, part_bits)] * (max_words - 2)
-    counted = arrow(rows, _count(max_words, rows.sparkSession.sparkContext.broadcast(known)), "lang string, phrase string, words int, n long")
-    total = counted.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
-    return total.filter((F.col("words") == 0) | (F.col("n") >= min_count))
+    lists = "part long, " + ", ".join(f"{c} array<{k}>" for c, k in zip(_FOUND, ("string", "string", "int", "long"), strict=True))
+    counted = arrow(rows, _count(max_words, part_bits, rows.sparkSession.sparkContext.broadcast(known)), lists)
+    return arrow(counted.repartition("part").sortWithinPartitions("part"), _merge_counts(min_count), "lang string, phrase string, words int, n long")
 
 
 def _floor_score(a: Column, n: Column, left: Column, right: Column) -> Column:

@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from logsift.llm import phrases as P
@@ -53,23 +54,39 @@ def test_low_thresholds_equal_brute_force(spark):
         assert len(want) > 100 and found(P.collocations(docs, least, longest, top, contained)) == want
 
 
+class Shared:
+    def __init__(self, value):
+        self.value = value
+
+
 def test_blocks_parts_and_small_bitmaps_change_nothing(spark, monkeypatch):
     """Blocks that cut pieces, few hash partitions, a bitmap with many false positives, words forgotten in between."""
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("lang", "text").repartition(3)
-    want = found(P.collocations(docs, 4, 5, 300))
-    for name, value in (("BLOCK", 1001), ("SLICE", 64), ("REMEMBERED", 50), ("BITMAP_BITS", 13), ("LEAST_PARTS", 4)):
-        monkeypatch.setattr(P, name, value)
     rows = [tuple(r) for r in docs.collect()]
-    import pyarrow as pa
     batch = pa.RecordBatch.from_pydict({"lang": [r[0] or "und" for r in rows], "text": [r[1] or "" for r in rows]})
-    packs = list(P._summaries(1, 5, 2, type("B", (), {"value": []}))(iter([batch])))
-    mass = sum(sum(b.column("mass").to_pylist()) for b in packs)
-    reader, whole = P.Reader(), 0
-    monkeypatch.setattr(P, "BLOCK", 1 << 21)
-    for ids, starts in reader.blocks(iter([batch]), 5):
-        whole += sum(int(now[:starts].sum()) for _, _, now in P.grams(ids, np.array(reader.hashes, np.uint64), 5))
-    assert mass == whole
-    assert found(P.collocations(docs, 4, 5, 300)) == want
+
+    def passes():
+        """Both passes in this process: what they counted, and the mass of the first."""
+        packs = list(P._summaries(1, 5, 2, Shared([]))(iter([batch])))
+        merged = sorted((dict(zip(b.schema.names, r)) for b in packs for r in zip(*(c.to_pylist() for c in b.columns))), key=lambda r: (r["part"], r["kind"]))
+        names = packs[0].schema.names
+        kept = P._merge_summaries(4)(iter([pa.RecordBatch.from_pylist(merged[i : i + 7], schema=packs[0].schema) for i in range(0, len(merged), 7)]))
+        table = np.zeros(1 << P.KEY_BITS - 32, bool)
+        for b in kept:
+            for keys in b.column("keys").to_pylist():
+                table[(np.frombuffer(keys, "<u8") >> np.uint64(32)).astype(np.int64)] = True
+        known = P.Survivors(P.KEY_BITS - 32, np.packbits(table, bitorder="little"))
+        lists = sorted((r for b in P._count(5, 2, Shared([known] * 5))(iter([batch])) for r in b.to_pylist()), key=lambda r: r["part"])
+        schema = pa.schema([("part", pa.int64()), *((c, pa.list_(k)) for c, k in P._FOUND.items())])
+        counts = P._merge_counts(4)(iter([pa.RecordBatch.from_pylist(lists[i : i + 3], schema=schema) for i in range(0, len(lists), 3)]))
+        assert names[0] == "part"
+        return sum(sum(b.column("mass").to_pylist()) for b in packs), {(r["lang"], r["phrase"]): r["n"] for b in counts for r in b.to_pylist()}
+
+    want, whole = found(P.collocations(docs, 4, 5, 300)), passes()
+    for name, value in (("BLOCK", 1001), ("SLICE", 64), ("REMEMBERED", 50), ("BITMAP_BITS", 13), ("LEAST_PARTS", 4), ("SLACK", 1), ("MERGED_ROWS", 40)):
+        monkeypatch.setattr(P, name, value)
+    assert passes() == whole and len(whole[1]) > 1000
+    assert found(P.collocations(docs, 4, 5, 300)) == want == brute(rows, 4, 5, 300)
 
 
 def test_summaries_keep_every_frequent_key_however_they_merge():
