@@ -13,6 +13,7 @@ has a heap for its agenda.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import re
@@ -29,7 +30,7 @@ from .common import arrow
 MARK = "▁"
 _NONE = np.iinfo(np.int32).max
 #: Runs remembered during a task, the longest of them in characters, and the characters of text encoded at a time.
-MEMORY, REMEMBERED_CHARS, AT_A_TIME = 1 << 18, 32, 1 << 20
+MEMORY, REMEMBERED_CHARS, AT_A_TIME = 1 << 20, 32, 1 << 20
 
 #: Rows whose results are held at a time.
 ROWS = 2048
@@ -97,16 +98,19 @@ class MergeVocabulary:
         self.byte_of = {i: v for v, i in self.bytes.items()}
         self.unknown = self.kinds.index(UNKNOWN)
         self._memory: dict[str, tuple[int, ...]] = {}  # runs
-        self._words: dict[str, tuple[int, ...]] = {}  # words that stand after a single space
+        self._words: dict[str, tuple[int, ...]] = {}  # words that stand after a single space, and line breaks with what follows
         self._cut = self._cutter()
         self._pairs()
         self._numbers = [str(i) for i in range(len(self.pieces))]
-        self._shown = [{NORMAL: p.replace(MARK, " "), UNKNOWN: " ⁇ ", CONTROL: ""}.get(k) for p, k in zip(self.pieces, self.kinds, strict=True)]
+        # a byte below 128 is a character wherever it stands
+        self._shown = [{NORMAL: p.replace(MARK, " "), UNKNOWN: " ⁇ ", CONTROL: ""}.get(k, chr(self.byte_of[i]) if self.byte_of.get(i, 128) < 128 else None) for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True))]
 
     def _cutter(self) -> re.Pattern:
         long = [p for p in self.ids if len(p) > 1]
         if any(a != MARK and b == MARK for p in long for a, b in zip(p, p[1:], strict=False)):
+            self._breaks = False
             return re.compile("(?s).+")  # a piece holds a mark after another character: no cuts
+        self._breaks = not any("\n" in p for p in long)  # a line break is a run of its own
         joins = "".join(sorted({re.escape(c) for p in long for c in p} - {MARK}))
         return re.compile(f"(?s){MARK}*[{joins}]+|{MARK}+|.")
 
@@ -207,44 +211,65 @@ class MergeVocabulary:
             begin = end
         return out
 
-    def _learn(self, runs: set[str]) -> None:
-        """Remembers the ids of runs."""
-        new = [r for r in runs if r not in self._memory]
-        for r in new:
-            if len(r) > REMEMBERED_CHARS:
-                self._memory[r] = tuple(self.merge(r))
+    def _learn(self, runs: set[str] | dict[str, str], into: dict[str, tuple[int, ...]]) -> None:
+        """Remembers the ids of runs, under their names where they have any."""
+        name = runs.__getitem__ if isinstance(runs, dict) else str
+        new = [r for r in runs if name(r) not in into]
+        into.update((name(r), tuple(self.merge(r))) for r in new if len(r) > REMEMBERED_CHARS)
         short = [r for r in new if len(r) <= REMEMBERED_CHARS]
         for k in range(0, len(short), 1 << 13):
             part = short[k : k + (1 << 13)]
-            self._memory.update(zip(part, self.merge_all(part), strict=True))
-
-    def _encode_some(self, texts: list[str]) -> list[list[int]]:
+            into.update(zip(map(name, part), self.merge_all(part), strict=True))
+
+    def _by_words(self, text: str) -> list[str] | None:
+        """A text as words with single spaces between them, each line break at the head of one; None for any other text."""
+        if "  " in text or text[:1] == " " or text[-1:] == " " or MARK in text:
+            return None
+        if self._breaks and "\n" in text:
+            return None if " \n" in text else text.replace("\n", " \n").split(" ")
+        return text.split(" ")
+
+    def _encode_some(self, texts: list[str]) -> tuple[list[list[str] | None], list[list[str] | None]]:
+        """The words of each text, or else its runs; after this all of them are remembered."""
         memory, words, cut = self._memory, self._words, self._cut.findall
         if len(memory) > MEMORY:
             memory.clear()
         if len(words) > MEMORY:
             words.clear()
-        # a text of words with single spaces between them is looked up word by word, any other run by run
-        split = [None if "  " in t or t[:1] == " " or t[-1:] == " " or MARK in t else t.split(" ") for t in texts]
+        split = [self._by_words(t) for t in texts]
         runs = [cut(MARK + t.replace(" ", MARK)) if ws is None else None for t, ws in zip(texts, split, strict=True)]
-        new = {w: cut(MARK + w) for w in set().union(*(ws for ws in split if ws)).difference(words)}
-        self._learn(set().union(*(rs for rs in runs if rs), *new.values()))
-        for w, rs in new.items():
-            words[w] = memory[rs[0]] if len(rs) == 1 else tuple(i for r in rs for i in memory[r])
-        by_word, by_run = words.__getitem__, memory.__getitem__
-        return [[] if not t else list(chain.from_iterable(map(by_run, rs) if ws is None else map(by_word, ws))) for t, ws, rs in zip(texts, split, runs, strict=True)]
-
-    def encode_all(self, texts: Iterable[str]) -> Iterator[list[int]]:
-        """Ids of texts, without begin or end ids; none for an empty text."""
+        new = set().union(*(ws for ws in split if ws)).difference(words)
+        cuts = [(w, cut(w if w[:1] == "\n" and self._breaks else MARK + w)) for w in new]
+        self._learn(set().union(*(rs for rs in runs if rs), *(rs for _, rs in cuts if len(rs) > 1)), memory)
+        self._learn({rs[0]: w for w, rs in cuts if len(rs) == 1}, words)
+        words.update((w, tuple(i for r in rs for i in memory[r])) for w, rs in cuts if len(rs) > 1)
+        return split, runs
+
+    def _ids(self, text: str, words: list[str] | None, runs: list[str] | None) -> list[int]:
+        if not text:
+            return []
+        return list(chain.from_iterable(map(self._memory.__getitem__, runs) if words is None else map(self._words.__getitem__, words)))
+
+    def _some(self, texts: Iterable[str]) -> Iterator[tuple[str, list[str] | None, list[str] | None]]:
         some, chars = [], 0
         for t in texts:
             some.append(t)
             chars += len(t)
             if chars >= AT_A_TIME:
-                yield from self._encode_some(some)
+                yield from zip(some, *self._encode_some(some), strict=True)
                 some, chars = [], 0
         if some:
-            yield from self._encode_some(some)
+            yield from zip(some, *self._encode_some(some), strict=True)
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[list[int]]:
+        """Ids of texts, without begin or end ids; none for an empty text."""
+        return (self._ids(*x) for x in self._some(texts))
+
+    def round_trips(self, texts: Iterable[str]) -> Iterator[tuple[list[int], str, str]]:
+        """Of each text the ids, these as decimal numbers joined by commas, and what they decode to."""
+        for x in self._some(texts):
+            ids = self._ids(*x)
+            yield ids, self.numbers(ids), self.decode(ids)
 
     def forget(self) -> None:
         """Drops what is remembered: a worker process outlives its task and serves other stages."""
@@ -265,7 +290,7 @@ class MergeVocabulary:
         rest = ids[first:]
         try:
             return head + "".join(map(shown.__getitem__, rest))
-        except TypeError:  # byte pieces show nothing by themselves
+        except TypeError:  # other byte pieces show nothing by themselves
             pass
         out, raw = [head], bytearray()
         for i in rest:
@@ -320,7 +345,7 @@ def load_model(spark: SparkSession, path: str):
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
-    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.make_valid_utf8(F.col(text_col)), F.lit("")).alias("text")), docs.schema[id_col].dataType.simpleString()
 
 
 def _encoder(model) -> Callable:
@@ -359,6 +384,7 @@ def _sha(text: str) -> str:
 
 def _round_tripper(model, check_every: int, with_ids: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # many small tuples and no cycles
         v = _vocabulary(model)
         library = None
         if check_every:
@@ -368,19 +394,15 @@ def _round_tripper(model, check_every: int, with_ids: bool) -> Callable:
         for b in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             counts, ids_sha, text_sha, same, kept = [], [], [], [], []
             texts = b.column("text")
-            for k, ids in enumerate(v.encode_all(t.as_py() for t in texts)):
-                decoded = v.decode(ids)
+            for k, (ids, decimal, decoded) in enumerate(v.round_trips(t.as_py() for t in texts)):
                 agrees = None
                 if check_every and k % check_every == 0:
-                    right = library.encode(texts[k].as_py())
-                    shown = library.decode(right)
-                    agrees = right == ids and shown == decoded
-                    ids, decoded = right, shown
+                    agrees = library.encode(texts[k].as_py()) == ids and library.decode(ids) == decoded
                 same.append(agrees)
                 counts.append(len(ids))
                 if with_ids:
                     kept.append(pa.array(ids, pa.int32()))
-                ids_sha.append(_sha(v.numbers(ids)))
+                ids_sha.append(_sha(decimal))
                 text_sha.append(_sha(decoded))
             out = [b.column("id"), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string()), pa.array(same, pa.bool_())]
             names = ["id", "n_tokens", "ids_sha256", "decoded_sha256", "library_agrees"]
@@ -389,6 +411,7 @@ def _round_tripper(model, check_every: int, with_ids: bool) -> Callable:
                 out.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), flat))
             yield pa.RecordBatch.from_arrays(out, names=names + ["ids"] * with_ids)
         v.forget()
+        gc.enable()
 
     return run
 
@@ -397,8 +420,9 @@ def round_trip(docs: DataFrame, path: str, check_every: int = 1, with_ids: bool
     """(id, n_tokens, ids_sha256, decoded_sha256, library_agrees): digests of each row's ids, decimal and comma-joined, and of
     what they decode to; ``with_ids`` adds the ids themselves.
 
-    Every row is also given to the sentencepiece library: ``library_agrees`` tells whether its ids and its decoded text are the
-    same; where they are not, the row has the library's. With another ``check_every`` only one row of so many in an Arrow
+    Ids and texts are the agenda's. Every row is also given to the sentencepiece library, and ``library_agrees`` tells whether it has the same
+    ids and decodes them to the same text; a row that is false keeps what the agenda made of it and stands out. Bytes that are not UTF-8
+    count as U+FFFD. With another ``check_every`` only one row of so many in an Arrow
     batch is checked (none with 0); it is null for the other rows, which are encoded and decoded like these."""
     rows, kind = _rows(docs, id_col, text_col)
     run = _round_tripper(load_model(docs.sparkSession, path), check_every, with_ids)

@@ -85,16 +85,37 @@ def test_stage_checks_every_row(spark, odd):
     assert {r.library_agrees for r in stage(spark, odd, SF_SMALL).collect()} == {True}
 
 
-def test_a_disagreement_gives_the_ids_of_the_library(monkeypatch):
+def test_a_disagreement_is_seen_and_stays(monkeypatch):
+    """The row keeps what the agenda made, right or wrong: nothing of the library takes its place."""
     class Shared:
         value = MODEL
 
-    right = P.MergeVocabulary.encode_all
-    monkeypatch.setattr(P.MergeVocabulary, "encode_all", lambda self, texts: ([*ids, 300] if len(ids) > 2 else ids for ids in right(self, texts)))
+    right = P.MergeVocabulary._encode_some
+
+    def wrong(self, texts):
+        out = right(self, texts)
+        self._words["end"] = (*self._words["end"], 300)
+        return out
+
+    monkeypatch.setattr(P.MergeVocabulary, "_encode_some", wrong)
+    monkeypatch.setattr(P, "_LOADED", {})
     texts = ["the", "the end of the line", "", "another line of words"]
     batch = pa.RecordBatch.from_pydict({"id": [1, 2, 3, 4], "text": texts})
     (got,) = P._round_tripper(Shared, 1, True)(iter([batch]))
-    assert got.column("library_agrees").to_pylist() == [True, False, True, False]
-    assert got.column("ids").to_pylist() == [LIBRARY.encode(t) for t in texts]
-    assert got.column("n_tokens").to_pylist() == [len(LIBRARY.encode(t)) for t in texts]
-    assert got.column("decoded_sha256").to_pylist() == [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+    assert got.column("library_agrees").to_pylist() == [True, False, True, True]
+    planted = [*LIBRARY.encode("the end"), 300, *LIBRARY.encode("of the line")]
+    assert got.column("ids").to_pylist() == [planted if t == texts[1] else LIBRARY.encode(t) for t in texts]
+    assert got.column("ids_sha256").to_pylist()[1] == hashlib.sha256(",".join(map(str, planted)).encode()).hexdigest()
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.one_of(ALPHABET, st.sampled_from(["\n", " \n", "\n ", "\n\n", " "]), st.text(max_size=3)), max_size=30).map("".join))
+def test_words_and_line_breaks_give_the_same_as_runs(text):
+    text = text.encode("utf-8", "ignore").decode()
+    ids = LIBRARY.encode(text)
+    assert list(OWN.round_trips([text, text])) == [(ids, ",".join(map(str, ids)), LIBRARY.decode(ids))] * 2
+
+
+def test_bytes_that_are_no_text(spark):
+    bad = spark.sql("SELECT 1L AS doc_id, cast(X'61FF62' AS string) AS text")
+    assert P.round_trip(bad, PATH).first().library_agrees and P.encode(bad, PATH).first().ids == LIBRARY.encode("a\ufffdb")
