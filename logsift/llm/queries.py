@@ -118,19 +118,21 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM flagged GROUP BY doc_id
 """
 
+#: Vectors by row, as rows may repeat a vec_id.
 SQL_OP4 = """
-WITH flat AS (
-  SELECT vec_id, generate_subscripts(embedding, 1) AS i, floor(256 * CAST(unnest(embedding) AS DOUBLE)) AS x FROM embeddings),
+WITH own AS (SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings WHERE vec_id IS NOT NULL),
+flat AS (
+  SELECT r, vec_id, generate_subscripts(embedding, 1) AS i, floor(256 * CAST(unnest(embedding) AS DOUBLE)) AS x FROM own),
 v AS (
-  SELECT vec_id, list(CAST(x AS BIGINT) ORDER BY i) AS v FROM flat GROUP BY vec_id
+  SELECT r, vec_id, list(CAST(x AS BIGINT) ORDER BY i) AS v FROM flat GROUP BY r, vec_id
   HAVING count(*) = count(x) AND bool_and(isfinite(x))),
 pairs AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+  SELECT q.r, q.vec_id AS query_id, c.vec_id AS vec_id,
          CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
+  FROM v q JOIN v c ON q.r <> c.r AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
 ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM pairs)
-SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 5
+  SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM pairs)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
 #: Scores of every document that has a term of an item.

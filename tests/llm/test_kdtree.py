@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -10,16 +12,16 @@ from oracle import compare
 
 def brute(rows, k, is_query):
     cut = lambda x: max(-(1 << 63), min((1 << 63) - 1, x))  # noqa: E731  scores end at 64 bits, and are ranked so
-    out = set()
-    for i, q in rows:
+    out = Counter()
+    for at, (i, q) in enumerate(rows):
         if is_query(i):
-            scored = sorted((-cut(sum(a * b for a, b in zip(q, v, strict=True))), j) for j, v in rows if j != i and len(v) == len(q))
-            out |= {(i, r + 1, j, -s) for r, (s, j) in enumerate(scored[:k])}
+            scored = sorted((-cut(sum(a * b for a, b in zip(q, v, strict=True))), j) for own, (j, v) in enumerate(rows) if own != at and len(v) == len(q))
+            out.update((i, r + 1, j, -s) for r, (s, j) in enumerate(scored[:k]))
     return out
 
 
 def found(df):
-    return {(r.query_id, r.rank, r.vec_id, r.score) for r in df.collect()}
+    return Counter((r.query_id, r.rank, r.vec_id, r.score) for r in df.collect())
 
 
 @pytest.mark.parametrize("sf", [SF_SMALL, SF_MID])
@@ -34,7 +36,8 @@ def test_any_cut_into_shards_and_blocks(spark, shard_rows, block_rows):
     rows += [(1000 + i, [1, 2, 3, 4, 5, 6]) for i in range(120)]  # one common vector: ties everywhere
     rows += [(2000 + i, [int(x) << 40 for x in draw.integers(-9, 9, 6)]) for i in range(10)]  # beyond doubles
     rows += [(3000, [1, 2]), (3050, [5, 5]), (3100, [7])]
-    df = spark.createDataFrame([(i, v, len(v)) for i, v in rows], "id long, v array<long>, dim int").repartition(3)
+    rows += [(50 * (i % 4), draw.integers(-9, 9, 6).tolist()) for i in range(40)] + [(100, [9] * 6)] * 7 + [(7, [9] * 6)] * 3  # ids and rows repeat
+    df = spark.createDataFrame([(i, v, len(v), at) for at, (i, v) in enumerate(rows)], "id long, v array<long>, dim int, row long").repartition(3)
     got = found(K.top_k(df, df.filter("id % 50 = 0"), 5, shard_rows, block_rows))
     assert got == brute(rows, 5, lambda i: i % 50 == 0)
 
@@ -67,7 +70,22 @@ def test_odd_rows(spark):
             (None, [1.0, 1.0], "g"), (1, [0.5, 0.25], "h"), (1, [0.5, 0.25], "h"), (2, [-0.001, 0.0], "i"), (2, [0.9, 0.9], "j"), (300, [3.0], "k")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
     v = K.quantise(df)
-    assert {(r.id, tuple(r.v)) for r in v.collect()} == {(0, (128, 64)), (1, (128, 64)), (2, (-1, 0)), (300, (768,))}
-    assert found(K.top_k(v, v.filter("id % 50 = 0"), 5)) == {(0, 1, 1, 128 * 128 + 64 * 64), (0, 2, 2, -128)}
+    good = [(0, (128, 64)), (1, (128, 64)), (1, (128, 64)), (2, (-1, 0)), (2, (230, 230)), (300, (768,))]
+    assert Counter((r.id, tuple(r.v)) for r in v.collect()) == Counter(good)
+    assert found(K.top_k(v, v.filter("id % 50 = 0"), 5)) == brute(good, 5, lambda i: i % 50 == 0)
     empty = K.quantise(df.limit(0))
     assert K.top_k(empty, empty).collect() == [] and K.top_k(v, empty).collect() == []
+
+
+def test_repeated_ids_equal_sql(spark, tmp_path):
+    """Rows that repeat an id with the same and with other vectors, queries among them, against SQL and brute force."""
+    draw = np.random.default_rng(8)
+    rows = [(int(i), draw.normal(size=4).astype("float32").tolist()) for i in np.r_[np.arange(200), draw.integers(0, 4, 60) * 50, [100] * 30]]
+    rows += rows[:60]
+    spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<float>, label int").repartition(4).coalesce(1).write.parquet(f"{tmp_path}/sf")
+    import glob
+    import shutil
+    shutil.copy(glob.glob(f"{tmp_path}/sf/*.parquet")[0], f"{tmp_path}/embeddings.parquet")
+    assert compare(spark, "op4", *Q.ENTRIES["op4_kd_tree"], str(tmp_path))[1] == []
+    whole = [(i, [int(np.floor(256 * np.float64(np.float32(x)))) for x in v]) for i, v in rows]
+    assert found(Q.op4_kd_tree(spark, str(tmp_path))) == brute(whole, 5, lambda i: i % 50 == 0)
