@@ -15,6 +15,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -30,6 +31,8 @@ from .common import arrow, utf8_bodies
 #: Different pages learnt from at most (those with the smallest hashes), their bytes at most all together, pages learnt from
 #: whatever their bytes, pages laid out from each, passes over them, and the blocks labelled at a time.
 SAMPLE, SAMPLE_BYTES, LEAST, LAID_OUT, EPOCHS, AT_A_TIME = 96, 3 << 20, 4, 5, 8, 1 << 13
+#: Blocks of each label that laid-out pages take from a sample page.
+PAGE_BLOCKS = 40
 
 #: Fixed values of HTML: elements that end a block, have no content, hold no page text, and that a tag of the same kind closes.
 BLOCK = set("address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
@@ -141,8 +144,9 @@ def vectors(page: list[Block]) -> np.ndarray:
         x[i, :PATH_DIM] = _path_vector(b.path, b.leaf)
         w = b.text.lower().encode().split()
         x[i, PATH_DIM : PATH_DIM + WORD_DIM] = np.bincount(np.fromiter(map(zlib.crc32, w), np.int64, len(w)) % WORD_DIM, minlength=WORD_DIM) / len(w)
-        n = len(b.text)
-        x[i, PATH_DIM + WORD_DIM :] = (np.log1p(len(w)) / 5, b.linked, b.text[-1] in ".!?:", sum(map(str.isupper, b.text[:200])) / min(n, 200), sum(map(str.isdigit, b.text[:200])) / min(n, 200), i / len(page), b.text[0] == "©", b.leaf[:1] == "h" and b.leaf[1:].isdigit())
+        chars = Counter(b.text)
+        share = lambda kind: sum(n for c, n in chars.items() if kind(c)) / len(b.text)  # noqa: E731, B023
+        x[i, PATH_DIM + WORD_DIM :] = (np.log1p(len(w)) / 5, b.linked, b.text[-1] in ".!?:", share(str.isupper), share(str.isdigit), i / len(page), b.text[0] == "©", b.leaf[:1] == "h" and b.leaf[1:].isdigit())
     return x
 
 
@@ -328,9 +332,10 @@ def weak_labels(page: list[Block]) -> np.ndarray | None:
     return np.array([k and not (out & set(b.path)) for k, b in zip(inside, page, strict=True)], np.float32)
 
 
-def fit(pages: list[str], laid_out: int = LAID_OUT, epochs: int = EPOCHS) -> Labeller:
+def fit(pages: list[str], laid_out: int = LAID_OUT, epochs: int = EPOCHS, page_blocks: int = PAGE_BLOCKS) -> Labeller:
     """Trains a labeller on sample pages and on pages laid out from their texts (Adam, batches of pages of similar length). The
-    same pages in the same order give the same labeller."""
+    same pages in the same order give the same labeller. Sample pages are learnt from whole; laid-out pages draw on the first
+    ``page_blocks`` blocks of either label of each, which bounds what is held of a very long one."""
     draw = np.random.default_rng(11)
     model = Labeller(draw)
     data: list[tuple[np.ndarray, np.ndarray]] = []
@@ -344,8 +349,8 @@ def fit(pages: list[str], laid_out: int = LAID_OUT, epochs: int = EPOCHS) -> Lab
         if y is not None:
             data.append((vectors(got), y))
         keep = y if y is not None else np.ones(len(got))
-        main.append([b.text for b, k in zip(got, keep, strict=True) if k][:40])
-        other += [b.text for b, k in zip(got, keep, strict=True) if not k][:40]
+        main.append([b.text for b, k in zip(got, keep, strict=True) if k][:page_blocks])
+        other += [b.text for b, k in zip(got, keep, strict=True) if not k][:page_blocks]
     main = [m for m in main if m] or [["Text."]]
     for k in range(laid_out * len(main)):
         got, y = lay_out(main[k % len(main)][: int(draw.integers(1, 25))], other or main[0], draw)
@@ -377,7 +382,7 @@ def sample_of(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE, sa
     """The pages learnt from, in the order of their hashes: of the ``sample`` different pages with the smallest, those that fit
     one after another into ``sample_bytes``, and the shortest of the others if these are fewer than ``LEAST``. Copies count once."""
     key = ["hash", "size"]
-    rows = pages.select(F.col(html_col).alias("html")).filter(F.octet_length("html") > 0).select("html", F.xxhash64("html").alias("hash"), F.octet_length("html").alias("size"))
+    rows = pages.select(F.make_valid_utf8(F.col(html_col)).alias("html")).filter(F.octet_length("html") > 0).select("html", F.xxhash64("html").alias("hash"), F.octet_length("html").alias("size"))
     rest = [tuple(r) for r in rows.select(*key).distinct().orderBy(*key).limit(sample).collect()]
     chosen, left = [], sample_bytes
     for k in rest:
@@ -433,10 +438,10 @@ def _extractor(model) -> Callable:
 def extract(pages: DataFrame, html_col: str = "html", model: Labeller | None = None) -> DataFrame:
     """(row, main_text, n_chars) of every page: the struct ``row`` has its other columns, whatever their names.
 
-    Null and empty pages, and pages without text, give an empty text; repeated rows give the same; a page is never cut; without a
-    model one is fitted first; an empty table gives an empty result."""
+    Null and empty pages, and pages without text, give an empty text; repeated rows give the same; a page is never cut; bytes that are
+    not UTF-8 count as U+FFFD; without a model one is fitted first; an empty table gives an empty result."""
     share = pages.sparkSession.sparkContext.broadcast(model or learn(pages, html_col))
     rest = [F.col(f"`{c}`") for c in pages.columns if c != html_col]
     row = F.struct(*rest) if rest else F.struct(F.lit(1).alias("none"))
-    rows = pages.select(row.alias("row"), F.col(html_col).alias("html"))
+    rows = pages.select(row.alias("row"), F.make_valid_utf8(F.col(html_col)).alias("html"))
     return arrow(rows, _extractor(share), T.StructType([rows.schema["row"], T.StructField("main_text", T.StringType()), T.StructField("n_chars", T.LongType())]))

@@ -127,3 +127,12 @@ def test_copies_count_once(spark, monkeypatch):
     monkeypatch.setattr(H, "fit", lambda pages: seen.append(pages))
     H.learn(copies.repartition(5))
     assert seen[0] == first and sorted(first) == sorted(pages)
+
+
+def test_figures_of_a_block_cover_all_of_it(spark):
+    """Capitals and digits behind any length of other text count; a share is over all characters."""
+    shares = lambda text: H.vectors([H.Block(("<p>",), "p", text, 0.0)])[0, H.PATH_DIM + H.WORD_DIM + 3 : H.PATH_DIM + H.WORD_DIM + 5].tolist()
+    for n in (100, 200, 201, 5000):
+        assert shares("a " * (n // 2) + "B" * n + "7" * 2 * n) == pytest.approx([n / (n // 2 * 2 + 3 * n), 2 * n / (n // 2 * 2 + 3 * n)])
+    bad = spark.sql("SELECT 1L AS page_id, cast(X'3C703E61FF62' AS string) AS html")
+    assert H.blocks("<p>a\ufffdb") and H.extract(bad).first().n_chars in (0, 3)
