@@ -55,7 +55,6 @@ class Params:
     batch_size: int = 32
     learning_rate: float = 0.001
     validation_split: float = 0.2
-    local_models: int = 16         # shards that train side by side, averaged after each epoch
     ae_percentile: float = 0.95
     # ensemble
     weight_forest: float = 0.6

@@ -1,24 +1,26 @@
 """Dense autoencoder trained as Spark jobs (O-M4, O-M5).
 
 Architecture in → 64 → 32 → 32 (code) → 32 → 64 → in, ReLU inside, linear output, MSE
-loss, Adam. Training is data parallel by model averaging over a fixed number of shards: a
-row's shard and its place there are hashes of its keys, so neither partitions nor cores nor
-the size of the table change what is trained. An epoch is one Spark job: every shard streams its
-rows in order through mini-batch Adam, starting from the common weights and moments, and
-the results, weighted by rows, are averaged into one model-sized row. This is not
-bit-equal to single-process batch-32 Adam; it converges to the same kind of model.
+loss, Adam. Training is data parallel: rows are packed once into blocks of a written table; every step is a
+job in which each task sums the gradients of its blocks, the sums are added up in a tree, and the driver
+takes one Adam step with the mean over all rows. So any number of tasks gives the same weights (up to
+the rounding of sums), no task holds a part of the data that does not grow with the cluster,
+and what moves is a model per task. A step stands for many small batches, and its rate is
+scaled by the root of their number, up to ``MOST_RATE``.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import DEFAULT
-from ..session import cut_lineage, ship_package
+from ..session import materialize, ship_package
 from .features import dense
 
 
@@ -87,28 +89,21 @@ def gradients(params: list[np.ndarray], x: np.ndarray, grads: list[np.ndarray] |
 
 
 class Adam:
-    """Mini-batch Adam on one flat vector; goes on from given weights, moments and number of steps."""
+    """Adam on one flat vector."""
 
-    def __init__(self, state: tuple, dims: list[int], lr: float, beta1=0.9, beta2=0.999, eps=1e-7):
-        self.flat, self.m, self.v, self.t = state[0].copy(), state[1].copy(), state[2].copy(), state[3]
+    def __init__(self, flat: np.ndarray, lr: float, beta1=0.9, beta2=0.999, eps=1e-7):
+        self.flat, self.m, self.v, self.t = flat.copy(), np.zeros_like(flat), np.zeros_like(flat), 0
         self.lr, self.beta1, self.beta2, self.eps = lr, beta1, beta2, eps
-        self.params = unflatten(self.flat, dims)  # views into the flat vector
-        self.g_flat = np.zeros_like(self.flat)
-        self.grads = unflatten(self.g_flat, dims)
 
-    def step(self, x: np.ndarray) -> float:
-        loss, _ = gradients(self.params, x, self.grads)
+    def step(self, gradient: np.ndarray) -> None:
         self.t += 1
-        self.m *= self.beta1
-        self.m += (1 - self.beta1) * self.g_flat
-        self.v *= self.beta2
-        self.v += (1 - self.beta2) * (self.g_flat * self.g_flat)
+        self.m += (1 - self.beta1) * (gradient - self.m)
+        self.v += (1 - self.beta2) * (gradient * gradient - self.v)
         self.flat -= (self.lr / (1 - self.beta1 ** self.t)) * self.m / (np.sqrt(self.v / (1 - self.beta2 ** self.t)) + self.eps)
-        return loss * len(x)
 
 
-#: Numbers of a dense batch that are held at a time.
-DENSE_CELLS = 1 << 22
+#: Numbers of a dense batch that are held at a time, rows of a packed block, and the largest learning rate of a step.
+DENSE_CELLS, BLOCK_ROWS, MOST_RATE = 1 << 22, 4096, 0.01
 
 
 def _chunks(pdf: pd.DataFrame, base: np.ndarray | None, width: int):
@@ -118,87 +113,118 @@ def _chunks(pdf: pd.DataFrame, base: np.ndarray | None, width: int):
         yield dense(pdf.iloc[k:k + rows], base)
 
 
-def _epoch(shared, dims: list[int], lr: float, batch_size: int):
-    """Rows sorted by (shard, place): one row of results per shard."""
+_BLOCK = "n long, ends binary, idx binary, v binary"
 
-    def run(batches):
-        state, base = shared.value
-        shard, adam, rest, n, loss = None, None, None, 0, 0.0
 
-        def done():
-            nonlocal loss
-            if len(rest):
-                loss += adam.step(rest)
-            return pd.DataFrame({"shard": [shard], "n": [n], "loss": [loss], "t": [adam.t], "state": [np.concatenate([adam.flat, adam.m, adam.v]).tobytes()]})
+def _pack(batches):
+    """Rows (x, or pairs) as blocks: where each row ends, and the places and values of its numbers."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, BLOCK_ROWS):
+            col = batch.column(0).slice(k, BLOCK_ROWS)
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False)).astype("<i8")
+            flat = pc.list_flatten(col)
+            if pa.types.is_struct(flat.type):
+                idx, v = flat.field("idx").to_numpy(zero_copy_only=False), flat.field("v").to_numpy(zero_copy_only=False)
+            else:
+                idx, v = np.arange(len(flat)) - np.repeat(np.r_[0, ends[:-1]], np.diff(np.r_[0, ends])), flat.to_numpy(zero_copy_only=False)
+            row = [[len(col)], [ends.tobytes()], [idx.astype("<i4").tobytes()], [v.astype("<f8").tobytes()]]
+            yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.int64()), *(pa.array(x, pa.binary()) for x in row[1:])], names=["n", "ends", "idx", "v"])
 
-        for pdf in batches:
-            for s, part in pdf.groupby("shard", sort=True):
-                if s != shard:
-                    if shard is not None:
-                        yield done()
-                    shard, adam, rest, n, loss = int(s), Adam(state, dims, lr), np.zeros((0, dims[0])), 0, 0.0
-                n += len(part)
-                for x in _chunks(part, base, dims[0]):
-                    rest = np.concatenate([rest, x])
-                    whole = len(rest) - len(rest) % batch_size
-                    for k in range(0, whole, batch_size):
-                        loss += adam.step(rest[k:k + batch_size])
-                    rest = rest[whole:]
-        if shard is not None:
-            yield done()
+
+def _unpack(block: dict, base: np.ndarray):
+    """Dense matrices of a block on top of ``base``."""
+    ends, idx, v = np.frombuffer(block["ends"], "<i8"), np.frombuffer(block["idx"], "<i4"), np.frombuffer(block["v"], "<f8")
+    rows = np.repeat(np.arange(len(ends)), np.diff(np.r_[0, ends]))
+    step = max(1, DENSE_CELLS // max(1, len(base)))
+    for k in range(0, len(ends), step):
+        a, z = (ends[k - 1] if k else 0), ends[min(len(ends), k + step) - 1]
+        x = np.repeat(base[None, :], min(step, len(ends) - k), axis=0)
+        x[rows[a:z] - k, idx[a:z]] += v[a:z]
+        yield x
+
+
+_SUM = "part long, n long, loss double, gradient binary"
+
+
+def _gradient_sums(shared, dims: list[int], branches: int):
+    """One row a task: the sums over its rows, and the branch that adds them up further."""
+
+    def run(batches):
+        flat, base = shared.value
+        params = unflatten(flat, dims)
+        total, n, loss = np.zeros_like(flat), 0, 0.0
+        own = np.empty_like(flat)
+        views = unflatten(own, dims)
+        for batch in batches:
+            for block in batch.to_pylist():
+                for x in _unpack(block, base):
+                    mean, _ = gradients(params, x, views)
+                    total += own * len(x)
+                    loss += mean * len(x)
+                    n += len(x)
+        if n:
+            from pyspark import TaskContext
+
+            yield _sum_row(TaskContext.get().partitionId() % branches, n, loss, total)
 
     return run
 
 
-_RESULT = "shard int, n long, loss double, t double, state binary"
+def _sum_row(part: int, n: int, loss: float, total: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([n], pa.int64()), pa.array([loss], pa.float64()), pa.array([total.tobytes()], pa.binary())], names=["part", "n", "loss", "gradient"])
 
 
-def _average(batches):
-    """The mean of all shards' results, weighted by rows; holds two of them at a time."""
-    total, n, loss, t = None, 0, 0.0, 0.0
-    for pdf in batches:
-        for r in pdf.itertuples(index=False):
-            w = np.frombuffer(r.state) * r.n
-            total = w if total is None else total + w
-            n, loss, t = n + r.n, loss + r.loss, t + r.t * r.n
+def _add(batches):
+    """The sum of the rows of each partition; holds two of them at a time."""
+    total, n, loss = None, 0, 0.0
+    for batch in batches:
+        for r in batch.to_pylist():
+            g = np.frombuffer(r["gradient"])
+            total = g.copy() if total is None else np.add(total, g, out=total)
+            n, loss = n + r["n"], loss + r["loss"]
     if total is not None:
-        yield pd.DataFrame({"shard": [0], "n": [n], "loss": [loss], "t": [t / n], "state": [(total / n).tobytes()]})
+        yield _sum_row(0, n, loss, total)
 
 
 def fit_autoencoder(vectors: DataFrame, keys: list[str], epochs: int = DEFAULT.epochs,
                     batch_size: int = DEFAULT.batch_size, lr: float = DEFAULT.learning_rate,
                     validation_split: float = DEFAULT.validation_split, seed: int = DEFAULT.seed,
-                    shards: int = DEFAULT.local_models, base: np.ndarray | None = None) -> dict:
+                    base: np.ndarray | None = None) -> dict:
     """Train on ``vectors`` (keys…, x array<double>, or pairs over ``base``); returns the model dict (dims, flat
-    weights, training loss of each epoch, validation loss)."""
+    weights, training loss of each epoch, validation loss). An epoch is one step over all rows."""
     spark = vectors.sparkSession
     ship_package(spark)
     col = "x" if base is None else "pairs"
     first = vectors.select(col).first()
     if first is None:
         raise ValueError("cannot train an autoencoder on no rows")
-    dims = layer_dims(len(first["x"]) if base is None else len(base))
-    h = lambda k: F.xxhash64(*[F.col(c) for c in keys], F.lit(seed + k))
-    u = F.pmod(h(0), F.lit(1 << 31)) / F.lit(float(1 << 31))
-    tagged = vectors.select(col, (u < validation_split).alias("_val"), F.pmod(h(1), F.lit(shards)).cast("int").alias("shard"), h(2).alias("_place"), *keys)
-    train = cut_lineage(tagged.filter(~F.col("_val")).repartition(shards, "shard").sortWithinPartitions("shard", "_place", *keys).select("shard", col))
-    flat = flatten(init_params(dims, seed))
-    state = (flat, np.zeros_like(flat), np.zeros_like(flat), 0.0)
+    zero = np.zeros(len(first["x"])) if base is None else base
+    dims = layer_dims(len(zero))
+    u = F.pmod(F.xxhash64(*[F.col(c) for c in keys], F.lit(seed)), F.lit(1 << 31)) / F.lit(float(1 << 31))
+    tagged = vectors.select(col, (u < validation_split).alias("_val"))
+    train = materialize(tagged.filter(~F.col("_val")).select(col).mapInArrow(_pack, _BLOCK), "ae-train")
+    rows, tasks = train.agg(F.sum("n")).first()[0], train.rdd.getNumPartitions()
+    if not rows:
+        raise ValueError("no training rows (all rows fell into the validation split)")
+    branches = max(1, round(tasks ** 0.5))
+    adam = Adam(flatten(init_params(dims, seed)), min(max(lr, MOST_RATE), lr * (rows / batch_size) ** 0.5) if rows > batch_size else lr)
     history = []
     for _ in range(epochs):
-        shared = spark.sparkContext.broadcast((state, base))
-        parts = train.mapInPandas(_epoch(shared, dims, lr, batch_size), _RESULT)
-        got = parts.repartition(1).sortWithinPartitions("shard").mapInPandas(_average, _RESULT).collect()  # one row per shard
-        if not got:
-            raise ValueError("no training rows (all rows fell into the validation split)")
-        all_ = np.frombuffer(got[0].state)
-        state = (*(all_[i * len(flat):(i + 1) * len(flat)] for i in range(3)), got[0].t)
-        history.append(float(got[0].loss) / got[0].n)
+        shared = spark.sparkContext.broadcast((adam.flat, zero))
+        sums = train.mapInArrow(_gradient_sums(shared, dims, branches), _SUM)
+        if branches > 2:  # the driver adds up one row a branch
+            sums = sums.repartition(branches, "part").mapInArrow(_add, _SUM)
+        total, n, loss = np.zeros_like(adam.flat), 0, 0.0
+        for r in sums.toLocalIterator() if len(adam.flat) > 1 << 20 else sums.collect():
+            total += np.frombuffer(r.gradient)
+            n, loss = n + r.n, loss + r.loss
+        adam.step(total / n)
+        history.append(loss / n)
         shared.unpersist()
-    model = {"dims": dims, "weights": state[0]}
+    model = {"dims": dims, "weights": adam.flat}
     val_loss = mse_table(tagged.filter("_val").select(col), model, base).agg(F.avg("mse")).first()[0]
     return {**model, "train_loss": history, "val_loss": None if val_loss is None else float(val_loss),
-            "params": unflatten(state[0], dims)}
+            "params": unflatten(adam.flat, dims)}
 
 
 def mse_table(vectors: DataFrame, model: dict, base: np.ndarray | None = None) -> DataFrame:

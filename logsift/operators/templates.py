@@ -4,12 +4,12 @@
    digit-bearing tokens → ``<*>``) and the shapes are counted. This is a JVM-side
    expression plus a partial aggregate, so a line repeated in a third of all rows
    collapses to one row per task before anything moves.
-2. ``mine_templates``: shapes of one bucket (token count, first token) are merged greedily
-   in a fixed order (support desc, signature asc): a shape joins the most similar
-   template when the share of equal positions is at least ``similarity``, and unequal
-   positions become ``<*>``. It takes two rounds of the same merge: first inside ``SUBS`` hash
-   parts of each bucket, so that a bucket of many shapes is spread over as many tasks, then
-   over the templates that come out, which are few where shapes are alike.
+2. ``mine_templates``: shapes of one bucket (token count, first token) are clustered around
+   leaders in a fixed order (support falling, then a hash): a shape follows the most similar leader
+   when the share of equal positions is at least ``similarity``, else it is one. A cluster's
+   template has ``<*>`` where its shapes differ. Leaders are not alike, and templates even less, so one
+   pass is all. Buckets of up to ``SMALL`` shapes are clustered by the task that
+   holds them, larger ones by joins over an inverted index (``leaders.py``), with the same result.
 3. ``assign_templates``: lines join the (signature → template) table on the signature.
 """
 
@@ -23,10 +23,10 @@ from pyspark.sql import types as T
 
 from ..config import DEFAULT
 from ..session import materialize, ship_package
+from .leaders import BUCKET, PARAM, clusters, need, order_columns
 
-PARAM = "<*>"
-#: Hash parts of a bucket in the first round of merging, whatever its size.
-SUBS = 32
+#: Shapes of a bucket that one task clusters by itself.
+SMALL = 2048
 # A leading time (any supported form, optional fraction and zone) followed by blanks.
 LEADING_TIME = (r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:?\d{2})?"
                 r"|\d{2}/\d{2}/\d{4} \d{2}:\d{2}:\d{2}|\d{13}|\d{10})\s+")
@@ -57,30 +57,19 @@ def signatures(lines: DataFrame, raw: str = "raw_log") -> DataFrame:
 
 
 def _merge_bucket(sigs: list[str], similarity: float) -> list[str]:
-    """Greedy merge of one bucket's shapes (already in processing order).
-
-    Returns the final template text of every shape. Similarity is the share of positions
-    where the template token equals the shape token (template wildcards do not count);
-    ties go to the template with more wildcards, then the older one.
-    """
+    """Leader clustering of one bucket's shapes (already in order); returns the template of every shape."""
     toks = [s.split(" ") for s in sigs]
     n = len(toks[0])
     codes: dict[str, int] = {PARAM: 0}
     mat = np.array([[codes.setdefault(t, len(codes)) for t in row] for row in toks], dtype=np.int64)
-    room = np.empty((16, n), dtype=np.int64)  # templates so far, with space for more
-    used = 0
+    room = np.empty((16, n), dtype=np.int64)  # leaders so far, with space for more
+    used, least = 0, need(n, similarity)
     owner = np.empty(len(sigs), dtype=np.int64)
-    for i in range(len(sigs)):
-        row = mat[i]
-        tmpl = room[:used]
+    for i, row in enumerate(mat):
         if used:
-            is_param = tmpl == 0
-            sim = ((tmpl == row) & ~is_param).sum(axis=1) / n
-            params = is_param.sum(axis=1)
-            top = np.flatnonzero(sim == sim.max())
-            best = int(top[np.argmax(params[top])])  # the first of those with most wildcards
-            if sim[best] >= similarity:
-                tmpl[best] = np.where(tmpl[best] == row, row, 0)
+            equal = ((room[:used] == row) & (row != 0)).sum(axis=1)
+            best = int(np.argmax(equal))  # the first of those most alike
+            if equal[best] >= least:
                 owner[i] = best
                 continue
         if used == len(room):
@@ -88,15 +77,17 @@ def _merge_bucket(sigs: list[str], similarity: float) -> list[str]:
         room[used] = row
         owner[i] = used
         used += 1
+    order = np.argsort(owner, kind="stable")
+    starts = np.searchsorted(owner[order], np.arange(used))
+    low, high = np.minimum.reduceat(mat[order], starts), np.maximum.reduceat(mat[order], starts)
     names = {v: k for k, v in codes.items()}
-    texts = [" ".join(names[int(c)] for c in t) for t in room[:used]]
+    texts = [" ".join(names[int(c)] for c in t) for t in np.where(low == high, low, 0)]
     return [texts[j] for j in owner]
 
 
 TEMPLATE_SCHEMA = T.StructType([
     T.StructField("n_tokens", T.LongType()),
     T.StructField("first_token", T.StringType()),
-    T.StructField("part", T.IntegerType()),
     T.StructField("signature", T.StringType()),
     T.StructField("support", T.LongType()),
     T.StructField("event_template", T.StringType()),
@@ -104,11 +95,11 @@ TEMPLATE_SCHEMA = T.StructType([
 
 
 def _bucket_keys(pdf: pd.DataFrame) -> np.ndarray:
-    return (pdf["n_tokens"].astype(str) + "\x00" + pdf["part"].astype(str) + "\x00" + pdf["first_token"].fillna("")).to_numpy()
+    return (pdf["n_tokens"].astype(str) + "\x00" + pdf["first_token"].fillna("")).to_numpy()
 
 
 def _mine_sorted(batches, similarity: float):
-    """Mine a partition whose rows are sorted by (bucket, support desc, signature).
+    """Mine a partition whose rows are sorted by bucket and, inside it, in order.
 
     A bucket may span Arrow batches: its pieces are kept in a list and joined once when
     the bucket ends (no re-copying per batch). Finished buckets of a batch are emitted
@@ -160,30 +151,31 @@ def _mine_rows(pdf: pd.DataFrame, key: np.ndarray, similarity: float) -> pd.Data
     return pdf
 
 
-def mine_templates(sigs: DataFrame, similarity: float = DEFAULT.similarity) -> DataFrame:
+def mine_templates(sigs: DataFrame, similarity: float = DEFAULT.similarity, small: int = SMALL) -> DataFrame:
     """O-T2: (signature → event_template, event_id) for every distinct shape.
 
-    Two rounds of the same merge: within hash parts of each bucket, then over the templates
-    of a bucket, whose support is that of their shapes. ``event_id`` is a stable hash of the
-    template text (first 16 hex digits of its MD5), so ids do not depend on arrival
-    order or on which run mined them.
+    ``event_id`` is a stable hash of the template text (first 16 hex digits of its MD5), so ids do not
+    depend on arrival order or on which run mined them. The result does not depend on ``small`` either.
     """
     shapes = sigs.select(F.col("n_tokens").cast("long").alias("n_tokens"), "first_token", "signature", F.col("support").cast("long").alias("support"))
-    part = F.pmod(F.xxhash64("signature"), F.lit(SUBS)).cast("int")
-    first = materialize(_merged(shapes.withColumn("part", part), similarity), "templates-parts")
-    found = first.groupBy("n_tokens", "first_token", F.col("event_template").alias("signature")).agg(F.sum("support").alias("support"))
-    final = _merged(found.withColumn("part", F.lit(0)), similarity)
-    names = final.select("n_tokens", F.col("first_token").alias("_first"), F.col("signature").alias("_part_template"), F.col("event_template").alias("_template"))
-    x = first.join(names.withColumnRenamed("n_tokens", "_n"), (F.col("n_tokens") == F.col("_n")) & F.col("first_token").eqNullSafe(F.col("_first"))
-                   & (F.col("event_template") == F.col("_part_template")))
-    return x.select("n_tokens", "first_token", "signature", "support", F.col("_template").alias("event_template"), event_id_of("_template").alias("event_id"))
+    shapes = materialize(shapes, "shapes")
+    large = shapes.groupBy(*BUCKET).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > small).select(*[F.col(c).alias(f"_{c}") for c in BUCKET])
+    is_large = [shapes[c].eqNullSafe(large[f"_{c}"]) for c in BUCKET]
+    if large.limit(1).count():
+        mined = _merged(shapes.join(large, is_large, "left_anti"), similarity)
+        wide = materialize(shapes.join(large, is_large, "left_semi"), "shapes-large")
+        found = materialize(clusters(wide, similarity), "clusters")
+        mined = mined.unionByName(wide.join(found, "signature").select(*[f.name for f in TEMPLATE_SCHEMA.fields]))
+    else:
+        mined = _merged(shapes, similarity)
+    return mined.withColumn("event_id", event_id_of("event_template"))
 
 
 def _merged(shapes: DataFrame, similarity: float) -> DataFrame:
-    """One round: every (bucket, part) merged by the task that holds its sorted rows."""
+    """Small buckets: each is clustered by the task that holds its sorted rows."""
     x = (shapes.select(*[f.name for f in TEMPLATE_SCHEMA.fields[:-1]])
-               .repartition("n_tokens", "first_token", "part")
-               .sortWithinPartitions("n_tokens", "first_token", "part", F.col("support").desc(), "signature"))
+               .repartition(*BUCKET)
+               .sortWithinPartitions(*BUCKET, *order_columns()))
     ship_package(x.sparkSession)
     return x.mapInPandas(lambda it: _mine_sorted(it, similarity), TEMPLATE_SCHEMA)
 

@@ -104,7 +104,7 @@ def train_models(counts: DataFrame, params: Params = DEFAULT, with_ae: bool = Tr
     model.offset = FO.forest_offset(raw, params.contamination)
     if with_ae:
         ae = AE.fit_autoencoder(vec, KEYS, params.epochs, params.batch_size, params.learning_rate,
-                                params.validation_split, params.seed, params.local_models, base)
+                                params.validation_split, params.seed, base)
         mse = AE.mse_table(vec, ae, base)
         from ..operators.ensemble import ae_threshold
         thr = ae_threshold(mse.select("mse"), params.ae_percentile)

@@ -1,13 +1,16 @@
 """Template mining invariants and sanitise / de-duplicate."""
 
 import datetime as dt
+import random
 
+import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from logsift.operators import sanitize as D
 from logsift.operators import templates as TM
 from logsift.operators.templates import PARAM, _merge_bucket
-from logsift.plans.registry import clean_lines, doc_lines
+from logsift.plans.registry import clean_lines, doc_lines, q_doc_signatures, q_doc_templates
 from logsift.functions import lines as L
 
 from conftest import SF_MID, SF_SMALL
@@ -76,10 +79,66 @@ def test_mining_independent_of_batch_size(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     assert a == b and len(a) == sig.count()
-    # the same merge done per bucket by plain Python
-    pdf = sig.toPandas().sort_values(["n_tokens", "first_token", "support", "signature"],
-                                     ascending=[True, True, False, True])
-    want = set()
-    for _, g in pdf.groupby(["n_tokens", "first_token"], sort=False):
-        want.update(zip(g["signature"], _merge_bucket(g["signature"].tolist(), 0.4)))
-    assert a == want
+    assert a == brute(sig.select("n_tokens", "first_token", "signature", "support").collect())
+
+
+def brute(rows, similarity=0.4):
+    """Leader clustering in plain Python: (signature, template)."""
+    buckets = {}
+    for r in rows:
+        buckets.setdefault((r.n_tokens, r.first_token), []).append((-r.support, xxhash.xxh64_intdigest(r.signature.encode(), 42), r.signature))
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    out = set()
+    for (n, _), shapes in buckets.items():
+        led = []  # [tokens of the leader, members]
+        for _, _, sig in sorted((d, signed(h), s) for d, h, s in shapes):
+            tok = sig.split(" ")
+            like = [sum(x == y != PARAM for x, y in zip(tok, leader)) for leader, _ in led]
+            best = max(range(len(led)), key=lambda k: (like[k], -k), default=None)
+            if best is not None and like[best] / n >= similarity:
+                led[best][1].append(tok)
+            else:
+                led.append((tok, [tok]))
+        for _, members in led:
+            text = " ".join(c[0] if len(set(c)) == 1 else PARAM for c in zip(*members))
+            out |= {(" ".join(m), text) for m in members}
+    return out
+
+
+def mined(sig, **kw):
+    rows = TM.mine_templates(sig, **kw).collect()
+    got = {(r["signature"], r["event_template"]) for r in rows}
+    assert len(got) == len(rows)
+    return got
+
+
+def test_doc_templates_equal_brute_force(spark):
+    want = brute(q_doc_signatures(spark, SF_MID).collect())
+    assert {(r["signature"], r["event_template"]) for r in q_doc_templates(spark, SF_MID).collect()} == want
+
+
+@pytest.mark.parametrize("n", [2, 5, 9, 30])
+def test_index_joins_equal_brute_force(spark, n):
+    """Every bucket by joins: random tokens with hot ones and parameters, so that shapes chain, tie and cluster."""
+    draw = random.Random(n)
+    words = [[f"p{k}w{i}" for i in range(12)] + [PARAM] for k in range(n)]
+    pick = lambda k: words[k][min(12, int(draw.expovariate(0.3)))]
+    sigs = {" ".join([draw.choice(["first", "other", PARAM])] + [pick(k) for k in range(1, n)]) for _ in range(400)}
+    rows = [(n, s.split(" ")[0], s, draw.choice([1, 1, 2, 9])) for s in sorted(sigs)]
+    sig = spark.createDataFrame(rows, "n_tokens long, first_token string, signature string, support long").repartition(5)
+    want = brute(sig.collect())
+    assert mined(sig, small=0) == want == mined(sig)
+
+
+def test_one_bucket_of_many_shapes(spark):
+    """200,000 shapes of one bucket that do not merge, and a third as many of one template: no task holds the bucket."""
+    n = 200_000
+    x = spark.range(n).selectExpr("concat('start ', 'a', id % 40, ' b', id div 1000, ' c', id, ' d', id % 977, ' e', id, ' f', id % 7, ' end', id % 3) AS signature")
+    y = spark.range(n // 3).selectExpr("concat('start user u', id, 'x on host h', id % 100, 'y today now') AS signature")
+    sig = x.unionByName(y).selectExpr("8L AS n_tokens", "'start' AS first_token", "signature", "1L AS support")
+    sig = sig.filter(F.size(F.split("signature", " ")) == 8)
+    t = TM.mine_templates(sig).persist()
+    assert t.count() == sig.count()
+    assert t.filter("signature LIKE 'start user%'").select("event_template").distinct().count() == 1
+    # what follows a leader is like it, and leaders of this bucket are not like each other where they share their rarest tokens
+    assert t.filter(~F.forall(F.zip_with(F.split("event_template", " "), F.split("signature", " "), lambda a, b: (a == PARAM) | (a == b)), lambda ok: ok)).count() == 0
