@@ -1,22 +1,22 @@
 """Alerts: levels, throttling, suppression, messages, listing and stats (O-A1, A3, A5–A7).
 
 The throttle/suppress rule is a state machine (whether a row emits depends on earlier
-decisions), which no window function expresses. The rows whose level is not NORMAL are
-sorted by (server, time) and streamed through it once per server: what is held is the
-last emitted time and the suppressions that still run, never a server's rows. These are
-alerting windows, whose number depends on the time span and not on the log volume.
+decisions), which no window function expresses. It forgets everything where a server is silent for
+longer than both times, so a server's rows are cut there into episodes, each of which is streamed through the
+machine by itself: tasks hold the last emitted time and the suppressions that run, never a
+server's rows, and a server's episodes spread over tasks.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import DEFAULT
-from ..session import ship_package
+from ..session import materialize, ship_package
 from ..functions.lines import ts_lit
 from ..functions.scores import alert_level, fmt3
 
@@ -64,6 +64,32 @@ def alerting(scores: DataFrame) -> DataFrame:
                                               F.array_join(F.array_sort("root_cause"), ","))))
 
 
+#: Width of the time cuts in which gaps are looked for, in the gaps that end an episode.
+CUT_GAPS = 64
+
+
+def episodes(alerts: DataFrame, gap_us: int) -> DataFrame:
+    """``alerts`` (server_id, _t, window_id, …) with ``episode``, the time of the first row of its episode: rows of a server are in one
+    episode where no gap between them is longer than ``gap_us``.
+
+    Gaps and islands in two levels, so that no task sorts a server's whole series: rows are windowed per (server, time cut), and what a cut
+    needs of those before it (their last row and the last start of an episode) comes from tables of one row a cut."""
+    x = materialize(alerts.withColumn("_cut", F.floor(F.col("_t") / F.lit(max(1_000_000, gap_us) * CUT_GAPS)).cast("long")), "alert-rows")
+    own = Window.partitionBy("server_id", "_cut").orderBy("_t", "window_id")
+
+    ahead = Window.partitionBy("_s").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+
+    def from_before(rows: DataFrame, value: str, name: str) -> DataFrame:
+        cuts = rows.groupBy("server_id", "_cut").agg(F.max(value).alias("_own"))
+        cuts = cuts.select(F.col("server_id").alias("_s"), F.col("_cut").alias("_c"), "_own").select("_s", "_c", F.max("_own").over(ahead).alias(name))
+        return rows.join(cuts, F.col("server_id").eqNullSafe(F.col("_s")) & (F.col("_cut") == F.col("_c"))).drop("_s", "_c")
+
+    x = from_before(x, "_t", "_before").withColumn("_prev", F.coalesce(F.lag("_t").over(own), F.col("_before")))
+    x = x.withColumn("_start", F.when(F.col("_prev").isNull() | (F.col("_t") - F.col("_prev") > F.lit(gap_us)), F.col("_t")))
+    x = from_before(x, "_start", "_carried")
+    return x.withColumn("episode", F.coalesce(F.max("_start").over(own), F.col("_carried"))).drop("_cut", "_before", "_prev", "_start", "_carried")
+
+
 def generate_alerts(scores: DataFrame, throttle: int = DEFAULT.throttle_seconds,
                     suppress: int = DEFAULT.suppress_seconds, keep_dropped: bool = False) -> DataFrame:
     """O-A3 + O-A5: alerts from a score series (server_id, window_id, ts, score[, root_cause]).
@@ -71,27 +97,27 @@ def generate_alerts(scores: DataFrame, throttle: int = DEFAULT.throttle_seconds,
     Returns the emitted and suppressed alerts (dropped rows only with ``keep_dropped``) with
     level, message, root_cause and the ``suppressed`` flag; event time replaces wall clock.
     """
-    df = alerting(scores)
-    out_schema = T.StructType([*df.schema.fields, T.StructField("decision", T.StringType())])
     thr, sup = throttle * 1_000_000, suppress * 1_000_000
+    df = episodes(alerting(scores), max(thr, sup))
+    out_schema = T.StructType([*df.schema.fields, T.StructField("decision", T.StringType())])
 
     def machine(batches):
-        server, m = None, None
+        open_, m = None, None
         for pdf in batches:
             decisions = []
-            for s, t, k in zip(pdf["server_id"], pdf["_t"].tolist(), pdf["_key"], strict=True):
-                if m is None or s != server:
-                    server, m = s, Machine(thr, sup)
+            for s, e, t, k in zip(pdf["server_id"], pdf["episode"].tolist(), pdf["_t"].tolist(), pdf["_key"], strict=True):
+                if m is None or (s, e) != open_:
+                    open_, m = (s, e), Machine(thr, sup)
                 decisions.append(m.decide(t, k))
             pdf["decision"] = pd.Series(decisions, dtype=object)
             yield pdf
 
     ship_package(df.sparkSession)
-    decided = df.repartition("server_id").sortWithinPartitions("server_id", "_t", "window_id").mapInPandas(machine, out_schema)
+    decided = df.repartition("server_id", "episode").sortWithinPartitions("server_id", "episode", "_t", "window_id").mapInPandas(machine, out_schema)
     if not keep_dropped:
         decided = decided.filter(F.col("decision") != DROPPED)
     return with_message(decided.withColumn("suppressed", F.col("decision") == SUPPRESSED)).drop(
-        "_t", "_key")
+        "_t", "_key", "episode")
 
 
 def with_message(alerts: DataFrame) -> DataFrame:

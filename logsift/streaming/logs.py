@@ -7,15 +7,13 @@ is dropped, and write with append semantics to tables in the shared folder.
 
 from __future__ import annotations
 
-import pickle
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..config import DEFAULT
+from ..functions.lines import ts_lit
 from ..operators.alerts import DROPPED, SUPPRESSED, Machine, alerting, with_message
 from ..session import ship_package
 
@@ -50,49 +48,79 @@ def run_to_table(df: DataFrame, path: str, checkpoint: str, mode: str = "append"
     q.awaitTermination()
 
 
-STATE_SCHEMA = T.StructType([
-    T.StructField("last_emit", T.LongType()),
-    T.StructField("keys", T.ArrayType(T.StringType())),
-    T.StructField("ends", T.ArrayType(T.LongType())),
-    T.StructField("waiting", T.BinaryType()),
-])
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class AlertProcessor(StatefulProcessor):
+    """The alert machine of one server on a stream: the last emitted time as a value, running suppressions as a map by key,
+    rows that wait for the watermark as a map by (time, window, copy), and a timer at every waiting row's time."""
+
+    def __init__(self, throttle_us: int, suppress_us: int):
+        self.throttle, self.suppress = throttle_us, suppress_us
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "t long")
+        self.ends = handle.getMapState("ends", "key string", "end long")
+        self.waiting = handle.getMapState("waiting", "t long, window_id long, copy long", "score double, level string, key string, root_cause array<string>")
+
+    def handleInputRows(self, key, rows, timerValues):
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        times = set()
+        for pdf in rows:
+            for r in pdf.itertuples(index=False):
+                t, window, copy = int(r.t), int(r.window_id), 0
+                if t <= passed:
+                    continue  # later than the watermark allows
+                while self.waiting.containsKey((t, window, copy)):
+                    copy += 1
+                self.waiting.updateValue((t, window, copy), (float(r.score), r.level, r.key, [str(x) for x in r.root_cause]))
+                times.add(t // 1000 + 1)
+        for ms in times:
+            self.handle.registerTimer(ms)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        ready = sorted((tuple(k) for k in self.waiting.keys() if k[0] <= passed))
+        if not ready:
+            return  # an earlier timer has taken them
+        before = dict((k[0], v[0]) for k, v in self.ends.iterator())
+        machine = Machine(self.throttle, self.suppress, self.last.get()[0] if self.last.exists() else None, before)
+        out = []
+        for k in ready:
+            score, level, name, causes = self.waiting.getValue(k)
+            out.append((key[0], k[1], k[0], score, level, list(causes), machine.decide(k[0], name)))
+            self.waiting.removeKey(k)
+        if machine.last is not None:
+            self.last.update((machine.last,))
+        for name in before.keys() - machine.ends.keys():
+            self.ends.removeKey((name,))
+        for name, end in machine.ends.items():
+            if before.get(name) != end:
+                self.ends.updateValue((name,), (int(end),))
+        yield pd.DataFrame(out, columns=["server_id", "window_id", "t", "score", "level", "root_cause", "decision"])
 
 
 def alerts_stream(scores: DataFrame, throttle: int = DEFAULT.throttle_seconds,
                   suppress: int = DEFAULT.suppress_seconds, watermark: str = "10 minutes") -> DataFrame:
-    """O-A4: the alert machine of O-A3 on a stream, state per server.
+    """O-A4: the alert machine of O-A3 on a stream, state per server in RocksDB.
 
     Rows may come in any order within the watermark's delay: they wait in the state until the
     watermark has passed them and are then taken in time order, so the result is that of the batch
-    operator; later ones are dropped by Spark. State is the rows that wait, the last emitted time and
-    the suppressions that still run. Each server's next turn is an event-time timeout at its first
-    waiting row.
+    operator; later ones are dropped. A query that starts again from its checkpoint goes on where it stopped.
     """
-    ship_package(scores.sparkSession)
-    thr, sup = throttle * 1_000_000, suppress * 1_000_000
+    spark = scores.sparkSession
+    ship_package(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     x = alerting(scores).withColumn("_ets", F.col("ts").cast("timestamp")).withWatermark("_ets", watermark)
-    out_schema = T.StructType([f for f in x.schema.fields if f.name != "_ets"] + [T.StructField("decision", T.StringType())])
-    names = [f.name for f in out_schema.fields]
-
-    def step(key, batches, state):
-        last, keys, ends, waiting = state.get if state.exists else (None, [], [], None)
-        machine = Machine(thr, sup, last, dict(zip(keys or [], ends or [])))
-        parts = [pickle.loads(waiting)] if waiting else []
-        if not state.hasTimedOut:
-            parts += [p.drop(columns="_ets") for p in batches]
-        rows = pd.concat(parts, ignore_index=True).sort_values(["_t", "window_id"], kind="stable")
-        passed = rows["_t"] <= state.getCurrentWatermarkMs() * 1000
-        ready, rest = rows[passed].copy(), rows[~passed]
-        ready["decision"] = pd.Series([machine.decide(t, k) for t, k in zip(ready["_t"].tolist(), ready["_key"])], index=ready.index, dtype=object)
-        state.update((machine.last, list(machine.ends), [int(e) for e in machine.ends.values()], pickle.dumps(rest) if len(rest) else None))
-        if len(rest):
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, int(rest["_t"].iloc[0]) // 1000 + 1))
-        yield ready[names]
-
-    decided = x.groupBy("server_id").applyInPandasWithState(
-        step, out_schema, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+    x = x.select("server_id", F.col("window_id").cast("long").alias("window_id"), F.col("_t").alias("t"), "score", "level", F.col("_key").alias("key"), "root_cause", "_ets")
+    decided = x.groupBy("server_id").transformWithStateInPandas(
+        AlertProcessor(throttle * 1_000_000, suppress * 1_000_000),
+        "server_id string, window_id long, t long, score double, level string, root_cause array<string>, decision string", "Append", "EventTime")
     decided = decided.filter(F.col("decision") != DROPPED)
-    return with_message(decided.withColumn("suppressed", F.col("decision") == SUPPRESSED)).drop("_t", "_key")
+    ts = F.timestamp_add("MICROSECOND", F.col("t"), ts_lit("1970-01-01 00:00:00"))
+    return with_message(decided.withColumn("ts", ts).withColumn("suppressed", F.col("decision") == SUPPRESSED)).drop("t")
 
 
 def score_stream(lines: DataFrame, model, templates: DataFrame, out_path: str, checkpoint: str,

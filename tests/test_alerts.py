@@ -73,6 +73,30 @@ def test_streamed_rows_equal_the_machine(spark):
     assert got == want
 
 
+def test_episodes_split_series_without_changing_decisions(spark):
+    """Many episodes a server, cuts of time that they cross, equal times, and settings from none to long."""
+    rng = random.Random(11)
+    rows = []
+    for srv in ("a", "b", None):
+        t = 0
+        for _ in range(300):
+            t += rng.choice([0, 1, 60, 299, 300, 301, 3600, 3601, 3602, 20_000, 400_000])
+            rows.append((srv, t, rng.choice([-0.95, -0.75, -0.55, -0.35])))
+    df = frame(spark, rows)
+    for thr, sup in ((300, 3600), (3600, 300), (0, 0), (1, 1), (50_000, 10)):
+        x = A.episodes(A.alerting(df), max(thr, sup) * 1_000_000).toPandas().sort_values(["server_id", "_t", "window_id"])
+        for _, own in x.groupby("server_id", dropna=False):
+            new = own["_t"].diff().fillna(1e18) > max(thr, sup) * 1_000_000
+            assert (own["episode"] == own["_t"].where(new).ffill()).all()
+        got = {r["window_id"]: r["decision"] for r in A.generate_alerts(df, thr, sup, keep_dropped=True).collect()}
+        want = {}
+        for srv in ("a", "b", None):
+            mine = [(i, t, sc) for i, (s, t, sc) in enumerate(rows) if s == srv]
+            want.update(zip([i for i, _, _ in mine], A.run_machine(np.array([t * 1_000_000 for _, t, _ in mine]), np.array([str(sc) for _, _, sc in mine]), thr * 1_000_000, sup * 1_000_000)))
+        assert got == want
+        assert x["episode"].nunique() > 5 or thr == 50_000
+
+
 def test_fixture_counts(spark):
     out = A.generate_alerts(scores(spark, SF_MID), 43200, 172800, keep_dropped=True)
     counts = {r["decision"]: r["count"] for r in out.groupBy("decision").count().collect()}
