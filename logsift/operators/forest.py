@@ -186,6 +186,34 @@ def score_forest(vectors: DataFrame, nodes: pd.DataFrame, psi: int, offset: floa
     return out
 
 
+def leaf_path(depth, size) -> F.Column:
+    """Path length of a leaf: its depth and the average path length of the rows that it holds."""
+    n = F.col(size).cast("double") if isinstance(size, str) else size
+    rest = F.when(n > 2, 2.0 * (F.log(n - 1.0) + F.lit(EULER)) - 2.0 * (n - 1.0) / n).when(n == 2, F.lit(1.0)).otherwise(F.lit(0.0))
+    return F.col(depth).cast("double") + rest
+
+
+def walk_forest(rows: DataFrame, nodes: DataFrame, keys: list[str], psi: int, levels: int, x: str = "x") -> DataFrame:
+    """O-M3 without Python: (keys…, if_raw) of every row by joins with the node table, level by level.
+
+    A row is one row per tree, at the root; each of ``levels`` joins on (tree_id, node_id) takes it to a child or leaves it at its leaf, and
+    one more gives the leaf's path length. Nodes are as many as the trees have, whatever the data: Spark broadcasts
+    them below its size threshold and shuffles by node above it. The result is that of ``score_forest``."""
+    trees = nodes.select("tree_id").distinct()
+    n_trees = trees.count()
+    ids = F.array(*[F.lit(r.tree_id) for r in trees.orderBy("tree_id").toLocalIterator()])  # one number a tree
+    at = rows.select(*keys, F.col(x).alias("_x"), F.explode(ids).alias("tree_id"), F.lit(0).alias("node_id"))
+    inner = nodes.filter(F.col("feature") >= 0).select("tree_id", "node_id", "feature", "threshold", "left", "right")
+    for _ in range(levels):
+        child = F.when(F.element_at("_x", F.col("feature") + 1) < F.col("threshold"), F.col("left")).otherwise(F.col("right"))
+        moved = at.join(inner, ["tree_id", "node_id"], "left")
+        at = moved.select(*keys, "_x", "tree_id", F.when(F.col("feature").isNull(), F.col("node_id")).otherwise(child).alias("node_id"))
+    leaves = nodes.select("tree_id", "node_id", leaf_path("depth", "size").alias("_path"))
+    paths = at.drop("_x").join(leaves, ["tree_id", "node_id"]).groupBy(*keys).agg(F.sum("_path").alias("_path"))
+    c_psi = float(avg_path_length(np.array([psi]))[0])
+    return paths.select(*keys, (-F.pow(F.lit(2.0), -(F.col("_path") / n_trees) / c_psi)).alias("if_raw"))
+
+
 def forest_offset(scored: DataFrame, contamination: float = DEFAULT.contamination) -> float:
     """Offset = percentile (linear) of the training ``score_samples`` at ``contamination``."""
     return exact_percentile(scored, "if_raw", contamination)

@@ -72,6 +72,35 @@ def drift(df: DataFrame, window: int = DEFAULT.drift_window, threshold: float =
                     (F.col("drift_detected") & F.lit(bool(retrain_trigger))).alias("should_retrain"))
 
 
+def in_force(df: DataFrame, versions: DataFrame, valid_from: str = "valid_from", by: str = SERVER, ts: str = "ts") -> DataFrame:
+    """As-of join: ``df`` with the struct ``version``, the row of ``versions`` (``by``, ``valid_from``, …) with the latest start not after
+    the row's time; null before the first one. Both are streamed once, in the order of time."""
+    v = versions.select(F.col(by).alias("_by"), F.col(valid_from).alias("_at"), F.lit(0).alias("_kind"), F.struct("*").alias("version"), F.lit(None).cast(df.select(F.struct("*")).schema[0].dataType).alias("_row"))
+    rows = df.select(F.col(by).alias("_by"), F.col(ts).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(v.schema["version"].dataType).alias("version"), F.struct("*").alias("_row"))
+    before = Window.partitionBy("_by").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    x = v.unionByName(rows).withColumn("version", F.last("version", ignorenulls=True).over(before)).filter("_kind = 1")
+    return x.select("_row.*", "version")
+
+
+def drift_with_resets(df: DataFrame, resets: DataFrame, window: int = DEFAULT.drift_window, threshold: float = DEFAULT.drift_threshold,
+                      retrain_trigger: bool = DEFAULT.retrain_trigger) -> DataFrame:
+    """O-A10 with resets: ``resets`` (server_id, valid_from, p_normal, p_anomaly) are the baselines by their time of effect. A reset
+    starts the history of predictions anew, and each prediction meets the baseline in force; where a reset has no shares, and before the
+    first one, the first full window since then is the baseline and reports no drift itself."""
+    x = in_force(df.select(SERVER, "window_id", "ts", "prediction"), resets).withColumn("valid_from", F.col("version.valid_from"))
+    since = Window.partitionBy(SERVER, "valid_from").orderBy(*ORDER)
+    fr = since.rowsBetween(-(window - 1), 0)
+    share = lambda p: F.avg((F.col("prediction") == p).cast("double")).over(fr)
+    x = x.select(SERVER, "window_id", "ts", "valid_from", "version", F.count(F.lit(1)).over(fr).alias("_n"), share(1).alias("p_normal"), share(-1).alias("p_anomaly")).filter(F.col("_n") == window)
+    given = F.col("version.p_normal").isNotNull() & F.col("version.p_anomaly").isNotNull()
+    first = since.rowsBetween(Window.unboundedPreceding, 0)
+    base = lambda c: F.when(given, F.col(f"version.{c}")).otherwise(F.first(c).over(first))
+    x = x.select("*", base("p_normal").alias("base_normal"), base("p_anomaly").alias("base_anomaly"), (~F.coalesce(given, F.lit(False)) & (F.row_number().over(since) == 1)).alias("_is_base"))
+    d = (F.abs(F.col("p_normal") - F.col("base_normal")) + F.abs(F.col("p_anomaly") - F.col("base_anomaly"))) / 2
+    x = x.withColumn("drift", F.when(F.col("_is_base"), F.lit(0.0)).otherwise(d)).withColumn("drift_detected", ~F.col("_is_base") & (F.col("drift") > threshold))
+    return x.select(SERVER, "window_id", "ts", "valid_from", "p_normal", "p_anomaly", "base_normal", "base_anomaly", "drift", "drift_detected", (F.col("drift_detected") & F.lit(bool(retrain_trigger))).alias("should_retrain"))
+
+
 # ---------------------------------------------------------------- risk, trend, health (A11–A16)
 
 def risk_columns(df: DataFrame, window: int = DEFAULT.risk_window) -> DataFrame:

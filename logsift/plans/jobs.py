@@ -62,6 +62,42 @@ def q_forest_scores_embeddings(spark, sf):
     return out.select("vec_id", r6("if_score").alias("if_score"), "if_prediction")
 
 
+def closed_form_forest(spark, n_trees=10, levels=5, dim=64):
+    """A node table by formulas: complete binary trees, numbered from the root, that end early in places."""
+    width = (1 << levels + 1) - 1
+    n = spark.range(n_trees * width).select((F.col("id") / width).cast("int").alias("tree_id"), (F.col("id") % width).cast("int").alias("node_id"))
+    n = n.withColumn("depth", F.floor(F.log2(F.col("node_id") + F.lit(1.5))).cast("int"))
+    leaf = (F.col("depth") == levels) | ((F.col("node_id") * 7 + F.col("tree_id")) % 11 == 0)
+    return n.select(
+        "tree_id", "node_id", F.when(leaf, -1).otherwise((F.col("tree_id") * 7 + F.col("node_id") * 3) % dim).cast("int").alias("feature"),
+        (((F.col("node_id") * 37 + F.col("tree_id") * 11) % 100 - 50) / 100.0).alias("threshold"),
+        F.when(leaf, -1).otherwise(F.col("node_id") * 2 + 1).cast("int").alias("left"), F.when(leaf, -1).otherwise(F.col("node_id") * 2 + 2).cast("int").alias("right"),
+        (F.lit(1) + (F.col("node_id") * 13 + F.col("tree_id")) % 40).cast("long").alias("size"), "depth")
+
+
+def q_forest_walk(spark, sf):
+    """O-M3 as relations: all embedding vectors scored against a forest in closed form, by joins with its node table."""
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    out = FO.walk_forest(e, closed_form_forest(spark), ["vec_id"], psi=256, levels=5)
+    return out.select("vec_id", r6("if_raw").alias("if_raw"))
+
+
+SQL_FOREST_WALK = """with recursive nodes as (
+  select t as tree_id, i as node_id, d as depth, (d = 5 or (i * 7 + t) % 11 = 0) as leaf, (t * 7 + i * 3) % 64 as feature,
+    ((i * 37 + t * 11) % 100 - 50) / 100.0::double as threshold, cast(1 + (i * 13 + t) % 40 as double) as size
+  from (select unnest(range(10)) as t) a, (select i, cast(floor(log2(i + 1.5)) as integer) as d from (select unnest(range(63)) as i)) b),
+walk as (
+  select vec_id, embedding, tree_id, 0::bigint as node_id, 0 as step from embeddings, (select unnest(range(10)) as tree_id)
+  union all
+  select w.vec_id, w.embedding, w.tree_id,
+    case when cast(w.embedding[n.feature + 1] as double) < n.threshold then 2 * w.node_id + 1 else 2 * w.node_id + 2 end, w.step + 1
+  from walk w join nodes n on n.tree_id = w.tree_id and n.node_id = w.node_id where not n.leaf),
+paths as (
+  select vec_id, sum(n.depth + case when size > 2 then 2.0 * (ln(size - 1.0) + 0.5772156649015329) - 2.0 * (size - 1.0) / size when size = 2 then 1.0 else 0.0 end) as p
+  from walk w join nodes n on n.tree_id = w.tree_id and n.node_id = w.node_id where n.leaf group by 1)
+select vec_id, 0.0 + round(-pow(2.0, -(p / 10) / (2.0 * (ln(255.0) + 0.5772156649015329) - 2.0 * 255.0 / 256.0)), 6) as if_raw from paths"""
+
+
 def q_ae_scores(spark, sf):
     """O-M4/M5: autoencoder trained on the event windows; error, threshold, score, prediction."""
     vec, base = _event_vectors(spark, sf)
@@ -331,6 +367,7 @@ JOBS = {
     "lenient_files": (q_lenient_files, SQL_LENIENT_FILES),
     "forest_scores": (q_forest_scores, None),
     "forest_scores_embeddings": (q_forest_scores_embeddings, None),
+    "forest_walk": (q_forest_walk, SQL_FOREST_WALK),
     "ae_scores": (q_ae_scores, None),
     "train_job": (q_train_job, None),
     "model_roundtrip": (q_model_roundtrip, None),

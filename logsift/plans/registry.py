@@ -562,6 +562,32 @@ select server_id, window_id, 0.0 + round((abs(pn - bn) + abs(pa - ba)) / 2, 6) a
 from d join b using (server_id) where n = 40"""
 
 
+def q_drift_resets(spark, sf):
+    """O-A10 with versions: every server is reset on 11 January to the shares of the days before, and on the 21st to none."""
+    s = scores(spark, sf)
+    at = lambda d: F.lit(d).cast("timestamp_ntz").alias("valid_from")
+    first = M.prediction_distribution(s.filter(F.col("ts") < F.lit("2024-01-11").cast("timestamp_ntz"))).select("server_id", at("2024-01-11"), "p_normal", "p_anomaly")
+    second = s.select("server_id").distinct().select("server_id", at("2024-01-21"), F.lit(None).cast("double").alias("p_normal"), F.lit(None).cast("double").alias("p_anomaly"))
+    d = M.drift_with_resets(s, first.unionByName(second), window=20)
+    return d.select("server_id", "window_id", ts_text("valid_from").alias("valid_from"), r6("base_normal").alias("base_normal"), r6("drift").alias("drift"), "drift_detected", "should_retrain")
+
+
+SQL_DRIFT_RESETS = Q.with_(Q.SCORES, """resets as (
+  select server_id, timestamp '2024-01-11' as valid_from, avg(case when prediction = 1 then 1.0 else 0.0 end) as bn,
+    avg(case when prediction = -1 then 1.0 else 0.0 end) as ba from scores where ts < timestamp '2024-01-11' group by 1
+  union all select distinct server_id, timestamp '2024-01-21', cast(null as double), cast(null as double) from scores),
+p as (select s.*, r.valid_from, r.bn, r.ba from scores s asof left join resets r on s.server_id = r.server_id and s.ts >= r.valid_from),
+d as (select server_id, window_id, ts, valid_from, bn, ba, count(*) over w as n,
+    avg(case when prediction = 1 then 1.0 else 0.0 end) over w as pn, avg(case when prediction = -1 then 1.0 else 0.0 end) over w as pa
+  from p window w as (partition by server_id, valid_from order by ts, window_id rows between 19 preceding and current row)),
+f as (select *, row_number() over o as rn, coalesce(bn, first_value(pn) over o) as b1, coalesce(ba, first_value(pa) over o) as b2
+  from d where n = 20 window o as (partition by server_id, valid_from order by ts, window_id)),
+x as (select *, bn is null and rn = 1 as is_base, (abs(pn - b1) + abs(pa - b2)) / 2 as dr from f)""") + f"""
+select server_id, window_id, {Q.ts_text('valid_from')} as valid_from, 0.0 + round(b1, 6) as base_normal,
+  0.0 + round(case when is_base then 0.0 else dr end, 6) as drift, not is_base and dr > 0.15 as drift_detected,
+  not is_base and dr > 0.15 as should_retrain from x"""
+
+
 def _activity(spark, sf):
     x = W.epoch_windows(lines(spark, sf), 21600)
     return M.window_activity(x)
@@ -804,6 +830,7 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "drift": (q_drift, SQL_DRIFT),
     "drift_baseline": (q_drift_baseline, SQL_DRIFT_BASELINE),
     "drift_vs_baseline": (q_drift_vs_baseline, SQL_DRIFT_VS_BASELINE),
+    "drift_resets": (q_drift_resets, SQL_DRIFT_RESETS),
     "risk_scores": (q_risk_scores, SQL_RISK_SCORES),
     "trend": (q_trend, SQL_TREND),
     "health": (q_health, SQL_HEALTH),

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -134,25 +135,43 @@ def score_windows(counts: DataFrame, model: Model) -> DataFrame:
 
 # ------------------------------------------------------------------ persistence (O-S9)
 
-def save_model(spark: SparkSession, model: Model, path: str) -> None:
-    """Parquet tables: columns, forest nodes, AE weights (optional) and a one-row metadata table."""
-    model.columns.write.mode("overwrite").parquet(os.path.join(path, "columns"))
-    spark.createDataFrame(model.forest_nodes, FO.NODE_SCHEMA).write.mode("overwrite").parquet(
-        os.path.join(path, "forest_nodes"))
+def save_model(spark: SparkSession, model: Model, path: str) -> str:
+    """Parquet tables (columns, forest nodes, AE weights if any, a row of metadata) in a folder of a new version under ``path``; a row in the
+    manifest, written last, makes it the current one. A save that stops before that leaves the version before in force. Returns the version."""
+    version = uuid.uuid4().hex
+    folder = os.path.join(path, f"version={version}")
+    model.columns.write.parquet(os.path.join(folder, "columns"))
+    spark.createDataFrame(model.forest_nodes, FO.NODE_SCHEMA).write.parquet(os.path.join(folder, "forest_nodes"))
     meta = {"psi": model.psi, "offset": model.offset,
             "w_if": model.w_if, "w_ae": model.w_ae, "info": model.info,
             "ae_dims": model.ae["dims"] if model.ae else None,
             "ae_threshold": model.ae["threshold"] if model.ae else None}
-    spark.createDataFrame([(json.dumps(meta),)], "meta string").write.mode("overwrite").parquet(
-        os.path.join(path, "model_meta"))
+    spark.createDataFrame([(json.dumps(meta),)], "meta string").write.parquet(os.path.join(folder, "model_meta"))
     if model.ae is not None:
         w = [float(v) for v in np.asarray(model.ae["weights"])]
-        spark.createDataFrame([(w,)], "w array<double>").write.mode("overwrite").parquet(
-            os.path.join(path, "ae_weights"))
+        spark.createDataFrame([(w,)], "w array<double>").write.parquet(os.path.join(folder, "ae_weights"))
+    number = len(model_versions(spark, path)) + 1
+    spark.createDataFrame([(number, version)], MANIFEST).coalesce(1).write.mode("append").parquet(os.path.join(path, "manifest"))
+    return version
 
 
-def load_model(spark: SparkSession, path: str) -> Model:
-    """Reads a saved model; a missing autoencoder table means weight 0 for it (O-M6)."""
+MANIFEST = "number long, version string"
+
+
+def model_versions(spark: SparkSession, path: str) -> list[str]:
+    """The whole versions saved under ``path``, the current one last."""
+    manifest = os.path.join(path, "manifest")
+    if path_kind(spark, manifest) is None:
+        return []
+    return [r.version for r in spark.read.schema(MANIFEST).parquet(manifest).orderBy("number", "version").collect()]
+
+
+def load_model(spark: SparkSession, path: str, version: str | None = None) -> Model:
+    """Reads a saved model: the current version, or a given one; a missing autoencoder table means weight 0 for it (O-M6)."""
+    versions = model_versions(spark, path)
+    if not versions or version not in (None, *versions):
+        raise FileNotFoundError(f"no whole model {version or ''} under {path}")
+    path = os.path.join(path, f"version={version or versions[-1]}")
     meta = json.loads(spark.read.parquet(os.path.join(path, "model_meta")).first()["meta"])
     nodes = spark.read.parquet(os.path.join(path, "forest_nodes")).toPandas()
     columns = spark.read.parquet(os.path.join(path, "columns"))

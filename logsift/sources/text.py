@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -103,23 +105,57 @@ def new_rows(existing: DataFrame, new: DataFrame) -> DataFrame:
     return n.join(e, cond, "left_anti")
 
 
+#: Buckets of a structured table, by the hash of its rows.
+TABLE_BUCKETS = 64
+
+
+def row_key() -> F.Column:
+    return F.xxhash64(*[F.coalesce(F.col(c), F.lit("")) for c in STRUCTURED_COLUMNS])
+
+
+@contextmanager
+def bucketed_table(spark: SparkSession, path: str, buckets: int = TABLE_BUCKETS):
+    """The name, in this session, of the structured table in ``path``: Parquet by ingest_date, in buckets of the row's hash. The files
+    say all that there is; the name is dropped at the end and the files stay."""
+    name = f"structured_{uuid.uuid4().hex}"
+    columns = ", ".join(f"{c} string" for c in STRUCTURED_COLUMNS)
+    spark.sql(f"CREATE TABLE {name} ({columns}, row_key bigint, ingest_date string) USING parquet PARTITIONED BY (ingest_date) "
+              f"CLUSTERED BY (row_key) SORTED BY (row_key) INTO {buckets} BUCKETS LOCATION '{path}'")
+    try:
+        if path_kind(spark, path) is not None:
+            spark.sql(f"MSCK REPAIR TABLE {name}")
+        yield name
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+
+
+def missing_rows(new: DataFrame, existing: DataFrame) -> DataFrame:
+    """Distinct rows of ``new`` (conformed, with row_key) that ``existing`` has not. The hash is the only key of the anti join, so a
+    bucketed ``existing`` is read bucket by bucket and never shuffled; the columns are compared beside it."""
+    n = new.dropDuplicates(["row_key", *STRUCTURED_COLUMNS]).alias("n")
+    e = existing.alias("e")
+    cond = F.col("n.row_key") == F.col("e.row_key")
+    for c in STRUCTURED_COLUMNS:
+        a, b = F.col(f"n.{c}"), F.col(f"e.{c}")
+        cond = cond & (((a >= b) & (a <= b)) | (a.isNull() & b.isNull()))
+    return n.join(e, cond, "left_anti")
+
+
 def append_structured(df: DataFrame, table_path: str, ingest_date: str | None = None) -> int:
-    """O-S5: append only rows not already in the table; never rewrites the table.
+    """O-S5: append only rows not already in the table; never rewrites or shuffles the table.
 
-    The anti join reads the existing table (pruned to its four columns) and the new rows
-    are written with ``mode('append')`` partitioned by ``ingest_date``. Re-running the same
-    append adds 0 rows. Returns the number of rows written (via an observed metric).
+    The table is bucketed by the hash of its rows. New rows are shuffled to these buckets once, for the anti join with the table and for the
+    write into the partition of ``ingest_date``. Re-running the same append adds 0 rows. Returns the number of
+    rows written (via an observed metric).
     """
     spark = df.sparkSession
     date = ingest_date or dt.date.today().isoformat()
-    if path_kind(spark, table_path) is None:  # first write
-        rows = conform(df).dropDuplicates()
-    else:
-        rows = new_rows(spark.read.parquet(table_path), df)
     from pyspark.sql import Observation
     obs = Observation("append")
-    rows = rows.withColumn("ingest_date", F.lit(date)).observe(obs, F.count(F.lit(1)).alias("rows"))
-    rows.write.mode("append").partitionBy("ingest_date").parquet(table_path)
+    with bucketed_table(spark, table_path) as name:
+        rows = missing_rows(conform(df).withColumn("row_key", row_key()), spark.table(name))
+        rows = rows.withColumn("ingest_date", F.lit(date)).observe(obs, F.count(F.lit(1)).alias("rows"))
+        rows.repartition(TABLE_BUCKETS, "row_key").select(*STRUCTURED_COLUMNS, "row_key", "ingest_date").write.insertInto(name)
     return int(obs.get.get("rows", 0))
 
 
@@ -148,17 +184,35 @@ def write_provenance(df: DataFrame, root: str, source: str, uploader: str | None
             "ingest_time": ingest_ts.isoformat() + "Z", "rows": rows, "path": path}
 
 
+def _copies(spark: SparkSession, data: str) -> list[tuple]:
+    """(source, ingest_id, mtime, path) of every copy's folder, from the folder listing alone."""
+    jvm = spark.sparkContext._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(os.path.join(data, "source=*", "ingest_id=*"))
+    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    out = []
+    for f in found:
+        p = f.getPath()
+        out.append((p.getParent().getName().split("=", 1)[1], p.getName().split("=", 1)[1], dt.datetime.fromtimestamp(f.getModificationTime() / 1000, dt.timezone.utc).replace(tzinfo=None), p.toString()))
+    return out
+
+
 def list_provenance(spark: SparkSession, root: str, limit: int = 20) -> DataFrame:
     """O-S7: latest ``limit`` ingests by time (ties by id): every copy with its rows and modification
-    time, and its metadata if there is any (a run that dies before it writes them is listed too)."""
+    time, and its metadata if there is any (a run that dies before it writes them is listed too).
+
+    Rows come from the metadata. Only copies that have none are opened, and of these only the footers: no data column is read."""
     data, ingests = os.path.join(root, "data"), os.path.join(root, "ingests")
     schema = "ingest_id string, source string, uploader string, ingest_ts timestamp_ntz, rows bigint, path string"
-    meta = spark.createDataFrame([], schema) if path_kind(spark, ingests) is None else spark.read.parquet(ingests)
-    copies = (spark.read.parquet(data).groupBy("source", "ingest_id")
-              .agg(F.count(F.lit(1)).alias("_rows"), F.max("_metadata.file_modification_time").alias("mtime")))
-    x = meta.join(copies, ["source", "ingest_id"], "full")
-    x = x.withColumn("rows", F.coalesce("_rows", "rows")).withColumn("has_metadata", F.col("path").isNotNull()).drop("_rows")
-    return x.orderBy(F.coalesce("ingest_ts", F.col("mtime").cast("timestamp_ntz")).desc(), F.col("ingest_id")).limit(limit)
+    meta = spark.createDataFrame([], schema) if path_kind(spark, ingests) is None else spark.read.schema(schema).parquet(ingests)
+    copies = spark.createDataFrame(_copies(spark, data), "source string, ingest_id string, mtime timestamp_ntz, _path string")
+    bare = [r["_path"] for r in copies.join(meta, ["source", "ingest_id"], "left_anti").collect()]
+    if bare:
+        read = spark.read.option("basePath", data).parquet(*bare).groupBy("source", "ingest_id").agg(F.count(F.lit(1)).alias("_rows"))
+    else:
+        read = spark.createDataFrame([], "source string, ingest_id string, _rows bigint")
+    x = meta.join(copies.drop("_path"), ["source", "ingest_id"], "full").join(read, ["source", "ingest_id"], "left")
+    x = x.withColumn("rows", F.coalesce("rows", "_rows")).withColumn("has_metadata", F.col("path").isNotNull()).drop("_rows")
+    return x.orderBy(F.coalesce("ingest_ts", "mtime").desc(), F.col("ingest_id")).limit(limit)
 
 
 def preview(spark: SparkSession, root: str, ingest_id: str, n: int = 50, order: str = "line_no") -> DataFrame:

@@ -1,13 +1,17 @@
 """Isolation forest and autoencoder invariants."""
 
+import dataclasses
+
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from logsift.operators import autoencoder as AE
 from logsift.operators import forest as FO
 from logsift.operators.quantile import exact_percentile
 from logsift.config import Params
+from logsift.plans import jobs as J
 from logsift.plans import stages as P
 from logsift.plans.registry import INGEST, lines
 
@@ -138,7 +142,42 @@ def test_train_save_load_roundtrip(spark, tmp_path):
     assert len(m) == len(a) > 0 and np.allclose(m["score_x"], m["score_y"])
     # without the autoencoder table the model scores with the forest only (weight 0)
     import shutil
-    shutil.rmtree(path + "/ae_weights")
+    shutil.rmtree(f"{path}/version={P.model_versions(spark, path)[-1]}/ae_weights")
     fo = P.load_model(spark, path)
     assert fo.ae is None and fo.w_ae == 0.0
     assert P.score_windows(counts, fo).count() == len(a)
+
+
+def test_a_save_that_stops_half_way_is_never_loaded(spark, tmp_path):
+    counts = spark.range(200).select(F.lit("s").alias("server_id"), (F.col("id") % 40).alias("window_id"), F.concat(F.lit("e"), F.col("id") % 5).alias("event_id"), (F.col("id") % 7 + 1).alias("cnt"))
+    model = P.train_models(counts, Params(epochs=1, n_trees=5))
+    path = str(tmp_path / "model")
+
+    def stops():  # behind the columns, the nodes and the metadata
+        with pytest.raises(TypeError):
+            P.save_model(spark, dataclasses.replace(model, ae={**model.ae, "weights": [object()]}), path)
+
+    stops()
+    with pytest.raises(FileNotFoundError):
+        P.load_model(spark, path)
+    first = P.save_model(spark, model, path)
+    model.offset += 1.0
+    stops()
+    assert P.model_versions(spark, path) == [first] and P.load_model(spark, path).offset == model.offset - 1.0
+    second = P.save_model(spark, model, path)
+    assert P.load_model(spark, path).offset == model.offset and P.load_model(spark, path, first).offset == model.offset - 1.0
+    assert P.model_versions(spark, path) == [first, second]
+
+
+def test_joins_with_the_node_table_equal_the_array_walk(spark):
+    """A grown forest and the closed-form one, walked by joins and by arrays."""
+    v = blob(spark, 800)
+    nodes, meta = FO.fit_forest(v, ["k"], n_trees=20)
+    a = FO.score_forest(v, nodes, meta["psi"]).toPandas().set_index("k")["if_raw"].sort_index()
+    b = FO.walk_forest(v, spark.createDataFrame(nodes, FO.NODE_SCHEMA), ["k"], meta["psi"], meta["max_depth"]).toPandas().set_index("k")["if_raw"].sort_index()
+    assert len(b) == 800 and np.allclose(a, b, atol=1e-12)
+    e = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    forest = J.closed_form_forest(spark)
+    a = FO.score_forest(e, forest.toPandas(), 256).toPandas().set_index("vec_id")["if_raw"].sort_index()
+    b = FO.walk_forest(e, forest, ["vec_id"], 256, 5).toPandas().set_index("vec_id")["if_raw"].sort_index()
+    assert np.allclose(a, b, atol=1e-12) and b.nunique() > 50
