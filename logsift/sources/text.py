@@ -7,12 +7,13 @@ import os
 import uuid
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.lines import is_nonblank, strip_ws
-from ..session import path_kind
+from ..session import materialize, path_kind, ship_package
 
 STRUCTURED_COLUMNS = ("raw_log", "event_id", "event_template", "ts")
 HEADER = "Raw_Log,Event_ID,Event_Template,Timestamp"
@@ -25,37 +26,120 @@ STRUCTURED_SCHEMA = T.StructType([
 ])
 
 
+#: Splits of which a task may hold a number each (16 bytes; at 128 MB a split this is a petabyte). Beyond it, what is
+#: known of splits is joined by a shuffle.
+MOST_SPLITS = 8 << 20
+
+
+def _split_lines(spark: SparkSession, paths, **options) -> DataFrame:
+    """(value, file, file_mtime, split, _pos): the lines of text files; ``split`` names a byte range of a file, and ``_pos`` rises inside it."""
+    return (spark.read.options(**options).text(paths)
+                 .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"),
+                         F.col("_metadata.file_modification_time").alias("file_mtime"))
+                 .withColumn("split", F.xxhash64("file", "_block")).withColumn("_pos", F.monotonically_increasing_id()))
+
+
+def _before(splits: DataFrame, value: str, out: str) -> DataFrame:
+    """``splits`` (file, _block, ``value``, …) with the sum of ``value`` over the splits of the file before each."""
+    ahead = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    return splits.withColumn(out, F.coalesce(F.sum(value).over(ahead), F.lit(0)))
+
+
+def _with_splits(lines: DataFrame, splits: DataFrame, most: int = MOST_SPLITS) -> DataFrame:
+    """``lines`` with the numbers of ``splits`` (split, …), sent to the tasks that read them where they are few enough: the text stays
+    where it is read."""
+    return lines.join(F.broadcast(splits) if splits.count() <= most else splits, "split")
+
+
 def read_logs(spark: SparkSession, paths, source: str | None = None) -> DataFrame:
     """O-S1: lines of one or more text files → (source, file, file_mtime, line_no, raw_log).
 
     ``line_no`` is the exact 0-based line number inside its file (blank lines count), so
-    line windows (O-W2) are reproducible. Text is only ordered inside a file split, so
-    rows are numbered within each (file, split) and every split is offset by the line
-    count of the splits before it (``_metadata.file_block_start`` order): a small
-    per-split table, no sort or window over whole files. Blank lines are then dropped,
+    line windows (O-W2) are reproducible. Lines are counted per file split first; what comes before each split is a
+    prefix sum over that small table, and every task adds its split's number to the lines that it reads, so
+    no text is shuffled. Blank lines are then dropped,
     the text stripped, and undecodable bytes (U+FFFD) removed.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    df = (spark.read.text(paths)
-               .select("value", F.col("_metadata.file_path").alias("file"),
-                       F.col("_metadata.file_block_start").alias("_block"),
-                       F.col("_metadata.file_modification_time").alias("file_mtime"))
-               .withColumn("_pos", F.monotonically_increasing_id()))
-    splits = df.groupBy("file", "_block").agg(F.min("_pos").alias("_p0"), F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    x = df.join(splits, ["file", "_block"])
-    x = x.withColumn("line_no", F.col("_off") + F.col("_pos") - F.col("_p0"))
+    df = _split_lines(spark, paths)
+    splits = df.groupBy("file", "_block", "split").agg(F.min("_pos").alias("_p0"), F.count(F.lit(1)).alias("_n"))
+    splits = materialize(_before(splits, "_n", "_off").select("split", (F.col("_off") - F.col("_p0")).alias("_shift")), "line-splits")
+    x = _with_splits(df, splits).withColumn("line_no", F.col("_pos") + F.col("_shift"))
     x = x.withColumn("raw_log", strip_ws(F.regexp_replace("value", "\ufffd", "")))
     x = x.filter(F.length("raw_log") > 0)
     src = F.lit(source) if source else F.col("file")
     return x.select(src.alias("source"), "file", "file_mtime", "line_no", "raw_log")
 
 
+def _join_records(batches):
+    """Lines of splits in order, each with whether a quoted field is open at its split's start, to records: a record ends with the line
+    after which the quotes are even. The pieces of a record that crosses a split's edge come out as they are: ``place`` is the line's
+    place in the file for whole records, and pieces are marked open."""
+    split, held, first, at, quoted = None, [], None, None, False
+
+    def row(text: bytes, place: tuple, head: bool, tail: bool) -> tuple:
+        return (*place, text, head, tail)
+
+    for b in batches:
+        out = []
+        for file, block, pos, value, opened in zip(*(b.column(c).to_pylist() for c in ("file", "_block", "_pos", "line", "opened")), strict=True):
+            if (file, block) != split:
+                if held:  # the split before ends inside a record
+                    out.append(row(b"\n".join(held), (*split, at), first, True))
+                split, held, quoted, first = (file, block), [], opened, opened
+            if not held:
+                at = pos
+            held.append(value)
+            quoted ^= bool(value.count(b'"') & 1)
+            if not quoted:
+                out.append(row(b"\n".join(held), (*split, at), first, False))
+                held, first = [], False
+        yield _record_batch(out)
+    if held:
+        yield _record_batch([row(b"\n".join(held), (*split, at), first, True)])
+
+
+_RECORD = "file string, _block long, _pos long, record string, _head boolean, _tail boolean"
+
+
+def _record_batch(rows: list) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [()] * 6
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.bool_())
+    arrays = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
+    arrays[3] = arrays[3].cast(pa.string())
+    return pa.RecordBatch.from_arrays(arrays, names=["file", "_block", "_pos", "record", "_head", "_tail"])
+
+
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, record, is_first): the records of quoted CSV files, whose fields may hold line breaks; a file is read by as many tasks
+    as it has splits.
+
+    Quotes are counted per split; whether a quoted field is open at a split's start is the parity of those before it. So each task
+    joins the lines of its splits to records by itself, and only the few pieces of records that cross an edge are put together
+    by a shuffle."""
+    ship_package(spark)
+    lines = _split_lines(spark, path, lineSep="\n").withColumn("_quotes", F.length("value") - F.length(F.replace("value", F.lit('"'))))
+    splits = _before(lines.groupBy("file", "_block", "split").agg(F.sum("_quotes").alias("_n")), "_n", "_off")
+    splits = materialize(splits.select("split", (F.col("_off") % 2 == 1).alias("opened")), "csv-splits")
+    rows = _with_splits(lines, splits).select("file", "_block", "_pos", F.col("value").cast("binary").alias("line"), "opened")
+    found = materialize(rows.mapInArrow(_join_records, _RECORD), "csv-records")
+    whole = found.filter("NOT _head AND NOT _tail").select("file", "_block", "_pos", "record")
+    # a piece with a tail begins a record unless it has a head too; those that follow belong to it
+    order = Window.partitionBy("file").orderBy("_block", "_pos")
+    parts = found.filter("_head OR _tail").withColumn("_record", F.sum(F.when(F.col("_head"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = parts.groupBy("file", "_record").agg(F.min("_block").alias("_block"), F.min_by("_pos", "_block").alias("_pos"), F.array_sort(F.collect_list(F.struct("_block", "_pos", "record"))).alias("p"))
+    joined = joined.select("file", "_block", "_pos", F.array_join(F.transform("p", lambda p: p["record"]), "\n").alias("record"))
+    records = whole.unionByName(joined)
+    heads = records.groupBy("file").agg(F.min(F.struct("_block", "_pos")).alias("_first")).withColumnRenamed("file", "_f")
+    records = records.join(heads, F.col("file") == F.col("_f"))
+    return records.select("file", F.regexp_replace("record", "\r$", "").alias("record"), ((F.col("_block") == F.col("_first._block")) & (F.col("_pos") == F.col("_first._pos"))).alias("is_first"))
+
+
 def read_structured_csv(spark: SparkSession, path: str) -> DataFrame:
-    """O-S3: a proper CSV with header (quoted fields, embedded newlines)."""
-    return (spark.read.schema(STRUCTURED_SCHEMA).option("header", True).option("multiLine", True)
-                 .option("escape", '"').csv(path))
+    """O-S3: a proper CSV with header (quoted fields, embedded newlines), split over tasks however large a file is."""
+    rows = csv_records(spark, path).filter(~F.col("is_first") & (F.col("record") != ""))
+    parsed = F.from_csv("record", F.lit(STRUCTURED_SCHEMA.simpleString()[7:-1].replace(":", " ")), {"escape": '"', "multiLine": "true"})
+    return rows.select(parsed.alias("c")).select("c.*")
 
 
 def parse_lenient(text: DataFrame, value: str = "value") -> DataFrame:
