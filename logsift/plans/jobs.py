@@ -264,24 +264,38 @@ def q_alerts_stream(spark, sf, throttle=43200, suppress=172800):
         "server_id", "window_id", ts_text("ts").alias("ts"), "score", "level", "decision", "suppressed", "message")
 
 
-def q_score_stream(spark, sf):
-    """O-M10: log lines written as rolled text files per server and day, streamed, windowed
-    and scored with a model trained in batch on the same lines."""
-    s, templates = _structured(spark, sf)
-    templates = templates.persist()
-    counts = P.window_counts(s)
-    model = P.train_models(counts)
+def _rolled_logs(spark, sf) -> str:
+    """Log lines as rolled text files per server and day."""
     src = _scratch(spark, "logs")
     lines(spark, sf).select("server_id", F.to_date("ts").alias("day"), "raw_log") \
-        .write.partitionBy("server_id", "day").text(src)
-    # a line far in the future closes every real window
+        .repartition("server_id", "day").write.partitionBy("server_id", "day").text(src)
+    return src
+
+
+def _closing_line(spark, src: str) -> None:
+    """A line far in the future closes every real window."""
     spark.createDataFrame([("2100-01-01T00:00:00 closing line",)], "raw_log string") \
         .write.text(f"{src}/server_id=server-closing/day=2100-01-01")
-    stream = ST.stream_logs(spark, src, recursive=True).select(
+
+
+def log_file_stream(spark, src: str, max_files_per_trigger: int | None = None):
+    return ST.stream_logs(spark, src, max_files_per_trigger, recursive=True).select(
         F.regexp_extract("file", r"server_id=([^/]+)", 1).alias("server_id"), "raw_log")
+
+
+def q_score_stream(spark, sf):
+    """O-M10: log lines written as rolled text files per server and day, streamed in several micro-batches in
+    whatever order the files are found, windowed and scored with a model trained in batch on the same lines."""
+    s, templates = _structured(spark, sf)
+    templates = templates.persist()
+    counts = P.window_counts(s)
+    model = P.train_models(counts)
+    src = _rolled_logs(spark, sf)
+    _closing_line(spark, src)
     out, ck = _scratch(spark, "m10"), _scratch(spark, "m10-ckpt")
-    ST.score_stream(stream, model, templates, out, ck, INGEST)
-    res = spark.read.parquet(out)
+    # files come in any order, so the watermark waits for all days
+    ST.score_stream(log_file_stream(spark, src, 100), model, templates, out, ck, INGEST, watermark="60 days", max_files_per_trigger=100)
+    res = spark.read.parquet(out).filter("server_id != 'server-closing'")
     return res.select("server_id", ts_text("window_start").alias("window_start"), r6("score").alias("score"),
                       "prediction")
 

@@ -193,17 +193,17 @@ def new_rows(existing: DataFrame, new: DataFrame) -> DataFrame:
 TABLE_BUCKETS = 64
 
 
-def row_key() -> F.Column:
-    return F.xxhash64(*[F.coalesce(F.col(c), F.lit("")) for c in STRUCTURED_COLUMNS])
+def row_key(columns=STRUCTURED_COLUMNS) -> F.Column:
+    return F.xxhash64(*[F.coalesce(F.col(c), F.lit("")) for c in columns])
 
 
 @contextmanager
-def bucketed_table(spark: SparkSession, path: str, buckets: int = TABLE_BUCKETS):
-    """The name, in this session, of the structured table in ``path``: Parquet by ingest_date, in buckets of the row's hash. The files
-    say all that there is; the name is dropped at the end and the files stay."""
+def bucketed_table(spark: SparkSession, path: str, columns=STRUCTURED_COLUMNS, part: str = "ingest_date", buckets: int = TABLE_BUCKETS):
+    """The name, in this session, of a table in ``path``: Parquet by ``part``, in buckets of the row's hash. ``columns`` are names of strings,
+    or (name, type). The files say all that there is; the name is dropped at the end and the files stay."""
     name = f"structured_{uuid.uuid4().hex}"
-    columns = ", ".join(f"{c} string" for c in STRUCTURED_COLUMNS)
-    spark.sql(f"CREATE TABLE {name} ({columns}, row_key bigint, ingest_date string) USING parquet PARTITIONED BY (ingest_date) "
+    ddl = ", ".join(f"{c} string" if isinstance(c, str) else " ".join(c) for c in columns)
+    spark.sql(f"CREATE TABLE {name} ({ddl}, row_key bigint, {part} string) USING parquet PARTITIONED BY ({part}) "
               f"CLUSTERED BY (row_key) SORTED BY (row_key) INTO {buckets} BUCKETS LOCATION '{path}'")
     try:
         if path_kind(spark, path) is not None:
@@ -213,13 +213,13 @@ def bucketed_table(spark: SparkSession, path: str, buckets: int = TABLE_BUCKETS)
         spark.sql(f"DROP TABLE {name}")
 
 
-def missing_rows(new: DataFrame, existing: DataFrame) -> DataFrame:
-    """Distinct rows of ``new`` (conformed, with row_key) that ``existing`` has not. The hash is the only key of the anti join, so a
+def missing_rows(new: DataFrame, existing: DataFrame, columns=STRUCTURED_COLUMNS) -> DataFrame:
+    """Distinct rows of ``new`` (with row_key) that ``existing`` has not. The hash is the only key of the anti join, so a
     bucketed ``existing`` is read bucket by bucket and never shuffled; the columns are compared beside it."""
-    n = new.dropDuplicates(["row_key", *STRUCTURED_COLUMNS]).alias("n")
+    n = new.dropDuplicates(["row_key", *columns]).alias("n")
     e = existing.alias("e")
     cond = F.col("n.row_key") == F.col("e.row_key")
-    for c in STRUCTURED_COLUMNS:
+    for c in columns:
         a, b = F.col(f"n.{c}"), F.col(f"e.{c}")
         cond = cond & (((a >= b) & (a <= b)) | (a.isNull() & b.isNull()))
     return n.join(e, cond, "left_anti")

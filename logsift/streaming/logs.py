@@ -123,27 +123,61 @@ def alerts_stream(scores: DataFrame, throttle: int = DEFAULT.throttle_seconds,
     return with_message(decided.withColumn("ts", ts).withColumn("suppressed", F.col("decision") == SUPPRESSED)).drop("t")
 
 
-def score_stream(lines: DataFrame, model, templates: DataFrame, out_path: str, checkpoint: str,
-                 ingest_ts, seconds: int = 60, watermark: str = "10 minutes") -> None:
-    """O-M10: score every window of a line stream once it closes; append to ``out_path``.
+#: What makes a streamed line the same as an earlier one.
+LINE_KEY = ("server_id", "raw_log", "event_id")
 
-    Lines are structured as in batch (mask, noise, template by stream–static join, event
-    time, repeats dropped, though only those within the watermark), counted in epoch-aligned windows with a watermark, and every micro-batch of
-    closed windows is scored with the batch scorer inside ``foreachBatch``.
-    """
+
+def _run(query) -> list:
+    """Runs a stream to the end of what is there; its progress, batch by batch."""
+    q = query.trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q.recentProgress
+
+
+def structure_stream(lines: DataFrame, templates: DataFrame, path: str, checkpoint: str, ingest_ts) -> int:
+    """Structured lines of a stream, appended to a table bucketed by their hash, each (server, line, event) once however far apart its
+    repeats come: every micro-batch is joined against the keys that the table has from earlier batches, without a
+    shuffle of them. A batch that runs again overwrites its own partition. Returns the number of micro-batches."""
     from ..functions import lines as L
     from ..operators import templates as TM
-    from ..plans.stages import score_windows
+    from ..sources.text import bucketed_table, missing_rows, row_key
 
     x = lines.filter(L.is_nonblank("raw_log"))
     x = L.evaluate_once(x, raw_log=L.clean_line("raw_log", ingest_ts)).filter(~L.is_noise("raw_log"))
     if "server_id" not in x.columns:
         x = x.withColumn("server_id", F.regexp_extract("file", r"([^/]+?)(\.[^./]*)?$", 1))
-    x = TM.assign_templates(x, templates).withColumn("ts", L.event_time("raw_log", ingest_ts))
-    # the batch path keeps the first of equal (line, event); a stream can only do so within its watermark
-    x = (x.withColumn("_ets", F.col("ts").cast("timestamp")).withWatermark("_ets", watermark)
-          .dropDuplicatesWithinWatermark(["raw_log", "event_id"]))
-    counts = stream_window_counts(x, seconds, None)
+    x = TM.assign_templates(x, templates).withColumn("ts", L.event_time("raw_log", ingest_ts)).select(*LINE_KEY, "ts")
+
+    def per_batch(batch: DataFrame, batch_id: int):
+        spark = batch.sparkSession
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        part = f"{batch_id:012d}"
+        with bucketed_table(spark, path, (*LINE_KEY, ("ts", "timestamp_ntz")), "batch") as name:
+            once = batch.groupBy(*LINE_KEY).agg(F.min("ts").alias("ts")).withColumn("row_key", row_key(LINE_KEY))
+            new = missing_rows(once, spark.table(name).filter(F.col("batch") < part), LINE_KEY)
+            new.select(*LINE_KEY, "ts", "row_key", F.lit(part).alias("batch")).write.insertInto(name, overwrite=True)
+
+    return len(_run(x.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)))
+
+
+def score_stream(lines: DataFrame, model, templates: DataFrame, out_path: str, checkpoint: str,
+                 ingest_ts, seconds: int = 60, watermark: str = "10 minutes", max_files_per_trigger: int | None = None) -> dict:
+    """O-M10: score every window of a line stream once it closes; append to ``out_path``.
+
+    Two streams over what is there, each with its checkpoint, so a stopped job goes on where it was: lines are structured and repeats
+    dropped (``structure_stream``); the table that this makes is streamed into epoch-aligned windows with a watermark, and every
+    micro-batch of closed windows is scored with the batch scorer inside ``foreachBatch``. Rows later than the watermark
+    are in no window. Returns how many micro-batches there were and how many rows were late.
+    """
+    from ..plans.stages import score_windows
+
+    spark = lines.sparkSession
+    table = f"{out_path}-lines"
+    batches = structure_stream(lines, templates, table, f"{checkpoint}/lines", ingest_ts)
+    r = spark.readStream.schema("server_id string, event_id string, ts timestamp_ntz")
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    counts = stream_window_counts(r.option("recursiveFileLookup", "true").parquet(table), seconds, watermark)
 
     def per_batch(batch: DataFrame, batch_id: int):
         batch = batch.persist()  # read twice below (scores and window starts)
@@ -157,8 +191,6 @@ def score_stream(lines: DataFrame, model, templates: DataFrame, out_path: str, c
             f"{out_path}/batch_id={batch_id}")
         batch.unpersist()
 
-    q = (counts.writeStream.outputMode("append").foreachBatch(per_batch)
-               .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
-
-
+    progress = _run(counts.writeStream.outputMode("append").foreachBatch(per_batch).option("checkpointLocation", f"{checkpoint}/windows"))
+    late = sum(int(o.numRowsDroppedByWatermark) for p in progress for o in p.stateOperators)
+    return {"line_batches": batches, "window_batches": len(progress), "late_rows": late}
