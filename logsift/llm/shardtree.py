@@ -95,13 +95,13 @@ def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
     (of the UTF-8 text; null: of the empty text), law ``key``, shard, slot (gapless from 0 in its shard), grown_shard
     (the shard if there were one more).
 
-    Null ids share the key "null"; repeated rows get one slot each (in any order, as they are equal); very long texts are
-    read once and never shuffled. Only the columns doc_id and text are read, whatever others there are."""
+    Null ids share the key "null" and a shard, as rows that repeat an id do; they are numbered in buckets by their text's checksum and size, so one
+    id with any number of rows is no window of its own. Repeated rows get one slot each (in any order, as they are equal); texts
+    are read twice and never shuffled. Only the columns doc_id and text are read, whatever others there are."""
     key = _key("doc_id")
-    bucket = F.conv(F.substring(F.md5(F.concat(key, F.lit("/slot"))), 1, 8), 16, 10).cast("long") % SLOT_BUCKETS
-    placed = lambda df: descend(df.withColumn("bucket", bucket), key, layout(shards), "shard")
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = placed(docs.select("doc_id", (F.octet_length(text) + F.lit(8)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("key").alias("law")))
-    rows = descend(rows, key, layout(shards + 1), "grown_shard")
-    out = number(rows, placed(docs.select("doc_id")), "shard", "bucket", ["doc_id", "text_crc32", "size"])
+    rows = docs.select("doc_id", (F.octet_length(text) + F.lit(8)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("key").alias("law"))
+    spread = F.md5(F.concat_ws("/", key, F.col("text_crc32").cast("string"), F.col("size").cast("string"), F.lit("slot")).cast("binary"))
+    rows = descend(rows.withColumn("bucket", F.conv(F.substring(spread, 1, 8), 16, 10).cast("long") % SLOT_BUCKETS), key, layout(shards), "shard")
+    out = number(descend(rows, key, layout(shards + 1), "grown_shard"), rows.select("shard", "bucket"), "shard", "bucket", ["doc_id", "text_crc32", "size"])
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")

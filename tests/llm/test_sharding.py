@@ -74,3 +74,23 @@ def test_odd_rows(odd, nothing):
 def test_no_python_in_the_plan(spark):
     plan = Q.op9_shard_tree(spark, SF_SMALL)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "SinglePartition" not in plan
+
+
+def test_rows_of_one_id_are_numbered_in_many_windows(spark):
+    """A third of all rows has no id, another third one id; the largest window stays far below them, and slots are gapless."""
+    from pyspark.sql import functions as F
+
+    docs = spark.range(30_000).selectExpr("CASE id % 3 WHEN 0 THEN NULL WHEN 1 THEN 7 ELSE id END AS doc_id", "concat('text ', id) AS text")
+    rows = S.shard_documents(docs).collect()
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r.shard].append(r.slot)
+    assert len(rows) == 30_000 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    seen = []
+    number = S.number
+    try:
+        S.number = lambda rows, ids, *rest: seen.append(ids) or number(rows, ids, *rest)
+        S.shard_documents(docs)
+    finally:
+        S.number = number
+    assert seen[0].groupBy("shard", "bucket").count().agg(F.max("count")).first()[0] < 60
