@@ -134,7 +134,8 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN
     cut = found.join(unsure.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").groupBy("h1", "h2", "id").agg(F.lit(1).alias("one"))
     common = cut.groupBy("h1", "h2").agg(F.count("one").alias("n")).filter(F.col("n") >= min_docs)
     gone = found.filter("sure").unionByName(unsure.join(common, ["h1", "h2"], "left_semi"))
-    per_doc = gone.groupBy("id", "text_key").agg(F.max("n_lines").alias("n_lines"), F.collect_list("places").alias("places"))
+    # a document's lines have places of their own, so those of a row that repeats are the same sets again
+    per_doc = gone.groupBy("id", "text_key").agg(F.max("n_lines").alias("n_lines"), F.collect_set("places").alias("places"))
     return arrow(per_doc, _pack, f"id {kind}, text_key long, n_lines int, n_dropped int, keep binary")
 
 

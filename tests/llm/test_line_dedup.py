@@ -94,3 +94,11 @@ def test_bitmaps(spark):
 def test_query_columns(spark):
     df = Q.op8_line_dedup(spark, SF_MID)
     assert df.filter((F.col("n_dropped") > 0)).count() > 0
+
+
+def test_one_row_repeated_often(spark):
+    """A third of all rows is one row: its group holds its lines once, and every copy gets the same bitmap."""
+    docs = spark.range(9000).selectExpr("CASE WHEN id % 3 = 0 THEN -1 ELSE id END AS doc_id", "CASE WHEN id % 3 = 0 THEN 'common\\nown\\ncommon' ELSE concat('common\\n', id) END AS text")
+    assert [tuple(r) for r in L.keep_bitmaps(docs).filter("id = -1").select("n_lines", "n_dropped").collect()] == [(3, 2)]
+    got = L.dedup_lines(docs).groupBy("kept_text").count().orderBy(F.desc("count")).first()
+    assert tuple(got) == ("own", 3000)
