@@ -24,7 +24,7 @@ from .common import arrow, utf8_bodies
 RULES = ("first", "last", "largest")
 
 #: White space runs of this length are cut out beforehand: the library's pattern engine overflows on longer ones.
-_LONG_SPACE = regex.compile(r"\s{20000}")
+_LONG_SPACE = regex.compile(r"\s{20000,}")
 
 
 class RankEncoder:
@@ -41,10 +41,18 @@ class RankEncoder:
             self.length[i] = len(token)
 
     def encode(self, text: str) -> list[int]:
-        """Ids of a whole text; strings of special tokens are ordinary text."""
-        if not _LONG_SPACE.search(text):
-            return self._bpe.encode_ordinary(text)
-        return [i for m in self._split.finditer(text) for i in self._bpe._encode_single_piece(m[0])]
+        """Ids of a whole text; strings of special tokens are ordinary text. The library splits all of it but the pieces that lie in a long
+        run of white space, which the pattern is applied to here; the text behind them is the library's again."""
+        out, at = [], 0
+        for run in _LONG_SPACE.finditer(text):
+            if run.end() <= at:
+                continue
+            out += self._bpe.encode_ordinary(text[at : run.start()])
+            at = run.start()
+            while at < run.end() and (piece := self._split.match(text, at)) and piece.end() <= run.end():
+                out += self._bpe._encode_single_piece(piece[0])
+                at = piece.end()
+        return out + self._bpe.encode_ordinary(text[at:])
 
     def spans(self, body: bytes) -> tuple[np.ndarray, np.ndarray]:
         """First character and end of every token, in characters of the text."""

@@ -87,3 +87,28 @@ def test_odd_rows(odd, nothing):
 def test_very_long_white_space():
     text = "x" + " " * 60_000 + "y"
     assert ENCODER.encode(text) == OTHER.encode(text, add_special_tokens=False).ids
+
+
+def test_a_long_run_of_blanks_changes_no_other_token():
+    """Texts that the two pattern engines split differently, with runs around the length that is cut out."""
+    import public_tokenizers
+
+    from logsift.llm.attribution import RankEncoder
+
+    encoder = RankEncoder(open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb").read(), public_tokenizers.PATTERN)
+    odd = "\U0003e9e1's"
+    a, b = f"{odd} some words, {odd}", f"{odd} and more\u0378's."
+    plain = encoder.encode(a)
+    for blank in (" ", "\n", "\t", "\u3000", " \n"):
+        for n in (19_999, 20_000, 20_001, 60_000):
+            run = (blank * n)[:n]
+            whole = encoder.encode(a + run + b)
+            assert whole[: len(plain)] == plain
+            assert b"".join(encoder._bpe.decode_single_token_bytes(i) for i in whole) == (a + run + b).encode()
+            short = encoder.encode(a + run[: 40 + n % 2] + b)
+            tail = encoder.encode(run[-1] + b)
+            assert whole[-len(tail) :] == tail == short[-len(tail) :]
+            assert encoder.encode(run)[:1] and encoder.encode(a + run)[: len(plain)] == plain
+    texts = [a + " " * n + b + " " * 30_000 + a for n in (5, 25_000)]
+    for t in texts:
+        assert b"".join(encoder._bpe.decode_single_token_bytes(i) for i in encoder.encode(t)) == t.encode()
