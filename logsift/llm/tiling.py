@@ -19,12 +19,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import arrow, utf8_bodies
 
 #: Shortest match in words, share of an item's words that its tiles must cover, and the bytes of benchmark text that
 #: go to the workers at a time (a larger benchmark is taken in slices of that size, one pass each).
 MIN_MATCH, MIN_COVERAGE, SLICE_BYTES = 5, 0.8, 16 << 20
+#: Seeds that are held at a time.
+SEEDS = 1 << 18
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _TO_WORDS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)).lower()
@@ -67,37 +70,75 @@ def build_index(items: list[tuple], min_match: int = MIN_MATCH) -> Index:
     return Index(vocab, ids, start, [i for i, _ in items], hashes[order], at[order], min_match)
 
 
-def seeds(index: Index, body: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Places (in the document's words, in the index's ids) of equal windows."""
+def seed_blocks(index: Index, body: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (in the document's words, in the index's ids) of equal windows, in order of the document: about ``SEEDS`` of them at a
+    time, whatever repeats (a window alone may have as many as the slice has places)."""
     n, get = index.min_match, index.vocab.get
-    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
     ids = np.array([get(w, -1) for w in split_words(body)], np.int64)
     if len(ids) < n or not len(index.hashes):
-        return none
+        return
     unknown = np.r_[0, np.cumsum(ids < 0)]
     where = np.flatnonzero(unknown[n:] == unknown[:-n])
     if not len(where):
-        return none
+        return
     h = rolling(ids, n)[where]
     lo, hi = np.searchsorted(index.hashes, h, "left"), np.searchsorted(index.hashes, h, "right")
-    many = hi - lo
-    i = np.repeat(where, many)
-    j = index.at[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)]
-    same = np.ones(len(i), bool)
-    for k in range(n):
-        same &= ids[i + k] == index.ids[j + k]
-    return i[same], j[same]
+    some = np.flatnonzero(hi > lo)
+    where, lo, many = where[some], lo[some], (hi - lo)[some]
+    block = np.cumsum(many) // SEEDS
+    edges = np.r_[np.flatnonzero(np.r_[len(block) > 0, block[1:] != block[:-1]]), len(block)]
+    for a, z in zip(edges[:-1], edges[1:], strict=True):
+        count = many[a:z]
+        i = np.repeat(where[a:z], count)
+        j = index.at[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo[a:z], count)]
+        same = np.ones(len(i), bool)
+        for k in range(n):
+            same &= ids[i + k] == index.ids[j + k]
+        yield i[same], j[same]
 
 
-def maximal_matches(i: np.ndarray, j: np.ndarray, min_match: int) -> list[tuple[int, int, int]]:
-    """(place in the document, place in the item, words) of the longest runs of seeds along a diagonal."""
-    if not len(i):
-        return []
+def seeds(index: Index, body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """All places of equal windows."""
+    none = np.zeros(0, np.int64)
+    parts = [*seed_blocks(index, body), (none, none)]
+    return np.concatenate([i for i, _ in parts]), np.concatenate([j for _, j in parts])
+
+
+def _runs(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in the document, place in the ids, seeds) of the longest runs of seeds along a diagonal."""
     order = np.lexsort((i, i - j))
     i, j = i[order], j[order]
-    breaks = np.flatnonzero(np.r_[True, (np.diff(i) != 1) | (np.diff(j) != 1)])
-    size = np.diff(np.r_[breaks, len(i)]) + min_match - 1
-    return list(zip(i[breaks].tolist(), j[breaks].tolist(), size.tolist(), strict=True))
+    breaks = np.flatnonzero(np.r_[len(i) > 0, (np.diff(i) != 1) | (np.diff(j) != 1)])
+    return i[breaks], j[breaks], np.diff(np.r_[breaks, len(i)])
+
+
+def match_arrays(index: Index, body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in the document, place in the ids, words) of all maximal matches. Seeds become runs block by block, and a run that ends where
+    a block does goes on in the next, so what is held is one block and the matches, of which a diagonal has few."""
+    done: list[tuple] = []
+    open_ = tuple(np.zeros(0, np.int64) for _ in range(3))
+    for i, j in seed_blocks(index, body):
+        if not len(i):
+            continue
+        start, at, size = _runs(i, j)
+        # a run that begins where an open one of its diagonal ends is one with it
+        order = np.lexsort((np.r_[open_[0], start], np.r_[open_[0] - open_[1], start - at]))
+        s, a, n = np.r_[open_[0], start][order], np.r_[open_[1], at][order], np.r_[open_[2], size][order]
+        new = np.r_[True, (s[1:] - a[1:] != s[:-1] - a[:-1]) | (s[1:] != s[:-1] + n[:-1])]
+        first = np.flatnonzero(new)
+        s, a, n = s[first], a[first], np.add.reduceat(n, first)
+        goes_on = s + n > i.max()  # of the last window that the block has seen
+        done.append((s[~goes_on], a[~goes_on], n[~goes_on]))
+        open_ = s[goes_on], a[goes_on], n[goes_on]
+    done.append(open_)
+    s, a, n = (np.concatenate([d[k] for d in done]) for k in range(3))
+    return s, a, n + index.min_match - 1
+
+
+def maximal_matches(i: np.ndarray, j: np.ndarray, min_match: int) -> list[tuple[int, int, int]]:
+    """(place in the document, place in the item, words) of the longest runs of seeds along a diagonal."""
+    s, a, n = _runs(i, j)
+    return list(zip(s.tolist(), a.tolist(), (n + min_match - 1).tolist(), strict=True))
 
 
 def tile(matches: list[tuple[int, int, int]], min_match: int) -> list[tuple[int, int, int]]:
@@ -127,30 +168,31 @@ def tile(matches: list[tuple[int, int, int]], min_match: int) -> list[tuple[int,
 def coverage(index: Index, body: bytes, min_coverage: float) -> Iterator[tuple[int, int, int, int]]:
     """(item number, tiles, covered words, words) of every item that a text covers. An item whose seeds together do not
     touch enough words is passed over, as its tiles cover no more than they do."""
-    i, j = seeds(index, body)
+    i, j, n = match_arrays(index, body)
     if not len(i):
         return
     item = np.searchsorted(index.start, j, "right") - 1
     for k in np.unique(item):
         own = item == k
         words = int(index.start[k + 1] - index.start[k])
-        at = np.unique(j[own] - index.start[k])
-        touched = np.minimum(np.diff(np.r_[at, at[-1] + index.min_match]), index.min_match).sum()
-        if touched < min_coverage * words:
+        edge = np.zeros(words + 1, np.int64)
+        np.add.at(edge, j[own] - index.start[k], 1)
+        np.add.at(edge, j[own] + n[own] - index.start[k], -1)
+        if (np.cumsum(edge[:-1]) > 0).sum() < min_coverage * words:
             continue
-        tiles = tile(maximal_matches(i[own], j[own], index.min_match), index.min_match)
+        tiles = tile(list(zip(i[own].tolist(), j[own].tolist(), n[own].tolist(), strict=True)), index.min_match)
         covered = sum(n for _, _, n in tiles)
         if covered >= min_coverage * words:
             yield int(k), len(tiles), covered, words
 
 
-def _matcher(index, min_coverage: float) -> Callable:
+def _matcher(index, min_coverage: float, item_kind: pa.DataType) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = index.value
         for b in batches:
             got = [(r, *x) for r, body in enumerate(utf8_bodies(b.column("text"))) for x in coverage(ix, body, min_coverage)]
             took = pa.array([x[0] for x in got], pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column("id").take(took), b.column("text_key").take(took), pa.array([ix.names[x[1]] for x in got], pa.int64()), *(pa.array([x[c] for x in got], pa.int32()) for c in (2, 3, 4)), pa.array([x[3] / x[4] for x in got], pa.float64())], names=["id", "text_key", "item_id", "n_tiles", "covered_words", "item_words", "coverage"])
+            yield pa.RecordBatch.from_arrays([b.column("id").take(took), b.column("text_key").take(took), pa.array([ix.names[x[1]] for x in got], item_kind), *(pa.array([x[c] for x in got], pa.int32()) for c in (2, 3, 4)), pa.array([x[3] / x[4] for x in got], pa.float64())], names=["id", "text_key", "item_id", "n_tiles", "covered_words", "item_words", "coverage"])
 
     return run
 
@@ -161,19 +203,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MAT
 
     The benchmark goes to the workers in slices of about ``slice_bytes`` bytes of text, with one pass over ``docs`` each; its
     size is summed first, so no slice outgrows them. Null and empty texts match nothing, nor do items of fewer
-    than ``min_match`` words; repeated rows each give their own result, as do items that repeat an item_id. Extra
+    than ``min_match`` words; an item_id may be null or of any type; words that repeat make many matches, but seeds are held
+    ``SEEDS`` at a time; repeated rows each give their own result, as do items that repeat an item_id. Extra
     columns are ignored; an empty table on either side gives an empty result."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
-    schema = f"id {docs.schema[id_col].dataType.simpleString()}, text_key long, item_id long, n_tiles int, covered_words int, item_words int, coverage double"
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    schema = f"id {docs.schema[id_col].dataType.simpleString()}, text_key long, item_id {benchmark.schema["item_id"].dataType.simpleString()}, n_tiles int, covered_words int, item_words int, coverage double"
+    items, item_kind = benchmark.select("item_id", "text"), to_arrow_type(benchmark.schema["item_id"].dataType)
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = max(1, -(-total // slice_bytes))
     found = []
     for k in range(slices):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k).orderBy("item_id", "text").collect()
         index = spark.sparkContext.broadcast(build_index([tuple(r) for r in part], min_match))
-        found.append(arrow(rows, _matcher(index, min_coverage), schema))
+        found.append(arrow(rows, _matcher(index, min_coverage, item_kind), schema))
     return reduce(DataFrame.unionByName, found)
 
 

@@ -89,3 +89,35 @@ def test_odd_rows(spark, odd, nothing):
     assert G.clean(odd, bench).columns == odd.columns and G.clean(odd, bench).count() == odd.count() - 2
     assert G.contaminated(nothing, bench).collect() == [] and G.contaminated(odd, bench.limit(0)).collect() == []
     assert G.clean(nothing, bench).collect() == []
+
+
+@pytest.mark.parametrize("block", [1, 7, 50, 1 << 18])
+def test_matches_do_not_depend_on_blocks_of_seeds(monkeypatch, block):
+    monkeypatch.setattr(G, "SEEDS", block)
+    for seed in range(15):
+        draw = random.Random(seed)
+        words = [f"w{i}" for i in range(draw.choice([1, 2, 5]))]
+        items = [(k, " ".join(draw.choices(words, k=draw.randrange(1, 30)))) for k in range(4)]
+        doc = " ".join(draw.choices([*words, "x"], weights=[5] * len(words) + [1], k=draw.randrange(200))).encode()
+        index = G.build_index(items, 3)
+        i, j = G.seeds(index, doc)
+        got = zip(*(x.tolist() for x in G.match_arrays(index, doc)), strict=True)
+        assert sorted(got) == sorted(G.maximal_matches(i, j, 3))
+
+
+def test_one_word_on_both_sides_holds_a_block_of_seeds(monkeypatch):
+    """8,000 equal words against an item of 2,000: 16 million seeds, of which one block is held; the item is covered."""
+    held = []
+    blocks = G.seed_blocks
+    monkeypatch.setattr(G, "seed_blocks", lambda *a: (held.append(len(i)) or (i, j) for i, j in blocks(*a)))
+    index = G.build_index([(1, "same " * 2000)], 5)
+    i, j, n = G.match_arrays(index, b"same " * 8000)
+    assert sum(held) == 7996 * 1996 and max(held) < 2 * G.SEEDS
+    assert len(n) == 7996 + 1996 - 1 and n.max() == 2000
+    assert [x[2] for x in G.coverage(index, b"same " * 2500, 0.8)] == [2000]
+
+
+def test_items_named_by_texts(spark, nothing):
+    bench = spark.createDataFrame([("a", "one two three four five six"), (None, "seven eight nine ten eleven")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "x one two three four five six y"), (2, "seven eight nine ten eleven")], "doc_id long, text string")
+    assert {(r.id, r.item_id) for r in G.contaminated(docs, bench).collect()} == {(1, "a"), (2, None)}
