@@ -7,7 +7,9 @@ the other one lies within 3 + d1 and 3 + d2 of it. So each fingerprint is replic
 covering radius plus the threshold (61 of 16.8 million on average at t = 2), and compared per anchor with the
 fingerprints whose own anchor it is. Copies share a fingerprint and take part once.
 
-Comparing emits no pairs: per anchor the links are folded into a spanning forest at once.
+Comparing emits no pairs: per anchor the links are folded into a spanning forest at once. Where more than ``MANY`` fingerprints live
+at one anchor (a passage with thousands of slightly different copies), links are not found by comparing all of them but by
+looking up what each becomes with up to t bits flipped.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ BITS, RADIUS, GENERATOR = 23, 3, 0b110001110101
 
 SHINGLE, MAX_BITS, SEED = 3, 2, 42
 _CHUNK = 1 << 15
+#: Homes of an anchor from which on its links are looked up instead of compared, and candidates looked up at a time.
+MANY, LOOKED_UP = 2048, 1 << 21
 
 
 def fingerprint(body: bytes, shingle: int = SHINGLE) -> int:
@@ -127,6 +131,39 @@ def _forest(fp: np.ndarray, starts: np.ndarray, ends: np.ndarray, homes: np.ndar
     return root
 
 
+def _flips(max_bits: int) -> np.ndarray:
+    """All 64-bit words with 1 to ``max_bits`` bits."""
+    return np.array([sum(1 << k for k in at) for n in range(1, max_bits + 1) for at in combinations(range(64), n)], np.uint64)
+
+
+def _forest_by_lookup(fp: np.ndarray, max_bits: int) -> np.ndarray:
+    """For each row of one anchor the first row of its linked set: every fingerprint with up to ``max_bits`` bits flipped (2,080 of
+    them at 2 bits) is looked up among all. The work is in proportion to the rows, however many are close to each other, and
+    links are folded in as they are found."""
+    bits = fp.view(np.uint64)
+    order = np.argsort(bits, kind="stable")
+    known, flips = bits[order], _flips(max_bits)
+    root = np.arange(len(fp))
+    first = np.flatnonzero(np.r_[True, known[1:] != known[:-1]])
+    root[order] = np.minimum.reduceat(order, first)[np.cumsum(np.r_[True, known[1:] != known[:-1]]) - 1]  # equal ones
+    step = max(1, LOOKED_UP // len(flips))
+    for k in range(0, len(known), step):
+        wanted = (known[k : k + step, None] ^ flips[None, :]).ravel()
+        at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+        hit = np.flatnonzero(known[at] == wanted)
+        a, b = order[k + hit // len(flips)], order[at[hit]]
+        while True:  # the higher root of each link goes under the lower one, until none differ
+            ra, rb = root[a], root[b]
+            apart = ra != rb
+            if not apart.any():
+                break
+            a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+            np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+            while (up := root[root]).tobytes() != root.tobytes():
+                root = up
+    return root
+
+
 def _links(max_bits: int) -> Callable:
     """Of rows sorted by (anchor, away, fp): the links of each anchor as (a, b), at most one per row. Holds one batch and the
     anchor that is still open (8 bytes for each different fingerprint there)."""
@@ -135,7 +172,10 @@ def _links(max_bits: int) -> Callable:
         starts = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]]) if len(fp) else np.zeros(0, int)
         ends = np.r_[starts[1:], len(fp)] if len(fp) else starts
         homes = np.add.reduceat((away == 0).astype(np.int64), starts) if len(fp) else starts
-        root = _forest(fp, starts, ends, homes, max_bits)
+        many = np.flatnonzero(homes > MANY)
+        root = _forest(fp, starts, ends, np.where(homes > MANY, 0, homes), max_bits)
+        for k in many.tolist():
+            root[starts[k] : ends[k]] = starts[k] + _forest_by_lookup(fp[starts[k] : ends[k]], max_bits)
         at = np.flatnonzero(root != np.arange(len(fp)))
         return pa.RecordBatch.from_arrays([pa.array(fp[at]), pa.array(fp[root[at]])], names=["a", "b"])
 

@@ -1,7 +1,9 @@
 import random
 import re
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -114,3 +116,29 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.label for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(51)}, **{i: 100 for i in range(100, 140)}, 200: 200, 201: 200}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_looked_up_links_equal_compared_ones(monkeypatch):
+    draw = np.random.default_rng(6)
+    for n, flips in ((1, 0), (40, 2), (400, 4), (700, 9)):
+        centre = np.uint64(draw.integers(0, 1 << 63))
+        masks = [sum(1 << int(k) for k in draw.choice(64, draw.integers(0, flips + 1), replace=False)) for _ in range(n)]
+        fp = np.array([centre ^ np.uint64(m) for m in masks], np.uint64).view(np.int64)
+        want = S._forest(fp, np.array([0]), np.array([n]), np.array([n]), 2)
+        got = S._forest_by_lookup(fp, 2)
+        assert (got == want).all()
+
+
+def test_thousands_of_near_copies_at_one_anchor():
+    """20,000 different fingerprints around one live at one anchor: their links are looked up, in time that follows their number."""
+    draw = np.random.default_rng(2)
+    near = {0x123456789ABCDEF}
+    while len(near) < 20_000:
+        near.add(0x123456789ABCDEF ^ sum(1 << int(k) for k in draw.choice(64, 4, replace=False)))
+    fps = np.array(sorted(near), np.uint64).view(np.int64)
+    began = time.time()
+    batch = pa.RecordBatch.from_pydict({"anchor": np.zeros(len(fps), np.int64), "away": np.zeros(len(fps), np.int8), "fp": fps})
+    out = pa.Table.from_batches(S._links(2)(iter([batch])))
+    assert time.time() - began < 120 and 10_000 < out.num_rows < len(fps)
+    few = fps[:3000]
+    assert (S._forest_by_lookup(few, 2) == S._forest(few, np.array([0]), np.array([3000]), np.array([3000]), 2)).all()
