@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 KEYS = ("server_id", "window_id")
 
 
@@ -30,11 +32,16 @@ def vocabulary(counts: DataFrame) -> list[str]:
 
 
 def feature_table(counts: DataFrame) -> DataFrame:
-    """(event_id, idx): the model's columns, every event in the order of its id."""
-    ids = counts.select("event_id").distinct().orderBy("event_id")
-    spark = counts.sparkSession
-    rows = ids.rdd.zipWithIndex().map(lambda r: (r[0][0], r[1]))
-    return spark.createDataFrame(rows, "event_id string, idx long")
+    """(event_id, idx): the model's columns, every event in the order of its id.
+
+    Ids are range-partitioned and written once with their partition; a partition's first number is the count of the ids in those
+    before it, and inside it rows are numbered by a window."""
+    ids = counts.select("event_id").distinct().repartitionByRange("event_id").withColumn("_part", F.spark_partition_id())
+    ids = materialize(ids, "features")
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    first = ids.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_first"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy("event_id"))
+    return ids.withColumn("_own", own).join(first, "_part").select("event_id", (F.col("_first") + F.col("_own") - 1).alias("idx"))
 
 
 PAIRS = "array<struct<idx:int,v:double>>"

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logsift.operators import autoencoder as AE
+from logsift.operators import features as FE
 from logsift.operators import forest as FO
 from logsift.operators.quantile import exact_percentile
 from logsift.config import Params
@@ -181,3 +182,11 @@ def test_joins_with_the_node_table_equal_the_array_walk(spark):
     a = FO.score_forest(e, forest.toPandas(), 256).toPandas().set_index("vec_id")["if_raw"].sort_index()
     b = FO.walk_forest(e, forest, ["vec_id"], 256, 5).toPandas().set_index("vec_id")["if_raw"].sort_index()
     assert np.allclose(a, b, atol=1e-12) and b.nunique() > 50
+
+
+def test_columns_are_numbered_in_the_order_of_ids(spark):
+    counts = spark.range(5000).select(F.concat(F.lit("e"), F.col("id") % 777).alias("event_id"))
+    rows = FE.feature_table(counts).collect()
+    want = sorted({f"e{k}" for k in range(777)})
+    assert {r.event_id: r.idx for r in rows} == {e: i for i, e in enumerate(want)} and len(rows) == 777
+    assert "PythonRDD" not in FE.feature_table(counts)._jdf.queryExecution().toString()
