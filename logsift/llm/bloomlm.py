@@ -12,6 +12,7 @@ filter are built by one task from about ``SEGMENT_BYTES`` of text. Segments are
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -21,8 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
-from .common import arrow, held_out, utf8_bodies, words
+from ..session import materialize, scratch_path
+from .common import arrow, held_out, remove_table, utf8_bodies, words
 
 #: Text bytes behind one segment, bytes broadcast at a time, entries that a task gathers before it passes them on, and tokens
 #: scored at a time.
@@ -425,17 +426,21 @@ def _pass(shared, last: bool) -> Callable:
 
 def score(docs: DataFrame, model: Model, most_bytes: int = BROADCAST_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, base_score, score) of every row: tokens and known tokens of its text, and the log10 probabilities
-    of the text by word counts alone and by the smoothed model. A null text is an empty one, which is its end; repeated
+    of the text by word counts alone and by the smoothed model. With several groups of segments there is a pass for each, and two
+    passes' tables are on disk at most. A null text is an empty one, which is its end; repeated
     rows get the same scores; extra columns are ignored; an empty table gives an empty result."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind, share = rows.schema["id"].dataType.simpleString(), docs.sparkSession.sparkContext.broadcast
     todo = groups(model, most_bytes)
-    group = next(todo)
+    group, last = next(todo), None
     while (after := next(todo, None)) is not None:
-        shared = share(group)
-        rows = materialize(arrow(rows, _pass(shared, False), f"id {kind}, text string, state binary"), "lm-pass")
+        shared, path = share(group), scratch_path(docs.sparkSession, f"lm-pass-{uuid.uuid4().hex[:12]}")
+        arrow(rows, _pass(shared, False), f"id {kind}, text string, state binary").write.parquet(path)
         shared.destroy()
-        group = after
+        rows = docs.sparkSession.read.parquet(path)
+        if last:  # what a pass has written takes the place of what the one before wrote
+            remove_table(docs.sparkSession, last)
+        group, last = after, path
     return arrow(rows, _pass(share(group), True), f"id {kind}, n_tokens long, n_known long, base_score double, score double")
 
 

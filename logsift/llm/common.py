@@ -22,6 +22,12 @@ def arrow(df: DataFrame, fn: Callable, schema) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
+def remove_table(spark: SparkSession, path: str) -> None:
+    """Deletes an intermediate table that an operator wrote under the checkpoint folder and needs no more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def held_out(doc_id: str | Column, modulus: int, remainder: int) -> Column:
     """crc32 of the id as text, modulo: the fixed hold-out rule (a null id counts as the empty text)."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
