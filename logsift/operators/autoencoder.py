@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import DEFAULT
-from ..session import materialize, ship_package
+from ..session import materialize, share, ship_package
 from .features import dense
 
 
@@ -210,7 +210,7 @@ def fit_autoencoder(vectors: DataFrame, keys: list[str], epochs: int = DEFAULT.e
     adam = Adam(flatten(init_params(dims, seed)), min(max(lr, MOST_RATE), lr * (rows / batch_size) ** 0.5) if rows > batch_size else lr)
     history = []
     for _ in range(epochs):
-        shared = spark.sparkContext.broadcast((adam.flat, zero))
+        shared = share(spark, (adam.flat, zero), adam.flat.nbytes + zero.nbytes, "an autoencoder of so many columns")
         sums = train.mapInArrow(_gradient_sums(shared, dims, branches), _SUM)
         if branches > 2:  # the driver adds up one row a branch
             sums = sums.repartition(branches, "part").mapInArrow(_add, _SUM)
@@ -232,7 +232,8 @@ def mse_table(vectors: DataFrame, model: dict, base: np.ndarray | None = None) -
     spark = vectors.sparkSession
     ship_package(spark)
     dims = model["dims"]
-    shared = spark.sparkContext.broadcast((np.asarray(model["weights"], dtype=np.float64), base))
+    weights = np.asarray(model["weights"], dtype=np.float64)
+    shared = share(spark, (weights, base), weights.nbytes + 8 * dims[0], "an autoencoder of so many columns")
     schema = T.StructType(vectors.schema.fields + [T.StructField("mse", T.DoubleType())])
 
     def run(batches):

@@ -57,11 +57,11 @@ def sparse_vectors(counts: DataFrame, columns: DataFrame, keys=KEYS, out: str =
 
 def dense(pdf: pd.DataFrame, base: np.ndarray | None = None, columns: np.ndarray | None = None) -> np.ndarray:
     """Rows of a batch as a matrix, of all columns or of those named (sorted): from the array column ``x``,
-    or from ``pairs`` on top of ``base``."""
+    or from ``pairs`` on top of ``base``, which has the columns of the matrix."""
     if base is None:
         x = np.stack(pdf["x"].to_numpy()).astype(np.float64)
         return x if columns is None else x[:, columns]
-    out = np.repeat((base if columns is None else base[columns])[None, :], len(pdf), axis=0)
+    out = np.repeat(base[None, :], len(pdf), axis=0)
     sizes = [len(p) for p in pdf["pairs"]]
     rows = np.repeat(np.arange(len(pdf)), sizes)
     idx = np.array([q["idx"] for p in pdf["pairs"] for q in p], np.int64)

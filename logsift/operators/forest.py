@@ -107,7 +107,7 @@ def fit_forest(vectors: DataFrame, keys: list[str], n_trees: int = DEFAULT.n_tre
         tree_id = int(pdf["tree_id"].iloc[0])
         cols = None if base is None else np.unique(np.array([q["idx"] for p in pdf["pairs"] for q in p], np.int64))
         rng = np.random.default_rng([seed, tree_id])
-        nodes = pd.DataFrame(_grow(dense(pdf, base, cols), rng, max_depth, tree_id), columns=[f.name for f in NODE_SCHEMA.fields])
+        nodes = pd.DataFrame(_grow(dense(pdf, None if base is None else base[cols], cols), rng, max_depth, tree_id), columns=[f.name for f in NODE_SCHEMA.fields])
         if cols is not None and len(cols):
             inner = nodes["feature"] >= 0
             nodes.loc[inner, "feature"] = cols[nodes.loc[inner, "feature"].to_numpy()]
@@ -166,7 +166,9 @@ def score_forest(vectors: DataFrame, nodes: pd.DataFrame, psi: int, offset: floa
                  base: np.ndarray | None = None) -> DataFrame:
     """O-M3: adds ``if_raw`` (score_samples) and, with an offset, ``if_score`` and ``if_prediction``."""
     spark = vectors.sparkSession
-    arrays = spark.sparkContext.broadcast((ForestArrays(nodes, psi), base))
+    forest = ForestArrays(nodes, psi)
+    # bounded by the trees: their nodes, and what the columns that they read are without a count
+    arrays = spark.sparkContext.broadcast((forest, None if base is None else base[forest.columns]))
     schema = T.StructType(vectors.schema.fields + [T.StructField("if_raw", T.DoubleType())])
 
     def run(batches):

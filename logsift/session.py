@@ -93,6 +93,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(int(n)) if n else df
 
 
+#: Bytes of a model that is sent whole to every task.
+MOST_SHARED = 1 << 30
+
+
+def share(spark: SparkSession, value, size: int, what: str):
+    """A broadcast of ``value``, whose arrays have ``size`` bytes; one over ``MOST_SHARED`` is refused."""
+    if size > MOST_SHARED:
+        raise ValueError(f"{what} takes {size} bytes, more than the {MOST_SHARED} that every task can hold")
+    return spark.sparkContext.broadcast(value)
+
+
 _SHIPPED: set = set()
 
 

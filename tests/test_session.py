@@ -31,3 +31,13 @@ def test_scans_are_spread_by_the_setting_only(spark):
 def test_path_kind(spark, tmp_path):
     (tmp_path / "f").write_text("x")
     assert [path_kind(spark, str(tmp_path / p)) for p in ("", "f", "none")] == ["dir", "file", None]
+
+
+def test_models_too_large_for_a_task_are_refused(spark, monkeypatch):
+    import pytest
+
+    from logsift import session
+    assert session.share(spark, [1], 8, "a model").value == [1]
+    monkeypatch.setattr(session, "MOST_SHARED", 100)
+    with pytest.raises(ValueError, match="a model takes 101 bytes"):
+        session.share(spark, [1], 101, "a model")
