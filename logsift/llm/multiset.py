@@ -22,34 +22,43 @@ UNIT = r"[^ \t\n\x0B\f\r.,;:!?]+(?:[ \t]+[^ \t\n\x0B\f\r.,;:!?]+){0,7}"
 #: and at most. An id that fills several quantiles is cut further, into 64 by the hash of the text.
 BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 32 << 20, 256, 4096
 
-_PAIR = 0x0000000100000001
+#: A sum of eight bytes side by side holds eight counts of bits, of so many units at most.
+_BYTES, _RUN = 0x0101010101010101, 127
 
 
-def _word(digest: Column, j: int) -> Column:
-    """The ``j``-th 32 bits of a digest in hexadecimal digits."""
-    return F.conv(F.substring(digest, 1 + 8 * j, 8), 16, 10).cast("long")
+def _long(digest: Column, j: int) -> Column:
+    """The ``j``-th 64 bits of a digest in hexadecimal digits, as a signed number."""
+    return F.conv(F.substring(digest, 1 + 16 * j, 16), 16, -10).cast("long")
 
 
 def _total(array: Column, of) -> Column:
     return F.aggregate(array, F.lit(0).cast("long"), lambda a, x: a + of(x))
 
 
+def _byte_sums(array: Column) -> Column:
+    """For each run of up to 127 numbers the eight sums of their bits i, i + 8, ..., one a byte."""
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(array) - 1) / F.lit(_RUN))).cast("int")), lambda k: F.slice(array, k * _RUN + 1, _RUN))
+    return F.transform(runs, lambda run: F.array(*[_total(run, lambda v, i=i: F.shiftrightunsigned(v, i).bitwiseAND(F.lit(_BYTES))) for i in range(8)]))
+
+
+def _bit_count(sums: Column, bit: int) -> Column:
+    return _total(sums, lambda r: F.shiftrightunsigned(r[bit % 8], bit - bit % 8).bitwiseAND(F.lit(255)))
+
+
 def with_vector(df: DataFrame, text: Column, out: str) -> DataFrame:
     """``df`` with the fingerprint of ``text`` in the column ``out``, an array of 137 numbers; null and empty texts have
     no paragraphs, and zeros."""
-    t, u, x, y, p = (f"_{out}_{c}" for c in "tuxyp")
+    t, u, p, *rest = names = [f"_{out}_{c}" for c in ("t", "u", "p", "x", "y", "q0", "q1", "q2", "q3")]
     df = df.withColumn(t, F.coalesce(text, F.lit("")))
     df = df.withColumn(p, F.transform(F.filter(F.split(t, "\n"), lambda line: line != ""), lambda line: F.sha2(line.cast("binary"), 256)))
     df = df.withColumn(u, F.transform(F.regexp_extract_all(F.col(t), F.lit(UNIT), F.lit(0)), lambda unit: F.md5(unit.cast("binary"))))
-    # two 32-bit words side by side; a mask of one bit in each half counts two lanes in one sum
-    side = lambda j: F.transform(u, lambda d: F.shiftleft(_word(d, j), 32).bitwiseOR(_word(d, j + 1)))
-    df = df.withColumn(x, side(0)).withColumn(y, side(2))
-    sums = [_total(F.col(a), lambda v, i=i: F.shiftrightunsigned(v, i).bitwiseAND(F.lit(_PAIR))) for a in (x, y) for i in range(32)]
-    df = df.withColumn(out, F.struct(F.size(u).cast("long").alias("n"), F.array(*[_total(F.col(p), lambda d, j=j: _word(d, j)) % F.lit(1 << 32) for j in range(WORDS)]).alias("words"), F.array(*sums).alias("pairs")))
-    high = lambda at: F.transform(F.slice(F.col(out)["pairs"], at, 32), lambda v: F.shiftrightunsigned(v, 32))
-    low = lambda at: F.transform(F.slice(F.col(out)["pairs"], at, 32), lambda v: v.bitwiseAND(F.lit(0xFFFFFFFF)))
-    lanes = F.concat(F.array(F.col(out)["n"]), F.col(out)["words"], high(1), low(1), high(33), low(33))
-    return df.withColumn(out, lanes).drop(t, u, x, y, p)
+    for name, j in zip(rest[:2], range(2), strict=True):
+        df = df.withColumn(name, F.transform(u, lambda d: _long(d, j))).withColumn(name, _byte_sums(F.col(name)))
+    for name, j in zip(rest[2:], range(4), strict=True):
+        df = df.withColumn(name, F.transform(p, lambda d: _long(d, j)))
+    halves = [_total(F.col(q), half) % F.lit(1 << 32) for q in rest[2:] for half in (lambda v: F.shiftrightunsigned(v, 32), lambda v: v.bitwiseAND(F.lit(0xFFFFFFFF)))]
+    bits = [_bit_count(F.col(a), b) for a in rest[:2] for b in (*range(32, 64), *range(32))]  # the first of two words is the high half
+    return df.withColumn(out, F.array(F.size(u).cast("long"), *halves, *bits)).drop(*names)
 
 
 def insert(a: Column, b: Column) -> Column:
@@ -79,7 +88,7 @@ def likeness(a: Column, b: Column) -> Column:
     dot = lambda v, w: F.aggregate(F.zip_with(v, w, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     s, t = signs(a), signs(b)
     both = dot(s, s) * dot(t, t)
-    return F.when(a == b, F.lit(1.0)).when(both == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), dot(s, t)) / F.sqrt(both))
+    return F.when(a == b, F.lit(1.0)).when(both == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), dot(s, t)) / F.sqrt(both)))
 
 
 def _count_greater(value: Column, cuts: list[int]) -> Column:

@@ -191,9 +191,9 @@ signed AS (
   FROM vec)
 SELECT e.doc_id, e.n_chars, sha256(e.edited) AS edited_sha256, a.f AS fingerprint, b.f AS edited_fingerprint,
        CASE WHEN a.v = b.v THEN 1.0::DOUBLE WHEN list_inner_product(a.s, a.s) * list_inner_product(b.s, b.s) = 0 THEN 0.0::DOUBLE
-            ELSE greatest(0.0::DOUBLE, list_inner_product(a.s, b.s)) / sqrt(list_inner_product(a.s, a.s) * list_inner_product(b.s, b.s)) END AS near_edited,
+            ELSE least(1.0::DOUBLE, greatest(0.0::DOUBLE, list_inner_product(a.s, b.s)) / sqrt(list_inner_product(a.s, a.s) * list_inner_product(b.s, b.s))) END AS near_edited,
        CASE WHEN a.v = c.v THEN 1.0::DOUBLE WHEN list_inner_product(a.s, a.s) * list_inner_product(c.s, c.s) = 0 THEN 0.0::DOUBLE
-            ELSE greatest(0.0::DOUBLE, list_inner_product(a.s, c.s)) / sqrt(list_inner_product(a.s, a.s) * list_inner_product(c.s, c.s)) END AS near_next
+            ELSE least(1.0::DOUBLE, greatest(0.0::DOUBLE, list_inner_product(a.s, c.s)) / sqrt(list_inner_product(a.s, a.s) * list_inner_product(c.s, c.s))) END AS near_next
 FROM edited e JOIN signed a ON a.doc_id = e.doc_id AND a.kind = 0 JOIN signed b ON b.doc_id = e.doc_id AND b.kind = 1
 JOIN signed c ON c.doc_id = e.next_id AND c.kind = 0
 """

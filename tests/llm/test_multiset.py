@@ -36,7 +36,7 @@ def near(v, w):
     s, t = ([float(2 * c - x[0]) for c in x[9:]] for x in (v, w))
     dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
     both = dot(s, s) * dot(t, t)
-    return 1.0 if v == w else 0.0 if not both else max(0.0, dot(s, t)) / math.sqrt(both)
+    return 1.0 if v == w else 0.0 if not both else min(1.0, max(0.0, dot(s, t)) / math.sqrt(both))
 
 
 def edits(rows):
@@ -69,7 +69,7 @@ def test_rows_equal_brute_force(spark, texts, ids):
 
 
 def test_order_insertion_and_deletion(spark):
-    rows = [("ab", "a b c\nd e. f\n"), ("ba", "d e. f\n\na b c"), ("b", "d e. f"), ("a", "a b c"), ("aab", "a b c\na b c\nd e. f"), ("none", None), ("empty", "")]
+    rows = [("ab", "a b c\nd e. f\n"), ("ba", "d e. f\n\na b c"), ("b", "d e. f"), ("a", "a b c"), ("aab", "a b c\na b c\nd e. f"), ("none", None), ("empty", ""), *((f"many{k}", "\n".join(f"w{i % 7} x." for i in range(k))) for k in (126, 127, 128, 255, 1000))]
     v = {r.k: r.vector for r in M.fingerprints(spark.createDataFrame(rows, "k string, text string"), "k").collect()}
     assert all(v[k] == vector(t) for k, t in rows)
     assert v["ab"] == v["ba"] != v["aab"] and v["none"] == v["empty"] == [0] * M.LANES
