@@ -7,6 +7,7 @@ so they stay inside whole-stage codegen and need no Python worker.
 from __future__ import annotations
 
 import datetime as _dt
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from ..config import MASK_RULES, NOISE_PATTERNS
 
 # White space as Python's str.strip() sees it (ASCII controls, NEL and Unicode separators).
 _WS = r"\t\n\x0B\f\r\x1C-\x1F\x{85}\p{Z}"
+#: The same characters one by one, for trimming without a pattern.
+WS_CHARS = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 WHITESPACE = f"[{_WS}]"
 NON_WHITESPACE = f"[^{_WS}]"
 
@@ -33,6 +36,11 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def once(c, fn) -> Column:
+    """``fn`` of a column whose expression is evaluated once, however often ``fn`` names it."""
+    return F.get(F.transform(F.array(_c(c)), fn), 0)
+
+
 def ts_lit(value) -> Column:
     """A timestamp_ntz literal (UTC wall clock) from a datetime, a string or a Column."""
     if isinstance(value, Column):
@@ -51,7 +59,7 @@ def clean_line(c, ingest_ts) -> Column:
 
 def strip_ws(c) -> Column:
     """O-P1: strip Unicode white space at both ends."""
-    return F.regexp_replace(_c(c), f"^{WHITESPACE}+|{WHITESPACE}+$", "")
+    return F.btrim(_c(c), F.lit(WS_CHARS))
 
 
 def is_nonblank(c) -> Column:
@@ -74,6 +82,19 @@ def evaluate_once(df, **cols: Column):
     return out.select(*order)
 
 
+# What stands before a mask rule's first character: it rules out most places at once and changes no match (a token is
+# found at its run's start or nowhere).
+_MASK_AHEAD = {"ip_address": r"(?=\d)", "token": r"(?<!\p{Alnum})"}
+# What a line has that a mask rule applies to.
+_MASK_NEEDS = {"email": lambda x: x.contains("@"), "username": lambda x: x.contains(":") & x.rlike("[rReEnN]:")}
+
+
+def _replace(c: Column, pattern: str, repl: str, needs=None) -> Column:
+    if needs is None:
+        return F.regexp_replace(c, pattern, repl)
+    return once(c, lambda x: F.when(needs(x), F.regexp_replace(x, pattern, repl)).otherwise(x))
+
+
 def mask_sensitive(c) -> Column:
     """O-P2: IP, e-mail, token, user name, in this order."""
     out = _c(c)
@@ -82,7 +103,8 @@ def mask_sensitive(c) -> Column:
             # Java's \w is ASCII unless (?U); user names may be non-ASCII
             pattern = "(?U)" + pattern
             repl = repl.replace("\\1", "$1")
-        out = F.regexp_replace(out, pattern, repl)
+        pattern = _MASK_AHEAD.get(name, "") + pattern
+        out = _replace(out, pattern, repl, _MASK_NEEDS.get(name))
     return out
 
 
@@ -98,8 +120,7 @@ def iso_text(ts) -> Column:
 
 def ensure_timestamp(c, ingest_ts) -> Column:
     """O-P3: prefix the ingest time (ISO, UTC) when the line carries no time."""
-    c = _c(c)
-    return F.when(has_timestamp(c), c).otherwise(F.concat(iso_text(ts_lit(ingest_ts)), F.lit(" "), c))
+    return once(c, lambda x: F.when(has_timestamp(x), x).otherwise(F.concat(iso_text(ts_lit(ingest_ts)), F.lit(" "), x)))
 
 
 def _parse(text: Column, fmt: str) -> Column:
@@ -131,7 +152,8 @@ def event_time(c, ingest_ts=None) -> Column:
     return F.coalesce(*parts)
 
 
-NOISE_REGEX = "(?i)" + "|".join(NOISE_PATTERNS)
+# Every pattern's first character is tried first.
+NOISE_REGEX = "(?i)(?=[" + "".join(sorted({re.escape(re.sub(r"^\^?\\?", "", p)[0]) for p in NOISE_PATTERNS})) + "])(?:" + "|".join(NOISE_PATTERNS) + ")"
 
 
 def is_noise(c) -> Column:

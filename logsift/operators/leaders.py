@@ -9,7 +9,8 @@ in the bucket. Two shapes with ``need`` features in common share ``parts`` of th
 either, so only shapes that meet under a key of so many prefix features are compared. A round takes the shapes that are
 still open: one with a similar head (the first shape under one of its keys, a partial aggregate, so a group of any
 size costs one comparison a shape) waits; the others look through their keys, and those with nothing similar before them are leaders;
-they and what is like them leave.
+they and what is like them leave. Joins are sort-merge joins: what a round writes is small in its files, as keys and tokens repeat,
+and many times larger in the memory of a broadcast.
 """
 
 from __future__ import annotations
@@ -75,18 +76,18 @@ def leaders(shapes: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]
     only its row count reaches the driver."""
     keyed = materialize(_keyed(shapes, similarity), "leader-keys")
     # a shape without enough features is like no other
-    found = [shapes.select(F.struct(*order_columns()).alias("shape")).join(keyed.select("shape").distinct(), "shape", "left_anti")]
+    found = [shapes.select(F.struct(*order_columns()).alias("shape")).join(keyed.select("shape").distinct().hint("merge"), "shape", "left_anti")]
     left = keyed
     while left.limit(1).count():
         heads = left.groupBy("key").agg(F.min("shape").alias("head"))
-        waits = left.join(heads, "key").filter((F.col("head") < F.col("shape")) & _alike("head", "shape")).select("shape").distinct()
-        seek = materialize(left.join(waits, "shape", "left_anti"), "leader-seek")
+        waits = left.join(heads.hint("merge"), "key").filter((F.col("head") < F.col("shape")) & _alike("head", "shape")).select("shape").distinct()
+        seek = materialize(left.join(waits.hint("merge"), "shape", "left_anti"), "leader-seek")
         before = left.select("key", F.col("shape").alias("other"))
-        led = seek.join(before, "key").filter((F.col("other") < F.col("shape")) & _alike("other", "shape")).select("shape").distinct()
-        new = materialize(seek.join(led, "shape", "left_anti"), "leader-new")
+        led = seek.join(before.hint("merge"), "key").filter((F.col("other") < F.col("shape")) & _alike("other", "shape")).select("shape").distinct()
+        new = materialize(seek.join(led.hint("merge"), "shape", "left_anti"), "leader-new")
         found.append(new.select("shape").distinct())
-        gone = left.join(new.select("key", F.col("shape").alias("leader")), "key").filter((F.col("leader") == F.col("shape")) | _alike("leader", "shape")).select("shape").distinct()
-        left = materialize(left.join(gone, "shape", "left_anti"), "leader-left")
+        gone = left.join(new.select("key", F.col("shape").alias("leader")).hint("merge"), "key").filter((F.col("leader") == F.col("shape")) | _alike("leader", "shape")).select("shape").distinct()
+        left = materialize(left.join(gone.hint("merge"), "shape", "left_anti"), "leader-left")
     return keyed, reduce(DataFrame.unionByName, found)
 
 
@@ -94,8 +95,8 @@ def clusters(shapes: DataFrame, similarity: float) -> DataFrame:
     """(signature, event_template) of every shape of ``shapes`` (n_tokens, first_token, signature, support)."""
     keyed, found = leaders(shapes, similarity)
     found = materialize(found, "leaders")
-    own = keyed.join(found, "shape", "left_semi").select("key", F.col("shape").alias("leader"))
-    like = keyed.join(own, "key").filter(F.col("leader") < F.col("shape")).withColumn("equal", _equal(F.split("leader.signature", " "), F.split("shape.signature", " "))).filter(F.col("equal") >= F.col("needed"))
+    own = keyed.join(found.hint("merge"), "shape", "left_semi").select("key", F.col("shape").alias("leader"))
+    like = keyed.join(own.hint("merge"), "key").filter(F.col("leader") < F.col("shape")).withColumn("equal", _equal(F.split("leader.signature", " "), F.split("shape.signature", " "))).filter(F.col("equal") >= F.col("needed"))
     best = like.groupBy("shape").agg(F.min(F.struct((-F.col("equal")).alias("unlike"), "leader")).alias("best"))
     # a leader has none like it before it
     follows = best.select("shape.signature", F.col("best.leader.signature").alias("leader"))
@@ -104,4 +105,4 @@ def clusters(shapes: DataFrame, similarity: float) -> DataFrame:
     agreed = at.groupBy("leader", "at").agg(F.min("token").alias("low"), F.max("token").alias("high"))
     agreed = agreed.withColumn("token", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.lit(PARAM)))
     texts = agreed.groupBy("leader").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda t: t["token"]), " ").alias("event_template"))
-    return members.join(texts, "leader").select("signature", "event_template")
+    return members.join(texts.hint("merge"), "leader").select("signature", "event_template")

@@ -15,6 +15,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from operator import eq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,11 +25,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import DEFAULT
+from ..functions.lines import once
 from ..session import materialize, ship_package
 from .leaders import BUCKET, PARAM, clusters, need, order_columns
 
-#: Shapes of a bucket that one task clusters by itself.
-SMALL = 2048
+#: Shapes of a bucket that one task clusters by itself, and leaders that are compared one by one.
+SMALL, FEW = 1 << 16, 16
 # A leading time (any supported form, optional fraction and zone) followed by blanks.
 LEADING_TIME = (r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:?\d{2})?"
                 r"|\d{2}/\d{2}/\d{4} \d{2}:\d{2}:\d{2}|\d{13}|\d{10})\s+")
@@ -35,9 +39,19 @@ LEADING_TIME = (r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:?
 def signature_tokens(raw) -> F.Column:
     """Tokens of a line's shape: time prefix removed, split on white space, digits → <*>."""
     raw = F.col(raw) if isinstance(raw, str) else raw
-    body = F.regexp_replace(F.regexp_replace(raw, LEADING_TIME, ""), r"^\s+|\s+$", "")
-    return F.transform(F.split(body, r"\s+"),
-                       lambda t: F.when(t.rlike(r"\d"), F.lit(PARAM)).otherwise(t))
+    return once(once(F.regexp_replace(raw, LEADING_TIME, ""), _trimmed), _tokens)
+
+
+def _tokens(body: F.Column) -> F.Column:
+    parts = F.split(body, r"\s+")
+    return F.when(body.rlike(r"\d"), F.transform(parts, lambda t: F.when(t.rlike(r"\d"), F.lit(PARAM)).otherwise(t))).otherwise(parts)
+
+
+def _trimmed(x: F.Column) -> F.Column:
+    """Without white space at both ends. A line end that is no white space to the pattern (U+0085, U+2028, U+2029) may
+    follow what it takes off."""
+    ends = x.contains("\u0085") | x.contains("\u2028") | x.contains("\u2029")
+    return F.when(ends, F.regexp_replace(x, r"^\s+|\s+$", "")).otherwise(F.btrim(x, F.lit(" \t\n\x0b\f\r")))
 
 
 def with_signature(lines: DataFrame, raw: str = "raw_log") -> DataFrame:
@@ -51,38 +65,55 @@ def with_signature(lines: DataFrame, raw: str = "raw_log") -> DataFrame:
 
 def signatures(lines: DataFrame, raw: str = "raw_log") -> DataFrame:
     """O-T1: distinct shapes with their support (partial aggregate, skew-safe)."""
-    return (with_signature(lines, raw)
-            .groupBy("n_tokens", "first_token", "signature")
-            .agg(F.count(F.lit(1)).alias("support")))
+    return _support(with_signature(lines, raw))
+
+
+def _support(signed: DataFrame) -> DataFrame:
+    return signed.groupBy("n_tokens", "first_token", "signature").agg(F.count(F.lit(1)).alias("support"))
 
 
 def _merge_bucket(sigs: list[str], similarity: float) -> list[str]:
-    """Leader clustering of one bucket's shapes (already in order); returns the template of every shape."""
+    """Leader clustering of one bucket's shapes (already in order); returns the template of every shape.
+
+    Leaders are found by their features, the (position, token) pairs that a second shape of the bucket has: two shapes with
+    ``need`` of them in common share one of the rarest ``size - need + 1`` of either, so a shape is compared only with the
+    leaders that it meets under one of these."""
     toks = [s.split(" ") for s in sigs]
     n = len(toks[0])
+    least = need(n, similarity)
+    often = Counter(f for row in toks for f in enumerate(row))
     codes: dict[str, int] = {PARAM: 0}
-    mat = np.array([[codes.setdefault(t, len(codes)) for t in row] for row in toks], dtype=np.int64)
-    room = np.empty((16, n), dtype=np.int64)  # leaders so far, with space for more
-    used, least = 0, need(n, similarity)
-    owner = np.empty(len(sigs), dtype=np.int64)
-    for i, row in enumerate(mat):
-        if used:
-            equal = ((room[:used] == row) & (row != 0)).sum(axis=1)
+    mat = np.array([[codes.setdefault(t, len(codes)) for t in row] for row in toks], dtype=np.int32) if len(sigs) > FEW else None
+    met: dict[tuple, list[int]] = {}
+    led: list[list[int]] = []  # the members of each leader, itself first
+    for i, row in enumerate(toks):
+        keys = sorted((often[f], f) for f in enumerate(row) if f[1] != PARAM)
+        keys = [f for k, f in keys[:max(0, len(keys) - least + 1)] if k > 1]
+        found = set().union(*(met.get(f, ()) for f in keys)) if least else range(len(led))
+        best, most = -1, -1
+        if len(found) <= FEW or mat is None:
+            for k in sorted(found):
+                equal = sum(map(eq, toks[led[k][0]], row)) - sum(a == b == PARAM for a, b in zip(toks[led[k][0]], row))
+                if equal > most:
+                    best, most = k, equal
+        else:
+            at = np.sort(np.fromiter(found, np.int64, len(found)))
+            equal = ((mat[[led[k][0] for k in at.tolist()]] == mat[i]) & (mat[i] != 0)).sum(axis=1)
             best = int(np.argmax(equal))  # the first of those most alike
-            if equal[best] >= least:
-                owner[i] = best
-                continue
-        if used == len(room):
-            room = np.concatenate([room, np.empty_like(room)])
-        room[used] = row
-        owner[i] = used
-        used += 1
-    order = np.argsort(owner, kind="stable")
-    starts = np.searchsorted(owner[order], np.arange(used))
-    low, high = np.minimum.reduceat(mat[order], starts), np.maximum.reduceat(mat[order], starts)
-    names = {v: k for k, v in codes.items()}
-    texts = [" ".join(names[int(c)] for c in t) for t in np.where(low == high, low, 0)]
-    return [texts[j] for j in owner]
+            best, most = int(at[best]), int(equal[best])
+        if best >= 0 and most >= least:
+            led[best].append(i)
+            continue
+        for f in keys:
+            met.setdefault(f, []).append(len(led))
+        led.append([i])
+    out = list(sigs)
+    for members in led:
+        if len(members) > 1:
+            text = " ".join(c[0] if len(set(c)) == 1 else PARAM for c in zip(*(toks[i] for i in members)))
+            for i in members:
+                out[i] = text
+    return out
 
 
 TEMPLATE_SCHEMA = T.StructType([
@@ -192,8 +223,20 @@ def assign_templates(lines: DataFrame, templates: DataFrame, raw: str = "raw_log
     small at run time and splits a hot signature's partition when it is not. A line whose
     shape is missing from ``templates`` keeps its own shape as template.
     """
+    return _assigned(with_signature(lines, raw), templates)
+
+
+def mine_and_assign(lines: DataFrame, similarity: float = DEFAULT.similarity, raw: str = "raw_log") -> tuple[DataFrame, DataFrame]:
+    """O-T2 and O-T3 of the same lines: (lines with event_id and event_template, templates). The lines are cleaned and cut to
+    their shapes once, into a table that mining and assigning both read."""
+    signed = materialize(with_signature(lines, raw), "signed")
+    templates = mine_templates(_support(signed), similarity).persist()  # one row per distinct shape, read by every later step
+    return _assigned(signed, templates), templates
+
+
+def _assigned(signed: DataFrame, templates: DataFrame) -> DataFrame:
     t = templates.select("signature", "event_template", "event_id")
-    x = with_signature(lines, raw).join(t, "signature", "left")
+    x = signed.join(t, "signature", "left")
     tmpl = F.coalesce(F.col("event_template"), F.col("signature"))
     return (x.withColumn("event_template", tmpl)
              .withColumn("event_id", F.coalesce(F.col("event_id"), event_id_of(tmpl)))

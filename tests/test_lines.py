@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from logsift.functions import lines as L
 from logsift.sources.text import parse_lenient
@@ -116,3 +117,29 @@ def test_read_logs_drops_undecodable_bytes(spark, tmp_path):
     (tmp_path / "c.log").write_bytes(b"ok\xff line\n\xfe\n  tail  \n")
     rows = read_logs(spark, str(tmp_path / "c.log")).orderBy("line_no").collect()
     assert [(r["line_no"], r["raw_log"]) for r in rows] == [(0, "ok line"), (2, "tail")]
+
+
+def test_quick_masks_and_trims_equal_the_plain_patterns(spark):
+    """What rules a pattern out beforehand changes no result: every white-space character, line ends and near misses."""
+    from logsift.config import MASK_RULES, NOISE_PATTERNS
+    from logsift.operators import templates as TM
+
+    some = ["a@b.co", "x a.b@c-d.org, y@z", "USER: bob", "login:é", "uſer: x", "time 10:20", "k" * 31, "_" + "k" * 40 + "é", "é" + "k" * 32, "10.1.2.3", "x10.1.2.3", "1.2.3",
+            "heartbeat", "HEALTH of a check", "[x]", "a [x]", "kernel x log", "2024-01-02T03:04:05 a b", "x  1 y", "", " ", None]
+    ends = [f"{a}x y{a}" for a in [*map(chr, range(1, 0x3010)), " \u2028", "\t\x85", "\n\u2029 "]]
+    df = spark.createDataFrame([(t,) for t in [*some, *ends]], "t string")
+    masked = F.col("t")
+    for name, pattern, repl in MASK_RULES:
+        masked = F.regexp_replace(masked, "(?U)" + pattern if name == "username" else pattern, repl.replace("\\1", "$1"))
+    body = F.regexp_replace(F.regexp_replace("t", TM.LEADING_TIME, ""), r"^\s+|\s+$", "")
+    tokens = F.transform(F.split(body, r"\s+"), lambda x: F.when(x.rlike(r"\d"), F.lit(TM.PARAM)).otherwise(x))
+    pairs = [(L.mask_sensitive("t"), masked), (L.strip_ws("t"), F.regexp_replace("t", f"^{L.WHITESPACE}+|{L.WHITESPACE}+$", "")),
+             (L.is_noise("t"), F.col("t").rlike("(?i)" + "|".join(NOISE_PATTERNS))), (TM.signature_tokens("t"), tokens)]
+    for new, plain in pairs:
+        assert df.filter(~new.eqNullSafe(plain)).collect() == []
+
+
+def test_cleaning_names_the_line_once(spark):
+    """The patterns of a line's cleaning stand once in the plan, however often their result is used."""
+    x = spark.createDataFrame([("a",)], "raw string").select(L.clean_line("raw", dt.datetime(2024, 2, 1)).alias("c"))
+    assert x._jdf.queryExecution().optimizedPlan().toString().count("raw#") <= 2

@@ -5,6 +5,7 @@ import random
 
 import pytest
 import xxhash
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from logsift.operators import sanitize as D
@@ -142,3 +143,24 @@ def test_one_bucket_of_many_shapes(spark):
     assert t.filter("signature LIKE 'start user%'").select("event_template").distinct().count() == 1
     # what follows a leader is like it, and leaders of this bucket are not like each other where they share their rarest tokens
     assert t.filter(~F.forall(F.zip_with(F.split("event_template", " "), F.split("signature", " "), lambda a, b: (a == PARAM) | (a == b)), lambda ok: ok)).count() == 0
+
+
+def test_large_buckets_are_compared_by_their_rare_features():
+    """A bucket far over the size that was one task's before, of shapes that are seldom alike: the template of every shape as by comparing
+    it with all leaders, with few comparisons."""
+    draw = random.Random(3)
+    sigs = list(dict.fromkeys(" ".join(["the", *(f"w{min(400, int(draw.expovariate(0.01)))}" for _ in range(5)), "of", PARAM]) for _ in range(3000)))
+    want = dict(brute([Row(n_tokens=8, first_token="the", signature=s, support=1) for s in sigs]))
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    order = sorted(sigs, key=lambda s: (signed(xxhash.xxh64_intdigest(s.encode(), 42)), s))
+    assert dict(zip(order, _merge_bucket(order, 0.4))) == want
+    assert TM.SMALL >= 1 << 16
+
+
+def test_mining_and_assigning_read_lines_cleaned_once(spark):
+    c = clean_lines(spark, SF_SMALL)
+    a, t = TM.mine_and_assign(c)
+    assert "regexp" not in a._jdf.queryExecution().optimizedPlan().toString().lower()  # cleaned and cut already
+    want = TM.assign_templates(c, TM.mine_templates(TM.signatures(c)))
+    cols = ["line_no", "raw_log", "event_id", "event_template"]
+    assert a.select(cols).exceptAll(want.select(cols)).isEmpty() and a.count() == want.count()
