@@ -146,7 +146,6 @@ def q_ingest_job(spark, sf):
     twice to the structured table (the second append adds nothing) and list ingests."""
     root = _scratch(spark, "ingest")
     s, _ = _structured(spark, sf)
-    s = s.persist()
     TX.write_provenance(s.drop("window_id") if "window_id" in s.columns else s, root, "external", "driver", INGEST)
     structured = s.select("raw_log", "event_id", "event_template", ts_text("ts").alias("ts"))
     first = TX.append_structured(structured, f"{root}/structured", "2024-02-01")

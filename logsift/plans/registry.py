@@ -239,9 +239,8 @@ def q_doc_templates(spark, sf):
 
 
 def q_assigned_templates(spark, sf):
-    c = clean_lines(spark, sf)
-    t = TM.mine_templates(TM.signatures(c))
-    return TM.assign_templates(c, t).select("line_no", "server_id", "raw_log", "event_id", "event_template")
+    a, _ = TM.mine_and_assign(clean_lines(spark, sf))
+    return a.select("line_no", "server_id", "raw_log", "event_id", "event_template")
 
 
 SQL_ASSIGNED_TEMPLATES = Q.with_(Q.LOG_LINES, Q.CLEAN, Q.SIGNED, Q.MINED) + """
@@ -661,9 +660,7 @@ select server_id, window_id, 0.0 + round(error_rate, 6) as error_rate, log_volum
 
 def _template_counts(spark, sf, seconds=None):
     """(server_id, window_id, event_id, cnt) of mined templates, plus the templates table."""
-    c = clean_lines(spark, sf)
-    t = TM.mine_templates(TM.signatures(c)).persist()  # small (distinct shapes), read twice
-    a = TM.assign_templates(c, t)
+    a, t = TM.mine_and_assign(clean_lines(spark, sf))
     w = W.epoch_windows(a, 21600) if seconds is None else W.time_windows(a, seconds)
     return FE.feature_counts(w), t
 

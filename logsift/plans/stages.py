@@ -47,9 +47,9 @@ def structure_lines(lines: DataFrame, ingest_ts, params: Params = DEFAULT, dedup
     if "server_id" not in x.columns:
         x = x.withColumn("server_id", F.lit("local"))
     if templates is None:
-        # the mined table is small (one row per distinct shape) and is read by every later step
-        templates = TM.mine_templates(TM.signatures(x), params.similarity).persist()
-    a = TM.assign_templates(x, templates)
+        a, templates = TM.mine_and_assign(x, params.similarity)
+    else:
+        a = TM.assign_templates(x, templates)
     a = a.withColumn("ts", L.event_time("raw_log", ingest_ts)).drop("signature")
     s = D.sanitize(a, ingest_ts)
     if dedupe:
