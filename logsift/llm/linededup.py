@@ -26,6 +26,9 @@ from .common import arrow, utf8_bodies
 #: A line found in this many documents goes, and only keys of this many code points count.
 MIN_DOCS, MIN_CHARS = 10, 1
 
+#: Documents whose texts a task holds at a time beside its batch.
+ROWS = 512
+
 
 def line_key(line: bytes) -> bytes:
     """The key of a line. ``bytes.strip`` and ``bytes.lower`` know ASCII only, as the rule does."""
@@ -141,7 +144,7 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN
 
 def _applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Kept text, lines and dropped lines of each row; null text only where it was null and lost nothing."""
-    for b in batches:
+    for b in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
         texts, lines, dropped = [], [], []
         for text, body, keep in zip(b.column("text"), utf8_bodies(b.column("text")), b.column("keep"), strict=True):
             n = body.count(b"\n") + 1

@@ -102,3 +102,17 @@ def test_one_row_repeated_often(spark):
     assert [tuple(r) for r in L.keep_bitmaps(docs).filter("id = -1").select("n_lines", "n_dropped").collect()] == [(3, 2)]
     got = L.dedup_lines(docs).groupBy("kept_text").count().orderBy(F.desc("count")).first()
     assert tuple(got) == ("own", 3000)
+
+
+def test_texts_are_put_together_a_few_at_a_time():
+    """However many rows an Arrow batch has, a task holds the new texts of a few of them."""
+    import pyarrow as pa
+
+    from logsift.llm.linededup import ROWS, _applied
+
+    n = 3 * ROWS + 1
+    b = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(["a\nb"] * n), pa.array([None] * n, pa.binary())], names=["id", "text", "keep"])
+    out = list(_applied(iter([b])))
+    assert [o.num_rows for o in out] == [ROWS, ROWS, ROWS, 1]
+    assert [r["id"] for o in out for r in o.to_pylist()] == list(range(n))
+    assert {(r["kept_text"], r["n_lines"], r["n_dropped"]) for o in out for r in o.to_pylist()} == {("a\nb", 2, 0)}
