@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions.scores import ensemble_score, prediction
+from ..session import materialize
 from .quantile import exact_percentile
 
 
 def ae_threshold(train_mse: DataFrame, q: float = DEFAULT.ae_percentile) -> float:
-    """Percentile (linear) of the training reconstruction errors."""
-    return exact_percentile(train_mse, "mse", q)
+    """Percentile (linear) of the training reconstruction errors, computed once for all of its passes."""
+    return exact_percentile(materialize(train_mse.select("mse"), "mse"), "mse", q)
 
 
 def ae_scores_from_mse(df: DataFrame, threshold: float | None = None, q: float = DEFAULT.ae_percentile) -> DataFrame:

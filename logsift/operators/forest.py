@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import DEFAULT
-from ..session import ship_package
+from ..session import materialize, ship_package
 from .features import dense
 from .quantile import exact_percentile
 
@@ -217,5 +217,5 @@ def walk_forest(rows: DataFrame, nodes: DataFrame, keys: list[str], psi: int, le
 
 
 def forest_offset(scored: DataFrame, contamination: float = DEFAULT.contamination) -> float:
-    """Offset = percentile (linear) of the training ``score_samples`` at ``contamination``."""
-    return exact_percentile(scored, "if_raw", contamination)
+    """Offset = percentile (linear) of the training ``score_samples`` at ``contamination``; rows are scored once, for all of its passes."""
+    return exact_percentile(materialize(scored.select("if_raw"), "if-raw"), "if_raw", contamination)

@@ -39,7 +39,7 @@ def _event_vectors(spark, sf):
     """Scaled sparse vectors of the per-minute windows, written once, and their base."""
     c = materialize(minute_counts(spark, sf), "counts")
     columns, base = P.model_columns(c)
-    return materialize(FE.sparse_vectors(c, columns, KEYS), "vectors"), base
+    return P.training_vectors(c, columns)[0], base
 
 
 def q_forest_scores(spark, sf):
@@ -287,7 +287,7 @@ def q_score_stream(spark, sf):
     whatever order the files are found, windowed and scored with a model trained in batch on the same lines."""
     s, templates = _structured(spark, sf)
     templates = templates.persist()
-    counts = P.window_counts(s)
+    counts = materialize(P.window_counts(s), "counts")  # read by every step of the training
     model = P.train_models(counts)
     src = _rolled_logs(spark, sf)
     _closing_line(spark, src)

@@ -137,10 +137,12 @@ def _run(query) -> list:
 def structure_stream(lines: DataFrame, templates: DataFrame, path: str, checkpoint: str, ingest_ts) -> int:
     """Structured lines of a stream, appended to a table bucketed by their hash, each (server, line, event) once however far apart its
     repeats come: every micro-batch is joined against the keys that the table has from earlier batches, without a
-    shuffle of them. A batch that runs again overwrites its own partition. Returns the number of micro-batches."""
+    shuffle of them. A batch's rows are dealt to the table's buckets first, so it adds one file a bucket, however many tasks it has: the
+    stream that reads the table takes so many files a micro-batch. A batch that runs again overwrites its own partition. Returns the
+    number of micro-batches."""
     from ..functions import lines as L
     from ..operators import templates as TM
-    from ..sources.text import bucketed_table, missing_rows, row_key
+    from ..sources.text import TABLE_BUCKETS, bucketed_table, missing_rows, row_key
 
     x = lines.filter(L.is_nonblank("raw_log"))
     x = L.evaluate_once(x, raw_log=L.clean_line("raw_log", ingest_ts)).filter(~L.is_noise("raw_log"))
@@ -153,7 +155,7 @@ def structure_stream(lines: DataFrame, templates: DataFrame, path: str, checkpoi
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
         part = f"{batch_id:012d}"
         with bucketed_table(spark, path, (*LINE_KEY, ("ts", "timestamp_ntz")), "batch") as name:
-            once = batch.groupBy(*LINE_KEY).agg(F.min("ts").alias("ts")).withColumn("row_key", row_key(LINE_KEY))
+            once = batch.groupBy(*LINE_KEY).agg(F.min("ts").alias("ts")).withColumn("row_key", row_key(LINE_KEY)).repartition(TABLE_BUCKETS, "row_key")
             new = missing_rows(once, spark.table(name).filter(F.col("batch") < part), LINE_KEY)
             new.select(*LINE_KEY, "ts", "row_key", F.lit(part).alias("batch")).write.insertInto(name, overwrite=True)
 

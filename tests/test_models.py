@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from logsift.operators import autoencoder as AE
 from logsift.operators import features as FE
 from logsift.operators import forest as FO
+from logsift.operators.ensemble import ae_threshold
 from logsift.operators.quantile import exact_percentile
 from logsift.config import Params
 from logsift.plans import jobs as J
@@ -190,3 +191,35 @@ def test_columns_are_numbered_in_the_order_of_ids(spark):
     want = sorted({f"e{k}" for k in range(777)})
     assert {r.event_id: r.idx for r in rows} == {e: i for i, e in enumerate(want)} and len(rows) == 777
     assert "PythonRDD" not in FE.feature_table(counts)._jdf.queryExecution().toString()
+
+
+def test_training_is_dealt_over_tasks_by_the_number_of_windows(spark, monkeypatch):
+    """A model's vectors are a few bytes each: by size, all of them would be one task of every step."""
+    counts = spark.range(400).select(F.concat(F.lit("s"), (F.col("id") % 2).cast("string")).alias("server_id"), (F.col("id") % 100).alias("window_id"),
+                                     F.concat(F.lit("e"), (F.col("id") % 7).cast("string")).alias("event_id"), (F.col("id") % 5 + 1).alias("cnt"))
+    params = Params(epochs=3, n_trees=5)
+    seen = []
+    fit = AE.fit_autoencoder
+    monkeypatch.setattr(AE, "fit_autoencoder", lambda vec, *a: (seen.append(len(vec.inputFiles())), fit(vec, *a))[1])
+    whole = P.train_models(counts, params)
+    monkeypatch.setattr(P, "FILE_WINDOWS", 8)
+    dealt = P.train_models(counts, params)
+    assert seen[0] == 1 and seen[1] > 8
+    assert dealt.info["n_windows"] == whole.info["n_windows"] == counts.select("server_id", "window_id").distinct().count()
+    pd.testing.assert_frame_equal(*(m.forest_nodes.sort_values(["tree_id", "node_id"], ignore_index=True) for m in (whole, dealt)))
+    assert np.allclose(whole.ae["weights"], dealt.ae["weights"]) and np.isclose(whole.offset, dealt.offset) and np.isclose(whole.ae["threshold"], dealt.ae["threshold"])
+
+
+def test_thresholds_score_each_row_once(spark):
+    rows = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for pdf in batches:
+            rows.add(len(pdf))
+            yield pdf
+
+    for find, col in ((FO.forest_offset, "if_raw"), (ae_threshold, "mse")):
+        before = rows.value
+        x = spark.range(1000).select((F.col("id") / 1000.0).alias(col))
+        got = find(x.mapInPandas(told, x.schema), 0.25)
+        assert np.isclose(got, 0.24975) and rows.value - before == 1000

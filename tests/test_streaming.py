@@ -12,6 +12,7 @@ from logsift.operators import windows as W
 from logsift.plans import jobs as J
 from logsift.plans import stages as P
 from logsift.plans.registry import INGEST, lines, scores, ts_text
+from logsift.sources import text as TX
 from logsift.streaming import logs as ST
 
 from conftest import SF_SMALL, SF_MID
@@ -78,6 +79,23 @@ def test_score_stream_over_many_batches_restarts_and_repeats_equals_batch(spark,
     assert sum(t["line_batches"] for t in told) >= 5 and [t["late_rows"] for t in told] == [0, 0, 0]
 
 
+def test_a_batch_of_lines_adds_one_file_a_bucket(spark, tmp_path):
+    """However many tasks a micro-batch has: the windows' stream takes so many files of the table at a time."""
+    src, out, ck = str(tmp_path / "src"), str(tmp_path / "lines"), str(tmp_path / "ck")
+    rows = [(f"s{i % 3}", f"2024-01-01T00:{i % 60:02d}:00 INFO served {i // 60} of a") for i in range(3000)]
+    x = spark.createDataFrame(rows + rows[:50], "server_id string, raw_log string")
+    x.repartition(4).write.partitionBy("server_id").text(src)
+    templates = spark.createDataFrame([], "signature string, event_template string, event_id string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        batches = ST.structure_stream(J.log_file_stream(spark, src), templates, out, ck, INGEST)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert batches == 1 and len(list((tmp_path / "lines").rglob("*.parquet"))) <= TX.TABLE_BUCKETS
+    got = spark.read.parquet(out)
+    assert sorted((r.server_id, r.raw_log) for r in got.select("server_id", "raw_log").collect()) == sorted(rows)
+
+
 def test_late_rows_are_counted_and_in_no_window(spark, tmp_path):
     """January's last days come first; with a watermark of one day the first days are late."""
     templates, model = trained(spark)
